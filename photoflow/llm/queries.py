@@ -19,8 +19,30 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(_table(spark, sf_dir, "documents"))
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photoflow.llm import packing
+
+    return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2, length=4096)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photoflow.llm import token_files
+
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_pii": op1_pii}
+    return {
+        "op1_pii": op1_pii,
+        "op4_packing": op4_packing,
+        "op6_token_files": op6_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
