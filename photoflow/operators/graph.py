@@ -52,25 +52,27 @@ def _small_star(e: DataFrame) -> DataFrame:
     return moved.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def running_total(df: DataFrame, order: list[str], value: str, out: str, name: str = "ordered", within: list[str] = []) -> DataFrame:
-    """Add `out`: the sum of `value` over all rows before this one in the given total order.
+def running_total(df: DataFrame, order: list[str], sums: dict[str, str], name: str = "ordered", within: list[str] | None = None) -> DataFrame:
+    """Add, for each name -> column in `sums`, the sum of the column over all rows before this one in the given total order.
 
-    Rows are range-partitioned by `order`, so no task holds more than its range; each range is summed
-    alone and the ranges' bases come from a prefix sum over one row per range. `within` (a prefix of
-    `order`) restarts the total for each of its values, also where one value fills many ranges.
+    Rows are range-partitioned by `order` (nulls first), so no task holds more than its range; each
+    range is summed alone and the ranges' bases come from a prefix sum over one row per range. `within`
+    (a prefix of `order`) restarts the totals for each of its values, also where one value fills many ranges.
     """
+    within = within or []
     spark = df.sparkSession
-    ranged = df.repartitionByRange(partitions(spark), *[F.col(c).asc_nulls_first() for c in order])
+    by = [F.col(c).asc_nulls_first() for c in order]
+    ranged = df.repartitionByRange(partitions(spark), *by)
     ranged = materialize(ranged.withColumn("_range", F.spark_partition_id()), name)
-    local = Window.partitionBy("_range", *within).orderBy(*[F.col(c).asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy("_range", *within).agg(F.sum(value).alias("_sum"))
+    local = Window.partitionBy("_range", *within).orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     base = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per range and value; its size is bounded by ranges + values, and small beside the rows
-    bases = sums.select("_range", *within, F.coalesce(F.sum("_sum").over(base), F.lit(0)).alias("_base"))
+    # one row per range and value of within: small beside the rows themselves
+    totals = ranged.groupBy("_range", *within).agg(*[F.sum(c).alias(f"_{o}") for o, c in sums.items()])
+    bases = totals.select("_range", *within, *[F.coalesce(F.sum(f"_{o}").over(base), F.lit(0)).alias(f"_base_{o}") for o in sums])
     keys = F.col("r._range") == F.col("b._range")
     for c in within:
         keys = keys & F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}"))
-    summed = ranged.withColumn("_local", F.coalesce(F.sum(value).over(local), F.lit(0)))
+    summed = ranged.withColumns({f"_local_{o}": F.coalesce(F.sum(c).over(local), F.lit(0)) for o, c in sums.items()})
     return summed.alias("r").join(bases.alias("b"), keys).select(
-        *[F.col(f"r.{c}") for c in df.columns], (F.col("r._local") + F.col("b._base")).cast("long").alias(out)
+        *[F.col(f"r.{c}") for c in df.columns], *[(F.col(f"r._local_{o}") + F.col(f"b._base_{o}")).cast("long").alias(o) for o in sums]
     )
