@@ -95,7 +95,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 4096, i
     repeated rows are packed each. Other columns are ignored; an empty table gives no piece.
     """
     t = materialize(tokenized(docs, tokenizer, end_id, id_col, text_col), "tokens")
-    placed = running_total(t.select("key", "id", "row", "n"), ["key", "id", "row"], "n", "at", "curve")
+    placed = running_total(t.select("key", "id", "row", "n"), ["key", "id", "row"], {"at": "n"}, "curve")
     total = t.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # the tail as powers of two needs no padding
     edges, rest = [total - total % length], total % length

@@ -25,6 +25,13 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photoflow.llm import mixing
+
+    docs, _ = mixing.mix(_table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "size", "source_size", "target", "taken", "weight")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from photoflow.llm import packing
 
@@ -40,6 +47,7 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
+        "op3_mixing": op3_mixing,
         "op4_packing": op4_packing,
         "op6_token_files": op6_token_files,
     }
