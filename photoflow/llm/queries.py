@@ -44,12 +44,19 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photoflow.llm import jaccard
+
+    return jaccard.components(_table(spark, sf_dir, "documents"), k=4, pct=85)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
         "op3_mixing": op3_mixing,
         "op4_packing": op4_packing,
         "op6_token_files": op6_token_files,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
