@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -44,6 +45,19 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=2)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photoflow.llm import licenses
+
+    found = licenses.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photoflow.llm import langid
+
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from photoflow.llm import jaccard
 
@@ -56,6 +70,8 @@ def queries() -> dict[str, Query]:
         "op3_mixing": op3_mixing,
         "op4_packing": op4_packing,
         "op6_token_files": op6_token_files,
+        "op7_license_scan": op7_license_scan,
+        "op8_language_id": op8_language_id,
         "op10_jaccard_join": op10_jaccard_join,
     }
 
