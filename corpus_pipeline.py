@@ -1,2 +1,61 @@
-"""Stages over the whole corpus; each is written as Parquet and read again for the next."""
-STAGES = []
+"""From all documents to packed sequences: five stages, each written as Parquet and read again for the next."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from photoflow.llm import jaccard, langid, lines, mixing, packing
+from photoflow.scratch import materialize
+
+#: a prediction below this score names no language
+MIN_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is recognised; those without any letter go."""
+    found = langid.identify(docs, keep=docs.columns)
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that many sources share; each such line stays where it comes first."""
+    left = lines.drop_boilerplate(docs).where("n_lines > n_dropped or n_dropped = 0")
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of every group of near copies, and every other document."""
+    found = jaccard.components(docs.select("doc_id", "text"))
+    copies = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.repeated(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 ids."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, length=4096)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources", mix_sources),
+    ("packing", pack),
+]
+
+#: the classifier and the packing order are beyond SQL; tests hold each stage against a brute-force version
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)

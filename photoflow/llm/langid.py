@@ -150,13 +150,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     keep = keep or [id_col]
     sample = labelled_sample(docs, id_col, text_col, lang_col)
     model = docs.sparkSession.sparkContext.broadcast(fit(sample) if len(sample) else None)
-    own = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("_text"))
-    schema = own.drop("_text").schema.add("lang_pred", "string").add("score", "double")
+    own = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], held_out(F.col(id_col)).alias("held_out"))
+    schema = own.schema.add("lang_pred", "string").add("score", "double")
+    carried = text_col in keep
+    at = keep.index(text_col) if carried else len(keep) + 1
+    if not carried:
+        own = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
+            texts = b.column(at).to_pylist()
             names, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             ok = [k for k, t in enumerate(texts) if t and m and any(map(str.isalpha, t))]
             s = 0
@@ -169,7 +173,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 for k, lang, x in zip(ok[s:e], best, score, strict=True):
                     names[k], scores[k] = m.langs[lang], float(x)
                 s = e
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep) + 1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     out = own.mapInArrow(run, schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "held_out", "lang_pred", "score")

@@ -68,6 +68,17 @@ def schedule(quota: DataFrame) -> DataFrame:
     return ranked.unionByName(rest)
 
 
+def repeated(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """docs as the mix takes them: every row as often as it is taken, a part of half or more counting as the whole.
+
+    Rows of the same id and text are taken alike.
+    """
+    out, _ = mix(docs, seed=seed, id_col=id_col, text_col=text_col, **kw)
+    times = out.where("taken > 0").withColumn("times", F.round(F.col("taken") / F.col("size")).cast("int")).groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th")).agg(F.max("times").alias("_times"))
+    joined = docs.join(times.where("_times > 0"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.lit(seed), id_col, text_col) == F.col("_th")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """(documents, slices): what the mix takes of every document, and the scheduled slices themselves.
 
@@ -101,5 +112,5 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3,
         "slot", "row", F.greatest(at - F.col("pos"), F.lit(0)).alias("first"), F.least(at + F.col("upto") - F.col("pos"), F.col("size")).alias("end"),
     ).where("end > first")
     taken = cut.groupBy("row").agg(F.sum(F.col("end") - F.col("first")).alias("taken"))
-    out = named.join(taken, "row", "left").select("row", F.col("id").alias(id_col), "size", "source", "source_size", "weight", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    out = named.join(taken, "row", "left").select("row", F.col("_h").alias("text_hash"), F.col("id").alias(id_col), "size", "source", "source_size", "weight", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return out, cut

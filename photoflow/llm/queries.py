@@ -26,6 +26,30 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photoflow.llm import lines
+
+    docs = lines.drop_boilerplate(_table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+OP2_SQL = """
+WITH cut AS (
+  SELECT doc_id, text, source, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents
+), l AS (SELECT *, trim(raw, ' ') AS line FROM cut),
+f AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce(source, '')) >= 8),
+o AS (SELECT l.* FROM l JOIN f USING (line)),
+k AS (SELECT line, min({'d': doc_id, 'p': pos}) AS m FROM o GROUP BY line),
+c AS (SELECT doc_id FROM o GROUP BY doc_id, text HAVING sum(length(line)) * 100 >= length(text) * 80),
+d AS (SELECT o.doc_id, o.pos FROM o JOIN k USING (line) WHERE NOT (o.doc_id = k.m.d AND o.pos = k.m.p) AND o.doc_id NOT IN (SELECT doc_id FROM c)),
+t AS (
+  SELECT l.doc_id, count(*) FILTER (line <> '') AS n_lines, count(d.pos) AS n_dropped,
+         coalesce(string_agg(raw, chr(10) ORDER BY l.pos) FILTER (d.pos IS NULL), '') AS t
+  FROM l LEFT JOIN d ON l.doc_id = d.doc_id AND l.pos = d.pos GROUP BY l.doc_id)
+SELECT doc_id, n_lines, n_dropped, length(t) AS n_chars, md5(t) AS text_md5 FROM t
+"""
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from photoflow.llm import mixing
 
@@ -39,6 +63,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2, length=4096)
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photoflow.llm import near_vectors
+
+    return near_vectors.components(_table(spark, sf_dir, "embeddings"), limit=0.93)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from photoflow.llm import token_files
 
@@ -66,10 +96,10 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, c -> CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, c -> c IS NULL OR isnan(c) OR isinf(c))) = 0
+  SELECT vec_id, [CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR isnan(c) OR isinf(c)]) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum(list_transform(list_zip(q.x, v.x), p -> p[1] * p[2])) AS BIGINT) AS score
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.x, v.x)]) AS BIGINT) AS score
   FROM v q JOIN v ON q.vec_id % 100 = 0 AND v.vec_id <> q.vec_id AND len(v.x) = len(q.x)
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
@@ -83,18 +113,42 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(_table(spark, sf_dir, "documents"), k=4, pct=85)
 
 
+OP10_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+') IF x <> ''] AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN [array_to_string(w[i:i+3], ' ') FOR i IN range(1, len(w) - 2)] ELSE [array_to_string(w, ' ')] END) AS g FROM w WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 85 * (na.n + nb.n - count(*))
+), r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, p.y FROM r JOIN p ON r.y = p.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.x = d.doc_id
+"""
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
+        "op2_line_dedup": op2_line_dedup,
         "op3_mixing": op3_mixing,
         "op4_packing": op4_packing,
+        "op5_near_vectors": op5_near_vectors,
         "op6_token_files": op6_token_files,
         "op7_license_scan": op7_license_scan,
         "op8_language_id": op8_language_id,
         "op9_exact_topk": op9_exact_topk,
         "op10_jaccard_join": op10_jaccard_join,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_topk": OP9_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op9_exact_topk": OP9_SQL, "op10_jaccard_join": OP10_SQL}
