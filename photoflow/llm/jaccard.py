@@ -15,11 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photoflow.llm.words import SPACED, mix, shingles, slices, words
-from photoflow.operators.graph import connected_components
+from photoflow.operators.graph import connected_components, running_total
 from photoflow.scratch import materialize, partitions
 
 #: share of a set by which its sample exceeds what the similarity alone asks for
@@ -30,6 +30,12 @@ BUCKET = 200_000
 HOT = 64
 MARK = np.uint64(0)
 FREQUENT = 1 << 40
+#: classes of an inverted list up to which its pairs are rows; longer lists are compared block by block
+SHORT = 32
+#: shingles (and 500 for each class) of a block
+BLOCK = 200_000
+#: shingles that are counted at once between two blocks
+COLUMNS = 8192
 #: ids up to which the list of candidates is broadcast (8 bytes each); beyond, the join shuffles
 BROADCAST_IDS = 500_000
 
@@ -148,6 +154,66 @@ def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _packed(table: pa.Table) -> pa.Table:
+    """One row for the classes of a block, the sets as bytes one after another."""
+    own = [x for x in table.column("set").to_pylist()]
+    cols = {c: [table.column(c).to_numpy().tobytes()] for c in ("sig", "comp", "n")}
+    return pa.table({"center": table.column("center")[:1], "blk": table.column("blk")[:1], **{c: pa.array(v, pa.binary()) for c, v in cols.items()}, "sets": pa.array([b"".join(own)], pa.binary())})
+
+
+def _links_of_blocks(a: tuple, b: tuple, pct: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked classes of two blocks that lie in different components, one link for every two components."""
+    (sa, ca, na, ha), (sb, cb, nb, hb) = a, b
+    both = np.intersect1d(ha, hb)
+    da, db = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
+    ia, ib = np.searchsorted(both, ha), np.searchsorted(both, hb)
+    oka, okb = np.append(both, 0)[ia] == ha, np.append(both, 0)[ib] == hb
+    oka &= ia < len(both)
+    okb &= ib < len(both)
+    shared = np.zeros((len(na), len(nb)), np.float32)
+    for s in range(0, len(both), COLUMNS):
+        ma, mb = np.zeros((len(na), COLUMNS), np.float32), np.zeros((len(nb), COLUMNS), np.float32)
+        for m, d, i, ok in ((ma, da, ia, oka), (mb, db, ib, okb)):
+            ok = ok & (i >= s) & (i < s + COLUMNS)
+            m[d[ok], i[ok] - s] = 1
+        shared += ma @ mb.T
+    shared = shared.astype(np.int64)
+    good = (100 * shared >= pct * (na[:, None] + nb[None] - shared)) & (ca[:, None] != cb[None])
+    x, y = np.nonzero(good)
+    _, first = np.unique(np.stack([ca[x], cb[y]]), axis=1, return_index=True)
+    return sa[x[first]], sb[y[first]]
+
+
+def _between_blocks(lists: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """Links across components within long lists (h, sig, n, comp), found block by block.
+
+    Long lists of a group of near copies hold nearly the same classes, so lists are gathered under the
+    class that occurs in most of them; its followers are dealt into blocks, and two blocks are compared
+    as matrices. Blocks of one component, or too unlike in size, are not compared.
+    """
+    degree = lists.groupBy("sig").agg(F.count("*").alias("deg"))
+    center = lists.join(degree, "sig").groupBy("h").agg(F.max(F.struct("deg", "sig"))["sig"].alias("center"))
+    members = lists.join(center, "h").select("center", "comp", "sig", "n").distinct().withColumn("w", F.col("n") + 500)
+    members = running_total(members, ["center", "comp", "sig"], {"at": "w"}, "members", within=["center"]).withColumn("blk", F.floor(F.col("at") / BLOCK))
+    meta = members.groupBy("center", "blk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("small"), F.max("n").alias("large"))
+    i, j = (meta.select("center", *[F.col(c).alias(f"{c}_{x}") for c in ("blk", "lo", "hi", "small", "large")]) for x in "ij")
+    plan = i.join(j, "center").where("blk_i <= blk_j and not (lo_i = hi_j and hi_i = lo_j)").where((F.col("large_i") * 100 >= F.col("small_j") * pct) & (F.col("large_j") * 100 >= F.col("small_i") * pct)).select("center", "blk_i", "blk_j")
+    packed = members.select("center", "blk", "sig", "comp", "n").join(sets, "sig").groupBy("center", "blk").applyInArrow(_packed, "center long, blk long, sig binary, comp binary, n binary, sets binary")
+    packed = materialize(packed, "blocks")
+    side = lambda x: packed.select("center", *[F.col(c).alias(f"{c}_{x}") for c in ("blk", "sig", "comp", "n", "sets")])
+    pairs = plan.join(side("i"), ["center", "blk_i"]).join(side("j"), ["center", "blk_j"])
+    cols = [f"{c}_{x}" for x in "ij" for c in ("sig", "comp", "n", "sets")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                v = [np.frombuffer(b.column(c)[row].as_buffer(), np.uint64 if c.startswith("sets") else np.int64) for c in cols]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _links_of_blocks(tuple(v[:4]), tuple(v[4:]), pct)], names=["a", "b"])
+
+    spread = pairs.repartition(partitions(lists.sparkSession), "center", "blk_i", "blk_j")
+    return spread.select(*cols).mapInArrow(run, "a long, b long")
+
+
 def _fetch_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(sig, set) of the wanted classes, computed again from one text of each; wanted is (id, sig)."""
 
@@ -184,24 +250,29 @@ def components(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "doc_id
     lists = shared.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("e")).join(classes.select("sig", "n"), "sig").where(F.size("e") >= need)
     index = lists.select("sig", "n", F.explode(F.slice("e", F.lit(1), (F.size("e") - need + 1).cast("int"))).alias("x")).select("sig", "n", F.col("x.h").alias("h"))
     index = materialize(index, "index")
-    centers = index.groupBy("h").agg(F.min(F.struct("n", "sig")).alias("c"), F.count("*").alias("len")).where("len > 1").select("h", F.col("c.sig").alias("c"), F.col("c.n").alias("cn"))
+    centers = index.groupBy("h").agg(F.min(F.struct("n", "sig")).alias("c"), F.count("*").alias("len")).where("len > 1").select("h", "len", F.col("c.sig").alias("c"), F.col("c.n").alias("cn"))
     # first each document against the first of its lists ...
     stars = index.join(centers, "h").where(F.col("sig") != F.col("c")).where(_reach(F.col("n"), F.col("cn"), pct))
-    stars = materialize(stars.groupBy(F.col("sig").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("hits")), "stars")
+    stars = stars.groupBy(F.col("sig").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("hits"))
+    # (the two that it meets most often; any other link is found below)
+    most = Window.partitionBy("a").orderBy(F.desc("hits"), "b")
+    stars = materialize(stars.withColumn("place", F.row_number().over(most)).where("place <= 2").select("a", "b"), "stars")
     members = index.join(centers.select("h"), "h", "left_semi").select("sig").distinct()
     sets = materialize(_fetch_sets(d, classes.join(members, "sig", "left_semi").select("id", "sig"), k), "sets")
     links = materialize(_verified(stars.select("a", "b"), sets, pct), "links")
-    # ... then, in lists that still hold several components, everything outside the largest of them
+    # ... then everything in lists that still hold several components, across components
     comp = materialize(connected_components(links), "components")
-    where = materialize(index.join(centers.select("h"), "h", "left_semi").join(comp, F.col("sig") == F.col("node"), "left").select("h", "sig", "n", F.coalesce("component", "sig").alias("comp")), "placed")
-    per = where.groupBy("h", "comp").agg(F.count("*").alias("c")).groupBy("h").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count("*").alias("comps")).where("comps > 1")
-    left = where.join(per.select("h", "main"), "h")
-    other = left.where("comp <> main").select("h", F.col("sig").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac"))
-    rest = other.join(left.select("h", F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc")), "h").where("ac <> bc").where(_reach(F.col("an"), F.col("bn"), pct))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    where = index.join(centers.select("h", "len"), "h").join(comp, F.col("sig") == F.col("node"), "left").select("h", "len", "sig", "n", F.coalesce("component", "sig").alias("comp"))
+    where = materialize(where, "placed")
+    open_lists = where.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h")
+    where = materialize(where.join(open_lists, "h", "left_semi"), "open-lists")
+    short = where.where(F.col("len") <= SHORT)
+    rest = short.select("h", F.col("sig").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac")).join(short.select("h", F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc")), "h")
+    rest = rest.where("a < b and ac <> bc").where(_reach(F.col("an"), F.col("bn"), pct)).select("a", "b").distinct()
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    more = materialize(_verified(rest, sets, pct).unionByName(links), "all-links")
+    more = _verified(rest, sets, pct).unionByName(_between_blocks(where.where(F.col("len") > SHORT), sets, pct)).unionByName(links)
+    more = materialize(more, "all-links")
     comp = materialize(connected_components(more), "final-components")
     placed = classes.join(comp, F.col("sig") == F.col("node"), "left").select("sig", "id", F.coalesce("component", "sig").alias("comp"))
     lowest = placed.groupBy("comp").agg(F.min("id").alias("low"))
