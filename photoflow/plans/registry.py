@@ -24,13 +24,26 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _load() -> None:
+    from photoflow.plans import session_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Games of all photos as one source: gap 60 minutes, duration 30."""
+    from pyspark.sql import functions as F
+
+    from photoflow.operators import sessions
+    from photoflow.plans import fixtures
+
+    photos = fixtures.photos(spark, sf_dir).withColumn("source", F.lit("all"))
+    return sessions.game_summary(sessions.number_games(sessions.sessionize(photos, ["source"], 60, 30), ["source"]), ["source"])
