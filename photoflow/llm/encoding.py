@@ -1,28 +1,26 @@
-"""Token ids by the tokenizers library, memoised per white-space unit.
+"""Token ids by the tokenizers library, memoised per word.
 
-Cutting a text before a single space that stands between two other characters never cuts through a
-token of either kind of vocabulary used here, so such units can be encoded alone and their ids joined.
-Distinct units are far fewer than units, and distinct words fewer still.
+The vocabulary files state how a text is split into words before any merge is looked up, so the ids of a
+text are those of its words. Distinct words are far fewer than words. Texts with characters whose classes
+or cases libraries might see differently are cut at single spaces only, and the library splits the rest.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
-import numpy as np
-import regex
-
-#: upper bounds of the two caches of a worker, in entries; both are emptied when full
-MAX_UNITS, MAX_WORDS = 250_000, 500_000
-#: characters whose classes and cases every library sees alike; other units are encoded whole
-_PLAIN = re.compile("[\n!-~\xa1-\xff]*")
+#: upper bound of a worker's cache, in words; it is emptied when full
+MAX_WORDS = 900_000
+_PLAIN = re.compile("[\n -~\xa1-\xff]*")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
-#: the splitting rules that the vocabulary files state
-_BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-_WORD_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_READY: dict[str, Encoder] = {}
+_L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: the splitting rules that the vocabulary files state, for plain texts
+_BYTE_LEVEL = re.compile(rf" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+")
+_WORD_LEVEL = re.compile(rf"[{_L}]+|'(?:[stmd]|re|ve|ll)|[{_N}]|[^\s{_L}{_N}]+")
+_READY: dict[str, "Encoder"] = {}
 
 
 class Encoder:
@@ -35,60 +33,30 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
-        lowered = self.tok.normalizer is not None
-        self.cut, self.lower, self.space = (_WORD_LEVEL, True, "") if lowered else (_BYTE_LEVEL, False, " ")
-        self.units: dict[str, bytes | None] = {}
+        self.lower = self.tok.normalizer is not None
+        self.cut, self.space = (_WORD_LEVEL, "") if self.lower else (_BYTE_LEVEL, " ")
         self.words: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.dtype).tobytes() for x in found]
+        kind = "H" if self.dtype == "<u2" else "I"
+        return [array(kind, x.ids).tobytes() for x in found]
 
-    def _learn(self, units: set[str]) -> None:
-        """units: each stands after a single space."""
-        if len(self.units) + len(units) > MAX_UNITS:
-            self.units = {}
-        parts, odd = {}, []
-        for u in units:
-            if not u or u[0].isspace() or u[-1].isspace():
-                self.units[u] = None
-            elif _PLAIN.fullmatch(u):
-                parts[u] = self.cut.findall(u.lower() if self.lower else self.space + u)
-            else:
-                odd.append(u)
-        if len(self.words) > MAX_WORDS:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [self.cut.findall(t.lower() if self.lower else t) if _PLAIN.fullmatch(t) else None for t in texts]
+        all_words = set().union(*(p for p in cut if p))
+        new = [w for w in all_words if w not in self.words]
+        if len(self.words) + len(new) > MAX_WORDS:
             self.words = {}
-        new = list({w for p in parts.values() for w in p} - self.words.keys())
+            new = list(all_words)
         self.words.update(zip(new, self._whole(new), strict=True))
         get = self.words.__getitem__
-        for u, p in parts.items():
-            self.units[u] = b"".join(map(get, p))
-        self.units.update(zip(odd, self._whole([self.space + u for u in odd]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        first = self._whole([p[0] if p[0] and not p[0][-1].isspace() else "" for p in cut])
-        missing = {u for p in cut for u in p[1:]}
-        # emptied caches must hold every unit of this batch again
-        if len(self.units) + len(missing) > MAX_UNITS:
-            self.units = {}
-        self._learn(missing - self.units.keys())
-        out, slow = [], []
-        for k, p in enumerate(cut):
-            ids = list(map(self.units.__getitem__, p[1:]))
-            odd = None in ids or (len(p) > 1 and (not p[0] or p[0][-1].isspace()))
-            slow += [k] * odd
-            out.append(b"" if odd else (first[k] if p[0] and not p[0][-1].isspace() else self._whole([p[0]])[0]) + b"".join(ids))
-        for k in slow:
-            out[k] = self._unusual(texts[k])
-        return out
+        return [self._cautious(t) if p is None else b"".join(map(get, p)) for p, t in zip(cut, texts, strict=True)]
 
-    def _unusual(self, text: str) -> bytes:
-        """A text with runs of white space: cut only at single spaces between other characters."""
+    def _cautious(self, text: str) -> bytes:
+        """Cut at single spaces between other characters, which is never within a word of either kind."""
         units = _SAFE_CUT.split(text)
-        self._learn(set(units[1:-1]) - self.units.keys())
-        ends = self._whole([units[0], *([self.space + units[-1]] if len(units) > 1 else [])])
-        return ends[0] + b"".join(self.units[u] if self.units.get(u) is not None else self._whole([self.space + u])[0] for u in units[1:-1]) + b"".join(ends[1:])
+        return b"".join(self._whole([units[0], *(self.space + u for u in units[1:])]))
 
 
 def encoder(path: str) -> Encoder:
