@@ -162,7 +162,7 @@ def _packed(table: pa.Table) -> pa.Table:
 
 
 def _links_of_blocks(a: tuple, b: tuple, pct: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked classes of two blocks that lie in different components, one link for every two components."""
+    """Links between components of two blocks, as few as connect all that is linked."""
     (sa, ca, na, ha), (sb, cb, nb, hb) = a, b
     both = np.intersect1d(ha, hb)
     da, db = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
@@ -180,8 +180,18 @@ def _links_of_blocks(a: tuple, b: tuple, pct: int) -> tuple[np.ndarray, np.ndarr
     shared = shared.astype(np.int64)
     good = (100 * shared >= pct * (na[:, None] + nb[None] - shared)) & (ca[:, None] != cb[None])
     x, y = np.nonzero(good)
-    _, first = np.unique(np.stack([ca[x], cb[y]]), axis=1, return_index=True)
-    return sa[x[first]], sb[y[first]]
+    names, at = np.unique(np.concatenate([ca, cb]), return_inverse=True)
+    one, two = at[: len(ca)][x].tolist(), at[len(ca) :][y].tolist()
+    parent, keep = list(range(len(names))), []
+    for k, (i, j) in enumerate(zip(one, two, strict=True)):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        while parent[j] != j:
+            parent[j] = j = parent[parent[j]]
+        if i != j:
+            parent[i] = j
+            keep.append(k)
+    return sa[x[keep]], sb[y[keep]]
 
 
 def _between_blocks(lists: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
