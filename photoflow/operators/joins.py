@@ -118,22 +118,21 @@ def merge_operations(existing: DataFrame, updates: DataFrame, keys: list[str]) -
 def run_detector(images: DataFrame, fn, schema: str, key: str = "image", **config) -> DataFrame:
     """Run a caller's detector batch by batch: fn(batch, config) -> frame with the schema's columns, one row per image.
 
-    A batch that fails is tried row by row; a row that fails is a row with success false and its error.
+    A batch that fails is halved until the failing rows are alone; a row that fails is a row with success false and its error.
     """
 
+    def attempt(b: pd.DataFrame) -> list[pd.DataFrame]:
+        try:
+            return [fn(b, config).assign(success=True, error=None)]
+        except Exception as e:  # noqa: BLE001
+            if len(b) == 1:
+                return [pd.DataFrame({key: b[key].to_numpy(), "success": False, "error": str(e)})]
+            return attempt(b.iloc[: len(b) // 2]) + attempt(b.iloc[len(b) // 2 :])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            try:
-                yield fn(b, config).assign(success=True, error=None)
-            except Exception:  # noqa: BLE001
-                rows = []
-                for i in range(len(b)):
-                    one = b.iloc[i : i + 1]
-                    try:
-                        rows.append(fn(one, config).assign(success=True, error=None))
-                    except Exception as e:  # noqa: BLE001
-                        rows.append(pd.DataFrame({key: one[key].to_numpy(), "success": False, "error": str(e)}))
-                yield pd.concat(rows, ignore_index=True).reindex(columns=columns)
+            if len(b):
+                yield pd.concat([x.reindex(columns=columns) for x in attempt(b)], ignore_index=True)
 
     full = f"{schema}, success boolean, error string"
     columns = [c.strip().split()[0] for c in full.split(",")]

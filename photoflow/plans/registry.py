@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from photoflow.plans import expression_queries, session_queries, stats_queries, table_queries  # noqa: F401
+    from photoflow.plans import cluster_queries, expression_queries, session_queries, stats_queries, stream_queries, table_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -125,9 +125,9 @@ def f18(spark, sf_dir) -> DataFrame:
     return _round(T.channel_statistics(X.colors(spark, sf_dir), ["r", "g", "b"]), "mean", "variance")
 
 
-@query("f20_file_stats", "SELECT coalesce(o_orderpriority, 'all') AS ext, count(*) AS files, CAST(sum(CAST(o_totalprice AS BIGINT)) AS BIGINT) AS bytes FROM orders GROUP BY ROLLUP (o_orderpriority)")
+@query("f20_file_stats", "SELECT coalesce(o_orderpriority, 'all') AS ext, count(*) AS files, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS bytes FROM orders GROUP BY ROLLUP (o_orderpriority)")
 def f20(spark, sf_dir) -> DataFrame:
-    return T.file_stats(X.table(spark, sf_dir, "orders").selectExpr("o_orderpriority as ext", "cast(round(o_totalprice) as bigint) as bytes"))
+    return T.file_stats(X.table(spark, sf_dir, "orders").selectExpr("o_orderpriority as ext", "cast(floor(o_totalprice) as bigint) as bytes"))
 
 
 @query("f21_extraction_report", "SELECT count(*) AS images, count(*) FILTER (n > 0) AS ok, count(*) FILTER (n = 0) AS failed, CAST(sum(n) AS BIGINT) AS objects, round(avg(n), 6) AS per_image FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)")
