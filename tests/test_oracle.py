@@ -21,10 +21,12 @@ def db():
 
 
 def value(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     if hasattr(v, "item"):
         v = v.item()
+    if isinstance(v, float) and abs(v) >= 1e9 and v == int(v):
+        return int(v)
     if isinstance(v, float):
         return float(f"{v:.9g}") if abs(v) < 1e9 else v
     return v
