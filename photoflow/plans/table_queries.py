@@ -228,3 +228,55 @@ def f11(spark, sf_dir) -> DataFrame:
 
     q = _quality(spark, sf_dir).withColumn("grade", grade(F.col("score")))
     return q.groupBy("grade").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("avg_score"), F.round(F.avg(F.col("success").cast("int")), 6).alias("success_ratio"), F.count_if(F.col("score") < 0.5).alias("low"))
+
+
+# ---- faces and objects inside documents
+
+def _payloads(spark, sf_dir) -> DataFrame:
+    """One operation per image: its detections as a JSON list, some without a number or an encoding."""
+    d = X.detections(spark, sf_dir)
+    item = F.struct(
+        F.col("ord").alias("pos"), F.when(F.col("ord") % 2 == 0, F.col("ord")).alias("face_id"), "confidence", F.col("class"), F.when(F.col("ord") % 3 > 0, F.array("x", "y")).alias("encoding"),
+    )
+    listed = d.groupBy("image").agg(F.array_sort(F.collect_list(item)).alias("i"))
+    return listed.select("image", F.to_json(F.struct(F.lit(True).alias("success"), F.col("i").alias("faces"), F.col("i").alias("objects"))).alias("payload"))
+
+
+@query("a5_explode_faces", f"WITH {X.DETECTIONS} SELECT image, CAST(ord - 1 AS INTEGER) AS pos, image || ':' || CASE WHEN ord % 2 = 0 THEN ord ELSE ord - 1 END AS face_key, round(confidence, 6) AS confidence, x + y AS total FROM detections WHERE ord % 3 > 0")
+def a5(spark, sf_dir) -> DataFrame:
+    f = S.explode_faces(_payloads(spark, sf_dir))
+    return f.select("image", "pos", "face_key", F.round("confidence", 6).alias("confidence"), (F.col("encoding")[0] + F.col("encoding")[1]).alias("total"))
+
+
+@query("a6_explode_objects", f"WITH {X.DETECTIONS} SELECT image, CAST(ord - 1 AS INTEGER) AS pos, class, round(confidence, 6) AS confidence FROM detections")
+def a6(spark, sf_dir) -> DataFrame:
+    return S.explode_objects(_payloads(spark, sf_dir)).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("a7_read_legacy_faces", f"WITH {X.DETECTIONS} SELECT image, CAST(ord - 1 AS INTEGER) AS pos, CASE WHEN image % 2 = 0 THEN 'detector' ELSE 'extractor' END AS origin, CASE WHEN image % 2 = 0 THEN -1 ELSE CAST(greatest(0, trunc(x - w * 0.25)) AS BIGINT) END AS crop_x FROM detections WHERE image % 2 = 1 OR ord % 3 > 0")
+def a7(spark, sf_dir) -> DataFrame:
+    """Faces with encodings of the one older form, else those of the other with a crop computed from the box."""
+    one = S.explode_faces(_payloads(spark, sf_dir).where("image % 2 = 0")).select("image", "pos", F.lit("detector").alias("origin"), F.lit(-1).cast("long").alias("crop_x"))
+    d = X.detections(spark, sf_dir).where("image % 2 = 1")
+    other = d.select("image", (F.col("ord") - 1).cast("int").alias("pos"), F.lit("extractor").alias("origin"), F.greatest(F.lit(0), (F.col("x") - F.col("w") * 0.25).cast("long")).alias("crop_x"))
+    return one.unionByName(other)
+
+
+@query("c8_missing_encodings", f"WITH {X.DETECTIONS} SELECT image, count(*) AS missing FROM detections WHERE ord % 3 = 0 GROUP BY image")
+def c8(spark, sf_dir) -> DataFrame:
+    items = S.explode_detections(_payloads(spark, sf_dir), "faces")
+    return items.where(F.get_json_object("item", "$.encoding").isNull()).groupBy("image").agg(F.count("*").alias("missing"))
+
+
+@query("j4_validate_results", f"WITH {X.OPERATIONS} SELECT image, CASE WHEN success AND user_id % 7 = 0 THEN 'success without data' WHEN processing_time < 0.01 THEN 'no time' ELSE 'ok' END AS verdict FROM operations")
+def j4(spark, sf_dir) -> DataFrame:
+    o = X.operations(spark, sf_dir).withColumn("data", F.when(F.col("user_id") % 7 > 0, F.col("payload")))
+    return o.select("image", F.when(F.col("success") & F.col("data").isNull(), "success without data").when(F.col("processing_time") < 0.01, "no time").otherwise("ok").alias("verdict"))
+
+
+@query("e6_number_sessions", "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS game_id FROM events")
+def e6(spark, sf_dir) -> DataFrame:
+    from photoflow.operators.sessions import number_games
+
+    e = X.table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").alias("start_time"), F.col("event_id").alias("end_time"))
+    return number_games(e, ["user_id"]).select("user_id", "event_id", "game_id")
