@@ -21,7 +21,9 @@ from photoflow.operators.graph import connected_components
 from photoflow.scratch import materialize
 
 #: size from which a cluster is split, centers of a split, clusters that a vector joins, vectors of a block
-CLUSTER, CENTERS, OVERLAP, BLOCK = 3000, 24, 3, 1000
+CLUSTER, CENTERS, OVERLAP, BLOCK = 3000, 64, 3, 1000
+#: cosine below which centers stay, unless all are nearer (then the group is torn, and recall may fall)
+APART = 0.8
 #: nearest neighbours considered, kept, and the factor by which a kept neighbour must be nearer to what it shades
 NEAREST, DEGREE, ALPHA = 96, 32, 1.2
 #: width of the greedy walk and margin of the range's expansion, as cosine
@@ -51,7 +53,7 @@ def _matrix(column) -> np.ndarray:
 def _split(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """Members of too large clusters, each in the clusters of its nearest centers."""
     own = members.join(sizes, "sid").withColumn("h", F.pmod(F.xxhash64("cid"), F.lit(1_000_003)))
-    parts = F.greatest(F.lit(2), F.least(F.lit(CENTERS), F.ceil(F.col("size") * 2 / CLUSTER) + 1))
+    parts = F.greatest(F.lit(2), F.least(F.lit(CENTERS), F.ceil(F.col("size") * 2 * OVERLAP / CLUSTER) + 1))
     sampled = own.where(F.col("h") < F.lit(1_000_003) * parts * 3 / F.col("size"))
     centers = sampled.groupBy("sid").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "v"))), F.lit(1), F.max(parts).cast("int")).alias("c"))
     centers = centers.select("sid", F.transform("c", lambda c: c["v"]).alias("centers"))
@@ -63,14 +65,23 @@ def _split(members: DataFrame, sizes: DataFrame) -> DataFrame:
                 sid, m = b.column("sid")[row].as_py(), b.column("m")[row].values
                 x, c = _matrix(m.field("v")), np.array(b.column("centers")[row].as_py() or [[]])
                 if c.size:
+                    apart = [0]
+                    for k in range(1, len(c)):  # two centers within a tight group would tear it
+                        if (c[k] @ c[apart].T).max() < APART:
+                            apart.append(k)
+                    c = c[apart] if len(apart) > 1 else c
                     near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP]
                 else:  # nothing was sampled: by halves
                     near = np.arange(len(x))[:, None] % 2
                 n = near.shape[1]
-                take = pa.array(np.repeat(np.arange(len(x)), n))
-                home = np.repeat(np.asarray(m.field("home").to_numpy(zero_copy_only=False), bool), n) & (np.tile(np.arange(n), len(x)) == 0)
+                own = np.asarray(m.field("home").to_numpy(zero_copy_only=False), bool)
+                place = np.tile(np.arange(n), len(x))
+                # a guest goes to one cluster less, so repeated splits do not multiply it
+                kept = np.repeat(own, n) | (place < max(1, OVERLAP - 1))
+                take = pa.array(np.repeat(np.arange(len(x)), n)[kept])
+                home = (np.repeat(own, n) & (place == 0))[kept]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{sid}/{c}" for c in near.ravel()]), *[m.field(c).take(take) for c in ("key", "cid", "mult")], pa.array(home), m.field("v").take(take)], names=["sid", "key", "cid", "mult", "home", "v"]
+                    [pa.array([f"{sid}/{c}" for c in near.ravel()[kept]]), *[m.field(c).take(take) for c in ("key", "cid", "mult")], pa.array(home), m.field("v").take(take)], names=["sid", "key", "cid", "mult", "home", "v"]
                 )
 
     return blocks.join(centers, "sid", "left").select("sid", "m", "centers").mapInArrow(run, "sid string, key long, cid long, mult long, home boolean, v array<double>")
@@ -115,9 +126,16 @@ def pruned_neighbours(x: np.ndarray) -> list[np.ndarray]:
 
 
 def _edges(table: pa.Table) -> pa.Table:
+    """Pruned lists in both directions: a vector that nobody keeps is reached through those that it keeps."""
     cid = table.column("cid").to_numpy()
     lists = pruned_neighbours(_matrix(table.column("v"))) if len(cid) > 1 else []
-    return pa.table({"cid": cid[: len(lists)], "near": pa.array([cid[x] for x in lists], pa.list_(pa.int64()))})
+    src = np.repeat(np.arange(len(lists)), [len(x) for x in lists]).astype(np.int64)
+    dst = np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
+    both = np.unique(np.concatenate([src * len(cid) + dst, dst * len(cid) + src])) if len(src) else src
+    one, other = both // max(1, len(cid)), both % max(1, len(cid))
+    cuts = np.searchsorted(one, np.arange(len(lists) + 1))
+    near = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(cid[other]))
+    return pa.table({"cid": cid[: len(lists)], "near": near})
 
 
 def _search(table: pa.Table, limit: float) -> pa.Table:
@@ -125,13 +143,21 @@ def _search(table: pa.Table, limit: float) -> pa.Table:
     table = table.sort_by("cid")
     cid, mult, home, x = table.column("cid").to_numpy(), table.column("mult").to_numpy(), table.column("home").to_numpy(), _matrix(table.column("v"))
     n = len(cid)
-    near = table.column("near").to_pylist()
-    width = max([1, *(len(a or ()) for a in near)])
-    graph = np.full((n, width), n)
-    for i, a in enumerate(near):
-        at = np.searchsorted(cid, a or [])
-        own = np.array(at)[(at < n) & (cid[np.minimum(at, n - 1)] == (a or []))] if a else []
-        graph[i, : len(own)] = own
+    lists = table.column("near").combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    lens = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    named = lists.flatten().to_numpy(zero_copy_only=False)
+    at = np.minimum(np.searchsorted(cid, named), n - 1)
+    inside = cid[at] == named  # the list also names members of other clusters
+    flat = at[inside]
+    off = np.append(0, np.cumsum(inside))[np.append(0, np.cumsum(lens))]
+
+    def around(front: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        size = off[front + 1] - off[front]
+        met = np.zeros(n, bool)
+        met[flat[np.repeat(off[front] - np.cumsum(size) + size, size) + np.arange(size.sum())]] = True
+        return np.flatnonzero(met & ~seen)
+
     medoid = int(np.argmax(x @ x.mean(0)))
     parent = np.arange(n)
 
@@ -143,14 +169,12 @@ def _search(table: pa.Table, limit: float) -> pa.Table:
 
     links = np.zeros(n, np.int64)
     for q in np.flatnonzero(home):
-        seen = np.zeros(n + 1, bool)
-        seen[n] = True
+        seen = np.zeros(n, bool)
         found, value = np.array([medoid]), x[[medoid]] @ x[q]
         seen[medoid] = True
         frontier, best = found, value
         while len(frontier):  # greedily towards q
-            new = np.unique(graph[frontier])
-            new = new[~seen[new]]
+            new = around(frontier, seen)
             seen[new] = True
             if not len(new):
                 break
@@ -163,8 +187,7 @@ def _search(table: pa.Table, limit: float) -> pa.Table:
         found, value = (found, value) if seen[q] else (np.append(found, q), np.append(value, 1.0))
         seen[q] = True
         while len(frontier):  # everything in range
-            new = np.unique(graph[frontier])
-            new = new[~seen[new]]
+            new = around(frontier, seen)
             seen[new] = True
             cos = x[new] @ x[q]
             found, value = np.append(found, new), np.append(value, cos)
