@@ -73,7 +73,8 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Returns _row (one value per input row, so repeated ids stay apart), id, kind, start and end (code
     points, end exclusive), found, score. A null text is empty and has no spans. Spans of one kind never
-    overlap (leftmost first); spans of different kinds may. A proposal that its checksum rejects is
+    overlap (leftmost first); spans of different kinds may. A span's context reaches back to the span of its
+    kind before it, at most. A proposal that its checksum rejects is
     dropped and not searched again. Other columns of docs are ignored.
     """
     t = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
