@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The first document of every group of near copies, and every other document."""
     found = jaccard.components(docs.select("doc_id", "text"))
     copies = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(copies.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: bound of the labelled sample that is fitted on the driver: texts per language, languages, characters of all
 PER_LANG, MAX_LANGS, MAX_SAMPLE_CHARS = 250, 64, 40_000_000
@@ -151,7 +152,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     sample = labelled_sample(docs, id_col, text_col, lang_col)
     model = docs.sparkSession.sparkContext.broadcast(fit(sample) if len(sample) else None)
     own = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], held_out(F.col(id_col)).alias("held_out"))
-    schema = own.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType([*own.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     carried = text_col in keep
     at = keep.index(text_col) if carried else len(keep) + 1
     if not carried:
