@@ -53,6 +53,7 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str =
     text = F.col(text_col)
     cut = F.split(text, "\n", -1)
     left = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(F.filter(cut, lambda x, i: ~F.array_contains("_drop", i)), "\n"))
-    joined = docs.join(drops, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")), "left")
+    # texts are shuffled at every size: the list of drops grows with them
+    joined = docs.join(drops.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")), "left")
     n_lines = F.coalesce(F.size(F.filter(cut, lambda x: F.trim(x) != "")), F.lit(0))
     return joined.select(*[left.alias(c) if c == text_col else F.col(c) for c in docs.columns], n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
