@@ -7,13 +7,14 @@ or cases libraries might see differently are cut at single spaces only, and the
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
 from collections.abc import Iterator
 
 #: upper bound of a worker's cache, in words; it is emptied when full
-MAX_WORDS = 900_000
+MAX_WORDS = 1_400_000
 _PLAIN = re.compile("[\n -~\xa1-\xff]*")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -43,6 +44,15 @@ class Encoder:
         return [array(kind, x.ids).tobytes() for x in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here is cyclic, and a collection would walk the whole cache
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [self.cut.findall(t.lower() if self.lower else t) if _PLAIN.fullmatch(t) else None for t in texts]
         all_words = set().union(*(p for p in cut if p))
         new = [w for w in all_words if w not in self.words]
