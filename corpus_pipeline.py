@@ -11,6 +11,8 @@ from photoflow.scratch import materialize
 
 #: a prediction below this score names no language
 MIN_SCORE = 0.3
+#: words of a shingle and hundredths of shared shingles from which two documents are near copies
+NEAR_WORDS, NEAR_PCT = 5, 80
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +28,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of every group of near copies, and every other document."""
-    found = jaccard.components(docs.select("doc_id", "text"))
-    copies = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(copies.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of every group of near copies, that of the smallest id, and every other row.
+
+    Copies share NEAR_PCT hundredths of their shingles of NEAR_WORDS words. Rows are told apart by a number
+    of their own, so repeated ids are no copies, and of repeated rows one stays.
+    """
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = jaccard.components(rows, k=NEAR_WORDS, pct=NEAR_PCT, id_col="_row").select("_row", "component_id")
+    groups = found.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
+    placed = materialize(found.join(groups, "component_id"), "rows-of-groups")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "_row")
+    named = rows.select("_row", order.alias("at")).join(placed, "_row")
+    first = named.groupBy("component_id").agg(F.min("at")["_row"].alias("_row"))
+    copies = materialize(placed.select("_row").join(first, "_row", "left_anti"), "near-copies")
+    return rows.join(copies.hint("merge"), "_row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,3 +62,27 @@ def test_stages(spark):
         fill[r.sequence_id] += r.length
     assert all(v == 4096 or v & (v - 1) == 0 for v in fill.values())
     assert packing and jaccard
+
+
+def kept_of(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns
+    return sorted(map(tuple, out.collect()), key=str)
+
+
+def test_near_duplicates_of_five_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = {d for d, _, c in components(rows, 5, 80) if d == c}
+    assert kept < {d for d, _, c in components(rows, 4, 85) if d == c}
+    got = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    assert sorted(got) == sorted(kept)
+
+
+def test_near_duplicates_by_row(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(1, one, "s"), (2, one, "s"), (2, two, "s"), (3, three, "s"), (3, three, "s"), (None, three, "s"), (None, "some other words", "s"), (4, "", "s"), (4, "", "s"), (4, None, "s")]
+    want = [(1, one, "s"), (2, two, "s"), (3, three, "s"), (None, "some other words", "s"), (4, "", "s"), (4, "", "s"), (4, None, "s")]
+    assert kept_of(spark, rows) == sorted(want, key=str)
+    assert kept_of(spark, []) == []
