@@ -22,8 +22,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that many sources share; each such line stays where it comes first."""
-    left = lines.drop_boilerplate(docs).where("n_lines > n_dropped or n_dropped = 0")
+    """Documents without the lines that many sources share; each such line stays only where it comes first, and texts left empty go."""
+    left = lines.drop_boilerplate(docs, copy_pct=None).where("n_lines > n_dropped or n_dropped = 0")
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 

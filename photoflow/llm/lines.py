@@ -34,21 +34,23 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     return spread.where(F.col("sites") > min_sites * (1 + NEAR)).select("h").unionByName(exact.where(F.col("sites") >= min_sites).select("h"))
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
+def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", copy_pct: int | None = COPY_PCT) -> DataFrame:
     """docs with boilerplate lines taken out of the text, and n_lines and n_dropped beside its columns.
 
     A boilerplate line stays where it comes first (smallest id, then place), so its content is kept once.
-    A text that consists of boilerplate for COPY_PCT hundredths or more stays whole. Blank lines are no
-    lines; a null text stays null with 0 lines; null ids come last; repeated rows are treated alike.
+    A text that consists of boilerplate for copy_pct hundredths or more stays whole; with None no text does,
+    and all later places go. Blank lines are no lines; a null text stays null with 0 lines; null ids come last; repeated rows are treated alike.
     """
     flagged = materialize(boilerplate(docs, min_sites, id_col, text_col, site_col), "boilerplate")
     seen = _lines(docs, id_col, text_col, site_col).join(flagged, "h").select("h", "id", "th", "n", "pos", "len")
     seen = materialize(seen, "boilerplate-places")
     first = seen.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "pos")).alias("first"))
-    copies = seen.groupBy("id", "th").agg(F.sum("len").alias("flagged"), F.max("n").alias("n")).where(F.col("flagged") * 100 >= F.col("n") * COPY_PCT)
     later = seen.join(first, "h").where(~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.th") == F.col("th")) & (F.col("first.pos") == F.col("pos"))))
     later = later.groupBy("id", "th").agg(F.collect_set("pos").alias("_drop"))
-    drops = later.alias("l").join(copies.alias("c"), F.col("l.id").eqNullSafe(F.col("c.id")) & (F.col("l.th") == F.col("c.th")), "left_anti")
+    drops = later
+    if copy_pct is not None:
+        copies = seen.groupBy("id", "th").agg(F.sum("len").alias("flagged"), F.max("n").alias("n")).where(F.col("flagged") * 100 >= F.col("n") * copy_pct)
+        drops = later.alias("l").join(copies.alias("c"), F.col("l.id").eqNullSafe(F.col("c.id")) & (F.col("l.th") == F.col("c.th")), "left_anti")
     drops = materialize(drops.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_drop"), "drops")
     text = F.col(text_col)
     cut = F.split(text, "\n", -1)

@@ -86,3 +86,13 @@ def test_near_duplicates_by_row(spark):
     want = [(1, one, "s"), (2, two, "s"), (3, three, "s"), (None, "some other words", "s"), (4, "", "s"), (4, "", "s"), (4, None, "s")]
     assert kept_of(spark, rows) == sorted(want, key=str)
     assert kept_of(spark, []) == []
+
+
+def test_stage_drops_every_later_place(spark):
+    shared = "a line on many sites"
+    rows = [(i, f"{shared}\n{'own' * 20} {i}", f"s{i}") for i in range(8)]
+    rows += [(20, f"{shared}\nx", "s1"), (21, shared, "s2"), (22, f"{shared}\n{shared}\n", "s3"), (23, "", "s4")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "length(text) as n_chars")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    want = {0: rows[0][1], **{i: f"{'own' * 20} {i}" for i in range(1, 8)}, 20: "x", 23: ""}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
