@@ -5,7 +5,8 @@ every cluster is small. In each cluster every vector gets its nearest neighbours
 kept point in different directions; the lists of all clusters are united. The search for a vector starts
 at the medoid of its home cluster and at the vector itself, walks greedily towards it and then expands
 everything within the range (and a margin); the cosine of what it meets is computed in double precision.
-Equal vectors are one node with a weight, so a group of copies costs one search.
+Equal vectors are one node with a weight, so a group of copies costs one search. Clusters that no centers
+split are compared whole, block against block.
 """
 
 from __future__ import annotations
@@ -18,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photoflow.operators.graph import connected_components
-from photoflow.scratch import materialize
+from photoflow.scratch import materialize, partitions
 
 #: size from which a cluster is split, centers of a split, clusters that a vector joins, vectors of a block
 CLUSTER, CENTERS, OVERLAP, BLOCK = 3000, 64, 3, 1000
-#: cosine below which centers stay, unless all are nearer (then the group is torn, and recall may fall)
-APART = 0.8
+#: cosine below which centers stay; share of a cluster's size below which a part must fall to be split again
+APART, SHRINK = 0.8, 0.8
 #: nearest neighbours considered, kept, and the factor by which a kept neighbour must be nearer to what it shades
 NEAREST, DEGREE, ALPHA = 96, 32, 1.2
 #: width of the greedy walk and margin of the range's expansion, as cosine
@@ -50,29 +51,39 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _split(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Members of too large clusters, each in the clusters of its nearest centers."""
+def _centers(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(sid, size, centers): sampled centers of every large cluster, without those near to another: they would tear a tight group."""
     own = members.join(sizes, "sid").withColumn("h", F.pmod(F.xxhash64("cid"), F.lit(1_000_003)))
     parts = F.greatest(F.lit(2), F.least(F.lit(CENTERS), F.ceil(F.col("size") * 2 * OVERLAP / CLUSTER) + 1))
     sampled = own.where(F.col("h") < F.lit(1_000_003) * parts * 3 / F.col("size"))
     centers = sampled.groupBy("sid").agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "v"))), F.lit(1), F.max(parts).cast("int")).alias("c"))
-    centers = centers.select("sid", F.transform("c", lambda c: c["v"]).alias("centers"))
+    centers = sizes.join(centers, "sid", "left").select("sid", "size", F.coalesce(F.transform("c", lambda c: c["v"]), F.array().cast("array<array<double>>")).alias("c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept = []
+            for row in b.column("c").to_pylist():
+                c, apart = np.array(row), [0] if row else []
+                for k in range(1, len(c)):
+                    if (c[k] @ c[apart].T).max() < APART:
+                        apart.append(k)
+                kept.append([row[k] for k in apart])
+            yield pa.RecordBatch.from_arrays([b.column("sid"), b.column("size"), pa.array(kept, pa.list_(pa.list_(pa.float64())))], names=["sid", "size", "centers"])
+
+    return centers.mapInArrow(run, "sid string, size long, centers array<array<double>>")
+
+
+def _split(members: DataFrame, centers: DataFrame) -> DataFrame:
+    """Members of too large clusters, each in the clusters of its nearest centers."""
+    own = members.join(centers.select("sid", "size"), "sid")
     blocks = own.withColumn("blk", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK))).groupBy("sid", "blk").agg(F.collect_list(F.struct("key", "cid", "mult", "home", "v")).alias("m"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in range(b.num_rows):
                 sid, m = b.column("sid")[row].as_py(), b.column("m")[row].values
-                x, c = _matrix(m.field("v")), np.array(b.column("centers")[row].as_py() or [[]])
-                if c.size:
-                    apart = [0]
-                    for k in range(1, len(c)):  # two centers within a tight group would tear it
-                        if (c[k] @ c[apart].T).max() < APART:
-                            apart.append(k)
-                    c = c[apart] if len(apart) > 1 else c
-                    near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP]
-                else:  # nothing was sampled: by halves
-                    near = np.arange(len(x))[:, None] % 2
+                x, c = _matrix(m.field("v")), np.array(b.column("centers")[row].as_py())
+                near = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :OVERLAP]
                 n = near.shape[1]
                 own = np.asarray(m.field("home").to_numpy(zero_copy_only=False), bool)
                 place = np.tile(np.arange(n), len(x))
@@ -84,21 +95,79 @@ def _split(members: DataFrame, sizes: DataFrame) -> DataFrame:
                     [pa.array([f"{sid}/{c}" for c in near.ravel()[kept]]), *[m.field(c).take(take) for c in ("key", "cid", "mult")], pa.array(home), m.field("v").take(take)], names=["sid", "key", "cid", "mult", "home", "v"]
                 )
 
-    return blocks.join(centers, "sid", "left").select("sid", "m", "centers").mapInArrow(run, "sid string, key long, cid long, mult long, home boolean, v array<double>")
+    return blocks.join(centers, "sid").select("sid", "m", "centers").mapInArrow(run, "sid string, key long, cid long, mult long, home boolean, v array<double>")
 
 
 def clusters(nodes: DataFrame) -> DataFrame:
-    """(sid, key, cid, mult, home, v): every node once with home, and further times in neighbouring clusters."""
-    members = nodes.select(F.concat_ws(":", "label", F.size("v").cast("string")).alias("sid"), "key", "cid", "mult", F.lit(True).alias("home"), "v")
+    """(sid, key, cid, mult, home, v, whole): every node once with home, and further times in neighbouring clusters.
+
+    whole marks the large clusters that stay: too few centers are apart, or a split left nearly all in one part.
+    """
+    members = nodes.select(F.concat_ws(":", "label", F.size("v").cast("string")).alias("sid"), "key", "cid", "mult", F.lit(True).alias("home"), "v", F.lit(False).alias("whole"))
     members = materialize(members, "clusters-0")
+    before = None
     for level in range(1, 12):
-        sizes = members.groupBy("sid").agg(F.count("*").alias("size"))
+        sizes = members.where("not whole").groupBy("sid").agg(F.count("*").alias("size"))
         large = sizes.where(F.col("size") > CLUSTER)
         if large.isEmpty():
-            break
-        small = members.join(large, "sid", "left_anti")
-        members = materialize(small.unionByName(_split(members, large).dropDuplicates(["sid", "key"])), f"clusters-{level}")
-    return members
+            return members
+        large = materialize(_centers(members, large), "centers")
+        stays = F.size("centers") <= OVERLAP
+        if before is not None:
+            of = before.select(F.col("sid").alias("of"), F.col("size").alias("was"))
+            large = large.join(of, F.regexp_replace("sid", "/[0-9]+$", "") == F.col("of"), "left")
+            stays = stays | F.coalesce(F.col("size") > F.col("was") * SHRINK, F.lit(False))
+        large = materialize(large.select("sid", "size", "centers", stays.alias("stays")), "large")
+        before = large.where("not stays").select("sid", "size", "centers")
+        rest = members.join(large.select("sid", "stays"), "sid", "left").where("stays is null or stays")
+        rest = rest.withColumn("whole", F.col("whole") | F.coalesce("stays", F.lit(False))).drop("stays")
+        parts = _split(members, before).dropDuplicates(["sid", "key"]).withColumn("whole", F.lit(False))
+        members = materialize(rest.select(*parts.columns).unionByName(parts), f"clusters-{level}")
+    last = members.groupBy("sid").agg((F.count("*") > CLUSTER).alias("large"))
+    return members.join(last, "sid").withColumn("whole", F.col("whole") | F.col("large")).drop("large")
+
+
+def _between(ci: np.ndarray, cj: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of both sides the smallest cid that is reached by the links between them."""
+    none = np.iinfo(np.int64).max
+    while True:
+        low = np.minimum(ci, np.where(good, cj[None], none).min(1))
+        other = np.minimum(cj, np.where(good, low[:, None], none).min(0))
+        if (low == ci).all() and (other == cj).all():
+            return low, other
+        ci, cj = low, other
+
+
+def _compared(members: DataFrame, limit: float) -> DataFrame:
+    """(cid, n_links, with) as from _search, of clusters compared whole: every member at home with every member."""
+    sizes = members.groupBy("sid").agg(F.count("*").alias("size"))
+    blocks = members.join(sizes, "sid").withColumn("blk", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)))
+    blocks = materialize(blocks.groupBy("sid", "home", "blk").agg(F.collect_list(F.struct("cid", "mult", "v")).alias("m")), "whole-blocks")
+    side = lambda x, *more: blocks.select("sid", *[F.col(c).alias(f"{c}_{x}") for c in ("home", "blk", *more)])
+    plan = side("i").join(side("j"), "sid").where("home_i and (not home_j or blk_i <= blk_j)")
+    pairs = plan.join(side("i", "m"), ["sid", "home_i", "blk_i"]).join(side("j", "m"), ["sid", "home_j", "blk_j"])
+    pairs = pairs.repartition(partitions(members.sparkSession), "sid", "blk_i", "home_j", "blk_j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                (ci, mi, x), (cj, mj, y) = ((m.field("cid").to_numpy(), m.field("mult").to_numpy(), _matrix(m.field("v"))) for m in (b.column(c)[row].values for c in ("m_i", "m_j")))
+                same, home = b.column("same")[row].as_py(), b.column("home_j")[row].as_py()
+                good = x @ y.T >= limit
+                if same:
+                    good &= ci[:, None] != cj[None]
+                n = (good @ mj.astype(float)).astype(np.int64) + (mi - 1 if same else 0)
+                low, other = _between(ci, cj, good)
+                yield pa.RecordBatch.from_arrays([pa.array(ci), pa.array(n), pa.array(low)], names=["cid", "n", "with"])
+                if not same:
+                    back = (good.T @ mi.astype(float)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(cj), pa.array(back, mask=np.full(len(cj), not home)), pa.array(other)], names=["cid", "n", "with"])
+
+    same = F.col("home_j") & (F.col("blk_i") == F.col("blk_j"))
+    out = pairs.select("m_i", "m_j", "home_j", same.alias("same")).mapInArrow(run, "cid long, n long, with long")
+    out = materialize(out.where("n is not null or cid <> with"), "compared")
+    counts = out.where("n is not null").groupBy("cid").agg(F.sum("n").alias("n_links")).withColumn("with", F.col("cid"))
+    return counts.unionByName(out.where("cid <> with").select("cid", F.lit(-1).cast("long").alias("n_links"), "with").distinct())
 
 
 def pruned_neighbours(x: np.ndarray) -> list[np.ndarray]:
@@ -212,10 +281,14 @@ def components(vectors: DataFrame, limit: float = 0.93, id_col: str = "vec_id",
     """
     rows, nodes = _nodes(vectors, id_col, vec_col, label_col)
     nodes = materialize(nodes, "nodes")
-    members = clusters(nodes)
+    every = clusters(nodes)
+    members = every.where("not whole").drop("whole")
     near = members.groupBy("sid").applyInArrow(_edges, "cid long, near array<long>")
     united = materialize(near.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
     found = members.join(united, "cid", "left").groupBy("sid").applyInArrow(lambda t: _search(t, limit), "cid long, n_links long, with long")
+    whole = every.where("whole").drop("whole")
+    if not whole.isEmpty():
+        found = found.unionByName(_compared(whole, limit))
     found = materialize(found, "found")
     comp = connected_components(found.where("cid <> with"), "cid", "with")
     of_node = nodes.select("key", "cid").join(found.where("n_links >= 0").select("cid", "n_links"), "cid").join(comp, F.col("cid") == F.col("node"), "left")

@@ -64,3 +64,20 @@ def test_table_and_audit(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == sorted(brute(rows))
     a = near_vectors.audit(t, got).first()
     assert a.found == a.true
+
+
+def test_a_tight_group_is_compared_whole(spark):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(64)
+    x = np.concatenate([base / np.linalg.norm(base) + rng.standard_normal((4000, 64)) * 0.03, rng.standard_normal((300, 64))])
+    x[4100:4110] = x[5]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.93).sum(1) - 1
+    t = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r.vec_id: r for r in near_vectors.components(t).collect()}
+    assert len(got) == len(x) and want.sum() > 1_000_000
+    assert all(got[i].n_links <= n for i, n in enumerate(want))
+    recall = sum(r.n_links for r in got.values()) / want.sum()
+    print(f"links {want.sum()}, recall {recall:.4f}")
+    assert recall == 1
+    assert {got[i].component_id for i in range(4000) if want[i]} == {min(i for i in range(4000) if want[i])}
