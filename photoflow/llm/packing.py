@@ -59,17 +59,17 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, special_as_text: bool = False) -> DataFrame:
     """(row, id, n, key, ids): row is unique, n counts the end id, ids are little-endian integers."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special_as_text)
         end = np.array([end_id], enc.dtype).tobytes()
         to = projection(max(enc.tok.get_vocab_size(), end_id + 1))
         row = TaskContext.get().partitionId() << 36
         for b in batches:
             doc = b.column(0)
-            for at, texts in groups(b.column(1).to_pylist()):
+            for at, texts in groups(b.column(1)):
                 ids = [x + end for x in enc.encode(texts)]
                 flat = np.frombuffer(b"".join(ids), enc.dtype)
                 n = np.array([len(x) // len(end) for x in ids])
@@ -87,14 +87,15 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
     return t.mapInArrow(encode, "row long, id long, n long, key long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 4096, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """One row per piece of a document in a sequence.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and the ids as binary
     with `with_ids`). A null or empty text is one end id. Rows with equal keys are ordered by id;
-    repeated rows are packed each. Other columns are ignored; an empty table gives no piece.
+    repeated rows are packed each. Other columns are ignored; an empty table gives no piece. The string of
+    a special token becomes its id, as in the library, unless special_as_text.
     """
-    t = materialize(tokenized(docs, tokenizer, end_id, id_col, text_col), "tokens")
+    t = materialize(tokenized(docs, tokenizer, end_id, id_col, text_col, special_as_text), "tokens")
     placed = running_total(t.select("key", "id", "row", "n"), ["key", "id", "row"], {"at": "n"}, "curve")
     total = t.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # the tail as powers of two needs no padding
@@ -106,24 +107,26 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, length: int = 4096, i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
-        for b in batches:
-            out = {k: [] for k in names}
-            for doc, at, n, ids in zip(*(b.column(c).to_pylist() for c in ("id", "at", "n", "ids")), strict=True):
-                flat = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4")
-                p, end = at, at + n
-                while p < end:
-                    if p < tail[0]:
-                        seq, first = divmod(p, length)
-                        upto = min(end, (seq + 1) * length)
-                    else:
-                        k = int(np.searchsorted(tail, p, "right")) - 1
-                        seq, first, upto = int(tail[0]) // length + k, p - int(tail[k]), min(end, int(tail[k + 1]))
-                    piece = flat[p - at : upto - at].tobytes()
-                    for name, v in zip(names, (doc, p - at, upto - p, zlib.crc32(piece), n, seq, first, piece), strict=False):
-                        out[name].append(v)
-                    p = upto
-            kinds = {"ids": pa.binary()}
-            yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=names)
+        for whole in batches:
+            for at_row in range(0, whole.num_rows, 1000):
+                b = whole.slice(at_row, 1000)
+                out = {k: [] for k in names}
+                for doc, at, n, ids in zip(*(b.column(c).to_pylist() for c in ("id", "at", "n", "ids")), strict=True):
+                    flat = np.frombuffer(ids, f"<u{len(ids) // n}").astype("<u4")
+                    p, end = at, at + n
+                    while p < end:
+                        if p < tail[0]:
+                            seq, first = divmod(p, length)
+                            upto = min(end, (seq + 1) * length)
+                        else:
+                            k = int(np.searchsorted(tail, p, "right")) - 1
+                            seq, first, upto = int(tail[0]) // length + k, p - int(tail[k]), min(end, int(tail[k + 1]))
+                        piece = flat[p - at : upto - at].tobytes()
+                        for name, v in zip(names, (doc, p - at, upto - p, zlib.crc32(piece), n, seq, first, piece), strict=False):
+                            out[name].append(v)
+                        p = upto
+                kinds = {"ids": pa.binary()}
+                yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=names)
 
     joined = t.select("row", "id", "n", "ids").join(placed.select("row", "at"), "row").select("id", "at", "n", "ids")
     made = joined.mapInArrow(cut, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids)

@@ -30,12 +30,13 @@ def _fs(uri: str):
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", special_as_text: bool = False) -> DataFrame:
     """Encode every whole text into shard files under `out`; returns the shard table (shard, base, n_ids, n_docs).
 
     A null text is empty and holds only the end id. Null ids come first; equal ids are ordered by text.
     A shard is written under a name of its own and then renamed, so a repeated or second attempt of a
-    task leaves one whole file. An empty table writes no shard. Other columns are ignored.
+    task leaves one whole file. An empty table writes no shard. Other columns are ignored. The string of a
+    special token becomes its id, as in the library, unless special_as_text.
     """
     spark = docs.sparkSession
     n = partitions(spark)
@@ -43,7 +44,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, id_col:
     ranged = ranged.repartitionByRange(n, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, special_as_text)
         end = np.array([end_id], enc.dtype).tobytes()
         width = len(end)
         fs, top = _fs(out)
@@ -54,7 +55,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, id_col:
         data = None
         for b in batches:
             ids.append(b.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False))
-            for _, texts in groups(b.column(1).to_pylist()):
+            for _, texts in groups(b.column(1)):
                 data = data or fs.open_output_stream(f"{own}.bin")
                 for x in enc.encode(texts):
                     data.write(x + end)

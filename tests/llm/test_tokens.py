@@ -5,15 +5,16 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from photoflow.llm import packing, token_files
+from photoflow.llm import encoding, packing, token_files
 from photoflow.llm.encoding import Encoder
 
 ODD = ["", "  two  spaces ", "tab\tand\n\nlines \n x", "it's 'quoted' they'll don''t", "ÀÉ naïve İstanbul ΣΑΣ é", "12345 3.14 <|endoftext|>", " nbsp em", "a" * 5000, " lead", "trail ", "日本 語 text", "x\r\ny", " ", "\n", "it'S 'RE 'sing", "\x1c sep \x1f"]
 
 
-def plain(name, texts):
+def plain(name, texts, as_text=False):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
+    if as_text:
+        t.encode_special_tokens = True
     return [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -25,6 +26,20 @@ def test_encoder_equals_library(spark, name):
         assert a == b, t[:80]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_strings_of_special_tokens(name, monkeypatch):
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "x<|startoftext|>y <|ENDOFTEXT|>", "日本 <|endoftext|>  é", "plain words", "plain words again"]
+    for as_text in (False, True):
+        got = [np.frombuffer(x, "<u2").tolist() for x in Encoder(public_tokenizers.path(name), as_text).encode(texts)]
+        assert got == plain(name, texts, as_text)
+    monkeypatch.setattr(encoding, "MAX_WORDS", 4)
+    monkeypatch.setattr(encoding, "MAX_LETTERS", 3)
+    small = Encoder(public_tokenizers.path(name))
+    for t in [*texts, *texts, "one two three four five six seven plain"]:
+        assert np.frombuffer(small.encode([t])[0], "<u2").tolist() == plain(name, [t])[0]
+    assert len(small.words) <= 8
+
+
 def rows(spark):
     data = [(k, t, "x") for k, t in enumerate(ODD)] + [(None, "no id", "x"), (99, None, "y"), (3, "repeated id", "z"), (3, "repeated id", "z"), (200, "word " * 9000, "w")]
     return spark.createDataFrame(data, "doc_id long, text string, start string")
