@@ -1,17 +1,20 @@
 """Exact join of documents by the Jaccard similarity of their word shingles, as a T-occurrence search.
 
-Two sets that reach the similarity share so many shingles that they also share some among those with
-the smallest hashes (a fifth or so of each set, the sample) and, of the sample, some among its rarest.
-Only the inverted lists of these rare shingles are merged (Spark's sort-merge by shingle brings them
-together and counts how often a document occurs); the long lists, that is all other shingles, are
-probed by binary search for the documents that the merge retains, as DivideSkip does. Texts with equal
-sets are one class throughout, and links are searched between components, not within them, so a group
-of copies costs its size and not its square.
+Two sets that reach the similarity share so many shingles that they also share T of those with the
+smallest hashes (a fifth or so of each set, the sample). DivideSkip leaves out the L longest inverted lists
+of a sample, L growing with T and shrinking with the length of the longest, and merges the short ones: a
+document that occurs in T - L of them is a candidate, whose sorted set is then probed by binary search for
+everything that the merge left out. Between machines the merge is Spark's sort-merge by shingle with a count
+of each pair's occurrences. Lists that many classes share are not turned into pairs: their members are dealt
+into blocks, and every set of one block is searched in the inverted lists of the other in the same manner.
+Texts with equal sets are one class throughout, and links are searched between components, not within them,
+so a group of copies costs its size and not its square.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,8 @@ FREQUENT = 1 << 40
 SHORT = 32
 #: shingles (and 500 for each class) of a block
 BLOCK = 200_000
-#: shingles that are counted at once between two blocks
-COLUMNS = 8192
+#: how much costlier a probe of a long list is than a step of the merge; decides how many lists are long
+MU = 0.0085
 #: ids up to which the list of candidates is broadcast (8 bytes each); beyond, the join shuffles
 BROADCAST_IDS = 500_000
 
@@ -49,27 +52,39 @@ def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, list[np.ndarray]]]:
         yield at, list(shingles(*words(data, off, SPACED), k))
 
 
-def _signature(s: np.ndarray) -> int:
+def _signature(s: np.ndarray, seed: int) -> int:
     """Name of a set, never 0; equal sets have equal names."""
     with np.errstate(over="ignore"):
-        h = mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))]))[0] | np.uint64(1)
+        own = mix(s + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        h = mix(np.array([own.sum(dtype=np.uint64) + np.uint64(len(s))]))[0] | np.uint64(1)
     return int(h.astype(np.int64)) if len(s) else 0
 
 
-def _named(docs: DataFrame, k: int) -> DataFrame:
-    """(id, n, sig) of every row; sig is null for an empty set."""
+def _named(docs: DataFrame, k: int, seed: int) -> DataFrame:
+    """(id, n, sig, twin) of every row, twin being a second name; both are null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, sets in _sets(b.column(1), k):
                 n = np.array([len(s) for s in sets])
-                sig = np.array([_signature(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array(n, pa.int64()), pa.array(sig, mask=n == 0)], names=["id", "n", "sig"])
+                names = [pa.array(np.array([_signature(s, x) for s in sets], np.int64), mask=n == 0) for x in (seed, -1 - seed)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(sets)), pa.array(n, pa.int64()), *names], names=["id", "n", "sig", "twin"])
 
-    return docs.mapInArrow(run, "id long, n long, sig long")
+    return docs.mapInArrow(run, "id long, n long, sig long, twin long")
 
 
-def _postings(docs: DataFrame, k: int, pct: int, buckets: int) -> DataFrame:
+def _classes(docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
+    """(rows with their names, classes, seed): different sets have different names, or another seed is taken."""
+    for seed in count():
+        named = materialize(_named(docs, k, seed), "classes-of-rows")
+        held = named.where("sig is not null").groupBy("sig").agg(F.min("n").alias("n"), F.min("id").alias("id"), F.min("twin").alias("low"), F.max("twin").alias("high"))
+        held = materialize(held, "classes")
+        if held.where("low <> high").isEmpty():
+            return named.drop("twin"), held.select("sig", "n", "id"), seed
+    raise AssertionError
+
+
+def _postings(docs: DataFrame, k: int, pct: int, buckets: int, seed: int) -> DataFrame:
     """Samples of all sets as (bucket, h, sig), packed; the lists of one bucket meet in one group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +93,7 @@ def _postings(docs: DataFrame, k: int, pct: int, buckets: int) -> DataFrame:
             for at, sets in _sets(b.column(0), k):
                 sigs, samples = [], []
                 for s in sets:
-                    sig = _signature(s)
+                    sig = _signature(s, seed)
                     if len(s) and sig not in seen:  # a copy in the same task adds nothing
                         seen.add(sig)
                         sigs.append(sig)
@@ -161,45 +176,68 @@ def _packed(table: pa.Table) -> pa.Table:
     return pa.table({"center": table.column("center")[:1], "blk": table.column("blk")[:1], **{c: pa.array(v, pa.binary()) for c, v in cols.items()}, "sets": pa.array([b"".join(own)], pa.binary())})
 
 
+def _long_lists(t, longest):
+    """DivideSkip's number of lists that are probed and not merged, for an overlap t; less than t."""
+    return np.minimum(np.floor(t / (MU * np.log2(np.maximum(longest, 2)) + 1)), t - 1).astype(np.int64)
+
+
 def _links_of_blocks(a: tuple, b: tuple, pct: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links between components of two blocks, as few as connect all that is linked."""
+    """Links between components of two blocks, as few as connect all that is linked.
+
+    Every set of the first block is a query to the inverted lists of the second: its short lists are merged,
+    what occurs often enough is probed in the long ones, and the total decides.
+    """
     (sa, ca, na, ha), (sb, cb, nb, hb) = a, b
-    both = np.intersect1d(ha, hb)
-    da, db = np.repeat(np.arange(len(na)), na), np.repeat(np.arange(len(nb)), nb)
-    ia, ib = np.searchsorted(both, ha), np.searchsorted(both, hb)
-    oka, okb = np.append(both, 0)[ia] == ha, np.append(both, 0)[ib] == hb
-    oka &= ia < len(both)
-    okb &= ib < len(both)
-    shared = np.zeros((len(na), len(nb)), np.float32)
-    for s in range(0, len(both), COLUMNS):
-        ma, mb = np.zeros((len(na), COLUMNS), np.float32), np.zeros((len(nb), COLUMNS), np.float32)
-        for m, d, i, ok in ((ma, da, ia, oka), (mb, db, ib, okb)):
-            ok = ok & (i >= s) & (i < s + COLUMNS)
-            m[d[ok], i[ok] - s] = 1
-        shared += ma @ mb.T
-    shared = shared.astype(np.int64)
-    good = (100 * shared >= pct * (na[:, None] + nb[None] - shared)) & (ca[:, None] != cb[None])
-    x, y = np.nonzero(good)
-    names, at = np.unique(np.concatenate([ca, cb]), return_inverse=True)
-    one, two = at[: len(ca)][x].tolist(), at[len(ca) :][y].tolist()
-    parent, keep = list(range(len(names))), []
-    for k, (i, j) in enumerate(zip(one, two, strict=True)):
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        while parent[j] != j:
-            parent[j] = j = parent[parent[j]]
-        if i != j:
-            parent[i] = j
-            keep.append(k)
-    return sa[x[keep]], sb[y[keep]]
+    names, local = np.unique(np.concatenate([ca, cb]), return_inverse=True)
+    la, lb = local[: len(ca)], local[len(ca) :]
+    root = np.arange(len(names))
+    doc = np.repeat(np.arange(len(nb)), nb)
+    order = np.argsort(hb, kind="stable")
+    shingle, start = np.unique(hb[order], return_index=True)
+    length = np.diff(np.append(start, len(hb)))
+    posting = doc[order]
+    place = np.repeat(np.arange(len(shingle)), length) * len(nb) + posting  # ascending
+    off = np.append(0, np.cumsum(na))
+    x, y = [], []
+    for q in range(len(na)):
+        t = -(-pct * int(na[q]) // 100)
+        open_ = (root[lb] != root[la[q]]) & (100 * nb >= pct * na[q]) & (100 * na[q] >= pct * nb)
+        if not open_.any():
+            continue
+        h = ha[off[q] : off[q + 1]]
+        at = np.searchsorted(shingle, h)
+        at = at[shingle[np.minimum(at, len(shingle) - 1)] == h]
+        if len(at) < t:
+            continue
+        at = at[np.argsort(length[at], kind="stable")]
+        skip = int(_long_lists(t, length[at[-1]]))
+        short, long = at[: len(at) - skip], at[len(at) - skip :]
+        size = length[short]
+        merged = posting[np.repeat(start[short] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        hits = np.bincount(merged, minlength=len(nb))
+        live = np.flatnonzero(open_ & (hits >= t - skip))
+        if not len(live):
+            continue
+        total = hits[live]
+        if skip:
+            probe = long[:, None] * len(nb) + live[None]
+            where = np.minimum(np.searchsorted(place, probe), len(place) - 1)
+            total = total + (place[where] == probe).sum(0)
+        for d in live[100 * total >= pct * (na[q] + nb[live] - total)].tolist():
+            one, other = root[la[q]], root[lb[d]]
+            if one != other:
+                root[root == one] = other
+                x.append(q)
+                y.append(d)
+    return sa[np.array(x, int)], sb[np.array(y, int)]
 
 
 def _between_blocks(lists: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """Links across components within long lists (h, sig, n, comp), found block by block.
 
     Long lists of a group of near copies hold nearly the same classes, so lists are gathered under the
-    class that occurs in most of them; its followers are dealt into blocks, and two blocks are compared
-    as matrices. Blocks of one component, or too unlike in size, are not compared.
+    class that occurs in most of them; its followers are dealt into blocks, and one block is searched
+    in the lists of another. Blocks of one component, or too unlike in size, are not compared.
     """
     degree = lists.groupBy("sig").agg(F.count("*").alias("deg"))
     center = lists.join(degree, "sig").groupBy("h").agg(F.max(F.struct("deg", "sig"))["sig"].alias("center"))
@@ -224,14 +262,14 @@ def _between_blocks(lists: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     return spread.select(*cols).mapInArrow(run, "a long, b long")
 
 
-def _fetch_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+def _fetch_sets(docs: DataFrame, wanted: DataFrame, k: int, seed: int) -> DataFrame:
     """(sig, set) of the wanted classes, computed again from one text of each; wanted is (id, sig)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             want = b.column(1).to_pylist()
             for at, sets in _sets(b.column(0), k):
-                own = [(_signature(s), s.tobytes()) for s in sets]
+                own = [(_signature(s, seed), s.tobytes()) for s in sets]
                 own = [x for x, w in zip(own, want[at : at + len(own)], strict=True) if x[0] == w]
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.binary())], names=["sig", "set"])
 
@@ -242,6 +280,9 @@ def _fetch_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 def components(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id), one row per input row; exact for every similarity of pct/100 or more.
 
+    Shingles are compared by 64-bit hashes: two sets of s and t shingles are misjudged with a chance of
+    about s * t / 2^64. Names of sets are checked by a second name, and chosen anew should two sets share one.
+
     Words are lower-cased in A-Z and split at ASCII white space. component_id is the smallest id
     reachable by links; texts without words (and null texts) are linked with nothing and are their own
     component. Null ids never become a component's id unless all of it are null. Repeated rows are
@@ -249,18 +290,24 @@ def components(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "doc_id
     """
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    named = materialize(_named(d, k), "classes-of-rows")
-    classes = materialize(named.where("sig is not null").groupBy("sig", "n").agg(F.min("id").alias("id")), "classes")
+    named, classes, seed = _classes(d, k)
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * ((100 - pct) / 100 + SLACK)
     buckets = max(8 * partitions(spark), int(total // BUCKET))
-    packed = _postings(d.select("text"), k, pct, buckets)
+    packed = _postings(d.select("text"), k, pct, buckets, seed)
     shared = packed.groupBy("bucket").applyInArrow(_shared, "h long, sig long, df long").dropDuplicates(["h", "sig"])
-    # a partner of x has at least pct/100 * n shingles, and shares SLACK of these with x's sample
+    # a partner of x has at least pct/100 * n shingles, and shares SLACK of these with x's sample: T
     need = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * F.lit(pct) / 100) * SLACK))
-    lists = shared.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("e")).join(classes.select("sig", "n"), "sig").where(F.size("e") >= need)
-    index = lists.select("sig", "n", F.explode(F.slice("e", F.lit(1), (F.size("e") - need + 1).cast("int"))).alias("x")).select("sig", "n", F.col("x.h").alias("h"))
+    lists = shared.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("e")).join(classes.select("sig", "n"), "sig")
+    lists = lists.withColumn("need", need).where(F.size("e") >= F.col("need"))
+    longest = F.log2(F.element_at("e", -1)["df"].cast("double"))
+    # the L longest lists are not merged; partners occur together in T - L of the others
+    left = F.least(F.floor(F.col("need") / (F.lit(MU) * longest + 1)), F.col("need") - 1)
+    lists = lists.withColumn("occurs", F.col("need") - left)
+    merged = F.slice("e", F.lit(1), (F.size("e") - F.col("need") + F.col("occurs")).cast("int"))
+    index = lists.select("sig", "n", "occurs", F.explode(merged).alias("x")).select("sig", "n", "occurs", F.col("x.h").alias("h"))
     index = materialize(index, "index")
     centers = index.groupBy("h").agg(F.min(F.struct("n", "sig")).alias("c"), F.count("*").alias("len")).where("len > 1").select("h", "len", F.col("c.sig").alias("c"), F.col("c.n").alias("cn"))
+    centers = materialize(centers, "centers")  # so that a list with many members can be dealt over tasks
     # first each document against the first of its lists ...
     stars = index.join(centers, "h").where(F.col("sig") != F.col("c")).where(_reach(F.col("n"), F.col("cn"), pct))
     stars = stars.groupBy(F.col("sig").alias("a"), F.col("c").alias("b")).agg(F.count("*").alias("hits"))
@@ -268,23 +315,28 @@ def components(docs: DataFrame, k: int = 4, pct: int = 85, id_col: str = "doc_id
     most = Window.partitionBy("a").orderBy(F.desc("hits"), "b")
     stars = materialize(stars.withColumn("place", F.row_number().over(most)).where("place <= 2").select("a", "b"), "stars")
     members = index.join(centers.select("h"), "h", "left_semi").select("sig").distinct()
-    sets = materialize(_fetch_sets(d, classes.join(members, "sig", "left_semi").select("id", "sig"), k), "sets")
+    sets = materialize(_fetch_sets(d, classes.join(members, "sig", "left_semi").select("id", "sig"), k, seed), "sets")
     links = materialize(_verified(stars.select("a", "b"), sets, pct), "links")
     # ... then everything in lists that still hold several components, across components
     comp = materialize(connected_components(links), "components")
-    where = index.join(centers.select("h", "len"), "h").join(comp, F.col("sig") == F.col("node"), "left").select("h", "len", "sig", "n", F.coalesce("component", "sig").alias("comp"))
-    where = materialize(where, "placed")
-    open_lists = where.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h")
-    where = materialize(where.join(open_lists, "h", "left_semi"), "open-lists")
+    placed = index.join(comp, F.col("sig") == F.col("node"), "left").select("h", "sig", "n", "occurs", F.coalesce("component", "sig").alias("comp"))
+    placed = materialize(placed, "placed")
+    open_lists = placed.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("len")).where("low <> high").select("h", "len")
+    where = placed.join(materialize(open_lists, "open"), "h")
+    # what is long here is not merged either: of the occurrences, as many may be missing
+    long = where.where(F.col("len") > SHORT).groupBy("sig").agg(F.count("*").alias("long"))
+    where = materialize(where.join(long, "sig", "left").withColumn("occurs", F.col("occurs") - F.coalesce("long", F.lit(0))).drop("long"), "open-lists")
     short = where.where(F.col("len") <= SHORT)
-    rest = short.select("h", F.col("sig").alias("a"), F.col("n").alias("an"), F.col("comp").alias("ac")).join(short.select("h", F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc")), "h")
-    rest = rest.where("a < b and ac <> bc").where(_reach(F.col("an"), F.col("bn"), pct)).select("a", "b").distinct()
+    side = lambda x: short.select("h", *[F.col(c).alias(f"{x}_{c}") for c in ("sig", "n", "comp", "occurs")])
+    rest = side("a").join(side("b"), "h").where("a_sig < b_sig and a_comp <> b_comp").where(_reach(F.col("a_n"), F.col("b_n"), pct))
+    rest = rest.groupBy(F.col("a_sig").alias("a"), F.col("b_sig").alias("b")).agg(F.count("*").alias("hits"), F.least(F.first("a_occurs"), F.first("b_occurs")).alias("occurs"))
+    rest = rest.where("hits >= occurs").select("a", "b")
     tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     more = _verified(rest, sets, pct).unionByName(_between_blocks(where.where(F.col("len") > SHORT), sets, pct)).unionByName(links)
     more = materialize(more, "all-links")
     comp = materialize(connected_components(more), "final-components")
     placed = classes.join(comp, F.col("sig") == F.col("node"), "left").select("sig", "id", F.coalesce("component", "sig").alias("comp"))
-    lowest = placed.groupBy("comp").agg(F.min("id").alias("low"))
+    lowest = materialize(placed.groupBy("comp").agg(F.min("id").alias("low")), "lowest-of-components")
     found = materialize(placed.join(lowest, "comp").select("sig", "low"), "lowest")
     return named.join(found, "sig", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("id")).otherwise(F.col("low")).alias("component_id"))

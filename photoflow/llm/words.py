@@ -1,4 +1,9 @@
-"""Words and shingles of many texts at once, as 64-bit hashes computed on the UTF-8 bytes of an Arrow column."""
+"""Words and shingles of many texts at once, as 64-bit hashes computed on the UTF-8 bytes of an Arrow column.
+
+A word of up to LONG bytes is hashed as a polynomial in its bytes, a longer one by xxHash, so no two
+places of a long word can be exchanged unseen. Two different words, or shingles, have equal hashes with a
+chance of about 2^-64.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +11,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _A = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(7)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POW = np.cumprod(np.full(1 << 16, 0xD1342543DE82EF95, np.uint64), dtype=np.uint64)
+#: bytes of a word up to which its hash is a polynomial
+LONG = 256
+_POW = np.cumprod(np.full(LONG, 0xD1342543DE82EF95, np.uint64), dtype=np.uint64)
 #: bytes that are hashed together; temporary arrays hold some 40 times as many
 WINDOW = 1 << 20
 
@@ -69,8 +77,13 @@ def words(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndar
         if len(starts):
             lens = np.diff(np.append(starts, len(v)))
             rel = np.arange(starts[0], len(v)) - np.repeat(starts, lens)
-            h = np.add.reduceat(v[starts[0] :] * _POW[rel & 0xFFFF], starts - starts[0])
-            hashes.append(mix(h))
+            h = mix(np.add.reduceat(v[starts[0] :] * _POW[np.minimum(rel, LONG - 1)], starts - starts[0]))
+            for k in np.flatnonzero(lens > LONG).tolist():  # a separator or none ends it
+                size = int(m[starts[k] : starts[k] + lens[k]].sum())
+                if size > LONG:
+                    word = data[at + starts[k] : at + starts[k] + size].tobytes().lower()
+                    h[k] = xxhash.xxh3_64_intdigest(word)
+            hashes.append(h)
             first.append(starts + at)
         at = end
     if not hashes:
