@@ -98,7 +98,7 @@ def test_columns():
 
 def test_pieces_of_a_long_text(monkeypatch):
     text = "Der Hund und die Katze, 12 Häuser " * 5
-    held = np.unique(np.concatenate([g for g, _ in langid.ngrams([text + "unds"])]))
+    held = np.unique(np.concatenate([g for g, _ in langid.ngrams([text, "xunds"])]))
     cols = langid.Columns(held)
     whole = langid.presence([text, ""], cols)[:1]
     monkeypatch.setattr(langid, "BATCH_CHARS", 7)
