@@ -14,14 +14,12 @@ from photoflow.scratch import materialize
 #: sites from which a line is boilerplate; share around it in which the sketch's estimate is not trusted
 MIN_SITES, NEAR = 8, 0.25
 LG_K = 10
-#: a text of which boilerplate makes up so many hundredths is a copy as a whole and left to near-duplicate search
-COPY_PCT = 80
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.coalesce(F.col(site_col), F.lit("\u0000")).alias("site"), F.col(text_col).alias("t"))
-    cut = own.select("id", "th", "site", F.length("t").alias("n"), F.posexplode(F.split("t", "\n", -1)).alias("pos", "line"))
-    return cut.select("id", "th", "site", "n", "pos", F.trim("line").alias("line")).where("line <> ''").select("id", "th", "site", "n", "pos", F.xxhash64("line").alias("h"), F.length("line").alias("len"))
+    cut = own.select("id", "th", "site", F.posexplode(F.split("t", "\n", -1)).alias("pos", "line"))
+    return cut.select("id", "th", "site", "pos", F.trim("line").alias("line")).where("line <> ''").select("id", "th", "site", "pos", F.xxhash64("line").alias("h"))
 
 
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
@@ -34,28 +32,26 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
     return spread.where(F.col("sites") > min_sites * (1 + NEAR)).select("h").unionByName(exact.where(F.col("sites") >= min_sites).select("h"))
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", copy_pct: int | None = COPY_PCT) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
     """docs with boilerplate lines taken out of the text, and n_lines and n_dropped beside its columns.
 
-    A boilerplate line stays where it comes first (smallest id, then place), so its content is kept once.
-    A text that consists of boilerplate for copy_pct hundredths or more stays whole; with None no text does,
-    and all later places go. Blank lines are no lines; a null text stays null with 0 lines; null ids come last; repeated rows are treated alike.
+    A boilerplate line stays where it comes first (smallest id, then place), so its content is kept once, and
+    goes everywhere else. Blank lines are no lines; a null text stays null with 0 lines; null ids come last;
+    repeated rows are treated alike. Columns of docs named n_lines or n_dropped are replaced.
     """
     flagged = materialize(boilerplate(docs, min_sites, id_col, text_col, site_col), "boilerplate")
-    seen = _lines(docs, id_col, text_col, site_col).join(flagged, "h").select("h", "id", "th", "n", "pos", "len")
-    seen = materialize(seen, "boilerplate-places")
-    first = seen.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "pos")).alias("first"))
+    seen = materialize(_lines(docs, id_col, text_col, site_col).join(flagged, "h").select("h", "id", "th", "pos"), "boilerplate-places")
+    # one row per boilerplate line, written so that the places of a very common one can be dealt over tasks
+    first = materialize(seen.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "pos")).alias("first")), "first-places")
     later = seen.join(first, "h").where(~(F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.th") == F.col("th")) & (F.col("first.pos") == F.col("pos"))))
-    later = later.groupBy("id", "th").agg(F.collect_set("pos").alias("_drop"))
-    drops = later
-    if copy_pct is not None:
-        copies = seen.groupBy("id", "th").agg(F.sum("len").alias("flagged"), F.max("n").alias("n")).where(F.col("flagged") * 100 >= F.col("n") * copy_pct)
-        drops = later.alias("l").join(copies.alias("c"), F.col("l.id").eqNullSafe(F.col("c.id")) & (F.col("l.th") == F.col("c.th")), "left_anti")
-    drops = materialize(drops.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_drop"), "drops")
-    text = F.col(text_col)
-    cut = F.split(text, "\n", -1)
-    left = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(F.filter(cut, lambda x, i: ~F.array_contains("_drop", i)), "\n"))
+    drops = materialize(later.groupBy("id", "th").agg(F.collect_set("pos").alias("gone")), "drops")
+    own = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col(id_col).alias("own_id"), F.xxhash64(text_col).alias("own_th"), F.split(text_col, "\n", -1).alias("cut"))
+    own = own.withColumn("n_lines", F.coalesce(F.size(F.filter("cut", lambda x: F.trim(x) != "")), F.lit(0)).cast("long"))
     # texts are shuffled at every size: the list of drops grows with them
-    joined = docs.join(drops.hint("merge"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")), "left")
-    n_lines = F.coalesce(F.size(F.filter(cut, lambda x: F.trim(x) != "")), F.lit(0))
-    return joined.select(*[left.alias(c) if c == text_col else F.col(c) for c in docs.columns], n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("n_dropped"))
+    own = own.drop("cut").join(drops.hint("merge"), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_th") == F.col("th")), "left")
+    text = F.col("doc")[text_col]
+    cut = F.split(text, "\n", -1)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col("gone")), lambda i: F.get(cut, i))
+    left = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return own.select(*[(left if c == text_col else F.col("doc")[c]).alias(c) for c in columns], "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))

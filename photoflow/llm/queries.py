@@ -40,8 +40,7 @@ WITH cut AS (
 f AS (SELECT line FROM l WHERE line <> '' GROUP BY line HAVING count(DISTINCT coalesce(source, '')) >= 8),
 o AS (SELECT l.* FROM l JOIN f USING (line)),
 k AS (SELECT line, min({'d': doc_id, 'p': pos}) AS m FROM o GROUP BY line),
-c AS (SELECT doc_id FROM o GROUP BY doc_id, text HAVING sum(length(line)) * 100 >= length(text) * 80),
-d AS (SELECT o.doc_id, o.pos FROM o JOIN k USING (line) WHERE NOT (o.doc_id = k.m.d AND o.pos = k.m.p) AND o.doc_id NOT IN (SELECT doc_id FROM c)),
+d AS (SELECT o.doc_id, o.pos FROM o JOIN k USING (line) WHERE NOT (o.doc_id = k.m.d AND o.pos = k.m.p)),
 t AS (
   SELECT l.doc_id, count(*) FILTER (line <> '') AS n_lines, count(d.pos) AS n_dropped,
          coalesce(string_agg(raw, chr(10) ORDER BY l.pos) FILTER (d.pos IS NULL), '') AS t

@@ -19,9 +19,7 @@ def dedup(rows, min_sites):
     out = {}
     for i, t, _ in rows:
         cut = (t or "").split("\n")
-        flagged = [len(x.strip(" ")) for x in cut if x.strip(" ") and len(sites[x.strip(" ")]) >= min_sites]
-        whole = sum(flagged) * 100 >= len(t or "") * lines.COPY_PCT
-        keep = [x for pos, x in enumerate(cut) if whole or not x.strip(" ") or len(sites[x.strip(" ")]) < min_sites or first[x.strip(" ")] == (i, pos)]
+        keep = [x for pos, x in enumerate(cut) if not x.strip(" ") or len(sites[x.strip(" ")]) < min_sites or first[x.strip(" ")] == (i, pos)]
         out[i] = None if t is None else "\n".join(keep)
     return out
 
@@ -34,6 +32,14 @@ def test_lines(spark):
     got = sorted(((r.doc_id, r.text) for r in lines.drop_boilerplate(odd, min_sites=3).collect()), key=str)
     assert got == sorted([(1, "a\nb" + "x" * 50), (2, "y" * 60), (3, None), (4, ""), (5, "z" * 70), (5, "z" * 70), (None, "w" * 80)], key=str)
     assert lines.drop_boilerplate(odd.limit(0)).count() == 0
+    clash = odd.selectExpr("*", "3 as n_lines", "4 as n_dropped", "5 as _drop", "6 as _id", "7 as pos", "8 as gone", "9 as th", "10 as doc", "11 as own_id", "12 as cut")
+    out = lines.drop_boilerplate(clash, min_sites=3)
+    assert sorted(out.columns) == sorted(clash.columns)
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == got
+    assert {(r["_drop"], r["gone"], r["doc"], r["th"], r["h"]) for r in out.collect()} == {(5, 8, 10, 9, 1)}
+    assert {(r.doc_id, r.n_lines, r.n_dropped) for r in out.collect()} == {(1, 2, 0), (2, 2, 1), (3, 0, 0), (4, 0, 0), (5, 2, 1), (None, 2, 1)}
+    only = spark.createDataFrame([(i, "same line", f"s{i}") for i in range(5)], "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r.text) for r in lines.drop_boilerplate(only, min_sites=3).collect()) == [(0, "same line"), (1, ""), (2, ""), (3, ""), (4, "")]
 
 
 def test_stages(spark):
