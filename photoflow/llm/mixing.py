@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photoflow.operators.graph import running_total
-from photoflow.scratch import materialize
+from photoflow.scratch import materialize, partitions
 
-PHI = 0.6180339887498949
+#: points have BITS bits; PHI is the golden ratio's fraction of them, odd, so that no point comes twice within 2^BITS slots
+BITS = 40
+PHI = int(0.6180339887498949 * (1 << BITS)) | 1
 #: slots that are ranked together; their counts per source are carried on as prefix sums
-CHUNK = 1 << 16
+CHUNK = 1 << 13
 
 
 def n_words(text: Column) -> Column:
@@ -44,6 +46,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repea
     return s.select("sid", "source", "source_size", "weight", target.alias("target"))
 
 
+def point(slot: Column) -> Column:
+    """slot * PHI modulo 2^BITS, exact for slots below 2^42: no product passes 63 bits."""
+    half = 1 << 20
+    high = PHI * half % (1 << BITS)
+    return ((slot % half) * F.lit(PHI) + F.floor(slot / half) * F.lit(high)) % (1 << BITS)
+
+
 def schedule(quota: DataFrame) -> DataFrame:
     """quota (sid, q) -> (sid, rank, slot): q slots of each source, ranked from 0, spread evenly over the whole.
 
@@ -56,11 +65,10 @@ def schedule(quota: DataFrame) -> DataFrame:
     cells = 1 << (4 * n + 1).bit_length()
     cell = lambda c: F.floor(c / F.lit(float(max(total, 1))) * cells)
     spans = q.withColumn("hi", F.col("lo") + F.col("q")).withColumn("cell", F.explode(F.sequence(cell(F.col("lo")), F.least(cell(F.col("hi")), F.lit(cells - 1)))))
-    points = spark.range(total).select(F.col("id").alias("slot"), ((F.col("id") * PHI) % 1.0 * total).alias("_at")).withColumn("cell", F.least(cell(F.col("_at")), F.lit(cells - 1)))
+    points = spark.range(total).select(F.col("id").alias("slot"), (point(F.col("id")) / (1 << BITS) * total).alias("_at")).withColumn("cell", F.least(cell(F.col("_at")), F.lit(cells - 1)))
     slots = points.join(spans, "cell").where("_at >= lo and _at < hi").select("sid", "q", "slot", F.floor(F.col("slot") / CHUNK).alias("chunk"))
     counts = slots.groupBy("sid", "chunk").agg(F.count("*").alias("c"))
-    before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("sid", "chunk", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("base"))
+    bases = running_total(counts, ["sid", "chunk"], {"base": "c"}, "slots-before", within=["sid"]).select("sid", "chunk", "base")
     ranked = slots.withColumn("_n", F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("slot"))).join(bases, ["sid", "chunk"])
     ranked = ranked.select("sid", "q", (F.col("base") + F.col("_n") - 1).alias("rank"), "slot").where("rank < q").select("sid", "rank", "slot")
     have = q.join(counts.groupBy("sid").agg(F.sum("c").alias("c")), "sid", "left").select("sid", "q", F.coalesce("c", F.lit(0)).alias("c"))
@@ -69,14 +77,22 @@ def schedule(quota: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """docs as the mix takes them: every row as often as it is taken, a part of half or more counting as the whole.
+    """docs as the mix takes them, in the order of the schedule: range by range, every row where its first slot is.
 
-    Rows of the same id and text are taken alike.
+    A row comes once for each pass over its source that takes half or more of it. Passes are whole but for
+    one, which ends within a single document, so a source's words differ from its target by half of one
+    of its documents at most. Rows of the same id and text are taken alike. Rows without words are not
+    taken; an empty table stays empty. All columns of docs are kept, whatever their names.
     """
-    out, _ = mix(docs, seed=seed, id_col=id_col, text_col=text_col, **kw)
-    times = out.where("taken > 0").withColumn("times", F.round(F.col("taken") / F.col("size")).cast("int")).groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_th")).agg(F.max("times").alias("_times"))
-    joined = docs.join(times.where("_times > 0"), F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.lit(seed), id_col, text_col) == F.col("_th")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    out, cut = mix(docs, seed=seed, id_col=id_col, text_col=text_col, **kw)
+    own = cut.groupBy("row", "pass").agg(F.min("slot").alias("slot"), F.sum(F.col("end") - F.col("first")).alias("got"))
+    own = own.join(out.select("row", F.col(id_col).alias("id"), "text_hash", "size"), "row").where(F.col("got") * 2 >= F.col("size"))
+    own = own.groupBy("row", "id", "text_hash").agg(F.collect_list("slot").alias("slots"))
+    own = own.groupBy("id", "text_hash").agg(F.max_by("slots", F.struct(F.size("slots"), "row")).alias("slots"))
+    all_docs = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col(id_col).alias("own_id"), F.xxhash64(F.lit(seed), id_col, text_col).alias("own_hash"))
+    joined = all_docs.join(own, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash"))).select(F.explode("slots").alias("slot"), "doc")
+    ordered = joined.repartitionByRange(partitions(docs.sparkSession), "slot").sortWithinPartitions("slot")
+    return ordered.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -84,7 +100,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3,
 
     documents: one row per input row with id, size, source, source_size, weight, target and taken (words
     that the mix takes, repeats counted; whole passes over a source and one part of a pass make up its
-    target, rounded down). slices: slot, row, first and last word (end exclusive) in the order of the mix.
+    target, rounded down). slices: slot, row, pass over its source, first and last word (end exclusive) in
+    the order of the mix.
     Blocks hold half a mean document. A null text has size 0 and is never taken; a null source is a
     source; an empty table gives empty results. Other columns are ignored.
     """
@@ -105,11 +122,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3,
     slots = schedule(plan.select("sid", "q")).join(plan.select("sid", "blocks", "passes", "rest"), "sid")
     number = F.col("rank") % F.col("blocks")
     upto = F.when(F.floor(F.col("rank") / F.col("blocks")) < F.col("passes"), F.lit(block)).otherwise(F.least(F.lit(block), F.col("rest") - number * block))
-    slots = slots.select("sid", "slot", number.alias("block"), upto.alias("upto"))
+    slots = slots.select("sid", "slot", F.floor(F.col("rank") / F.col("blocks")).alias("pass"), number.alias("block"), upto.alias("upto"))
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("pos") / block), F.floor((F.col("pos") + F.col("size") - 1) / block))))
     at = F.col("block") * block
     cut = pieces.join(slots, ["sid", "block"]).select(
-        "slot", "row", F.greatest(at - F.col("pos"), F.lit(0)).alias("first"), F.least(at + F.col("upto") - F.col("pos"), F.col("size")).alias("end"),
+        "slot", "row", "pass", F.greatest(at - F.col("pos"), F.lit(0)).alias("first"), F.least(at + F.col("upto") - F.col("pos"), F.col("size")).alias("end"),
     ).where("end > first")
     taken = cut.groupBy("row").agg(F.sum(F.col("end") - F.col("first")).alias("taken"))
     out = named.join(taken, "row", "left").select("row", F.col("_h").alias("text_hash"), F.col("id").alias(id_col), "size", "source", "source_size", "weight", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

@@ -1,5 +1,7 @@
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+
+from pyspark.sql import functions as F
 
 from photoflow.llm import mixing
 
@@ -56,3 +58,49 @@ def test_edges(spark):
     check(docs, got)
     assert mixing.mix(docs.limit(0))[0].count() == 0
     assert mixing.mix(docs.where("text is null"))[0].first().taken == 0
+
+
+def counted(docs):
+    """Words and the largest document of each source."""
+    words, most = defaultdict(int), defaultdict(int)
+    for r in docs.collect():
+        n = len(re.findall("[^\x20\x09-\x0d]+", r.text or ""))
+        words[r.source] += n
+        most[r.source] = max(most[r.source], n)
+    return words, most
+
+
+def test_repeated_documents_follow_the_schedule(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    before, most = counted(docs)
+    out = mixing.repeated(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    after, _ = counted(out)
+    want = levels(before)
+    for s, t in want.items():
+        assert abs(after[s] - t) <= most[s] / 2 + 1, (s, after[s], t)
+    # sources are spread: every tenth of the rows holds about a tenth of the words of each large source
+    for s in sorted(want, key=want.get)[-3:]:
+        own = [k for k, r in enumerate(rows) if r.source == s]
+        share = [sum(k * 10 // len(rows) == d for k in own) / len(own) for d in range(10)]
+        assert 0.04 < min(share) and max(share) < 0.18, (s, share)
+    assert max(Counter(r.doc_id for r in rows).values()) <= 3
+
+
+def test_repeated_edges(spark):
+    rows = [(1, "a b c", None), (2, None, "x"), (3, "", "y"), (4, "w " * 30_000, "big"), (4, "w " * 30_000, "big"), (None, "one two", "small"), (6, "q", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as _times", "2 as _copy", "3 as slot", "4 as slots", "5 as id", "6 as doc", "7 as text_hash", "8 as row", "9 as size")
+    out = mixing.repeated(docs)
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.source, r._copy, r.slot, r.doc, r.size) for r in out.collect())
+    assert set(got.values()) <= {1, 2, 3, 4, 6} and {k[2:] for k in got} == {(2, 3, 6, 9)}
+    assert {k[0] for k in got} >= {1, None, 6} and not {2, 3} & {k[0] for k in got}
+    assert got[(4, "big", 2, 3, 6, 9)] % 2 == 0
+    assert mixing.repeated(docs.limit(0)).count() == 0 and mixing.repeated(docs.where("text is null")).count() == 0
+
+
+def test_points_are_exact(spark):
+    slots = [0, 1, 2, 10**6 + 7, 10**9 + 9, 2**40 - 1, 2**41 + 12345]
+    got = spark.createDataFrame([(s,) for s in slots], "s long").select(mixing.point(F.col("s")).alias("p")).collect()
+    assert [r.p for r in got] == [s * mixing.PHI % (1 << mixing.BITS) for s in slots]
