@@ -23,7 +23,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that many sources share; each such line stays only where it comes first, and texts left empty go."""
-    left = lines.drop_boilerplate(docs, copy_pct=None).where("n_lines > n_dropped or n_dropped = 0")
+    left = lines.drop_boilerplate(docs).where("n_lines > n_dropped or n_dropped = 0")
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -45,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them, in the order of its schedule."""
     return mixing.repeated(docs)
 
 
