@@ -198,9 +198,10 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """docs' `keep` columns (the id by default), held_out, lang_pred and score for every input row.
 
     A null text and one without any letter are `und` with score 0; so is everything when no labelled text
-    exists. The label, source and id are never inputs of a prediction. A null id is not held out.
+    exists. The label, source and id are never inputs of a prediction. A null id is not held out. Kept
+    columns named held_out, lang_pred or score are replaced.
     """
-    keep = keep or [id_col]
+    keep = [c for c in keep or [id_col] if c not in ("held_out", "lang_pred", "score")]
     sample = labelled_sample(docs, id_col, text_col, lang_col)
     model = docs.sparkSession.sparkContext.broadcast(fit(sample) if len(sample) else None)
     own = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], held_out(F.col(id_col)).alias("held_out"))

@@ -1,11 +1,16 @@
 import re
+import zlib
 from collections import defaultdict
 
 import corpus_pipeline
-from photoflow.llm import jaccard, lines, packing
+import numpy as np
+import public_tokenizers
+from photoflow.llm import langid, lines
 from photoflow.scratch import materialize
+from tokenizers import Tokenizer
 
 from .test_jaccard import brute as components
+from .test_mixing import levels
 
 
 def dedup(rows, min_sites):
@@ -51,23 +56,57 @@ def test_stages(spark):
         assert docs.columns == columns, name
         after = docs.collect()
         if name == "language ID":
-            assert {r.doc_id for r in before if r.text and re.search(r"[^\W\d_]{2}", r.text)} <= {r.doc_id for r in after}
+            model = langid.fit(langid.labelled_sample(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")))
+            own = [r for r in before if r.text and re.search(r"[^\W\d_]", r.text)]
+            score = [langid.predict([r.text], model)[1][0] for r in own]
+            assert {r.doc_id for r in after} == {r.doc_id for r, x in zip(own, score, strict=True) if x >= corpus_pipeline.MIN_SCORE}
         if name == "line dedup":
             want = dedup([(r.doc_id, r.text, r.source) for r in before], lines.MIN_SITES)
             assert {r.doc_id: r.text for r in after} == {i: t for i, t in want.items() if t and t.strip()}
             assert all(r.n_chars == len(r.text) for r in after)
         if name == "n-gram Jaccard join":
-            kept = {d for d, _, c in components([(r.doc_id, r.text) for r in before]) if d == c}
+            kept = {d for d, _, c in components([(r.doc_id, r.text) for r in before], 5, 80) if d == c}
             assert {r.doc_id for r in after} == kept
         if name == "mixing sources":
             assert {r.doc_id for r in after} <= {r.doc_id for r in before}
+            size = {r.doc_id: len(re.findall("[^\x20\x09-\x0d]+", r.text)) for r in before}
+            words, most, taken = defaultdict(int), defaultdict(int), defaultdict(int)
+            for r in before:
+                words[r.source] += size[r.doc_id]
+                most[r.source] = max(most[r.source], size[r.doc_id])
+            for r in after:
+                taken[r.source] += size[r.doc_id]
+            assert all(abs(taken[x] - t) <= most[x] / 2 + 1 for x, t in levels(words).items())
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
     assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.collect()}
     fill = defaultdict(int)
     for r in pieces:
         fill[r.sequence_id] += r.length
     assert all(v == 4096 or v & (v - 1) == 0 for v in fill.values())
-    assert packing and jaccard
+
+    fixed = {r.doc_id: r.text for r in docs.collect()}
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for r in pieces:
+        ids = [*tok.encode(fixed[r.doc_id], add_special_tokens=False).ids, 2]
+        assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+
+
+def test_run_on_odd_documents(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, one more column."""
+    prose = "the house and the tree by the river were old and the people of the town knew every stone of it well"
+    rows = [(i, f"{prose} number {i} of {i * 7}", "en", f"s{i % 3}", 1) for i in range(40)]
+    rows += [(None, prose, None, None, 2), (1, None, "en", "s1", 1), (2, "", None, None, None), (3, "123 456", "en", "s1", 1), (4, "word " * 60_000, "en", "s2", 1), (5, rows[5][1], "en", "s1", 1), (5, rows[5][1], "en", "s1", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for data in (rows, rows[:1], []):
+        at = str(tmp_path / f"n{len(data)}")
+        spark.createDataFrame(data, schema).write.parquet(f"{at}/documents.parquet")
+        out = corpus_pipeline.run(spark, at).collect()
+        assert all(0 < r.length <= 4096 for r in out) and bool(out) == bool(data)
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", "1 as _row", "2 as sig", "3 as component_id", "4 as n_lines", "5 as gone", "6 as slot", "7 as score")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, ""), "odd")
+        assert docs.columns == [*schema.replace(" long", "").replace(" string", "").split(", "), "_row", "sig", "component_id", "n_lines", "gone", "slot", "score"], name
+    assert docs.where("sig = 2 and slot = 6 and score = 7 and gone = 5").count() == docs.count() > 0
 
 
 def kept_of(spark, rows):
