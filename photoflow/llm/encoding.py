@@ -18,9 +18,11 @@ import numpy as np
 import pyarrow as pa
 
 #: upper bound of a worker's cache, in words (some 170 bytes each); when full, only words met again stay
-MAX_WORDS = 400_000
+MAX_WORDS = 600_000
 #: characters of the longest word that is kept
 MAX_LETTERS = 64
+#: new words that the library is given at once
+BULK = 1000
 _PLAIN = re.compile("[\n -~\xa1-\xff]*")
 _SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 _L, _N = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -49,12 +51,32 @@ class Encoder:
         self.cut, self.space = (_WORD_LEVEL, "") if self.lower else (_BYTE_LEVEL, " ")
         self.words: dict[str, bytes] = {}
         self.again: set[str] = set()
+        tokens = [self.tok.id_to_token(i) or "" for i in range(self.tok.get_vocab_size())]
+        # where one word ends, or the next begins, in the ids of many words at once
+        self.mark = np.array([t.endswith("</w>") if self.lower else t.startswith("Ġ") for t in tokens])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         kind = "H" if self.dtype == "<u2" else "I"
         return [array(kind, x.ids).tobytes() for x in found]
 
+    def _words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(word, its ids): words of letters, which the rules split from each other, many in one call."""
+        simple = [w for w in words if (w.isalpha() if self.lower else w[0] == " " and w[1:].isalpha())]
+        chosen = set(simple)
+        other = [w for w in words if w not in chosen]
+        joined = ["".join(f" {w}" for w in part) if self.lower else "".join(part) for part in (simple[s : s + BULK] for s in range(0, len(simple), BULK))]
+        for s, raw in zip(range(0, len(simple), BULK), self._whole(joined), strict=True):
+            part, ids = simple[s : s + BULK], np.frombuffer(raw, self.dtype)
+            at = np.flatnonzero(self.mark[ids])
+            ends = at + 1 if self.lower else np.append(at[1:], len(ids))
+            if len(ends) != len(part):
+                other += part
+                continue
+            cuts = [0, *(ends * ids.itemsize).tolist()]
+            yield from zip(part, [raw[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)], strict=True)
+        yield from zip(other, self._whole(other), strict=True)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         collecting = gc.isenabled()
         gc.disable()  # nothing here is cyclic, and a collection would walk the whole cache
@@ -73,8 +95,7 @@ class Encoder:
         if len(self.words) + len(new) > MAX_WORDS:
             keep = self.again if len(self.again) + len(new) <= MAX_WORDS else known
             self.words, self.again = {w: self.words[w] for w in keep}, set()
-        ids = dict(zip(new, self._whole(new), strict=True))
-        self.words.update(ids)
+        self.words.update(self._words(new))
         get = self.words.__getitem__
         out = [self._cautious(t) if p is None else b"".join(map(get, p)) for p, t in zip(cut, texts, strict=True)]
         for w in new:
