@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from photoflow.llm.encoding import groups
+from photoflow.scratch import materialize
 
 #: bound of the labelled sample that is fitted on the driver: texts per language, and texts and characters
 #: of all languages (more languages get fewer texts each, one at least)
@@ -179,8 +180,9 @@ def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     t = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     t = t.where(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = t.groupBy("lang").agg(F.count("*").alias("of"))
+    counts = materialize(t.groupBy("lang").agg(F.count("*").alias("of")), "texts-of-languages")
     langs = max(1, counts.count())
+    counts = F.broadcast(counts) if langs <= MAX_TEXTS else counts
     each, chars = max(1, min(PER_LANG, MAX_TEXTS // langs)), max(1, MAX_SAMPLE_CHARS // langs)
     t = t.withColumn("h", F.xxhash64("id", "text")).withColumn("n", F.length("text"))
     # twice as many as needed by their hash, then exactly so many; repeated rows count once
