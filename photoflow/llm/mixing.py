@@ -91,7 +91,10 @@ def repeated(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col:
     own = own.groupBy("id", "text_hash").agg(F.max_by("slots", F.struct(F.size("slots"), "row")).alias("slots"))
     all_docs = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col(id_col).alias("own_id"), F.xxhash64(F.lit(seed), id_col, text_col).alias("own_hash"))
     joined = all_docs.join(own, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash"))).select(F.explode("slots").alias("slot"), "doc")
-    ordered = joined.repartitionByRange(partitions(docs.sparkSession), "slot").sortWithinPartitions("slot")
+    # slots fill their range evenly (but for the few at its end), so ranges of them need no sample
+    n, slots = partitions(docs.sparkSession), max(1, cut.agg(F.approx_count_distinct("slot")).first()[0])
+    part = F.least(F.floor(F.col("slot") / F.lit(slots) * n), F.lit(n - 1)).cast("int")
+    ordered = joined.repartitionById(n, part).sortWithinPartitions("slot")
     return ordered.select(*[F.col("doc")[c].alias(c) for c in docs.columns])
 
 

@@ -80,11 +80,17 @@ def test_repeated_documents_follow_the_schedule(spark):
     want = levels(before)
     for s, t in want.items():
         assert abs(after[s] - t) <= most[s] / 2 + 1, (s, after[s], t)
-    # sources are spread: every tenth of the rows holds about a tenth of the words of each large source
-    for s in sorted(want, key=want.get)[-3:]:
-        own = [k for k, r in enumerate(rows) if r.source == s]
-        share = [sum(k * 10 // len(rows) == d for k in own) / len(own) for d in range(10)]
-        assert 0.04 < min(share) and max(share) < 0.18, (s, share)
+    # the order is that of the first slots, each of which belongs to one source
+    docs_of, slices = mixing.mix(docs)
+    own = slices.join(docs_of.select("row", "source", "size"), "row").groupBy("row", "pass", "source", "size").agg(F.min("slot").alias("slot"), F.sum(F.col("end") - F.col("first")).alias("got"))
+    assert [r.source for r in rows] == [r.source for r in own.where("got * 2 >= size").orderBy("slot").collect()]
+    # and the schedule spreads a source: every tenth of the slots holds a tenth of its slices' words
+    total = sum(want.values())
+    for s in sorted(want, key=lambda x: (-want[x], x))[:3]:
+        tenths = Counter()
+        for r in slices.join(docs_of.where(F.col("source") == s).select("row"), "row").groupBy(F.floor(F.col("slot") / 200).alias("t")).agg(F.sum(F.col("end") - F.col("first")).alias("n")).collect():
+            tenths[r.t] = r.n
+        assert all(0.8 < tenths[t] / want[s] * slices.select("slot").distinct().count() / 200 < 1.2 for t in range(10)), (s, tenths, total)
     assert max(Counter(r.doc_id for r in rows).values()) <= 3
 
 
