@@ -241,6 +241,7 @@ def _between_blocks(lists: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     """
     degree = lists.groupBy("sig").agg(F.count("*").alias("deg"))
     center = lists.join(degree, "sig").groupBy("h").agg(F.max(F.struct("deg", "sig"))["sig"].alias("center"))
+    center = materialize(center, "centers-of-lists")  # so that a list with many members can be dealt over tasks
     members = lists.join(center, "h").select("center", "comp", "sig", "n").distinct().withColumn("w", F.col("n") + 500)
     members = running_total(members, ["center", "comp", "sig"], {"at": "w"}, "members", within=["center"]).withColumn("blk", F.floor(F.col("at") / BLOCK))
     meta = members.groupBy("center", "blk").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("small"), F.max("n").alias("large"))
