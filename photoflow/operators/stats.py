@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from photoflow.functions.quality import grade
+
 
 def share(n: Column) -> Column:
     """Percentage of a count within the whole result."""
@@ -53,11 +55,16 @@ def detector_performance(runs: DataFrame) -> DataFrame:
 
 
 def detector_accuracy(runs: DataFrame) -> DataFrame:
-    """Per detector, over all confidences of successful runs."""
-    flat = runs.where("success").select("detector", F.explode("confidences").alias("c"))
-    stats = flat.groupBy("detector").agg(F.avg("c").alias("a"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.stddev_pop("c").alias("sd"))
-    known = runs.select("detector").distinct().join(stats, "detector", "left")
-    return known.select("detector", *[zero(F.col(c)).alias(n) for c, n in (("a", "avg_confidence"), ("lo", "min_confidence"), ("hi", "max_confidence"), ("sd", "std_confidence"))])
+    """Per detector, over all confidences of successful runs, and over all face areas where runs have them."""
+    kept = [("avg", F.avg), ("min", F.min), ("max", F.max), ("std", F.stddev_pop)]
+    known = runs.select("detector").distinct()
+    names = []
+    for column, name, figures in (("confidences", "confidence", kept), ("areas", "face_area", kept[:3])):
+        if column in runs.columns:
+            flat = runs.where("success").select("detector", F.explode(column).alias("c"))
+            known = known.join(flat.groupBy("detector").agg(*[f("c").alias(f"{k}_{name}") for k, f in figures]), "detector", "left")
+            names += [f"{k}_{name}" for k, _ in figures]
+    return known.select("detector", *[zero(F.col(n)).alias(n) for n in names])
 
 
 def detector_comparison(performance: DataFrame, accuracy: DataFrame) -> DataFrame:
@@ -74,8 +81,16 @@ def detector_comparison(performance: DataFrame, accuracy: DataFrame) -> DataFram
     return both.withColumn("score", score).join(F.broadcast(one))
 
 
-def resolution_summary(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("resolution").agg(F.avg("faces").alias("avg_faces"), F.avg("time").alias("avg_time"), F.count("*").alias("runs"))
+def resolution_summary(runs: DataFrame, poses: str | None = None) -> DataFrame:
+    """Per resolution: mean faces, time and, where there is such a column, poses."""
+    more = [F.avg(poses).alias("avg_poses")] if poses else []
+    return runs.groupBy("resolution").agg(F.avg("faces").alias("avg_faces"), F.avg("time").alias("avg_time"), F.count("*").alias("runs"), *more)
+
+
+def method_totals(detections: DataFrame) -> DataFrame:
+    """Per method: detections, and their mean per resolution at which the method found any."""
+    per = detections.groupBy("method", "resolution").agg(F.count("*").alias("n"))
+    return per.groupBy("method").agg(F.sum("n").alias("total"), F.avg("n").alias("per_resolution"))
 
 
 def best_resolution(runs: DataFrame) -> DataFrame:
@@ -97,13 +112,78 @@ def resolution_findings(summary: DataFrame) -> DataFrame:
     return s.select(F.col("hi.resolution").alias("best"), F.col("lo.resolution").alias("worst"), gain.alias("improvement_pct"), F.col("eff.resolution").alias("most_efficient"))
 
 
-def run_totals(results: DataFrame, kinds: list[str]) -> DataFrame:
-    """Counts by each of several groupings and in total, in one pass over the input."""
-    sets = [[], *[[k] for k in kinds]]
-    expr = ", ".join(f"({', '.join(s)})" for s in sets)
-    results.createOrReplaceTempView("_run_results")
-    cols = ", ".join(f"coalesce({k}, 'all') AS {k}" for k in kinds)
-    return results.sparkSession.sql(f"SELECT {cols}, count(*) AS n, avg(score) AS avg_score FROM _run_results GROUP BY GROUPING SETS ({expr})")
+def exact_sum(c: Column, digits: int = 6) -> Column:
+    """Sum in units of 10^-digits, as integers, so no order of addition changes it."""
+    return F.sum(F.round(c * 10**digits).cast("long"))
+
+
+def exact_mean(c: Column, digits: int = 6) -> Column:
+    """Mean of values rounded to so many digits, itself rounded (half up) to as many: one exact division."""
+    total, n = exact_sum(c, digits).cast("decimal(38,0)"), F.count(c)
+    return (F.floor((total * 2 + n) / (n * 2)) / 10**digits).cast("double")
+
+
+def run_summary(results: DataFrame, kinds: list[str], score: str = "score", field: str = "field", time: str = "time") -> DataFrame:
+    """Results counted by each of several groupings and in total, in one pass: n, mean score, share with a field, total time.
+
+    Columns that a row is not grouped by say "all"; a null of the column itself stays null.
+    """
+    cube = results.groupingSets([[], *[[F.col(k)] for k in kinds]], *[F.col(k) for k in kinds])
+    own = cube.agg(
+        *[F.grouping(k).alias(f"_all_{k}") for k in kinds], F.count("*").alias("n"), exact_mean(F.col(score)).alias("avg_score"),
+        exact_mean(F.col(field).cast("int")).alias("field_rate"), (exact_sum(F.col(time)) / 1e6).alias("total_time"),
+    )
+    return own.select(*[F.when(F.col(f"_all_{k}") == 1, "all").otherwise(F.col(k)).alias(k) for k in kinds], "n", "avg_score", "field_rate", "total_time")
+
+
+def grade_distribution(scores: DataFrame, column: str = "score", low: float = 0.5) -> DataFrame:
+    """Per grade: rows, mean score, share of successes and rows below `low`."""
+    graded = scores.withColumn("grade", grade(F.col(column)))
+    return graded.groupBy("grade").agg(F.count("*").alias("n"), F.avg(column).alias("avg_score"), F.avg(F.col("success").cast("int")).alias("success_ratio"), F.count_if(F.col(column) < low).alias("low"))
+
+
+def validation_stats(validated: DataFrame, time: str = "time") -> DataFrame:
+    """Of validated documents (verdict, size): total, valid, their share, mean time and size."""
+    ok = F.count_if(F.col("verdict") != "invalid")
+    return validated.agg(F.count("*").alias("total"), ok.alias("valid"), (ok * 100 / F.count("*")).alias("valid_pct"), F.avg(time).alias("avg_time"), F.avg("size").alias("avg_size"))
+
+
+def extraction_report(extractions: DataFrame, found: str = "found", cut: str = "cut") -> DataFrame:
+    """Per run: images, how many gave something, objects found and cut out, and objects per image."""
+    return extractions.agg(
+        F.count("*").alias("images"), F.count_if(F.col(found) > 0).alias("ok"), F.count_if(F.col(found) == 0).alias("failed"), F.sum(found).alias("objects"),
+        F.sum(cut).alias("extracted"), F.avg(found).alias("per_image"),
+    )
+
+
+def detection_rates(detections: DataFrame, by: str = "method", image: str = "image") -> DataFrame:
+    """Per kind: detections per image of the whole table."""
+    images = detections.agg(F.countDistinct(image).alias("_i"))  # one row
+    return detections.groupBy(by).agg(F.count("*").alias("n")).join(F.broadcast(images)).select(by, "n", (F.col("n") / F.col("_i")).alias("per_image"))
+
+
+def jersey_share(colors: DataFrame, jersey: Column, key: str = "photo") -> DataFrame:
+    """Per image the summed percentages of jersey and of background colours."""
+    s = lambda c: F.sum(F.when(c, F.col("percentage")).otherwise(0.0))
+    return colors.groupBy(key).agg(s(jersey).alias("jersey"), s(~jersey).alias("background"))
+
+
+def color_statistics(colors: DataFrame, name: Column, confidence: Column, key: str = "photo") -> DataFrame:
+    """Per colour name: images, their share of all images, and mean confidence."""
+    total = colors.agg(F.countDistinct(key).alias("_t"))  # one row
+    per = colors.select(key, name.alias("name"), confidence.alias("_c")).where("name is not null").groupBy("name").agg(F.countDistinct(key).alias("images"), F.avg("_c").alias("avg_confidence"))
+    return per.join(F.broadcast(total)).select("name", "images", (F.col("images") / F.col("_t")).alias("share"), "avg_confidence")
+
+
+def split_summary(decisions: DataFrame) -> DataFrame:
+    """Photos by their number of teams, splits, mean confidence, and the sorted list of all teams met."""
+    team = F.explode(F.split("teams", ", ", -1))
+    names = decisions.where("n_teams > 0").select(team.alias("team")).agg(F.array_join(F.array_sort(F.collect_set("team")), ", ").alias("team_list"))
+    own = decisions.agg(
+        F.count("*").alias("photos"), F.count_if(F.col("n_teams") == 0).alias("no_team"), F.count_if(F.col("n_teams") == 1).alias("one_team"),
+        F.count_if(F.col("n_teams") > 1).alias("several_teams"), F.count_if("should_split").alias("split"), F.avg("confidence").alias("avg_confidence"),
+    )
+    return own.join(F.broadcast(names))
 
 
 def channel_statistics(pixels: DataFrame, channels: list[str]) -> DataFrame:
@@ -111,12 +191,13 @@ def channel_statistics(pixels: DataFrame, channels: list[str]) -> DataFrame:
     flat = pixels.select(F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("bin")) for c in channels])).alias("p")).select("p.*")
     hist = flat.groupBy("channel", "bin").agg(F.count("*").cast("double").alias("n"))
     s, q = F.sum("n"), F.sum(F.col("n") * F.col("n"))
-    return hist.groupBy("channel").agg((s / 256).alias("mean"), (q / 256 - (s / 256) * (s / 256)).alias("variance"))
+    return hist.groupBy("channel").agg((s / 256).alias("mean"), (q / 256 - (s / 256) * (s / 256)).alias("variance")).withColumn("std", F.sqrt("variance"))
 
 
 def file_stats(files: DataFrame) -> DataFrame:
     """Files and bytes by extension, with a total row."""
-    return files.rollup("ext").agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes")).withColumn("ext", F.coalesce("ext", F.lit("all")))
+    own = files.rollup("ext").agg(F.grouping("ext").alias("_all"), F.count("*").alias("files"), F.sum("bytes").alias("bytes"))
+    return own.select(F.when(F.col("_all") == 1, "all").otherwise(F.col("ext")).alias("ext"), "files", "bytes")
 
 
 def cluster_stats(members: DataFrame) -> DataFrame:
@@ -128,6 +209,6 @@ def cluster_stats(members: DataFrame) -> DataFrame:
 def color_confidence(colors: DataFrame, jersey: Column, key: str = "photo") -> DataFrame:
     """Per image: 0.7 of the jersey share and 0.3 of the number of jersey colours (up to 3, less beyond 5), 0 without any."""
     n = F.count_if(jersey)
-    share_ = F.sum(F.when(jersey, F.col("percentage")).otherwise(0.0)) / F.sum("percentage")
+    share_ = F.try_divide(F.sum(F.when(jersey, F.col("percentage")).otherwise(0.0)), F.sum("percentage"))
     bonus = F.least(n / 3, F.lit(1.0)) * F.when(n > 5, 0.8).otherwise(1.0)
     return colors.groupBy(key).agg(F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(share_, F.lit(0.0)) * 0.7 + bonus * 0.3)).alias("confidence"), F.sum(F.when(jersey, F.col("percentage")).otherwise(0.0)).alias("jersey_share"))

@@ -207,9 +207,19 @@ def g15(spark, sf_dir) -> DataFrame:
     return _decisions(spark, sf_dir).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("f19_split_summary", f"{_DECISIONS} SELECT count(*) AS photos, count(*) FILTER (n_teams = 0) AS no_team, count(*) FILTER (n_teams = 1) AS one_team, count(*) FILTER (should_split) AS split, round(avg(confidence), 6) AS avg_confidence FROM dec")
+@query("f19_split_summary", f"{_DECISIONS} SELECT count(*) AS photos, count(*) FILTER (n_teams = 0) AS no_team, count(*) FILTER (n_teams = 1) AS one_team, count(*) FILTER (n_teams > 1) AS several_teams, count(*) FILTER (should_split) AS split, round(avg(confidence), 6) AS avg_confidence, (SELECT string_agg(DISTINCT name, ', ' ORDER BY name) FROM met JOIN teams USING (no) WHERE photos >= 5) AS team_list FROM dec")
 def f19(spark, sf_dir) -> DataFrame:
-    return _decisions(spark, sf_dir).agg(F.count("*").alias("photos"), F.count_if(F.col("n_teams") == 0).alias("no_team"), F.count_if(F.col("n_teams") == 1).alias("one_team"), F.count_if("should_split").alias("split"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
+    return T.split_summary(_decisions(spark, sf_dir)).withColumn("avg_confidence", F.round("avg_confidence", 6))
+
+
+@query("a10_team_layout", f"{_DECISIONS} SELECT CASE WHEN n_teams = 0 THEN 'NoTeam' WHEN n_teams > 1 THEN 'MultiTeam' ELSE teams END AS folder, count(*) AS placed FROM dec GROUP BY 1")
+def a10_teams(spark, sf_dir) -> DataFrame:
+    """Manifests of photos by team, written, and the number of photos in each."""
+    from photoflow.scratch import new_path
+    from photoflow.sources.sidecars import team_folder, write_layout
+
+    d = _decisions(spark, sf_dir).select("photo", F.when(F.col("n_teams") > 0, F.split("teams", ", ", -1)).alias("teams"))
+    return write_layout(d, new_path(spark, "layout"), [team_folder(F.col("teams"))])
 
 
 @query("g12_dominant_colors")

@@ -333,4 +333,6 @@ def b30(spark, sf_dir) -> DataFrame:
 
 @query("c3_filter_classes", f"WITH {X.DETECTIONS} SELECT class, count(*) AS n FROM detections WHERE lower(class) IN ('ao', 'nf') GROUP BY class")
 def c3(spark, sf_dir) -> DataFrame:
-    return X.detections(spark, sf_dir).where(F.lower("class").isin("ao", "nf")).groupBy("class").agg(F.count("*").alias("n"))
+    from photoflow.operators.filters import filter_classes
+
+    return filter_classes(X.detections(spark, sf_dir), ["ao", "Nf"]).groupBy("class").agg(F.count("*").alias("n"))
\ No newline at end of file

@@ -181,7 +181,9 @@ def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a10_layout", f"""WITH {_games_sql(30, 30)}, n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY start_time, end_time) AS game_id FROM games)
 SELECT source, CAST(game_id AS INTEGER) AS game_id, photo_count, 'Game' || game_id || '_' || strftime(start_time, '%d%b%Y') || '_' || strftime(start_time, '%H%M%S') || '-' || strftime(end_time, '%H%M%S') AS folder FROM n""")
 def a10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = F.concat(F.lit("Game"), F.col("game_id").cast("string"), F.lit("_"), F.date_format("start_time", "ddMMMyyyy"), F.lit("_"), F.date_format("start_time", "HHmmss"), F.lit("-"), F.date_format("end_time", "HHmmss"))
+    from photoflow.sources.sidecars import game_folder
+
+    folder = game_folder(F.col("game_id"), F.col("start_time"), F.col("end_time"))
     return _numbered(X.photos(spark, sf_dir), 30, 30).select("source", "game_id", "photo_count", folder.alias("folder"))
 
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from photoflow.functions import color as C
 from photoflow.functions import documents as D
+from photoflow.operators import filters as R
 from photoflow.operators import joins as J
 from photoflow.plans import fixtures as X
 from photoflow.plans.registry import query
+from photoflow.operators import stats as T
 from photoflow.sources import sidecars as S
 
 
@@ -42,19 +44,16 @@ def b36(spark, sf_dir) -> DataFrame:
     return X.sidecars(spark, sf_dir).select("image", F.coalesce(f["processing_time"], F.lit(-1.0)).alias("t"), f["success"].alias("ok"))
 
 
-@query("c6_validate_documents", f"WITH {X.OPERATIONS} SELECT image, CASE WHEN image % 97 = 0 THEN 'invalid' WHEN value >= 100 THEN 'failed' WHEN image % 6 = 0 THEN 'empty' ELSE 'valid' END AS verdict FROM operations")
+@query("c6_validate_documents", f"WITH {X.OPERATIONS}, {X.SIDECARS} SELECT o.image, CASE WHEN o.image % 97 = 0 THEN 'invalid' WHEN value >= 100 THEN 'failed' WHEN o.image % 6 = 0 THEN 'empty' ELSE 'valid' END AS verdict, CAST(strlen(doc) AS INTEGER) AS size FROM operations o JOIN sidecars USING (image)")
 def c6(spark, sf_dir) -> DataFrame:
     rules = [("failed", F.col("doc").contains('"success":true')), ("empty", ~F.col("doc").contains('"count":0'))]
-    verdict = F.when(D.parsed(F.col("doc")).isNull(), "invalid")
-    for name, ok in rules:
-        verdict = verdict.when(~ok, name)
-    return X.sidecars(spark, sf_dir).select("image", verdict.otherwise("valid").alias("verdict"))
+    return R.validate_documents(X.sidecars(spark, sf_dir), rules).select("image", "verdict", "size")
 
 
-@query("f22_validation_stats", f"WITH {X.OPERATIONS} SELECT count(*) AS total, count(*) FILTER (image % 97 <> 0) AS valid, round(count(*) FILTER (image % 97 <> 0) * 100.0 / count(*), 6) AS valid_pct FROM operations")
+@query("f22_validation_stats", f"WITH {X.OPERATIONS}, {X.SIDECARS} SELECT count(*) AS total, count(*) FILTER (o.image % 97 <> 0) AS valid, round(count(*) FILTER (o.image % 97 <> 0) * 100.0 / count(*), 6) AS valid_pct, round(sum(CAST(floor(value) AS BIGINT)) * 1.0 / count(*), 6) AS avg_time, round(sum(strlen(doc)) * 1.0 / count(*), 6) AS avg_size FROM operations o JOIN sidecars USING (image)")
 def f22(spark, sf_dir) -> DataFrame:
-    ok = D.parsed(F.col("doc")).isNotNull()
-    return X.sidecars(spark, sf_dir).agg(F.count("*").alias("total"), F.count_if(ok).alias("valid"), F.round(F.count_if(ok) * 100 / F.count("*"), 6).alias("valid_pct"))
+    checked = R.validate_documents(X.sidecars(spark, sf_dir)).join(X.operations(spark, sf_dir).select("image", F.floor("value").alias("time")), "image")
+    return T.validation_stats(checked).withColumns({c: F.round(c, 6) for c in ("valid_pct", "avg_time", "avg_size")})
 
 
 @query("d1_join_sidecars", """WITH i AS (SELECT event_id AS stem FROM events), s AS (SELECT event_id AS stem, 'json' AS format, 1 AS k FROM events WHERE event_id % 3 > 0 UNION ALL SELECT event_id, 'bin', 0 FROM events WHERE event_id % 4 = 0)
@@ -147,8 +146,16 @@ def d9(spark, sf_dir) -> DataFrame:
 
 @query("d10_join_poses", "SELECT o_orderkey AS image, count(l_orderkey) AS poses FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag = 'R' GROUP BY o_orderkey")
 def d10(spark, sf_dir) -> DataFrame:
-    poses = X.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("image")).agg(F.count("*").alias("n"))
-    return X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image")).join(poses, "image", "left").select("image", F.coalesce("n", F.lit(0)).alias("poses"))
+    return R.join_poses(*_posed(spark, sf_dir))
+
+
+def _posed(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    return X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image")), X.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("image"))
+
+
+@query("d10_images_without_poses", "SELECT o_orderkey AS image FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def d10_without(spark, sf_dir) -> DataFrame:
+    return R.images_without_poses(*_posed(spark, sf_dir))
 
 
 @query("d11_unified_results", """WITH f AS (SELECT user_id AS image, bool_or(value < 3) AS s, sum(event_id % 6) AS n FROM events WHERE event_id % 2 = 0 AND user_id % 3 > 0 GROUP BY 1), o AS (SELECT user_id AS image, bool_or(value < 5) AS s, sum(event_id % 4) AS n FROM events WHERE event_id % 2 = 1 AND user_id % 5 > 0 GROUP BY 1)
@@ -174,36 +181,40 @@ def d12(spark, sf_dir) -> DataFrame:
     return m.select("image", "op", "created_at", "last_updated", "payload")
 
 
-@query("d13_image_for_legacy_json", "SELECT c_custkey AS json, coalesce(min(CASE WHEN n_nationkey IS NOT NULL THEN lower(n_name) END), 'none') AS image FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey % 2 = 0 GROUP BY 1")
+@query("d13_image_for_legacy_json", "SELECT c_custkey AS json, CASE WHEN c_nationkey % 2 = 0 THEN lower(n_name) || CASE WHEN c_nationkey % 4 = 0 THEN '.jpeg' ELSE '.jpg' END ELSE 'none' END AS image FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def d13(spark, sf_dir) -> DataFrame:
-    c = X.table(spark, sf_dir, "customer").join(X.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey").select(F.col("c_custkey").alias("json"), F.lower("n_name").alias("stem"))
-    images = X.table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(F.upper("n_name").alias("stem"), F.lit("jpg").alias("ext"))
-    best = images.withColumn("stem", F.lower("stem")).groupBy("stem").agg(F.min("ext").alias("ext"))
-    return c.join(best, "stem", "left").select("json", F.when(F.col("ext").isNull(), "none").otherwise(F.col("stem")).alias("image"))
+    n = X.table(spark, sf_dir, "nation")
+    c = X.table(spark, sf_dir, "customer").join(n.select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey").select(F.col("c_custkey").alias("json"), F.lower("n_name").alias("stem"))
+    kinds = F.when(F.col("n_nationkey") % 4 == 0, F.array(F.lit("png"), F.lit("jpeg"))).otherwise(F.array(F.lit("jpg")))
+    images = n.where("n_nationkey % 2 = 0").select(F.upper("n_name").alias("stem"), F.explode(kinds).alias("ext"))
+    return R.image_for_legacy_json(c, images).select("json", F.coalesce("image", F.lit("none")).alias("image"))
 
 
 # ---- filters
 
-@query("c1_filter_faces", f"WITH {X.DETECTIONS} SELECT image, ord FROM detections WHERE w >= 40 AND h >= 40 AND confidence >= 0.5")
+@query("c1_filter_faces", f"WITH {X.DETECTIONS} SELECT image, ord FROM detections WHERE w >= 64 AND h >= 64 AND confidence >= 0.5")
 def c1(spark, sf_dir) -> DataFrame:
-    return X.detections(spark, sf_dir).where("w >= 40 and h >= 40 and confidence >= 0.5").select("image", "ord")
+    return R.filter_faces(X.detections(spark, sf_dir)).select("image", "ord")
 
 
-@query("c2_enforce_face_bounds", f"""WITH {X.DETECTIONS}, n AS (SELECT image, ord, count(*) OVER (PARTITION BY image) AS c, row_number() OVER (PARTITION BY image ORDER BY confidence DESC, ord) AS k FROM detections) SELECT image, ord FROM n WHERE c >= 2 AND k <= 3""")
+@query("c2_enforce_face_bounds", f"""WITH {X.DETECTIONS}, n AS (SELECT image, ord, count(*) OVER (PARTITION BY image) AS c, row_number() OVER (PARTITION BY image ORDER BY confidence DESC, ord) AS k FROM detections),
+a AS (SELECT o_orderkey AS image, count(l_orderkey) AS c FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1)
+SELECT image, ord, CAST(NULL AS VARCHAR) AS error FROM n WHERE c >= 2 AND k <= 3 UNION ALL SELECT image, NULL, 'Not enough faces detected (found ' || c || ', required 2)' FROM a WHERE c < 2""")
 def c2(spark, sf_dir) -> DataFrame:
-    w = Window.partitionBy("image")
-    d = X.detections(spark, sf_dir).withColumn("c", F.count("*").over(w)).withColumn("k", F.row_number().over(w.orderBy(F.desc("confidence"), "ord")))
-    return d.where("c >= 2 and k <= 3").select("image", "ord")
+    images = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"))
+    kept, failed = R.enforce_face_bounds(X.detections(spark, sf_dir), images, 2, 3)
+    return kept.select("image", "ord", F.lit(None).cast("string").alias("error")).unionByName(failed.select("image", F.lit(None).cast("long").alias("ord"), "error"))
 
 
 @query("c5_filter_size", f"WITH {X.DETECTIONS} SELECT image, ord FROM detections WHERE w BETWEEN 32 AND 50 AND h BETWEEN 32 AND 50")
 def c5(spark, sf_dir) -> DataFrame:
-    return X.detections(spark, sf_dir).where("w between 32 and 50 and h between 32 and 50").select("image", "ord")
+    return R.filter_size(X.detections(spark, sf_dir), 32, 50).select("image", "ord")
 
 
 @query("c7_filter_image_size", "SELECT p_partkey FROM part WHERE p_size * 60 BETWEEN 100 AND 2000 AND p_retailprice BETWEEN 100 AND 8000")
 def c7(spark, sf_dir) -> DataFrame:
-    return X.table(spark, sf_dir, "part").where("p_size * 60 between 100 and 2000 and p_retailprice between 100 and 8000").select("p_partkey")
+    sized = X.table(spark, sf_dir, "part").withColumn("width", F.col("p_size") * 60)
+    return R.filter_image_size(sized, height="p_retailprice", high_width=2000).select("p_partkey")
 
 
 _QUALITY = "quality AS (SELECT d.doc_id AS image, (d.n_chars % 1000) / 1000.0 AS score, l.quality IS NOT NULL AS success FROM documents d LEFT JOIN labels l USING (doc_id))"
@@ -214,9 +225,10 @@ def _quality(spark, sf_dir) -> DataFrame:
     return d.join(lab.select("doc_id", "quality"), "doc_id", "left").selectExpr("doc_id as image", "(n_chars % 1000) / 1000D as score", "quality is not null as success")
 
 
-@query("c4_filter_quality", f"WITH {_QUALITY} SELECT image FROM quality WHERE success AND score BETWEEN 0.2 AND 0.5")
+@query("c4_filter_quality", f"WITH {_QUALITY} SELECT image, 'range' AS list FROM quality WHERE success AND score BETWEEN 0.2 AND 0.5 UNION ALL SELECT image, 'low' FROM quality WHERE success AND score < 0.5")
 def c4(spark, sf_dir) -> DataFrame:
-    return _quality(spark, sf_dir).where("success and score between 0.2 and 0.5").select("image")
+    q = _quality(spark, sf_dir)
+    return R.filter_quality(q, 0.2, 0.5).select("image", F.lit("range").alias("list")).unionByName(R.low_quality(q).select("image", F.lit("low").alias("list")))
 
 
 _GR = "CASE WHEN score >= 0.85 THEN 'A' WHEN score >= 0.70 THEN 'B' WHEN score >= 0.55 THEN 'C' WHEN score >= 0.40 THEN 'D' ELSE 'F' END"
@@ -224,10 +236,7 @@ _GR = "CASE WHEN score >= 0.85 THEN 'A' WHEN score >= 0.70 THEN 'B' WHEN score >
 
 @query("f11_grade_distribution", f"WITH {_QUALITY} SELECT {_GR} AS grade, count(*) AS n, round(avg(score), 6) AS avg_score, round(avg(CAST(success AS INTEGER)), 6) AS success_ratio, count(*) FILTER (score < 0.5) AS low FROM quality GROUP BY 1")
 def f11(spark, sf_dir) -> DataFrame:
-    from photoflow.functions.quality import grade
-
-    q = _quality(spark, sf_dir).withColumn("grade", grade(F.col("score")))
-    return q.groupBy("grade").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("avg_score"), F.round(F.avg(F.col("success").cast("int")), 6).alias("success_ratio"), F.count_if(F.col("score") < 0.5).alias("low"))
+    return T.grade_distribution(_quality(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("avg_score", "success_ratio")})
 
 
 # ---- faces and objects inside documents
@@ -264,14 +273,63 @@ def a7(spark, sf_dir) -> DataFrame:
 
 @query("c8_missing_encodings", f"WITH {X.DETECTIONS} SELECT image, count(*) AS missing FROM detections WHERE ord % 3 = 0 GROUP BY image")
 def c8(spark, sf_dir) -> DataFrame:
-    items = S.explode_detections(_payloads(spark, sf_dir), "faces")
-    return items.where(F.get_json_object("item", "$.encoding").isNull()).groupBy("image").agg(F.count("*").alias("missing"))
+    return R.missing_encodings(S.explode_detections(_payloads(spark, sf_dir), "faces"))
 
 
 @query("j4_validate_results", f"WITH {X.OPERATIONS} SELECT image, CASE WHEN success AND user_id % 7 = 0 THEN 'success without data' WHEN processing_time < 0.01 THEN 'no time' ELSE 'ok' END AS verdict FROM operations")
 def j4(spark, sf_dir) -> DataFrame:
     o = X.operations(spark, sf_dir).withColumn("data", F.when(F.col("user_id") % 7 > 0, F.col("payload")))
-    return o.select("image", F.when(F.col("success") & F.col("data").isNull(), "success without data").when(F.col("processing_time") < 0.01, "no time").otherwise("ok").alias("verdict"))
+    return R.validate_results(o, rules=[("no time", F.col("processing_time") >= 0.01)]).select("image", "verdict")
+
+
+@query("j3_validation_rules", f"WITH {X.OPERATIONS} SELECT image, CASE WHEN value >= 400 THEN 'too large' WHEN user_id % 2 = 1 THEN 'odd user' WHEN processing_time < 0.5 THEN 'too fast' ELSE 'valid' END AS verdict FROM operations")
+def j3(spark, sf_dir) -> DataFrame:
+    @F.pandas_udf("boolean")
+    def even(users):
+        return users % 2 == 0
+
+    rules = [("too large", F.col("value") < 400), ("odd user", even("user_id")), ("too fast", F.col("processing_time") >= 0.5)]
+    return X.operations(spark, sf_dir).select("image", R.first_failure(rules).alias("verdict"))
+
+
+@query("b39_class_name", "SELECT l_linenumber AS class_id, CASE l_linenumber WHEN 1 THEN 'bicycle' WHEN 2 THEN 'car' WHEN 3 THEN 'motorcycle' ELSE 'class_' || l_linenumber END AS name, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def b39(spark, sf_dir) -> DataFrame:
+    name = R.class_name(F.col("l_linenumber"), ["person", "bicycle", "car", "motorcycle"])
+    return X.table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("class_id"), name.alias("name")).groupBy("class_id", "name").agg(F.count("*").alias("n"))
+
+
+@query("a1_image_catalog", "SELECT 'IMG_' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN '.jpg' ELSE '.PNG' END AS name, CAST(strlen(c_name) AS BIGINT) AS length FROM customer")
+def a1(spark, sf_dir) -> DataFrame:
+    """A file per customer, in folders of which one is skipped and one holds no images, listed again."""
+    from photoflow.scratch import new_path
+
+    c = X.table(spark, sf_dir, "customer").select(F.concat(F.lit("IMG_"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 2 == 0, ".jpg").otherwise(".PNG")).alias("name"), "c_name")
+    places = F.explode(F.array(F.concat(F.lit("day/"), "name"), F.concat(F.lit("venv/"), "name"), F.concat(F.lit("notes/"), "name", F.lit(".txt"))))
+    root = new_path(spark, "images")
+    S.write_files(c.select(places.alias("place"), "c_name"), root, "place", F.col("c_name"))
+    return S.image_catalog(spark, root).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+
+
+_CUSTOMER_DOC = '{"sidecar_info":{"operation_type":"face_detection"},"face_detection":{"success":true,"count":%d'
+
+
+@query("a3_read_sidecars", f"SELECT c_custkey AS image, printf('{_CUSTOMER_DOC}', c_nationkey) || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE '}}}}' END AS doc, c_custkey % 7 <> 0 AS valid FROM customer")
+def a3(spark, sf_dir) -> DataFrame:
+    """A document per customer as a file of its own, read again; broken ones stay as rows."""
+    from photoflow.scratch import new_path
+
+    doc = F.concat(F.format_string(_CUSTOMER_DOC, "c_nationkey"), F.when(F.col("c_custkey") % 7 == 0, "").otherwise("}}"))
+    c = X.table(spark, sf_dir, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit(".json")).alias("name"), doc.alias("doc"))
+    root = new_path(spark, "documents")
+    S.write_files(c, root, "name", F.col("doc"))
+    return S.read_sidecars(spark, root).select(F.regexp_extract("path", r"([0-9]+)\.json$", 1).cast("long").alias("image"), "doc", "valid")
+
+
+@query("a13_migrate_sidecars", f"WITH {X.OPERATIONS} SELECT image, op, success FROM operations WHERE image % 97 <> 0")
+def a13(spark, sf_dir) -> DataFrame:
+    from photoflow.scratch import new_path
+
+    return S.migrate_sidecars(X.sidecars(spark, sf_dir), new_path(spark, "migrated")).select("image", "op", "success")
 
 
 @query("e6_number_sessions", "SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INTEGER) AS game_id FROM events")

@@ -39,6 +39,13 @@ def explode_operations(sidecars: DataFrame) -> DataFrame:
     return both.withColumn("success", F.get_json_object("payload", "$.success") == "true")
 
 
+def export_sidecars(sidecars: DataFrame, op: str | None = None, doc: str = "doc") -> DataFrame:
+    """(image, path, op, created, size): a row per operation of every sound document, of one kind with `op`."""
+    rows = sidecars.withColumns({"created": F.get_json_object(doc, "$.sidecar_info.created_at"), "size": F.octet_length(doc)})
+    out = explode_operations(rows).select("image", "path", "op", "created", "size")
+    return out.where(F.col("op") == op) if op else out
+
+
 def explode_detections(operations: DataFrame, key: str, image_col: str = "image") -> DataFrame:
     """(image, pos, item): one row per element of the payload's list `key` (faces, objects)."""
     items = F.from_json(F.get_json_object("payload", f"$.{key}"), "array<string>")
@@ -84,3 +91,61 @@ def migrate_sidecars(sidecars: DataFrame, path: str, dry_run: bool = False) -> D
         rows.write.mode("overwrite").parquet(path)
         rows = sidecars.sparkSession.read.schema(rows.schema).parquet(path)
     return rows
+
+
+def write_files(rows: DataFrame, root: str, name: str, content: Column) -> None:
+    """One file per row under root, named by the column `name` (folders allowed), with the content as text.
+
+    Written by the tasks through the file system of root, under a name of its own and then renamed.
+    """
+    import uuid
+
+    import pyarrow.fs as pafs
+
+    def write(batches):
+        uri = root if "://" in root or root.startswith("file:") else f"file://{root}"
+        fs, top = pafs.FileSystem.from_uri(uri)
+        for b in batches:
+            for n, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                path = f"{top}/{n}"
+                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with fs.open_output_stream(own := f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}") as f:
+                    f.write((text or "").encode())
+                fs.move(own, path)
+        yield from ()
+
+    rows.select(F.col(name).alias("n"), content.alias("c")).mapInArrow(write, "n string").write.format("noop").mode("overwrite").save()
+
+
+def write_report_json(rows: DataFrame, path: str) -> None:
+    """Rows as lines of JSON, nulls included."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_csv(rows: DataFrame, path: str, noise: DataFrame | None = None, cluster: str = "cluster_id") -> None:
+    """Rows as CSV with a header; `noise` (the same columns but the cluster) is added with cluster -1."""
+    every = rows if noise is None else rows.unionByName(noise.withColumn(cluster, F.lit(-1)).select(*rows.columns))
+    every.write.mode("overwrite").option("header", "true").csv(path)
+
+
+def game_folder(game_id: Column, start: Column, end: Column) -> Column:
+    """Folder of a game: Game{id}_{day}_{start}-{end}."""
+    return F.concat(F.lit("Game"), game_id.cast("string"), F.lit("_"), F.date_format(start, "ddMMMyyyy"), F.lit("_"), F.date_format(start, "HHmmss"), F.lit("-"), F.date_format(end, "HHmmss"))
+
+
+def team_folder(teams: Column) -> Column:
+    """Folder of a photo by its teams (array): the one team, MultiTeam or NoTeam (also for null)."""
+    n = F.size(teams)
+    return F.when(n == 1, teams[0]).when(n > 1, "MultiTeam").otherwise("NoTeam")
+
+
+def person_folder(cluster_id: Column) -> Column:
+    """person_{nn}, or unclustered."""
+    return F.when(cluster_id < 0, "unclustered").otherwise(F.concat(F.lit("person_"), F.when(cluster_id < 100, F.lpad(cluster_id.cast("string"), 2, "0")).otherwise(cluster_id.cast("string"))))
+
+
+def write_layout(assignments: DataFrame, path: str, folders: list[Column]) -> DataFrame:
+    """Write where every row belongs (JSON manifests, one folder of folders each) and count the rows placed in each."""
+    placed = assignments.withColumn("folder", F.concat_ws("/", *folders))
+    write_manifest(placed, path)
+    return placed.groupBy("folder").agg(F.count("*").alias("placed"))
