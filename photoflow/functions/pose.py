@@ -31,18 +31,24 @@ def pose_confidence(points: Column) -> Column:
 
 def upper_body_box(points: Column, w: Column, h: Column, threshold: float = 0.7) -> tuple[Column, Column, Column, Column]:
     """Padded pixel box of the confident upper-body points (ratios), the whole image without any."""
-    sure = F.filter(F.array(*[_at(points, k) for k in UPPER_BODY]), lambda p: p["confidence"] > threshold)
-    xs, ys = F.transform(sure, lambda p: p["x"]), F.transform(sure, lambda p: p["y"])
-
-    def span(v: Column, n: Column, pad: float) -> tuple[Column, Column]:
-        low, high = F.array_min(v), F.array_max(v)
-        p = (high - low) * pad
-        return F.greatest(F.lit(0), ((low - p) * n).cast("bigint")), F.least(n, ((high + p) * n).cast("bigint"))
-
-    (x1, x2), (y1, y2) = span(xs, w, 0.2), span(ys, h, 0.3)
-    some = F.size(sure) > 0
-    pick = lambda a, b: F.when(some, a).otherwise(b)
-    return pick(x1, F.lit(0)), pick(y1, F.lit(0)), pick(x2 - x1, w), pick(y2 - y1, h)
+    sure = [(_at(points, k), _at(points, k)["confidence"] > threshold) for k in UPPER_BODY]
+    # nulls are passed over by least and greatest; the ends are computed once, as one value
+    ends = {f"{e}{part}": f(*[F.when(ok, p[part]) for p, ok in sure]) for e, f in (("low", F.least), ("high", F.greatest)) for part in "xy"}
+    some = F.coalesce(*[F.when(ok, True) for _, ok in sure]).isNotNull()
+    spans = F.struct(*[c.alias(name) for name, c in ends.items()], some.alias("some"))
+
+    def box(s: Column) -> Column:
+        def span(part: str, n: Column, pad: float) -> tuple[Column, Column]:
+            low, high = s[f"low{part}"], s[f"high{part}"]
+            p = (high - low) * pad
+            return F.greatest(F.lit(0), ((low - p) * n).cast("bigint")), F.least(n, ((high + p) * n).cast("bigint"))
+
+        (x1, x2), (y1, y2) = span("x", w, 0.2), span("y", h, 0.3)
+        pick = lambda a, b, name: F.when(s["some"], a).otherwise(b).alias(name)
+        return F.struct(pick(x1, F.lit(0), "x"), pick(y1, F.lit(0), "y"), pick(x2 - x1, w, "w"), pick(y2 - y1, h, "h"))
+
+    found = F.transform(F.array(spans), box)[0]
+    return found["x"], found["y"], found["w"], found["h"]
 
 
 def landmarks_to_image(points: Column, x: Column, y: Column, w: Column, h: Column, visible: float = 0.5) -> Column:

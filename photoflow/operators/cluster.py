@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 
 from photoflow.functions.color import color_name
 from photoflow.operators.graph import connected_components
-from photoflow.operators.joins import match_colors
+from photoflow.operators.joins import cells_around, color_cell, match_colors
 from photoflow.scratch import materialize, partitions
 
 #: vectors of a block; two blocks are compared by one matrix product
 BLOCK = 1000
+#: items of a group that are folded in one row
+SMALL = 200
 
 
 def standardize(vectors: DataFrame) -> DataFrame:
@@ -91,12 +93,21 @@ def dbscan(vectors: DataFrame, eps: float, min_samples: int, metric: str = "cosi
     """(id, label): density clusters numbered by their first core point from 0, -1 for noise.
 
     A point with min_samples points within eps (itself included) is core; cores within eps share a
-    cluster; another point within eps of cores joins the lowest-numbered of their clusters.
+    cluster; another point within eps of cores joins the lowest-numbered of their clusters. Equal vectors
+    are compared once, with their number, so a face that comes a thousand times costs no million pairs.
     """
+    classes = materialize(vectors.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("w")), "distinct-vectors")
+    found = _dbscan_distinct(classes, eps, min_samples, metric)
+    return vectors.select(F.col("id").alias("own"), "v").join(classes, "v").join(found, "id").select(F.col("own").alias("id"), "label")
+
+
+def _dbscan_distinct(vectors: DataFrame, eps: float, min_samples: int, metric: str) -> DataFrame:
+    """dbscan of distinct vectors (id, v, w), each standing for w equal ones."""
     pairs = materialize(neighbour_pairs(vectors, eps, metric), "pairs")
     both = pairs.select("a", "b").union(pairs.select("b", "a"))
-    degree = both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
-    near = vectors.select("id").join(degree, "id", "left").select("id", (F.coalesce("n", F.lit(0)) + 1).alias("n"))
+    weight = vectors.select(F.col("id").alias("b"), "w")
+    degree = both.join(weight, "b").groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("n"))
+    near = vectors.select("id", "w").join(degree, "id", "left").select("id", (F.coalesce("n", F.lit(0)) + F.col("w")).alias("n"))
     core = materialize(near.where(F.col("n") >= min_samples).select("id"), "cores")
     links = pairs.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").select("a", "b")
     comp = connected_components(links)
@@ -115,43 +126,120 @@ def dbscan_auto(vectors: DataFrame, min_samples: int) -> DataFrame:
     return dbscan(vectors, eps if eps and eps > 0 else 0.1, min_samples, "euclidean")
 
 
-def kmeans_faces(vectors: DataFrame, min_size: int, seed: int = 42) -> DataFrame:
-    """(id, label) by k-means with one cluster per min_size vectors."""
+def clusters_wanted(n: int, min_size: int, most: int | None = None) -> int:
+    """Number of clusters: one per min_size vectors; in the older form, with `most`, from 2 to that many."""
+    return max(1, n // min_size) if most is None else min(most, max(2, n // min_size))
+
+
+def kmeans_faces(vectors: DataFrame, min_size: int, seed: int = 42, most: int | None = None) -> DataFrame:
+    """(id, label) by k-means with as many clusters as clusters_wanted says; without `most`, work grows with n * n / min_size."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    k = max(1, vectors.count() // min_size)
+    n = vectors.count()
+    k = min(n, clusters_wanted(n, min_size, most))
     data = vectors.select("id", array_to_vector("v").alias("features"))
-    if k == 1:
+    if k <= 1:
         return vectors.select("id", F.lit(0).alias("label"))
     return KMeans(k=k, seed=seed, maxIter=20).fit(data).transform(data).select("id", F.col("prediction").alias("label"))
 
 
-def hierarchical_faces(vectors: DataFrame, min_size: int, seed: int = 42, micro: int = 400) -> DataFrame:
-    """(id, label) by average linkage with cosine distance, over at most `micro` k-means centres (a bounded table)."""
-    n = vectors.count()
-    k = max(1, n // min_size)
-    first = kmeans_faces(vectors, max(1, -(-n // micro)), seed).withColumnRenamed("label", "m") if n > micro else vectors.select("id", F.col("id").alias("m"))
-    flat = vectors.join(first, "id").select("m", F.posexplode("v").alias("d", "x")).groupBy("m", "d").agg(F.avg("x").alias("x"), F.count("*").alias("w"))
-    centres = flat.groupBy("m").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v"), F.max("w").alias("w")).select("m", F.transform("v", lambda c: c["x"]).alias("v"), "w")
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("m")
-        d, w = _distances(np.stack(pdf["v"]), np.stack(pdf["v"]), "cosine"), pdf["w"].to_numpy(float)
-        np.fill_diagonal(d, np.inf)
-        group = np.arange(len(pdf))
-        for _ in range(max(0, len(pdf) - k)):
-            i, j = sorted(divmod(int(d.argmin()), len(d)))
-            d[i] = (d[i] * w[i] + d[j] * w[j]) / (w[i] + w[j])
-            d[:, i] = d[i]
-            d[i, i] = np.inf
-            d[j], d[:, j] = np.inf, np.inf
-            w[i] += w[j]
-            group[group == group[j]] = group[i]
-        return pd.DataFrame({"m": pdf["m"], "label": pd.factorize(group)[0]})
-
-    labels = centres.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(link, "m long, label int")
-    return first.join(labels, "m").select("id", "label")
+def _linkage(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray, linkage: str) -> np.ndarray:
+    """Distances of clusters by their means: mean cosine distance of their members (unit vectors), or Ward's."""
+    if linkage == "average":
+        return 1 - x @ y.T
+    w = wx[:, None] * wy[None] / (wx[:, None] + wy[None])
+    return np.sqrt(2 * w) * _distances(x, y, "euclidean")
+
+
+def _nearest(clusters: DataFrame, linkage: str) -> DataFrame:
+    """(id, other, d): the nearest other cluster of every cluster (id, w, v), ties to the smaller id, found block by block."""
+    own = clusters.select("id", F.array_append("v", F.col("w").cast("double")).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (p, x), (q, y) = _matrix(batch.column(2)[k]), _matrix(batch.column(3)[k])
+                order = np.argsort(q)
+                q, y = q[order], y[order]
+                d = _linkage(x[:, :-1], x[:, -1], y[:, :-1], y[:, -1], linkage)
+                d[p[:, None] == q[None]] = np.inf
+                best = d.argmin(1)
+                far = np.isinf(d[np.arange(len(p)), best])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (p[~far], q[best][~far], d[np.arange(len(p)), best][~far])], names=["id", "other", "d"])
+
+    near = _block_pairs(own, False).mapInArrow(run, "id long, other long, d double")
+    return near.groupBy("id").agg(F.min(F.struct("d", "other")).alias("m")).select("id", "m.other", "m.d")
+
+
+def _last_merges(linkage: str):
+    """Merges (a, b, d, round) of up to BLOCK clusters (round, id, w, v) into one, pairs of mutual nearest round by round."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = [b for b in batches if len(b)]
+        if not own:
+            return
+        t = pd.concat(own).sort_values("id")
+        ids, w, v, at = t["id"].to_numpy(), t["w"].to_numpy(float), np.stack(t["v"]), int(t["round"].iloc[0])
+        while len(ids) > 1:
+            d = _linkage(v, w, v, w, linkage)
+            np.fill_diagonal(d, np.inf)
+            other = d.argmin(1)
+            a = np.flatnonzero((other[other] == np.arange(len(ids))) & (np.arange(len(ids)) < other))
+            b = other[a]
+            yield pd.DataFrame({"a": ids[a], "b": ids[b], "d": d[a, b], "round": at})
+            v[a] = (v[a] * w[a, None] + v[b] * w[b, None]) / (w[a] + w[b])[:, None]
+            w[a] += w[b]
+            ids, w, v = (np.delete(x, b, 0) for x in (ids, w, v))
+            at += 1
+
+    return run
+
+
+def hierarchical_faces(vectors: DataFrame, min_size: int, linkage: str = "average", most: int | None = None) -> DataFrame:
+    """(id, label) by average linkage with cosine distance, or by Ward's linkage; as many clusters as clusters_wanted says.
+
+    Every round merges all pairs of clusters that are each other's nearest. Both linkages never bring a
+    merged cluster nearer than its parts, so these are the merges that one-by-one agglomeration makes, in
+    another order; the n - k lowest of them are kept. Labels count from 0 by the smallest id.
+    """
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
+    unit = F.transform("v", lambda c: c / F.greatest(F.col("size"), F.lit(1e-300)))
+    own = vectors.withColumn("size", size).select("id", F.lit(1).cast("long").alias("w"), (unit if linkage == "average" else F.col("v")).alias("v"))
+    own = materialize(own, "clusters")
+    n = own.count()
+    wanted, merges, rounds, left = n - min(n, clusters_wanted(n, min_size, most)), None, 0, n
+    while left > 1 and wanted > 0:
+        if left <= BLOCK:  # one block of clusters: the same merges by one task
+            last = own.select(F.lit(rounds).alias("round"), "id", "w", "v").coalesce(1).mapInPandas(_last_merges(linkage), "a long, b long, d double, round int")
+            merges = materialize(last if merges is None else merges.unionByName(last), "merges")
+            break
+        near = materialize(_nearest(own, linkage), "nearest")
+        if merges is not None and merges.where(F.col("d") <= near.agg(F.min("d")).first()[0]).count() >= wanted:
+            break
+        other = near.select(F.col("id").alias("other"), F.col("other").alias("back"))
+        new = near.join(other, "other").where("back = id and id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), "d", F.lit(rounds).alias("round"))
+        new = materialize(new, "merges")
+        merges = new if merges is None else merges.unionByName(new)
+        part = own.join(new.select(F.col("b").alias("id"), "a"), "id", "left").select(F.coalesce("a", "id").alias("id"), "w", "v")
+        apart = part.join(new.select(F.col("a").alias("id")), "id", "left_anti")
+        joined = part.join(new.select(F.col("a").alias("id")), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("w", "v"))).alias("p"))  # two of them
+        first, second = F.col("p")[0], F.col("p")[1]
+        total = first["w"] + second["w"]
+        mean = F.zip_with(first["v"], second["v"], lambda x, y: (x * first["w"] + y * second["w"]) / total)
+        own = materialize(apart.select("id", "w", "v").unionByName(joined.select("id", total.alias("w"), mean.alias("v"))), "clusters")
+        rounds, left = rounds + 1, own.count()
+    if merges is None:
+        of = vectors.select("id", F.col("id").alias("comp"))
+    else:
+        kept = merges.orderBy("d", "round", "a").limit(wanted).select("a", "b")
+        comp = connected_components(kept)
+        of = vectors.select("id").join(comp, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("comp"))
+    of = materialize(of, "components")
+    from photoflow.operators.graph import running_total
+
+    number = running_total(of.select("comp").distinct().withColumn("one", F.lit(1)), ["comp"], {"label": "one"}, "labels")
+    return of.join(number, "comp").select("id", F.col("label").cast("int").alias("label"))
 
 
 def assemble_clusters(vectors: DataFrame, labels: DataFrame, min_size: int) -> DataFrame:
@@ -166,16 +254,61 @@ def centroids(vectors: DataFrame, labels: DataFrame) -> DataFrame:
     return flat.groupBy("label", "d").agg(F.avg("x").alias("x"), F.count("*").alias("n"))
 
 
-def all_identical(vectors: DataFrame) -> bool:
-    """True when there is one distinct vector for several rows: nothing to cluster."""
-    n, k = vectors.agg(F.count("*"), F.countDistinct(F.to_json("v"))).first()
-    return n > 1 and k == 1
+def all_identical(vectors: DataFrame) -> DataFrame:
+    """One row (identical): whether there is one distinct vector for several rows, that is nothing to cluster."""
+    classes = vectors.groupBy("v").agg(F.count("*").alias("n"))
+    return classes.agg(F.coalesce((F.count("*") == 1) & (F.sum("n") > 1), F.lit(False)).alias("identical"))
+
+
+def cluster_members(vectors: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, size, ids, confidences, paths, mean_confidence): the members of each cluster, in order of their ids."""
+    m = vectors.join(labels.where("label >= 0"), "id").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("id", "confidence", "path"))).alias("m"), F.avg("confidence").alias("mean_confidence"))
+    part = lambda c: F.transform("m", lambda x: x[c])
+    return m.select("label", F.size("m").alias("size"), part("id").alias("ids"), part("confidence").alias("confidences"), part("path").alias("paths"), "mean_confidence")
+
+
+def sort_clusters(labels: DataFrame, first: int = 1) -> DataFrame:
+    """(label, n, place): clusters by descending size, ties by label, numbered from `first`, over ranges of them."""
+    from photoflow.operators.graph import running_total
+
+    sizes = labels.where("label >= 0").groupBy("label").agg(F.count("*").alias("n"))
+    placed = running_total(sizes.withColumns({"down": -F.col("n"), "one": F.lit(1)}), ["down", "label"], {"place": "one"}, "sizes")
+    return placed.select("label", "n", (F.col("place") + first).cast("int").alias("place"))
+
+
+def cluster_result(labels: DataFrame, algorithm: str, **parameters) -> DataFrame:
+    """One row: faces, clusters, unclustered, the algorithm and its parameters."""
+    clustered = F.when(F.col("label") >= 0, F.col("label"))
+    named = F.create_map(*[F.lit(str(x)) for pair in sorted(parameters.items()) for x in pair]) if parameters else F.create_map().cast("map<string,string>")
+    return labels.agg(F.count("*").alias("faces"), F.countDistinct(clustered).alias("clusters"), F.count_if(F.col("label") < 0).alias("unclustered"), F.lit(algorithm).alias("algorithm")).withColumn("parameters", named)
 
 
 def greedy_leaders(items: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ord, leader): in order, an item without an earlier leader beside it leads; others join their first leader.
 
-    pairs holds (keys, a, b) with a before b. Rounds settle every item whose earlier neighbours are
+    pairs holds (keys, a, b) with a before b. Groups of up to SMALL items are folded in order, one row each;
+    larger ones are settled in rounds over all groups at once (see _leaders_by_rounds).
+    """
+    large = items.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > SMALL).select(*keys)
+    large = materialize(large, "large-groups")
+    if large.isEmpty():
+        return _leaders_by_fold(items, pairs, keys)
+    part = lambda t, how: t.join(large, keys, how)
+    small = _leaders_by_fold(part(items, "left_anti"), part(pairs, "left_anti"), keys)
+    return small.unionByName(_leaders_by_rounds(part(items, "left_semi"), part(pairs, "left_semi"), keys))
+
+
+def _leaders_by_fold(items: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    near = pairs.groupBy(*keys, F.col("b").alias("ord")).agg(F.collect_list("a").alias("near"))
+    none = F.array().cast(items.select(F.array("ord")).schema[0].dataType)
+    listed = items.select(*keys, "ord").join(near, [*keys, "ord"], "left").select(*keys, "ord", F.coalesce("near", none).alias("near"))
+    groups = listed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ord", "near"))).alias("e"))
+    led = groups.withColumn("led", F.aggregate("e", none, lambda found, x: F.when(F.arrays_overlap(found, x["near"]), found).otherwise(F.array_append(found, x["ord"]))))
+    return led.select(*keys, F.explode("e").alias("x"), "led").select(*keys, F.col("x.ord").alias("ord"), F.coalesce(F.array_min(F.array_intersect("led", "x.near")), F.col("x.ord")).alias("leader"))
+
+
+def _leaders_by_rounds(items: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """greedy_leaders of groups of any size: rounds settle every item whose earlier neighbours are
     settled, in parallel over all groups; the number of rounds is the length of the longest undecided chain.
     """
     here = [*keys]
@@ -195,21 +328,20 @@ def greedy_leaders(items: DataFrame, pairs: DataFrame, keys: list[str]) -> DataF
 
 
 def reconcile(detections: DataFrame, groups: DataFrame, min_confidence: float = 0.5, key: str = "image") -> DataFrame:
-    """One box per group of overlapping detections: confidence-weighted and truncated, mean confidence, methods and resolutions."""
+    """One box per group of overlapping detections: confidence-weighted and truncated, mean confidence, methods, resolutions and the surest detection (best, ties to the first)."""
     d = detections.join(groups, [key, "ord"])
     c = F.col("confidence")
     one = F.count("*") == 1
     box = [F.when(one, F.first(x)).otherwise((F.sum(F.col(x) * c) / F.sum(c)).cast("bigint").cast("double")).alias(x) for x in ("x", "y", "w", "h")]
-    out = d.groupBy(key, "leader").agg(*box, F.avg("confidence").alias("mean_confidence"), F.count("*").alias("detections"), F.array_sort(F.collect_set("method")).alias("methods"), F.array_sort(F.collect_set("resolution")).alias("resolutions"))
+    out = d.groupBy(key, "leader").agg(*box, F.avg("confidence").alias("mean_confidence"), F.count("*").alias("detections"), F.array_sort(F.collect_set("method")).alias("methods"), F.array_sort(F.collect_set("resolution")).alias("resolutions"), F.max_by(F.struct(*[c for c in detections.columns if c not in (key,)]), F.struct(c, -F.col("ord"))).alias("best"))
     return out.where(F.col("mean_confidence") >= min_confidence)
 
 
 def _greedy_shades(colors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Colours with the number of their greedy group (no), and the groups' leaders."""
     shades = colors.groupBy("l", "a", "bb").agg(F.min("seq").alias("ord"))
-    cell = lambda c: F.floor(F.col(c) / (threshold * 100))
-    one = shades.select(F.col("ord").alias("o1"), F.col("l").alias("l1"), F.col("a").alias("a1"), F.col("bb").alias("b1"), cell("l").alias("_c"))
-    two = shades.select(F.col("ord").alias("o2"), F.col("l").alias("l2"), F.col("a").alias("a2"), F.col("bb").alias("b2"), F.explode(F.array(*[cell("l") + k for k in (-1, 0, 1)])).alias("_c"))
+    one = shades.select(F.col("ord").alias("o1"), F.col("l").alias("l1"), F.col("a").alias("a1"), F.col("bb").alias("b1"), color_cell(("l", "a", "bb"), threshold).alias("_c"))
+    two = shades.select(F.col("ord").alias("o2"), F.col("l").alias("l2"), F.col("a").alias("a2"), F.col("bb").alias("b2"), F.explode(cells_around(("l", "a", "bb"), threshold)).alias("_c"))
     d = F.sqrt((F.col("l1") - F.col("l2")) ** 2 + (F.col("a1") - F.col("a2")) ** 2 + (F.col("b1") - F.col("b2")) ** 2) / 100
     near = one.join(two, "_c").where("o1 < o2").where(d < threshold).select(F.lit(0).alias("g"), F.col("o1").alias("a"), F.col("o2").alias("b"))
     led = greedy_leaders(shades.select(F.lit(0).alias("g"), "ord"), near, ["g"])

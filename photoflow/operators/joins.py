@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -52,16 +53,26 @@ def overlap_pairs(detections: DataFrame, threshold: float, group: str = "image",
     return pairs.where(F.col("iou") > threshold if strict else F.col("iou") >= threshold).select(group, F.col("a_ord").alias("a"), F.col("b_ord").alias("b"), "iou")
 
 
+def color_cell(axes: tuple[str, str, str], threshold: float) -> Column:
+    """Cell of a colour in a grid whose cells are as wide as the threshold on all three axes."""
+    return F.struct(*[F.floor(F.col(c) / (threshold * 100)).alias(f"c{k}") for k, c in enumerate(axes)])
+
+
+def cells_around(axes: tuple[str, str, str], threshold: float) -> Column:
+    """The 27 cells that can hold a colour nearer than the threshold."""
+    at = [F.floor(F.col(c) / (threshold * 100)) for c in axes]
+    return F.array(*[F.struct(*[(at[k] + d).alias(f"c{k}") for k, d in enumerate(ds)]) for ds in product((-1, 0, 1), repeat=3)])
+
+
 def match_colors(colors: DataFrame, teams: DataFrame, threshold: float = 0.15) -> DataFrame:
     """Distinct (photo, team): a colour of the photo is nearer than threshold to the team's.
 
     Colours within the threshold share or neighbour a cell of that size on the first axis, so the
     comparison is an equi-join on cells and not a product.
     """
-    cell = F.floor(F.col("l") / (threshold * 100))
-    c = colors.select("photo", "l", "a", "b").withColumn("_cell", cell)
+    c = colors.select("photo", "l", "a", "b").withColumn("_cell", color_cell(("l", "a", "b"), threshold))
     t = teams.select("team", F.col("l").alias("tl"), F.col("a").alias("ta"), F.col("b").alias("tb"))
-    t = t.withColumn("_cell", F.explode(F.array(*[F.floor(F.col("tl") / (threshold * 100)) + d for d in (-1, 0, 1)])))
+    t = t.withColumn("_cell", F.explode(cells_around(("tl", "ta", "tb"), threshold)))
     d = F.sqrt((F.col("l") - F.col("tl")) ** 2 + (F.col("a") - F.col("ta")) ** 2 + (F.col("b") - F.col("tb")) ** 2) / 100
     return c.join(t, "_cell").where(d < threshold).select("photo", "team").distinct()
 
@@ -77,19 +88,19 @@ def track_nearest(balls: DataFrame, max_move: float = 50, by: str = "source") ->
 
 
 def inherit_types(tracked: DataFrame, by: str = "source") -> DataFrame:
-    """Types handed down along tracks: a ball takes its predecessor's type once that is known; sources fold in parallel."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        known: dict[int, str] = {}
-        types = []
-        for r in pdf.sort_values(["frame", "ball_id"]).itertuples():
-            kind = known.get(r.prev_id, "unknown") if not pd.isna(r.prev_id) else "unknown"
-            known[r.ball_id] = kind if kind != "unknown" else r.ball_type
-            types.append((r.ball_id, known[r.ball_id]))
-        return pd.DataFrame(types, columns=["ball_id", "tracked_type"])
-
-    kinds = tracked.select(by, "frame", "ball_id", "prev_id", "ball_type").groupBy(by).applyInPandas(fold, "ball_id long, tracked_type string")
-    return tracked.join(kinds, "ball_id")
+    """Types handed down along tracks: tracked_type is the first known type on the way from a track's start to the ball.
+
+    Every round joins each ball with what its pointer knows and doubles the pointers' reach, so a track of
+    n balls takes log2 n joins and no source is gathered in one place.
+    """
+    from photoflow.scratch import materialize
+
+    known = F.when(F.col("ball_type") != "unknown", F.col("ball_type"))
+    t = materialize(tracked.select("ball_id", F.col("prev_id").alias("ptr"), known.alias("kind")), "tracks")
+    while not t.where("ptr is not null").isEmpty():
+        back = t.select(F.col("ball_id").alias("ptr"), F.col("ptr").alias("far"), F.col("kind").alias("before"))
+        t = materialize(t.join(back, "ptr", "left").select("ball_id", F.col("far").alias("ptr"), F.coalesce("before", "kind").alias("kind")), "tracks")
+    return tracked.join(t.select("ball_id", F.coalesce("kind", F.lit("unknown")).alias("tracked_type")), "ball_id")
 
 
 def speed(dx: Column, dy: Column) -> Column:

@@ -13,12 +13,16 @@ from photoflow.plans import fixtures as X
 from photoflow.plans.registry import query
 
 
+#: cosine distance at which the given vectors form clusters
+EPS = 0.68
+
+
 def _vectors(spark, sf_dir) -> DataFrame:
-    return X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 8), lambda c: c.cast("double")).alias("v"), "label")
+    return X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda c: c.cast("double")).alias("v"), "label")
 
 
-_VEC = "vec AS (SELECT vec_id AS id, [CAST(c AS DOUBLE) FOR c IN embedding[1:8]] AS v FROM embeddings)"
-_FLAT = "flat AS (SELECT id, unnest(range(8)) AS d, unnest(v) AS x FROM vec)"
+_VEC = "vec AS (SELECT vec_id AS id, [CAST(c AS DOUBLE) FOR c IN embedding] AS v FROM embeddings)"
+_FLAT = "flat AS (SELECT id, unnest(range(len(v))) AS d, unnest(v) AS x FROM vec)"
 
 
 @query("g1_standardize", f"WITH {_VEC}, {_FLAT}, st AS (SELECT d, avg(x) AS m, stddev_pop(x) AS s FROM flat GROUP BY d) SELECT id, CAST(flat.d AS INTEGER) AS d, round((x - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 5) AS z FROM flat JOIN st ON flat.d = st.d")
@@ -38,11 +42,11 @@ final AS (SELECT vec.id, CAST(coalesce(lab.label, bor.label, -1) AS INTEGER) AS
 
 _COS = "1 - list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)))"
 _EUC = "list_distance(a.v, b.v)"
-_DB = f"WITH RECURSIVE {_VEC}, {_dbscan_sql(_COS, '0.2', 4)}"
+_DB = f"WITH RECURSIVE {_VEC}, {_dbscan_sql(_COS, str(EPS), 4)}"
 
 
 def _faces(spark, sf_dir) -> DataFrame:
-    return K.dbscan(_vectors(spark, sf_dir).select("id", "v"), 0.2, 4)
+    return K.dbscan(_vectors(spark, sf_dir).select("id", "v"), EPS, 4)
 
 
 @query("g2_dbscan_cosine", f"{_DB} SELECT id, label FROM final")
@@ -62,9 +66,17 @@ def g6(spark, sf_dir) -> DataFrame:
     return K.centroids(v, K.assemble_clusters(v, _faces(spark, sf_dir), 6)).withColumn("x", F.round("x", 6))
 
 
-@query("g8_cluster_result", f"{_DB} SELECT count(*) AS faces, count(DISTINCT label) FILTER (label >= 0) AS clusters, count(*) FILTER (label < 0) AS unclustered, 'dbscan' AS algorithm FROM final")
+@query("g8_cluster_result", f"{_DB} SELECT count(*) AS faces, count(DISTINCT label) FILTER (label >= 0) AS clusters, count(*) FILTER (label < 0) AS unclustered, 'dbscan' AS algorithm, 'eps={EPS},min_samples=4' AS parameters FROM final")
 def g8(spark, sf_dir) -> DataFrame:
-    return _faces(spark, sf_dir).agg(F.count("*").alias("faces"), F.countDistinct(F.when(F.col("label") >= 0, F.col("label"))).alias("clusters"), F.count_if(F.col("label") < 0).alias("unclustered"), F.lit("dbscan").alias("algorithm"))
+    r = K.cluster_result(_faces(spark, sf_dir), "dbscan", eps=EPS, min_samples=4)
+    return r.withColumn("parameters", F.array_join(F.transform(F.map_entries("parameters"), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
+
+
+@query("g6_cluster_members", f"{_DB}, s AS (SELECT label FROM final WHERE label >= 0 GROUP BY label HAVING count(*) >= 6) SELECT label, CAST(count(*) AS INTEGER) AS size, string_agg(id, ',' ORDER BY id) AS ids, string_agg('p' || id % 40, ',' ORDER BY id) AS paths, round(sum(id % 10) / 10.0 / count(*), 6) AS mean_confidence FROM final JOIN s USING (label) GROUP BY label")
+def g6_members(spark, sf_dir) -> DataFrame:
+    v = _vectors(spark, sf_dir).select("id", ((F.col("id") % 10) / 10).alias("confidence"), F.concat(F.lit("p"), (F.col("id") % 40).cast("string")).alias("path"))
+    m = K.cluster_members(v, K.assemble_clusters(v, _faces(spark, sf_dir), 6))
+    return m.select("label", "size", F.array_join("ids", ",").alias("ids"), F.array_join("paths", ",").alias("paths"), F.round("mean_confidence", 6).alias("mean_confidence"))
 
 
 @query("f23_cluster_stats", f"{_DB}, m AS (SELECT label AS cluster_id, id % 40 AS image, (id % 10) / 10.0 AS confidence FROM final WHERE label >= 0) SELECT cluster_id, count(*) AS faces, count(DISTINCT image) AS images, round(avg(confidence), 6) AS avg_confidence, round(count(*) * 1.0 / count(DISTINCT image), 6) AS faces_per_image FROM m GROUP BY cluster_id")
@@ -75,13 +87,12 @@ def f23(spark, sf_dir) -> DataFrame:
 
 @query("h5_sort_clusters", f"{_DB}, c AS (SELECT label, count(*) AS n FROM final WHERE label >= 0 GROUP BY label) SELECT label, n, CAST(row_number() OVER (ORDER BY n DESC, label) AS INTEGER) AS place FROM c")
 def h5(spark, sf_dir) -> DataFrame:
-    c = _faces(spark, sf_dir).where("label >= 0").groupBy("label").agg(F.count("*").alias("n"))
-    return c.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "label")))
+    return K.sort_clusters(_faces(spark, sf_dir))
 
 
 @query("g7_identical_guard", "SELECT count(DISTINCT embedding) = 1 AND count(*) > 1 AS identical FROM embeddings")
 def g7(spark, sf_dir) -> DataFrame:
-    return spark.range(1).select(F.lit(K.all_identical(_vectors(spark, sf_dir))).alias("identical"))
+    return K.all_identical(_vectors(spark, sf_dir))
 
 
 @query("g4_kmeans_faces")
@@ -89,11 +100,21 @@ def g4(spark, sf_dir) -> DataFrame:
     return K.kmeans_faces(_vectors(spark, sf_dir).select("id", "v"), 25)
 
 
+@query("g4_kmeans_faces_v1")
+def g4_v1(spark, sf_dir) -> DataFrame:
+    return K.kmeans_faces(_vectors(spark, sf_dir).select("id", "v"), 25, most=50)
+
+
 @query("g5_hierarchical_faces")
 def g5(spark, sf_dir) -> DataFrame:
     return K.hierarchical_faces(_vectors(spark, sf_dir).select("id", "v"), 25)
 
 
+@query("g5_ward_faces")
+def g5_ward(spark, sf_dir) -> DataFrame:
+    return K.hierarchical_faces(_vectors(spark, sf_dir).select("id", "v"), 25, "ward", 50)
+
+
 _IOU_PAIRS = """iou AS (SELECT a.image, a.{o} AS a, b.{o} AS b, greatest(0, least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x)) * greatest(0, least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y)) AS i, a.w * a.h + b.w * b.h AS s FROM {t} a JOIN {t} b ON a.image = b.image AND a.{o} < b.{o}),
 nb AS (SELECT image, b AS ord, list(a) AS nb FROM iou WHERE i / (s - i) {test} GROUP BY image, b), it AS (SELECT d.image, d.{o} AS ord, nb FROM {t} d LEFT JOIN nb ON nb.image = d.image AND nb.ord = d.{o}),
 r AS (SELECT DISTINCT image, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS leaders FROM {t} UNION ALL SELECT r.image, it.ord, CASE WHEN it.nb IS NOT NULL AND list_has_any(r.leaders, it.nb) THEN r.leaders ELSE list_append(r.leaders, it.ord) END FROM r JOIN it ON it.image = r.image AND it.ord = r.k + 1),
@@ -139,7 +160,7 @@ def g11(spark, sf_dir) -> DataFrame:
 
 # teams: few distinct shades, so that groups form
 _SHADES = """shades AS (SELECT l_orderkey % 3000 AS photo, CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_discount, l_tax, l_shipdate) AS BIGINT) AS seq,
-  CAST(l_partkey % 8 * 12 AS INTEGER) AS r, CAST(l_suppkey % 8 * 14 AS INTEGER) AS g, CAST(l_linenumber * 12 AS INTEGER) AS b, l_discount * 10 AS percentage FROM lineitem WHERE l_returnflag = 'R'),
+  CAST(l_partkey % 8 * 12 AS INTEGER) AS r, CAST(l_suppkey % 8 * 14 AS INTEGER) AS g, CAST(l_linenumber * 12 AS INTEGER) AS b, l_discount * 10 AS percentage FROM lineitem),
 lab AS (SELECT *, (r / 255.0 * 0.299 + g / 255.0 * 0.587 + b / 255.0 * 0.114) * 255 AS l, (r / 255.0 - g / 255.0) * 0.5 * 255 AS a, (r / 255.0 + g / 255.0 - b / 255.0 * 2) * 0.25 * 255 AS bb FROM shades)"""
 
 
@@ -147,7 +168,7 @@ def _shades(spark, sf_dir) -> DataFrame:
     from photoflow.operators.graph import running_total
 
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
-    t = X.table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(*order, F.lit(1).alias("one"))
+    t = X.table(spark, sf_dir, "lineitem").select(*order, F.lit(1).alias("one"))
     t = running_total(t, order, {"seq": "one"}, "colors")
     c = t.selectExpr("l_orderkey % 3000 as photo", "seq + 1 as seq", "cast(l_partkey % 8 * 12 as int) as r", "cast(l_suppkey % 8 * 14 as int) as g", "cast(l_linenumber * 12 as int) as b", "l_discount * 10 as percentage")
     l, a, b = C.rgb_to_lab((F.col("r"), F.col("g"), F.col("b")))  # noqa: E741

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from photoflow.operators import cluster, graph, joins, sessions
@@ -151,3 +152,97 @@ def test_detectors(spark):
     got = {r.image: (r.success, r.n, r.error) for r in d.run("x", images, n=5, extra=1).collect()}
     assert got[3] == (False, None, "broken") and got[1] == (True, 5, None)
     assert not d.run("y", images).first().success
+
+
+def linked(x, k, linkage):
+    """One-by-one agglomeration into k clusters, distances of clusters taken over all pairs of their members."""
+    groups = [[i] for i in range(len(x))]
+
+    def between(a, b):
+        if linkage == "average":
+            u = x / np.linalg.norm(x, axis=1, keepdims=True)
+            return np.mean([1 - u[i] @ u[j] for i in a for j in b])
+        return np.sqrt(2 * len(a) * len(b) / (len(a) + len(b))) * np.linalg.norm(x[a].mean(0) - x[b].mean(0))
+
+    while len(groups) > k:
+        _, i, j = min((between(groups[i], groups[j]), i, j) for i in range(len(groups)) for j in range(i))
+        groups[j] += groups.pop(i)
+    return {frozenset(g) for g in groups}
+
+
+@pytest.mark.parametrize("block", [15, 1000])
+def test_hierarchical_faces(spark, monkeypatch, block):
+    monkeypatch.setattr(cluster, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 0.4, (n, 5)) + rng.normal(0, 1, 5) for n in (12, 5, 9, 14)])
+    x[3] = x[2]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    for linkage, most, k in (("average", None, 5), ("ward", None, 5), ("ward", 3, 3)):
+        got = cluster.hierarchical_faces(v, 8, linkage, most).collect()
+        groups = {}
+        for r in got:
+            groups.setdefault(r.label, set()).add(r.id)
+        assert len(got) == len(x) and sorted(groups) == list(range(k))
+        assert {frozenset(g) for g in groups.values()} == linked(x, k, linkage), linkage
+    assert {r.label for r in cluster.hierarchical_faces(v.limit(5), 8).collect()} == {0}
+    assert cluster.hierarchical_faces(v.limit(0), 8).count() == 0
+
+
+def test_kmeans_faces(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 0.1, (30, 4)) + c for c in ([0, 0, 0, 0], [5, 0, 0, 0], [0, 5, 0, 5])])
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>")
+    for kw, k in (({}, 3), ({"most": 50}, 3), ({"most": 2}, 2)):
+        got = {r.id: r.label for r in cluster.kmeans_faces(v, 30, **kw).collect()}
+        assert len(got) == 90 and len(set(got.values())) == k
+        if k == 3:
+            assert all(len({got[i] for i in range(s, s + 30)}) == 1 for s in (0, 30, 60))
+    assert (cluster.clusters_wanted(1000, 5, 50), cluster.clusters_wanted(6, 5, 50), cluster.clusters_wanted(1000, 5), cluster.clusters_wanted(3, 5)) == (50, 2, 200, 1)
+
+
+def test_dominant_colors(spark):
+    rng = np.random.default_rng(6)
+    rows = [(im, *(np.array(c) + rng.integers(-3, 4, 3)).tolist()) for im in (1, 2) for c, n in (((200, 20, 20), 60), ((20, 200, 20), 30), ((20, 20, 200), 10)) for _ in range(n)]
+    got = cluster.dominant_colors(spark.createDataFrame(rows, "image long, r int, g int, b int"), k=3).collect()
+    for im in (1, 2):
+        own = sorted((r for r in got if r.image == im), key=lambda r: r.cluster)
+        assert abs(sum(r.share for r in own) - 1) < 1e-9 and [r.share for r in own] == sorted((r.share for r in own), reverse=True)
+        # every pixel counts for the nearest centre, and each centre is the mean of its pixels
+        p = np.array([x[1:] for x in rows if x[0] == im], float)
+        c = np.array([(r.r, r.g, r.b) for r in own])
+        near = ((p[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        for k, r in enumerate(own):
+            assert abs((near == k).mean() - r.share) < 1e-9 and np.allclose(p[near == k].mean(0), c[k])
+
+
+def test_leaders_by_fold_and_by_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    items = [(g, i) for g in range(4) for i in range(rng.randrange(1, 40))]
+    pairs = [(g, a, b) for g, a in items for h, b in items if g == h and a < b and rng.random() < 0.2]
+    t, p = spark.createDataFrame(items, "g long, ord long"), spark.createDataFrame(pairs, "g long, a long, b long")
+    folded = sorted(map(tuple, cluster.greedy_leaders(t, p, ["g"]).collect()))
+    for small in (0, 20):
+        monkeypatch.setattr(cluster, "SMALL", small)
+        assert sorted(map(tuple, cluster.greedy_leaders(t, p, ["g"]).collect())) == folded
+    for g in range(4):
+        led = []
+        for _, i in sorted(x for x in items if x[0] == g):
+            before = [a for h, a, b in pairs if h == g and b == i and a in led]
+            if not before:
+                led.append(i)
+            assert (g, i, min(before, default=i)) in folded
+
+
+def test_inherited_types(spark):
+    rng = random.Random(2)
+    rows = []
+    for s in "ab":
+        for f in range(30):
+            for k in range(4):
+                rows.append((f"{s}{f}-{k}", s, f, f"{s}{f - 1}-{rng.randrange(5)}" if f and rng.random() < 0.9 else None, rng.choice(["unknown", "unknown", "football", "tennis"])))
+    known = {}
+    for i, _, _, prev, kind in sorted(rows, key=lambda r: r[2]):
+        before = known.get(prev, "unknown") if prev else "unknown"
+        known[i] = before if before != "unknown" else kind
+    t = spark.createDataFrame(rows, "ball_id string, source string, frame int, prev_id string, ball_type string")
+    assert {r.ball_id: r.tracked_type for r in joins.inherit_types(t).collect()} == known
