@@ -2,9 +2,11 @@
 
 Vectors with one label are dealt into overlapping clusters around sampled centers, again and again until
 every cluster is small. In each cluster every vector gets its nearest neighbours, pruned so that those
-kept point in different directions; the lists of all clusters are united. The search for a vector starts
-at the medoid of its home cluster and at the vector itself, walks greedily towards it and then expands
-everything within the range (and a margin); the cosine of what it meets is computed in double precision.
+kept point in different directions; the lists of all clusters are united into one graph. The search for a
+vector starts at the medoid of its home cluster and at the vector itself, walks greedily towards it and
+then expands everything within the range (and a margin); the cosine of what it meets is computed in double
+precision. Where an edge of what was found leads out of the home cluster and may reach the range, the search
+goes on over the united graph, in rounds of joins over all vectors at once.
 Equal vectors are one node with a weight, so a group of copies costs one search. Clusters that no centers
 split are compared whole, block against block.
 """
@@ -37,7 +39,9 @@ def _nodes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> tup
     t = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
     good = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
     takes = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & good, F.lit(False))
-    t = t.withColumn("key", F.when(takes, F.xxhash64("label", "v")))
+    # 128 bits name a vector of a label
+    name = F.concat_ws(":", F.hex(F.xxhash64("label", "v")), F.hex(F.xxhash64(F.lit(1), "v", "label")))
+    t = t.withColumn("key", F.when(takes, name))
     nodes = t.where("key is not null").groupBy("key", "label", "v").agg(F.min("id").alias("cid"), F.count("*").alias("mult"))
     top = F.array_max(F.transform("v", F.abs))
     scaled = F.transform("v", lambda c: c / F.col("top"))
@@ -95,7 +99,7 @@ def _split(members: DataFrame, centers: DataFrame) -> DataFrame:
                     [pa.array([f"{sid}/{c}" for c in near.ravel()[kept]]), *[m.field(c).take(take) for c in ("key", "cid", "mult")], pa.array(home), m.field("v").take(take)], names=["sid", "key", "cid", "mult", "home", "v"]
                 )
 
-    return blocks.join(centers, "sid").select("sid", "m", "centers").mapInArrow(run, "sid string, key long, cid long, mult long, home boolean, v array<double>")
+    return blocks.join(centers, "sid").select("sid", "m", "centers").mapInArrow(run, "sid string, key string, cid long, mult long, home boolean, v array<double>")
 
 
 def clusters(nodes: DataFrame) -> DataFrame:
@@ -195,31 +199,46 @@ def pruned_neighbours(x: np.ndarray) -> list[np.ndarray]:
 
 
 def _edges(table: pa.Table) -> pa.Table:
-    """Pruned lists in both directions: a vector that nobody keeps is reached through those that it keeps."""
-    cid = table.column("cid").to_numpy()
-    lists = pruned_neighbours(_matrix(table.column("v"))) if len(cid) > 1 else []
+    """Pruned lists in both directions, with cosines: a vector that nobody keeps is reached through those that it keeps."""
+    cid, x = table.column("cid").to_numpy(), _matrix(table.column("v"))
+    lists = pruned_neighbours(x) if len(cid) > 1 else []
     src = np.repeat(np.arange(len(lists)), [len(x) for x in lists]).astype(np.int64)
     dst = np.concatenate([*lists, np.zeros(0, np.int64)]).astype(np.int64)
     both = np.unique(np.concatenate([src * len(cid) + dst, dst * len(cid) + src])) if len(src) else src
     one, other = both // max(1, len(cid)), both % max(1, len(cid))
-    cuts = np.searchsorted(one, np.arange(len(lists) + 1))
-    near = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(cid[other]))
-    return pa.table({"cid": cid[: len(lists)], "near": near})
+    cos = np.concatenate([np.einsum("ij,ij->i", x[one[s : s + 65536]], x[other[s : s + 65536]]) for s in range(0, len(one), 65536)] or [np.zeros(0)])
+    cuts = np.searchsorted(one, np.arange(len(lists) + 1)).astype(np.int32)
+    edges = pa.StructArray.from_arrays([pa.array(cid[other]), pa.array(cos)], ["to", "cos"])
+    return pa.table({"cid": cid[: len(lists)], "near": pa.ListArray.from_arrays(pa.array(cuts), edges)})
+
+
+def _may_reach(to_x, edge, limit: float):
+    """Whether a vector at cosine `edge` from one at cosine `to_x` may lie within the limit (angles add up at most)."""
+    angle = lambda c: np.arccos(np.clip(c, -1, 1))
+    return angle(edge) <= angle(to_x) + np.arccos(limit) + 1e-9
 
 
 def _search(table: pa.Table, limit: float) -> pa.Table:
-    """Range search for every vector at home in the cluster: weight in range, and links enough to connect what is linked."""
+    """Range search for every vector at home in the cluster: weight in range, and links enough to connect what is linked.
+
+    Rows with `beyond` are vectors outside the cluster that an edge of what was found may reach.
+    """
     table = table.sort_by("cid")
     cid, mult, home, x = table.column("cid").to_numpy(), table.column("mult").to_numpy(), table.column("home").to_numpy(), _matrix(table.column("v"))
     n = len(cid)
     lists = table.column("near").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     lens = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    named = lists.flatten().to_numpy(zero_copy_only=False)
+    edges = lists.flatten()
+    named, edge = edges.field("to").to_numpy(zero_copy_only=False), edges.field("cos").to_numpy(zero_copy_only=False)
     at = np.minimum(np.searchsorted(cid, named), n - 1)
     inside = cid[at] == named  # the list also names members of other clusters
     flat = at[inside]
-    off = np.append(0, np.cumsum(inside))[np.append(0, np.cumsum(lens))]
+    ends = np.append(0, np.cumsum(lens)).astype(np.int64)
+    off = np.append(0, np.cumsum(inside))[ends]
+    out = ~inside & (edge >= np.cos(min(np.pi, 2 * np.arccos(limit - MARGIN))))
+    out_to, out_cos, out_off = named[out], edge[out], np.append(0, np.cumsum(out))[ends]
+    beyond: list[tuple[np.ndarray, np.ndarray]] = []
 
     def around(front: np.ndarray, seen: np.ndarray) -> np.ndarray:
         size = off[front + 1] - off[front]
@@ -261,6 +280,12 @@ def _search(table: pa.Table, limit: float) -> pa.Table:
             cos = x[new] @ x[q]
             found, value = np.append(found, new), np.append(value, cos)
             frontier = new[cos >= limit - MARGIN]
+        wide = value >= limit - MARGIN
+        size = out_off[found[wide] + 1] - out_off[found[wide]]
+        if size.any():
+            rows = np.repeat(out_off[found[wide]] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            other = np.unique(out_to[rows][_may_reach(np.repeat(value[wide], size), out_cos[rows], limit)])
+            beyond.append((np.full(len(other), cid[q]), other))
         inside = found[(value >= limit) & (found != q)]
         links[q] = mult[inside].sum() + mult[q] - 1
         roots = {root(int(r)) for r in np.unique(parent[np.append(inside, q)])}
@@ -268,7 +293,41 @@ def _search(table: pa.Table, limit: float) -> pa.Table:
         for r in roots:
             parent[r] = low
     top = np.array([root(i) for i in range(n)], int)
-    return pa.table({"cid": cid, "n_links": np.where(home, links, -1), "with": cid[top]})
+    asked = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in beyond)])
+    other = np.concatenate([np.zeros(0, np.int64), *(y for _, y in beyond)])
+    return pa.table({
+        "cid": np.append(cid, asked), "n_links": np.append(np.where(home, links, -1), np.full(len(asked), -1)), "with": np.append(cid[top], asked),
+        "beyond": pa.array(np.append(np.zeros(n, np.int64), other), mask=np.arange(n + len(asked)) < n),
+    })
+
+
+def _beyond(asked: DataFrame, nodes: DataFrame, graph: DataFrame, members: DataFrame, limit: float) -> DataFrame:
+    """(cid, n_links, with): what the search finds outside the home clusters, from (q, y) on, one row per link.
+
+    Every round scores its pairs, and follows the edges of those in range (and the margin) to vectors that
+    the query has met neither in its cluster nor here.
+    """
+    at_home = members.where("home").select(F.col("cid").alias("q"), "sid")
+    inside = members.select("sid", F.col("cid").alias("y"))
+    new, seen, hits = asked, asked, None
+    while not new.isEmpty():
+        q, y = nodes.select(F.col("cid").alias("q"), F.col("v").alias("qv")), nodes.select(F.col("cid").alias("y"), F.col("v").alias("yv"), "mult")
+        cos = F.aggregate(F.zip_with("qv", "yv", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        near = materialize(new.join(q, "q").join(y, "y").select("q", "y", "mult", cos.alias("cos")).where(F.col("cos") >= limit - MARGIN), "near-beyond")
+        hits = near if hits is None else hits.unionByName(near)
+        step = near.join(graph.withColumnRenamed("cid", "y"), "y").select("q", "cos", F.explode("near").alias("e"))
+        reach = F.acos(F.least(F.col("e.cos"), F.lit(1.0))) <= F.acos(F.least(F.col("cos"), F.lit(1.0))) + float(np.arccos(limit)) + 1e-9
+        step = step.where(reach).select("q", F.col("e.to").alias("y")).where("q <> y").distinct()
+        step = step.join(at_home, "q").join(inside, ["sid", "y"], "left_anti").select("q", "y").join(seen, ["q", "y"], "left_anti")
+        new = materialize(step, "beyond")
+        seen = seen.unionByName(new)
+    if hits is None:
+        return asked.select(F.col("q").alias("cid"), F.lit(0).cast("long").alias("n_links"), F.col("y").alias("with"))
+    links = hits.where(F.col("cos") >= limit).select("q", "y")
+    # a link that only one of the two has found counts for the other too, unless it was met at home
+    back = links.select(F.col("y").alias("q"), F.col("q").alias("y")).join(at_home, "q").join(inside, ["sid", "y"], "left_anti").select("q", "y")
+    weight = nodes.select(F.col("cid").alias("y"), F.col("mult").alias("n_links"))
+    return links.unionByName(back).distinct().join(weight, "y").select(F.col("q").alias("cid"), "n_links", F.col("y").alias("with"))
 
 
 def components(vectors: DataFrame, limit: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -283,12 +342,20 @@ def components(vectors: DataFrame, limit: float = 0.93, id_col: str = "vec_id",
     nodes = materialize(nodes, "nodes")
     every = clusters(nodes)
     members = every.where("not whole").drop("whole")
-    near = members.groupBy("sid").applyInArrow(_edges, "cid long, near array<long>")
+    near = members.groupBy("sid").applyInArrow(_edges, "cid long, near array<struct<to:bigint,cos:double>>")
     united = materialize(near.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    found = members.join(united, "cid", "left").groupBy("sid").applyInArrow(lambda t: _search(t, limit), "cid long, n_links long, with long")
+    searched = members.join(united, "cid", "left").groupBy("sid").applyInArrow(lambda t: _search(t, limit), "cid long, n_links long, with long, beyond long")
+    searched = materialize(searched, "searched")
+    found = searched.where("beyond is null").drop("beyond")
+    asked = materialize(searched.where("beyond is not null").select(F.col("cid").alias("q"), F.col("beyond").alias("y")).distinct(), "asked")
+    further = materialize(_beyond(asked, nodes, united, members, limit), "found-beyond")
     whole = every.where("whole").drop("whole")
     if not whole.isEmpty():
         found = found.unionByName(_compared(whole, limit))
+    # links found beyond count for those that asked, and connect
+    more = further.groupBy("cid").agg(F.sum("n_links").alias("more"))
+    found = found.join(more, "cid", "left").withColumn("n_links", F.when(F.col("n_links") >= 0, F.col("n_links") + F.coalesce("more", F.lit(0))).otherwise(F.col("n_links"))).drop("more")
+    found = found.unionByName(further.select("cid", F.lit(-1).cast("long").alias("n_links"), "with"))
     found = materialize(found, "found")
     comp = connected_components(found.where("cid <> with"), "cid", "with")
     of_node = nodes.select("key", "cid").join(found.where("n_links >= 0").select("cid", "n_links"), "cid").join(comp, F.col("cid") == F.col("node"), "left")

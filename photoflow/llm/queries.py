@@ -68,6 +68,14 @@ def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.components(_table(spark, sf_dir, "embeddings"), limit=0.93)
 
 
+def near_vectors_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of every twentieth vector as op5 reports them and by comparing them with all rows of their label."""
+    from photoflow.llm import near_vectors
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return near_vectors.audit(vectors, near_vectors.components(vectors, limit=0.93))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from photoflow.llm import token_files
 
@@ -146,6 +154,7 @@ def queries() -> dict[str, Query]:
         "op9_exact_topk": op9_exact_topk,
         "op10_jaccard_join": op10_jaccard_join,
         "pipeline": pipeline,
+        "near_vectors_audit": near_vectors_audit,
     }
 
 

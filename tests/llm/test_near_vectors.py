@@ -1,6 +1,6 @@
 import numpy as np
 
-from photoflow.llm import near_vectors
+from photoflow.llm import near_vectors, queries
 
 
 def brute(rows, limit=0.93):
@@ -57,6 +57,44 @@ def test_overlapping_clusters_recall(spark, monkeypatch):
     assert all(got[d].n_links <= n for d, n, _ in want if d is not None)
 
 
+def test_the_search_leaves_its_cluster(spark, monkeypatch):
+    """Chains of near vectors through many small clusters: most links cross, and are found over the united graph."""
+    monkeypatch.setattr(near_vectors, "CLUSTER", 40)
+    monkeypatch.setattr(near_vectors, "BLOCK", 30)
+    monkeypatch.setattr(near_vectors, "OVERLAP", 2)
+    monkeypatch.setattr(near_vectors, "DEGREE", 8)
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(6):
+        at = rng.standard_normal(8)
+        for i in range(100):
+            at = at / np.linalg.norm(at) + rng.standard_normal(8) * 0.07
+            rows.append((k * 100 + i, at.tolist(), 1))
+    reached = []
+    beyond = near_vectors._beyond
+
+    def watched(asked, *rest):
+        out = beyond(asked, *rest)
+        reached.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_vectors, "_beyond", watched)
+    got = {r.vec_id: r for r in near_vectors.components(frame(spark, rows)).collect()}
+    want = brute(rows)
+    links, true = sum(got[d].n_links for d, *_ in want), sum(n for _, n, _ in want)
+    print("links", true, "found", links, "beyond", reached)
+    assert all(got[d].n_links <= n for d, n, _ in want)
+    assert links >= 0.95 * true and reached[0] > 0.02 * true
+
+
+def test_long_vectors(spark):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((12, 20_000))
+    rows = [(i, (x[i % 6] + (0.05 * x[i] if i >= 6 else 0)).tolist(), 1) for i in range(12)]
+    got = near_vectors.components(frame(spark, rows)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute(rows))
+
+
 def test_table_and_audit(spark):
     t = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     got = near_vectors.components(t)
@@ -64,6 +102,8 @@ def test_table_and_audit(spark):
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == sorted(brute(rows))
     a = near_vectors.audit(t, got).first()
     assert a.found == a.true
+    q = queries.near_vectors_audit(spark, "/root/testdata/sf0.01").first()
+    assert (q.found, q.true) == (a.found, a.true)
 
 
 def test_a_tight_group_is_compared_whole(spark):
