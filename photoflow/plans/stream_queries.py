@@ -1,14 +1,16 @@
-"""Games on a stream of the given events."""
+"""Documents, games and tracks on streams of the given tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from photoflow.plans import fixtures as X
 from photoflow.plans.registry import query
 from photoflow.plans.session_queries import _games_sql
+from photoflow.plans.table_queries import TRACK_SQL, balls, customer_documents
 from photoflow.scratch import new_path
+from photoflow.sources.sidecars import write_files
 from photoflow.streaming import streams
 
 
@@ -21,3 +23,26 @@ def k2(spark, sf_dir) -> DataFrame:
     games = streams.sessionize_stream(photos, ["source"], 30, 30)
     streams.run_available(games, f"{out}-checkpoint", lambda b, _: b.write.mode("overwrite").parquet(out), mode="complete")
     return spark.read.parquet(out).select("source", F.unix_micros("start_time").alias("start_time"), F.unix_micros("end_time").alias("end_time"), "photo_count")
+
+
+@query("k1_ingest_sidecars", "SELECT c_custkey AS image, 'face_detection' AS op, true AS success FROM customer WHERE c_custkey % 7 <> 0")
+def k1(spark, sf_dir) -> DataFrame:
+    """A document per customer as a file; two runs take all of them once, broken ones give no row."""
+    out = new_path(spark, "ingest")
+    write_files(customer_documents(spark, sf_dir), f"{out}/in", "name", F.col("doc"))
+    for _ in range(2):
+        streams.ingest_sidecars(spark, f"{out}/in", f"{out}/operations", f"{out}/checkpoint")
+    return streams.ingested(spark, f"{out}/operations").select(F.regexp_extract("path", r"([0-9]+)\.json$", 1).cast("long").alias("image"), "op", "success")
+
+
+@query("k3_track_stream", f"{TRACK_SQL} SELECT ball_id, coalesce(prev_id, -1) AS prev_id, round(coalesce(dx, 0), 6) AS dx, round(coalesce(dy, 0), 6) AS dy FROM f LEFT JOIN m USING (ball_id)")
+def k3(spark, sf_dir) -> DataFrame:
+    """The given events as balls on a stream, frame by frame."""
+    out = new_path(spark, "tracks")
+    frame = F.dense_rank().over(Window.partitionBy("source").orderBy("ts")).cast("long")
+    balls(spark, sf_dir).withColumn("frame", frame).drop("ts").write.parquet(f"{out}/balls")
+    schema = spark.read.parquet(f"{out}/balls").schema
+    stream = spark.readStream.schema(schema).parquet(f"{out}/balls")
+    streams.run_available(streams.track_stream(stream), f"{out}/checkpoint", lambda b, n: b.write.mode("overwrite").parquet(f"{out}/found/batch={n}"))
+    t = spark.read.parquet(f"{out}/found")
+    return t.select("ball_id", F.coalesce("prev_id", F.lit(-1)).alias("prev_id"), F.round(F.coalesce("dx", F.lit(0.0)), 6).alias("dx"), F.round(F.coalesce("dy", F.lit(0.0)), 6).alias("dy"))

@@ -117,30 +117,30 @@ def d6(spark, sf_dir) -> DataFrame:
 _BALLS = "balls AS (SELECT event_id AS ball_id, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS source, date_trunc('hour', ts) AS ts, user_id * 1.0 AS cx, value AS cy, CASE event_id % 4 WHEN 0 THEN 'soccer' WHEN 1 THEN 'tennis' ELSE 'unknown' END AS ball_type FROM events)"
 
 
-def _balls(spark, sf_dir) -> DataFrame:
+def balls(spark, sf_dir) -> DataFrame:
     return X.table(spark, sf_dir, "events").selectExpr("event_id as ball_id", "if(user_id % 2 = 0, 'even', 'odd') as source", "date_trunc('hour', cast(ts as timestamp)) as ts", "user_id * 1D as cx", "value as cy", "case event_id % 4 when 0 then 'soccer' when 1 then 'tennis' else 'unknown' end as ball_type")
 
 
-_TRACK = f"""WITH RECURSIVE {_BALLS}, f AS (SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY ts) AS frame FROM balls),
+TRACK_SQL = f"""WITH RECURSIVE {_BALLS}, f AS (SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY ts) AS frame FROM balls),
 d AS (SELECT c.ball_id, p.ball_id AS prev_id, c.cx - p.cx AS dx, c.cy - p.cy AS dy, sqrt((c.cx - p.cx) * (c.cx - p.cx) + (c.cy - p.cy) * (c.cy - p.cy)) AS dist FROM f c JOIN f p ON c.source = p.source AND c.frame = p.frame + 1),
 m AS (SELECT ball_id, arg_min(prev_id, (dist, prev_id)) AS prev_id, arg_min(dx, (dist, prev_id)) AS dx, arg_min(dy, (dist, prev_id)) AS dy FROM d WHERE dist < 50 GROUP BY ball_id)"""
 
 
-@query("d8_track_nearest_previous", f"{_TRACK} SELECT ball_id, coalesce(prev_id, -1) AS prev_id, round(coalesce(dx, 0), 6) AS dx, round(coalesce(dy, 0), 6) AS dy FROM f LEFT JOIN m USING (ball_id)")
+@query("d8_track_nearest_previous", f"{TRACK_SQL} SELECT ball_id, coalesce(prev_id, -1) AS prev_id, round(coalesce(dx, 0), 6) AS dx, round(coalesce(dy, 0), 6) AS dy FROM f LEFT JOIN m USING (ball_id)")
 def d8(spark, sf_dir) -> DataFrame:
-    t = J.track_nearest(_balls(spark, sf_dir))
+    t = J.track_nearest(balls(spark, sf_dir))
     return t.select("ball_id", F.coalesce("prev_id", F.lit(-1)).alias("prev_id"), F.round(F.coalesce("dx", F.lit(0.0)), 6).alias("dx"), F.round(F.coalesce("dy", F.lit(0.0)), 6).alias("dy"))
 
 
-@query("d8_inherited_types", f"""{_TRACK}, r AS (SELECT ball_id, ball_type AS t, frame FROM f WHERE ball_id NOT IN (SELECT ball_id FROM m)
+@query("d8_inherited_types", f"""{TRACK_SQL}, r AS (SELECT ball_id, ball_type AS t, frame FROM f WHERE ball_id NOT IN (SELECT ball_id FROM m)
  UNION ALL SELECT m.ball_id, CASE WHEN r.t <> 'unknown' THEN r.t ELSE f.ball_type END, f.frame FROM r JOIN m ON m.prev_id = r.ball_id JOIN f ON f.ball_id = m.ball_id) SELECT ball_id, t AS tracked_type FROM r""")
 def d8b(spark, sf_dir) -> DataFrame:
-    return J.inherit_types(J.track_nearest(_balls(spark, sf_dir))).select("ball_id", "tracked_type")
+    return J.inherit_types(J.track_nearest(balls(spark, sf_dir))).select("ball_id", "tracked_type")
 
 
-@query("d9_speed_from_motion", f"{_TRACK} SELECT ball_id, round(sqrt(dx * dx + dy * dy), 6) AS speed FROM m")
+@query("d9_speed_from_motion", f"{TRACK_SQL} SELECT ball_id, round(sqrt(dx * dx + dy * dy), 6) AS speed FROM m")
 def d9(spark, sf_dir) -> DataFrame:
-    t = J.track_nearest(_balls(spark, sf_dir)).where("prev_id is not null")
+    t = J.track_nearest(balls(spark, sf_dir)).where("prev_id is not null")
     return t.select("ball_id", F.round(J.speed(F.col("dx"), F.col("dy")), 6).alias("speed"))
 
 
@@ -313,15 +313,19 @@ def a1(spark, sf_dir) -> DataFrame:
 _CUSTOMER_DOC = '{"sidecar_info":{"operation_type":"face_detection"},"face_detection":{"success":true,"count":%d'
 
 
+def customer_documents(spark, sf_dir) -> DataFrame:
+    """(name, doc): a document per customer, every seventh cut off."""
+    doc = F.concat(F.format_string(_CUSTOMER_DOC, "c_nationkey"), F.when(F.col("c_custkey") % 7 == 0, "").otherwise("}}"))
+    return X.table(spark, sf_dir, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit(".json")).alias("name"), doc.alias("doc"))
+
+
 @query("a3_read_sidecars", f"SELECT c_custkey AS image, printf('{_CUSTOMER_DOC}', c_nationkey) || CASE WHEN c_custkey % 7 = 0 THEN '' ELSE '}}}}' END AS doc, c_custkey % 7 <> 0 AS valid FROM customer")
 def a3(spark, sf_dir) -> DataFrame:
     """A document per customer as a file of its own, read again; broken ones stay as rows."""
     from photoflow.scratch import new_path
 
-    doc = F.concat(F.format_string(_CUSTOMER_DOC, "c_nationkey"), F.when(F.col("c_custkey") % 7 == 0, "").otherwise("}}"))
-    c = X.table(spark, sf_dir, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit(".json")).alias("name"), doc.alias("doc"))
     root = new_path(spark, "documents")
-    S.write_files(c, root, "name", F.col("doc"))
+    S.write_files(customer_documents(spark, sf_dir), root, "name", F.col("doc"))
     return S.read_sidecars(spark, root).select(F.regexp_extract("path", r"([0-9]+)\.json$", 1).cast("long").alias("image"), "doc", "valid")
 
 
