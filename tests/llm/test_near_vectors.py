@@ -65,11 +65,11 @@ def test_the_search_leaves_its_cluster(spark, monkeypatch):
     monkeypatch.setattr(near_vectors, "DEGREE", 8)
     rng = np.random.default_rng(11)
     rows = []
-    for k in range(6):
+    for k in range(3):
         at = rng.standard_normal(8)
-        for i in range(100):
+        for i in range(60):
             at = at / np.linalg.norm(at) + rng.standard_normal(8) * 0.07
-            rows.append((k * 100 + i, at.tolist(), 1))
+            rows.append((k * 60 + i, at.tolist(), 1))
     reached = []
     beyond = near_vectors._beyond
 
@@ -89,7 +89,7 @@ def test_the_search_leaves_its_cluster(spark, monkeypatch):
 
 def test_long_vectors(spark):
     rng = np.random.default_rng(12)
-    x = rng.standard_normal((12, 20_000))
+    x = rng.standard_normal((12, 5_000))
     rows = [(i, (x[i % 6] + (0.05 * x[i] if i >= 6 else 0)).tolist(), 1) for i in range(12)]
     got = near_vectors.components(frame(spark, rows)).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == sorted(brute(rows))
