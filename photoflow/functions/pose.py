@@ -29,8 +29,8 @@ def pose_confidence(points: Column) -> Column:
     return F.when(F.size(arms) > 0, _mean(arms)).when(F.size(points) > 0, _mean(every)).otherwise(F.lit(0.0))
 
 
-def upper_body_box(points: Column, w: Column, h: Column, threshold: float = 0.7) -> tuple[Column, Column, Column, Column]:
-    """Padded pixel box of the confident upper-body points (ratios), the whole image without any."""
+def upper_body(points: Column, w: Column, h: Column, threshold: float = 0.7) -> Column:
+    """Padded pixel box (struct x, y, w, h) of the confident upper-body points (ratios), the whole image without any."""
     sure = [(_at(points, k), _at(points, k)["confidence"] > threshold) for k in UPPER_BODY]
     # nulls are passed over by least and greatest; the ends are computed once, as one value
     ends = {f"{e}{part}": f(*[F.when(ok, p[part]) for p, ok in sure]) for e, f in (("low", F.least), ("high", F.greatest)) for part in "xy"}
@@ -47,7 +47,12 @@ def upper_body_box(points: Column, w: Column, h: Column, threshold: float = 0.7)
         pick = lambda a, b, name: F.when(s["some"], a).otherwise(b).alias(name)
         return F.struct(pick(x1, F.lit(0), "x"), pick(y1, F.lit(0), "y"), pick(x2 - x1, w, "w"), pick(y2 - y1, h, "h"))
 
-    found = F.transform(F.array(spans), box)[0]
+    return F.transform(F.array(spans), box)[0]
+
+
+def upper_body_box(points: Column, w: Column, h: Column, threshold: float = 0.7) -> tuple[Column, Column, Column, Column]:
+    """The four sides of upper_body; a column of the struct itself is computed once for all four."""
+    found = upper_body(points, w, h, threshold)
     return found["x"], found["y"], found["w"], found["h"]
 
 

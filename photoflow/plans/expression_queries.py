@@ -258,11 +258,15 @@ def _edge(part: str, n: int, pad: float, low: bool) -> str:
     return f"greatest(0, CAST(trunc(({lo} - ({hi} - {lo}) * {pad}) * {n}) AS BIGINT))" if low else f"least({n}, CAST(trunc(({hi} + ({hi} - {lo}) * {pad}) * {n}) AS BIGINT))"
 
 
-_expressions("b24_upper_body_box", _MEAS, _poses, _MK, {
-    "x": (lambda: P.upper_body_box(F.col("points"), F.lit(640), F.lit(480))[0].cast("long"), f"CAST(coalesce({_edge('x', 640, 0.2, True)}, 0) AS BIGINT)"),
-    "y": (lambda: P.upper_body_box(F.col("points"), F.lit(640), F.lit(480))[1].cast("long"), f"CAST(CASE WHEN {_ext('least', 'x')} IS NULL THEN 0 ELSE {_edge('y', 480, 0.3, True)} END AS BIGINT)"),
-    "w": (lambda: P.upper_body_box(F.col("points"), F.lit(640), F.lit(480))[2].cast("long"), f"CAST(CASE WHEN {_ext('least', 'x')} IS NULL THEN 640 ELSE {_edge('x', 640, 0.2, False)} - {_edge('x', 640, 0.2, True)} END AS BIGINT)"),
-    "h": (lambda: P.upper_body_box(F.col("points"), F.lit(640), F.lit(480))[3].cast("long"), f"CAST(CASE WHEN {_ext('least', 'x')} IS NULL THEN 480 ELSE {_edge('y', 480, 0.3, False)} - {_edge('y', 480, 0.3, True)} END AS BIGINT)"),
+def _upper(spark, sf_dir) -> DataFrame:
+    return _poses(spark, sf_dir).withColumn("box", P.upper_body(F.col("points"), F.lit(640), F.lit(480)))
+
+
+_expressions("b24_upper_body_box", _MEAS, _upper, _MK, {
+    "x": (lambda: F.col("box.x").cast("long"), f"CAST(coalesce({_edge('x', 640, 0.2, True)}, 0) AS BIGINT)"),
+    "y": (lambda: F.col("box.y").cast("long"), f"CAST(CASE WHEN {_ext('least', 'x')} IS NULL THEN 0 ELSE {_edge('y', 480, 0.3, True)} END AS BIGINT)"),
+    "w": (lambda: F.col("box.w").cast("long"), f"CAST(CASE WHEN {_ext('least', 'x')} IS NULL THEN 640 ELSE {_edge('x', 640, 0.2, False)} - {_edge('x', 640, 0.2, True)} END AS BIGINT)"),
+    "h": (lambda: F.col("box.h").cast("long"), f"CAST(CASE WHEN {_ext('least', 'x')} IS NULL THEN 480 ELSE {_edge('y', 480, 0.3, False)} - {_edge('y', 480, 0.3, True)} END AS BIGINT)"),
 })
 
 _ANG = f"abs(degrees(atan2({_pt(12, 'y')} - {_pt(11, 'y')}, {_pt(12, 'x')} - {_pt(11, 'x')})))"
