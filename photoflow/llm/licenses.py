@@ -97,6 +97,15 @@ class Scanner:
         return exact, sorted(spans)
 
 
+def words_at(text: str, places: list[int]) -> dict[int, int]:
+    """For each character place the number of the word there, in one pass over the text."""
+    out, done, n = {}, 0, -1
+    for p in sorted(set(places)):
+        n += text.count(" ", done, p)
+        out[p], done = n, p
+    return out
+
+
 SCHEMA = (
     "id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
     "spans array<struct<label:string,first_word:bigint,last_word:bigint,edits:bigint,text:string>>"
@@ -119,12 +128,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notice
                 rows = []
                 for text in texts:
                     exact, spans = scanner.scan(text)
-                    places = sorted(text.count(" ", 0, p) - 1 for p, _ in exact)
+                    word = words_at(text, [p for p, _ in exact] + [p for s in spans for p in (s[0], s[1] - 1)])
+                    places = sorted(word[p] for p, _ in exact)
                     base = {x for _, x in exact}
                     rows.append((
                         len(exact), places[0] if places else None, places[-1] if places else None, ",".join(sorted(base)), ",".join(sorted(base | {s[2] for s in spans})),
                         1.0 if exact else max((s[4] for s in spans), default=0.0),
-                        [{"label": s[2], "first_word": text.count(" ", 0, s[0]) - 1, "last_word": text.count(" ", 0, s[1] - 1) - 1, "edits": s[3], "text": text[s[0] : s[1]]} for s in spans],
+                        [{"label": s[2], "first_word": word[s[0]], "last_word": word[s[1] - 1], "edits": s[3], "text": text[s[0] : s[1]]} for s in spans],
                     ))
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("last_word", pa.int64()), ("edits", pa.int64()), ("text", pa.string())]))]

@@ -67,3 +67,13 @@ def test_every_edit_is_found():
                 changed[1 + (place + j * 5) % (len(notice) - 2)] = "#"
             _, spans = scanner.scan(f" some words {''.join(changed)} more words ")
             assert label in {s[2] for s in spans}, (notice, "".join(changed))
+
+
+def test_word_numbers_of_a_text_full_of_notices(spark):
+    text = "All rights reserved. é under the MIT License, CC-BY-NC; " * 20_000
+    r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute(text)
+    words = WORD.findall(lower(text))
+    assert len(r.spans) >= 20_000
+    for s in r.spans[::97]:
+        assert WORD.findall(s.text) == words[s.first_word : s.last_word + 1]
