@@ -12,13 +12,22 @@ from pyspark.sql import functions as F
 _L = "A-Za-z0-9._%+-"
 _D = "[A-Za-z0-9-]"
 
+#: fixed values: characters of an account number by country
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK|FK|FI|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM",
+    28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+#: the country's own length; other codes take what follows, up to 34 characters
+_IBAN = "|".join([*[f"(?:{c})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()], f"(?!{'|'.join(IBAN_LENGTHS.values())})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]){{11,30}}"])
+
 #: kind -> (pattern, cheap test that a text can hold a match, score, words whose nearness adds to it)
 KINDS: dict[str, tuple[str, str, float, str]] = {
     "email": (rf"(?:(?<![{_L}])|\G)[{_L}]++@{_D}++(?:\.{_D}++)++", "@", 0.7, "mail|contact|correo|courriel"),
     "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", 0.6, r"\bip\b|address|host|server"),
     "card": (r"[0-9](?:[ -]?[0-9])++", r"[0-9](?:[ -]?[0-9]){12}", 0.7, "card|visa|credit|payment"),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", 0.6, "phone|tel|call|mobile|fax"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}[ A-Z0-9]", 0.6, "iban|bank|account|konto"),
+    "iban": (rf"(?<![A-Za-z0-9])(?:{_IBAN})(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}[ A-Z0-9]", 0.6, "iban|bank|account|konto"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.3, r"\bssn\b|social security"),
     "tel": (r"(?<![0-9+()-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])", "[0-9]{3}[ .-][0-9]{4}", 0.3, "phone|tel|call|mobile|fax"),
 }

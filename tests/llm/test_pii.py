@@ -56,3 +56,10 @@ def test_edges(spark):
     assert got[13].n_iban == 1 and got[14].n_ssn == 1 and got[15].n_tel == 1
     assert got[1].spans == "" and got[12].n_email == 1 and got[4].n_ip == 3
     assert pii.digest(docs.limit(0)).count() == 0
+
+
+def test_account_numbers_end_where_their_country_ends_them(spark):
+    texts = ["IBAN GB82 WEST 1234 5698 7654 32 AND MORE", "GB82WEST12345698765432 2024 A", "DE89 3704 0044 0532 0130 00 BIC COBADEFF", "GB82WEST123456987654321", "DE89 3704 0044 0532 0130 01 X", "ZZ12ABCDEFGHIJKLMNOP"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.id: r.found for r in pii.find_spans(docs).where("kind = 'iban'").collect()}
+    assert found == {0: "GB82 WEST 1234 5698 7654 32", 1: "GB82WEST12345698765432", 2: "DE89 3704 0044 0532 0130 00"}
