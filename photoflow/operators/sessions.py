@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from photoflow.scratch import materialize, partitions
 
 MICROS = 60_000_000
+DAY = 86_400_000_000
 
 
 def minutes(later: Column, earlier: Column) -> Column:
@@ -147,10 +148,20 @@ def sessionize_adaptive(photos: DataFrame, by: list[str], min_gap: float = 10, m
     return folded.groupBy(*by, "block").applyInPandas(fold, schema)
 
 
+def _within(times: DataFrame, at: str, spans: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of times with each span (start_time to end_time, both included) that holds their `at`.
+
+    A span is met only on the days that it covers, so the join has keys and nothing is broadcast by hand.
+    """
+    day = lambda c: F.floor(F.unix_micros(c) / F.lit(float(DAY)))
+    covered = spans.withColumn("_day", F.explode(F.sequence(day("start_time"), day("end_time"))))
+    return times.withColumn("_day", day(at)).join(covered, [*by, "_day"]).where(F.col(at).between(F.col("start_time"), F.col("end_time"))).drop("_day")
+
+
 def game_photos(photos: DataFrame, games: DataFrame, by: list[str]) -> DataFrame:
     """(by, game_id, photo_id, ts): photos within a numbered game's bounds."""
     bounds = games.select(*by, "game_id", "start_time", "end_time")
-    return photos.join(bounds, by).where("ts between start_time and end_time").select(*by, "game_id", "photo_id", "ts")
+    return _within(photos, "ts", bounds, by).select(*by, "game_id", "photo_id", "ts")
 
 
 def apply_manual_splits(games: DataFrame, photos: DataFrame, splits: DataFrame, by: list[str], min_photos: int = 50) -> DataFrame:
@@ -159,12 +170,12 @@ def apply_manual_splits(games: DataFrame, photos: DataFrame, splits: DataFrame,
     Segments run from bound to bound, take the photos within both ends (so a photo on a split is in both)
     and stay if they have min_photos; games without a split stay as they are. Renumbered; no gaps yet.
     """
-    inside = games.join(F.broadcast(splits.where("split_ts is not null").distinct()), F.col("split_ts").between(F.col("start_time"), F.col("end_time")))
+    inside = _within(splits.select("split_ts").where("split_ts is not null").distinct(), "split_ts", games, [])
     cuts = inside.groupBy(*by, "game_id", "start_time", "end_time").agg(F.array_sort(F.collect_list("split_ts")).alias("s"))
     edges = F.concat(F.array("start_time"), F.col("s"), F.array("end_time"))
     parts = cuts.select(*by, "game_id", edges.alias("e")).select(*by, "game_id", "e", F.explode(F.sequence(F.lit(1), F.size("e") - 1)).alias("part"))
     parts = parts.select(*by, "game_id", "part", F.element_at("e", F.col("part")).alias("start_time"), F.element_at("e", F.col("part") + 1).alias("end_time"))
-    held = photos.join(parts, by).where("ts between start_time and end_time").groupBy(*by, "game_id", "part", "start_time", "end_time").agg(F.count("*").alias("photo_count"))
+    held = _within(photos, "ts", parts, by).groupBy(*by, "game_id", "part", "start_time", "end_time").agg(F.count("*").alias("photo_count"))
     whole = games.join(cuts.select(*by, "game_id"), [*by, "game_id"], "left_anti")
     cols = [*by, "start_time", "end_time", "photo_count"]
     return number_games(held.where(F.col("photo_count") >= min_photos).select(*cols).unionByName(whole.select(*cols)), by)

@@ -17,11 +17,14 @@ _LOCAL: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder for this application's intermediate tables.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) a temporary folder is taken instead.
+    Where ``spark.checkpoint.dir`` is unset, a temporary folder is taken on one machine (tests); a cluster
+    raises, as its executors would not see each other's files.
     """
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         if app not in _LOCAL:
             _LOCAL[app] = tempfile.mkdtemp(prefix="photoflow-")
         base = f"file://{_LOCAL[app]}"

@@ -1,7 +1,10 @@
 import json
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
+from photoflow import scratch
 from photoflow.functions import documents, names
 from photoflow.sources import sidecars
 from photoflow.streaming import streams
@@ -58,3 +61,10 @@ def test_tracks_on_a_stream(spark, tmp_path):
     streams.run_available(streams.track_stream(stream), str(tmp_path / "cp"), lambda b, _: seen.extend(b.collect()))
     got = {r.ball_id: (r.prev_id, r.dx, r.tracked_type) for r in seen}
     assert got == {1: (None, None, "soccer"), 2: (1, 10.0, "soccer"), 3: (None, None, "unknown"), 4: (None, None, "unknown")}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    context = SimpleNamespace(applicationId="app-none", master="spark://host:7077")
+    unset = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_dir(unset)

@@ -77,6 +77,18 @@ def test_single_photo_is_a_game_and_splits_are_closed(spark):
     assert [r.photo_count for r in got] == [31, 31]
 
 
+def test_games_over_several_days_keep_their_photos_and_splits(spark):
+    rows = [(i, "ab"[i % 2], BASE + timedelta(hours=i)) for i in range(150)] + [(150, "a", None)]
+    df = spark.createDataFrame(rows, "photo_id long, source string, ts timestamp")
+    games = sessions.number_games(sessions.sessionize(df, ["source"], min_gap=121), ["source"])
+    assert {(r.source, r.game_id, r.photo_id) for r in sessions.game_photos(df, games, ["source"]).collect()} == {(s, 1, i) for i, s, t in rows if t}
+    at = [BASE + timedelta(hours=h) for h in (24, 73)]
+    split = spark.createDataFrame([(t,) for t in [*at, at[0], BASE - timedelta(days=9), None]], "split_ts timestamp")
+    got = sessions.apply_manual_splits(games, df, split, ["source"], min_photos=1).orderBy("source", "game_id").collect()
+    want = [(s, sum(a <= t <= b for _, o, t in rows if t and o == s)) for s, first, last in (("a", 0, 148), ("b", 1, 149)) for a, b in zip([BASE + timedelta(hours=first), *at], [*at, BASE + timedelta(hours=last)], strict=True)]
+    assert [(r.source, r.photo_count) for r in got] == want
+
+
 def test_greedy_leaders(spark):
     for seed in range(4):
         rng = random.Random(seed)
