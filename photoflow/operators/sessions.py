@@ -6,10 +6,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from photoflow.operators.graph import running_total
 from photoflow.scratch import materialize, partitions
 
 MICROS = 60_000_000
 DAY = 86_400_000_000
+#: photos that adaptive sessions look ahead, and photos of a chunk
+LOOK, CHUNK = 99, 20_000
 
 
 def minutes(later: Column, earlier: Column) -> Column:
@@ -93,7 +96,7 @@ def photo_gaps(marked: DataFrame, games: DataFrame, by: list[str]) -> DataFrame:
     return out.withColumns({"gap_before_s": seconds(F.col("start_time"), F.col("_prev")), "gap_after_s": seconds(F.col("_next"), F.col("end_time"))}).drop("_prev", "_next")
 
 
-def lookahead_gap(photos: DataFrame, by: list[str], rows: int = 99) -> DataFrame:
+def lookahead_gap(photos: DataFrame, by: list[str], rows: int = LOOK) -> DataFrame:
     """photos with their gap in minutes and the largest gap among the next `rows` photos (0 if none)."""
     w = _ordered(by)
     g = photos.withColumn("gap", minutes(F.col("ts"), F.lag("ts").over(w)))
@@ -105,16 +108,27 @@ def sessionize_adaptive(photos: DataFrame, by: list[str], min_gap: float = 10, m
 
     A gap of max(2 * min_gap, 30) minutes always splits and one under min_gap never does, so hard splits
     cut each source into blocks that fold independently, and only gaps in between are folded one by one.
+    Photos are numbered by range and scanned in chunks that also hold the photos they look at beyond their
+    ends, so one source may fill many tasks; a block too small or short for a game is not folded.
     """
     hard = max(2 * min_gap, 30)
-    w = _ordered(by)
-    p = lookahead_gap(photos.where("ts is not null"), by)
-    p = p.withColumns({"idx": F.row_number().over(w) - 1, "prev_ts": F.lag("ts").over(w), "n": F.count("*").over(Window.partitionBy(*by))}).where(F.col("n") >= min_photos)
-    p = p.withColumn("block", F.sum(F.when(F.col("gap") >= hard, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = p.groupBy(*by, "block").agg(F.max("idx").alias("last_idx"), F.max("ts").alias("last_ts"), F.first("n").alias("n"), F.min("idx").alias("first_idx"))
+    p = running_total(photos.where("ts is not null").select(*by, "ts", "photo_id", F.lit(1).alias("_one")), [*by, "ts", "photo_id"], {"idx": "_one"}, "adaptive", within=by)
+    own, place = F.floor(F.col("idx") / CHUNK), F.col("idx") % CHUNK
+    seen = F.array_compact(F.array(own, F.when(place < LOOK, own - 1), F.when(place == CHUNK - 1, own + 1)))
+    p = p.select(*by, "ts", "idx", own.alias("_own"), F.explode(seen).alias("chunk"))
+    w = Window.partitionBy(*by, "chunk").orderBy("idx")
+    p = p.withColumn("prev_ts", F.lag("ts").over(w)).withColumn("gap", minutes(F.col("ts"), F.col("prev_ts")))
+    p = p.withColumn("lookahead", F.coalesce(F.max("gap").over(w.rowsBetween(1, LOOK)), F.lit(0.0))).where("_own = chunk").drop("_own")
+    p = materialize(p.withColumn("_hard", F.when(F.col("gap") >= hard, 1).otherwise(0)), "gaps")
+    chunks = p.groupBy(*by, "chunk").agg(F.sum("_hard").alias("_h"), F.count("*").alias("_c"))
+    before = Window.partitionBy(*by).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select(*by, "chunk", F.coalesce(F.sum("_h").over(before), F.lit(0)).alias("_base"), F.sum("_c").over(Window.partitionBy(*by)).alias("n")).where(F.col("n") >= min_photos)
+    p = _null_safe(p.withColumn("_run", F.sum("_hard").over(w.rowsBetween(Window.unboundedPreceding, 0))), chunks, [*by, "chunk"]).withColumn("block", F.col("_run") + F.col("_base"))
+    ends = p.groupBy(*by, "block").agg(F.max("idx").alias("last_idx"), F.max("ts").alias("last_ts"), F.first("n").alias("n"), F.min("idx").alias("first_idx"), F.min("ts").alias("first_ts"))
+    ends = ends.where((F.col("last_idx") - F.col("first_idx") + 1 >= min_photos) & (minutes(F.col("last_ts"), F.col("first_ts")) >= min_duration))
     # the first photo of each block and the gaps that may split it
-    may = p.withColumn("_first", F.row_number().over(Window.partitionBy(*by, "block").orderBy("idx")) == 1).where(F.col("_first") | (F.col("gap") >= min_gap))
-    folded = may.select(*by, "block", "idx", "ts", "prev_ts", "gap", "lookahead").join(ends, [*by, "block"])
+    may = p.where((F.col("idx") == 0) | (F.col("gap") >= min_gap)).select(*by, "block", "idx", "ts", "prev_ts", "gap", "lookahead")
+    folded = _null_safe(may, ends, [*by, "block"])
     schema = ", ".join([*[f"{c} {dict(photos.dtypes)[c]}" for c in by], "start_idx long, end_idx long, start_time timestamp, end_time timestamp, photo_count long"])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:

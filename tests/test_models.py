@@ -59,6 +59,16 @@ def test_adaptive_sessions(spark):
         assert got == want, seed
 
 
+def test_adaptive_sessions_over_chunks_and_one_source(spark, monkeypatch):
+    monkeypatch.setattr(sessions, "CHUNK", 100)
+    rows, df = photos(spark, 21, n=700)
+    by = {s: [r[2] for r in rows if r[1] == s] for s in {r[1] for r in rows}}
+    unknown = df.withColumn("source", F.when(F.col("source") != "s1", F.col("source")))
+    want = {(None if s == "s1" else s, a, b) for s, ts in by.items() for a, b in adaptive(ts)}
+    assert want and {(r.source, r.start_idx, r.end_idx) for r in sessions.sessionize_adaptive(unknown, ["source"]).collect()} == want
+    assert sessions.sessionize_adaptive(df.limit(0), ["source"]).count() == 0
+
+
 def test_sessions_by_range_equal_windows(spark):
     _, df = photos(spark, 11)
     one = df.withColumn("source", F.lit("all"))
