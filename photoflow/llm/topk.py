@@ -1,8 +1,9 @@
 """Exact top-k inner products over norm-sorted blocks.
 
 Candidates are numbered by descending length and dealt into blocks of equal size. The longest block gives
-every query a first k-th score; a further block is read for a block of queries only if length times
-length can reach some query's score (Cauchy-Schwarz). Within a block, vectors are rotated by the singular
+every query a first k-th score. The others follow in waves of rising size, each with the scores of all
+before it: a block is read for a block of queries only if length times length can reach some query's
+score (Cauchy-Schwarz), and the search ends with the first wave that needs no block. Within a block, vectors are rotated by the singular
 vectors of a bounded sample, the products over the first axes are summed, and what the rest can add is
 bounded by the product of the residual lengths; only pairs that can still reach the k-th score are
 multiplied out, in integers.
@@ -22,6 +23,8 @@ from photoflow.scratch import materialize, partitions
 
 #: vectors of a candidate block and of a query block; rows of the sample that the rotation is fitted on
 BLOCK, QUERIES, SAMPLE = 1024, 512, 4096
+#: candidate blocks from one wave's start to the next one's, as a factor
+WAVE = 8
 #: share of the axes that is summed before a pair may be given up
 FIRST_AXES = 0.5
 
@@ -104,7 +107,7 @@ def _scored(pairs: DataFrame, k: int, turns: dict[int, np.ndarray]) -> DataFrame
                 got = _best(at("q"), at("c"), d, k, turns.get(d))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["query_id", "vec_id", "score"])
 
-    return pairs.repartition(partitions(pairs.sparkSession), "qb", "cb").mapInArrow(run, "query_id long, vec_id long, score long")
+    return pairs.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -130,14 +133,30 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     def blocks(q: DataFrame) -> DataFrame:
         return _packed(q, ["dim", "qb"]).select("dim", "qb", *[F.col(c).alias(f"q_{c}") for c in ("id", "norm", "least", "x")])
 
-    first = materialize(_scored(blocks(queries.withColumn("least", never)).join(cblocks.where("cb = 0"), "dim"), k, turns), "first")
-    least = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(never).alias("least"))
-    q2 = queries.join(least, F.col("id") == F.col("query_id"), "left").select("dim", "qb", "id", "norm", "x", F.coalesce("least", never).alias("least"))
-    q2 = materialize(q2, "queries-with-thresholds")
-    # a block of queries reads a block of candidates only if its longest vector can reach a threshold
-    lowest = q2.groupBy("dim", "qb").agg(F.min(F.when(F.col("norm") > 0, F.col("least") / F.col("norm")).otherwise(F.when(F.col("least") > 0, float("inf")).otherwise(never))).alias("need"))
-    plan = lowest.join(longest.where("cb > 0"), "dim").where(F.col("long") * (1 + 1e-9) >= F.col("need")).select("dim", "qb", "cb")
-    pairs = plan.join(blocks(q2), ["dim", "qb"]).join(cblocks, ["dim", "cb"])
-    found = materialize(_scored(pairs, k, turns).unionByName(first), "found")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def scored(plan: DataFrame, q: DataFrame) -> DataFrame:
+        # blocks of queries travel to the candidates' partitions, a block of candidates moves once
+        sent = plan.join(blocks(q), ["dim", "qb"]).repartition(partitions(t.sparkSession), "dim", "qb", "cb")
+        return _scored(sent.join(cblocks, ["dim", "cb"]), k, turns)
+
+    def top(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    everyone = queries.select("dim", "qb").distinct().withColumn("cb", F.lit(0).cast("long"))
+    best = materialize(top(scored(everyone, queries.withColumn("least", never))), "best")
+    last = longest.agg(F.max("cb")).first()[0] or 0
+    start = 1
+    while start <= last:
+        least = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(never).alias("least"))
+        q = queries.join(least, F.col("id") == F.col("query_id"), "left").select("dim", "qb", "id", "norm", "x", F.coalesce("least", never).alias("least"))
+        q = materialize(q, "queries-with-thresholds")
+        # a block of queries reads a block of candidates only if its longest vector can reach a threshold
+        need = F.min(F.when(F.col("norm") > 0, F.col("least") / F.col("norm")).otherwise(F.when(F.col("least") > 0, float("inf")).otherwise(never)))
+        wave = longest.where(F.col("cb").between(start, start * WAVE - 1))
+        plan = q.groupBy("dim", "qb").agg(need.alias("need")).join(wave, "dim").where(F.col("long") * (1 + 1e-9) >= F.col("need"))
+        plan = materialize(plan.select("dim", "qb", "cb"), "wave")
+        if plan.isEmpty():  # all later blocks are shorter still
+            break
+        best = materialize(top(scored(plan, q).unionByName(best.drop("rank"))), "best")
+        start *= WAVE
+    return best
