@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +15,8 @@ MICROS = 60_000_000
 DAY = 86_400_000_000
 #: photos that adaptive sessions look ahead, and photos of a chunk
 LOOK, CHUNK = 99, 20_000
+#: neighbouring blocks folded by one call
+BLOCKS = 64
 
 
 def minutes(later: Column, earlier: Column) -> Column:
@@ -131,17 +135,16 @@ def sessionize_adaptive(photos: DataFrame, by: list[str], min_gap: float = 10, m
     folded = _null_safe(may, ends, [*by, "block"])
     schema = ", ".join([*[f"{c} {dict(photos.dtypes)[c]}" for c in by], "start_idx long, end_idx long, start_time timestamp, end_time timestamp, photo_count long"])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        rows, head = [], pdf.iloc[0]
-        start, start_ts = int(head.idx), head.ts
+    def games(block: list) -> list[tuple]:
+        rows, head = [], block[0]
+        start, start_ts = head.idx, head.ts
 
         def close(end: int, end_ts: pd.Timestamp) -> None:
             if (end_ts - start_ts).total_seconds() / 60 >= min_duration and end - start + 1 >= min_photos:
-                rows.append((*[head[c] for c in by], start, end, start_ts, end_ts, end - start + 1))
+                rows.append((start, end, start_ts, end_ts, end - start + 1))
 
-        for r in pdf.iloc[1:].itertuples():
-            count, lasted = int(r.idx) - start, (r.prev_ts - start_ts).total_seconds() / 60
+        for r in block[1:]:
+            count, lasted = r.idx - start, (r.prev_ts - start_ts).total_seconds() / 60
             if count < min_photos:
                 need = hard
             elif lasted >= min_duration:
@@ -153,13 +156,19 @@ def sessionize_adaptive(photos: DataFrame, by: list[str], min_gap: float = 10, m
             else:
                 need = min_gap
             if r.gap >= need:
-                close(int(r.idx) - 1, r.prev_ts)
-                start, start_ts = int(r.idx), r.ts
+                close(r.idx - 1, r.prev_ts)
+                start, start_ts = r.idx, r.ts
         if head.last_idx < head.n - 1 or start < head.n - 1:
-            close(int(head.last_idx), head.last_ts)
+            close(head.last_idx, head.last_ts)
+        return rows
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        source = tuple(pdf.iloc[0][c] for c in by)
+        blocks = groupby(pdf.sort_values("idx").drop(columns=by).itertuples(index=False), key=lambda r: r.block)
+        rows = [(*source, *game) for _, block in blocks for game in games(list(block))]
         return pd.DataFrame(rows, columns=[*by, "start_idx", "end_idx", "start_time", "end_time", "photo_count"])
 
-    return folded.groupBy(*by, "block").applyInPandas(fold, schema)
+    return folded.groupBy(*by, F.floor(F.col("block") / BLOCKS)).applyInPandas(fold, schema)
 
 
 def _within(times: DataFrame, at: str, spans: DataFrame, by: list[str]) -> DataFrame:
