@@ -67,7 +67,7 @@ def cells_around(axes: tuple[str, str, str], threshold: float) -> Column:
 def match_colors(colors: DataFrame, teams: DataFrame, threshold: float = 0.15) -> DataFrame:
     """Distinct (photo, team): a colour of the photo is nearer than threshold to the team's.
 
-    Colours within the threshold share or neighbour a cell of that size on the first axis, so the
+    Colours within the threshold share or neighbour a cell of that size on all three axes, so the
     comparison is an equi-join on cells and not a product.
     """
     c = colors.select("photo", "l", "a", "b").withColumn("_cell", color_cell(("l", "a", "b"), threshold))
