@@ -135,6 +135,14 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d
 """
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from photoflow.llm import byte_bpe
+
+    return byte_bpe.digest(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -153,6 +161,7 @@ def queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_exact_topk": op9_exact_topk,
         "op10_jaccard_join": op10_jaccard_join,
+        "op13_byte_bpe": op13_byte_bpe,
         "pipeline": pipeline,
         "near_vectors_audit": near_vectors_audit,
     }
