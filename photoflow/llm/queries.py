@@ -135,6 +135,37 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d
 """
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photoflow.llm import prefix_trie
+
+    return prefix_trie.trie(*prefix_trie.rebuilt(prefix_trie.ordered_turns(_table(spark, sf_dir, "conversations"))))
+
+
+OP12_SQL = """
+WITH t AS (
+  SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), h AS (
+  SELECT conv_id, own, xor(list_reduce(
+    list_concat([CAST(4294967295 AS BIGINT)], flatten([[ascii(s), -1, -1, -1, -1, -1, -1, -1, -1] FOR s IN string_split(CAST(conv_id AS VARCHAR), '')])),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295) % 9 AS h FROM t
+), r AS (
+  SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS path FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 5
+), m AS (SELECT conv_id, len(path) AS ends, d, path[1:d] AS p FROM (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS d FROM r)),
+n AS (
+  SELECT p, d, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = ends), '') AS ended,
+         CASE WHEN d = 0 THEN 0 ELSE strlen(p[d].t) END AS b FROM m GROUP BY p, d
+), k AS (SELECT p[1:d - 1] AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k USING (p)),
+s AS (
+  SELECT p[1:a] AS p, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * b) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM f) GROUP BY 1
+)
+SELECT f.conv_id, f.d AS depth, q.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, sha256(f.ended) AS ends_sha256
+FROM f JOIN s USING (p) LEFT JOIN f q ON f.d > 0 AND q.p = f.p[1:f.d - 1]
+"""
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -161,6 +192,7 @@ def queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_exact_topk": op9_exact_topk,
         "op10_jaccard_join": op10_jaccard_join,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_byte_bpe": op13_byte_bpe,
         "pipeline": pipeline,
         "near_vectors_audit": near_vectors_audit,
@@ -168,4 +200,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op9_exact_topk": OP9_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op9_exact_topk": OP9_SQL, "op10_jaccard_join": OP10_SQL, "op12_prefix_trie": OP12_SQL}
