@@ -135,6 +135,38 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d
 """
 
 
+def op11_heap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from photoflow.llm import heap_clusters
+
+    return heap_clusters.digest(_table(spark, sf_dir, "embeddings"))
+
+
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    steps = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len([c FOR c IN embedding IF c IS NULL OR isnan(c) OR isinf(c)]) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, x) - 1 AS k, x FROM (SELECT sha256('2:' || CAST(vec_id AS VARCHAR)) AS h, x FROM v ORDER BY h, x LIMIT {k})
+)"""]
+    for i in range(rounds + 1):
+        steps.append(f"""
+, a{i} AS MATERIALIZED (
+  SELECT r, min({{'d': CAST(list_sum([(p[1] - p[2]) * (p[1] - p[2]) FOR p IN list_zip(v.x, c.x)]) AS BIGINT), 'k': c.k}}) AS m FROM v, c{i} AS c GROUP BY r
+)""")
+        if i < rounds:
+            steps.append(f"""
+, s{i} AS (SELECT m.k AS k, p, sum(x[p]) AS s, count(*) AS n FROM a{i} JOIN v USING (r), unnest(range(1, 65)) AS t(p) GROUP BY 1, 2),
+c{i + 1} AS MATERIALIZED (
+  SELECT c.k, coalesce(n.x, c.x) AS x FROM c{i} AS c LEFT JOIN (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY p) AS x FROM s{i} GROUP BY k) n USING (k)
+)""")
+    return "".join(steps) + f"""
+SELECT vec_id, CAST(m.k AS INTEGER) AS cluster, m.d AS distance, CAST(sum(m.d) OVER (PARTITION BY m.k) AS BIGINT) AS cluster_inertia,
+       CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} AS a JOIN v USING (r) JOIN c{rounds} AS c ON c.k = a.m.k
+"""
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from photoflow.llm import prefix_trie
 
@@ -192,6 +224,7 @@ def queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_exact_topk": op9_exact_topk,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_heap_clusters": op11_heap_clusters,
         "op12_prefix_trie": op12_prefix_trie,
         "op13_byte_bpe": op13_byte_bpe,
         "pipeline": pipeline,
@@ -200,4 +233,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op9_exact_topk": OP9_SQL, "op10_jaccard_join": OP10_SQL, "op12_prefix_trie": OP12_SQL}
+    return {"op2_line_dedup": OP2_SQL, "op9_exact_topk": OP9_SQL, "op10_jaccard_join": OP10_SQL, "op11_heap_clusters": _op11_sql(), "op12_prefix_trie": OP12_SQL}
