@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photoflow.functions.color import color_name
-from photoflow.operators.graph import connected_components
+from photoflow.operators import neighbours
+from photoflow.operators.graph import connected_components, running_total
 from photoflow.operators.joins import cells_around, color_cell, match_colors
 from photoflow.scratch import materialize, partitions
 
@@ -41,14 +42,6 @@ def _matrix(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
     return ids, rows.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
 
-def _distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "cosine":
-        norm = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        return 1 - norm(x) @ norm(y).T
-    d = (x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T
-    return np.sqrt(np.maximum(d, 0))
-
-
 def _block_pairs(vectors: DataFrame, ordered: bool) -> DataFrame:
     """Pairs of blocks, spread over the cluster; ordered keeps each unordered pair once."""
     b = materialize(_blocks(vectors), "vector-blocks")
@@ -59,34 +52,14 @@ def _block_pairs(vectors: DataFrame, ordered: bool) -> DataFrame:
     return plan.join(side("i"), "i").join(side("j"), "j").repartition(partitions(vectors.sparkSession), "i", "j").select("i", "j", "mi", "mj")
 
 
-def neighbour_pairs(vectors: DataFrame, eps: float, metric: str = "cosine") -> DataFrame:
-    """(a, b), a < b: all pairs of vectors (id, v) within eps, found block by block."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                (p, x), (q, y) = _matrix(batch.column(2)[k]), _matrix(batch.column(3)[k])
-                s, t = np.nonzero(_distances(x, y, metric) <= eps)
-                a, b = p[s], q[t]
-                keep = a < b if batch.column(0)[k] == batch.column(1)[k] else np.ones(len(a), bool)
-                a, b = np.minimum(a, b)[keep], np.maximum(a, b)[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    return _block_pairs(vectors, True).mapInArrow(run, "a long, b long")
-
-
-def neighbour_distance(vectors: DataFrame, k: int) -> DataFrame:
-    """(id, d): Euclidean distance to the k-th nearest vector, counting itself first."""
+def usable(v: str = "v") -> Column:
+    """Whether a vector is there and all of its components are finite numbers."""
+    return F.col(v).isNotNull() & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                (p, x), (_, y) = _matrix(batch.column(2)[row]), _matrix(batch.column(3)[row])
-                d = np.sort(np.partition(_distances(x, y, "euclidean"), min(k, len(y)) - 1, axis=1)[:, :k], axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(p, d.shape[1])), pa.array(d.ravel())], names=["id", "d"])
 
-    near = _block_pairs(vectors, False).mapInArrow(run, "id long, d double")
-    return near.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("d"))).where(F.col("n") <= k).groupBy("id").agg(F.max("d").alias("d"))
+def _classes(vectors: DataFrame) -> DataFrame:
+    """(id, v, f): one row for f equal vectors, with their smallest id."""
+    return materialize(vectors.where(usable()).groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("f")).select("id", "v", "f"), "distinct-vectors")
 
 
 def dbscan(vectors: DataFrame, eps: float, min_samples: int, metric: str = "cosine") -> DataFrame:
@@ -95,34 +68,32 @@ def dbscan(vectors: DataFrame, eps: float, min_samples: int, metric: str = "cosi
     A point with min_samples points within eps (itself included) is core; cores within eps share a
     cluster; another point within eps of cores joins the lowest-numbered of their clusters. Equal vectors
     are compared once, with their number, so a face that comes a thousand times costs no million pairs.
+    Only cells of pivots that can hold a neighbour are compared, and no task writes pairs of vectors:
+    degrees, connecting links and smallest labels are a row for each vector. Null vectors and those
+    with a component that is no finite number are noise.
     """
-    classes = materialize(vectors.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("w")), "distinct-vectors")
-    found = _dbscan_distinct(classes, eps, min_samples, metric)
-    return vectors.select(F.col("id").alias("own"), "v").join(classes, "v").join(found, "id").select(F.col("own").alias("id"), "label")
-
-
-def _dbscan_distinct(vectors: DataFrame, eps: float, min_samples: int, metric: str) -> DataFrame:
-    """dbscan of distinct vectors (id, v, w), each standing for w equal ones."""
-    pairs = materialize(neighbour_pairs(vectors, eps, metric), "pairs")
-    both = pairs.select("a", "b").union(pairs.select("b", "a"))
-    weight = vectors.select(F.col("id").alias("b"), "w")
-    degree = both.join(weight, "b").groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("n"))
-    near = vectors.select("id", "w").join(degree, "id", "left").select("id", (F.coalesce("n", F.lit(0)) + F.col("w")).alias("n"))
-    core = materialize(near.where(F.col("n") >= min_samples).select("id"), "cores")
-    links = pairs.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").select("a", "b")
-    comp = connected_components(links)
+    found = _dbscan_distinct(_classes(vectors), eps, min_samples, metric)
+    own = vectors.select(F.col("id").alias("own"), "v").join(found, "v", "left")
+    return own.select(F.col("own").alias("id"), F.coalesce("label", F.lit(-1)).alias("label"))
+
+
+def _dbscan_distinct(classes: DataFrame, eps: float, min_samples: int, metric: str) -> DataFrame:
+    """(v, label): dbscan of distinct vectors (id, v, f), each standing for f equal ones."""
+    c = neighbours.cells(classes, metric)
+    placed = materialize(neighbours.guests(c, c.reach(eps)), "guests")
+    core = materialize(neighbours.degrees(c, placed, eps, min_samples).where(F.col("n") >= min_samples).select("id"), "cores")
+    comp = connected_components(neighbours.links(c, placed, core, eps))
     of_core = materialize(core.join(comp, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("comp")), "core-components")
-    # one row per cluster
-    number = of_core.select("comp").distinct().withColumn("label", F.row_number().over(Window.orderBy("comp")) - 1)
-    labelled = of_core.join(number, "comp").select("id", "label")
-    border = both.join(labelled.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("low"))
-    out = vectors.select("id").join(labelled, "id", "left").join(border, "id", "left")
-    return out.select("id", F.coalesce("label", "low", F.lit(-1)).alias("label"))
+    number = running_total(of_core.select("comp").distinct().withColumn("one", F.lit(1)), ["comp"], {"label": "one"}, "labels")
+    labelled = materialize(of_core.join(number, "comp").select("id", F.col("label").cast("int").alias("label")), "core-labels")
+    border = neighbours.smallest_label(c, placed, labelled, eps)
+    out = classes.select("id", "v").join(labelled, "id", "left").join(border, "id", "left")
+    return out.select("v", F.coalesce("label", F.col("low").cast("int"), F.lit(-1)).alias("label"))
 
 
 def dbscan_auto(vectors: DataFrame, min_samples: int) -> DataFrame:
     """dbscan by Euclidean distance within the upper quartile of the distances to the fourth neighbour (itself first)."""
-    eps = neighbour_distance(vectors, 4).agg(F.percentile("d", 0.75)).first()[0]
+    eps = neighbours.kth_distance(_classes(vectors), 4).agg(F.percentile("d", F.lit(0.75), F.col("f"))).first()[0]
     return dbscan(vectors, eps if eps and eps > 0 else 0.1, min_samples, "euclidean")
 
 
@@ -131,17 +102,96 @@ def clusters_wanted(n: int, min_size: int, most: int | None = None) -> int:
     return max(1, n // min_size) if most is None else min(most, max(2, n // min_size))
 
 
+#: clusters into which one is split at a time, rounds of a split, vectors of a cluster for each centre that starts it
+BRANCHES, ROUNDS, SAMPLED = 64, 10, 16
+
+
 def kmeans_faces(vectors: DataFrame, min_size: int, seed: int = 42, most: int | None = None) -> DataFrame:
-    """(id, label) by k-means with as many clusters as clusters_wanted says; without `most`, work grows with n * n / min_size."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    """(id, label) by k-means into about as many clusters as clusters_wanted says, never more, at most one for each different vector.
 
-    n = vectors.count()
-    k = min(n, clusters_wanted(n, min_size, most))
-    data = vectors.select("id", array_to_vector("v").alias("features"))
-    if k <= 1:
-        return vectors.select("id", F.lit(0).alias("label"))
-    return KMeans(k=k, seed=seed, maxIter=20).fit(data).transform(data).select("id", F.col("prediction").alias("label"))
+    Clusters are split level by level into BRANCHES at most, all of a level at once, until there are as many
+    as are wanted; each takes a share of the centres by its different vectors. So a vector is compared with BRANCHES
+    centres on each level, and the work is n log n however many clusters there are. Vectors that are null or
+    hold no finite numbers are left out. Labels count from 0.
+    """
+    classes = _classes(vectors)
+    total = classes.agg(F.count("*").alias("rows"), F.coalesce(F.sum("f"), F.lit(0)).alias("n")).first()
+    k = min(total.rows, clusters_wanted(total.n, min_size, most))
+    of = _split_by_means(classes, max(1, k), seed)
+    number = running_total(of.select("cell").distinct().withColumn("one", F.lit(1)), ["cell"], {"label": "one"}, "labels")
+    found = classes.join(of.join(number, "cell").select("id", "label"), "id").select("v", F.col("label").cast("int").alias("label"))
+    return vectors.select("id", "v").join(found, "v").select("id", "label")
+
+
+def _split_by_means(classes: DataFrame, k: int, seed: int) -> DataFrame:
+    """(id, cell): k cells of vectors (id, v, f)."""
+    done = None
+    open_ = materialize(classes.select("id", "v", "f", F.lit(0).cast("long").alias("cell"), F.lit(k).cast("long").alias("k")), "cluster-level")
+    while True:
+        final = open_.where("k = 1").select("id", "cell")
+        done = final if done is None else done.unionByName(final)
+        level = open_.where("k > 1")
+        if level.isEmpty():
+            return materialize(done, "clusters")
+        child = _lloyd(level, seed)
+        per = child.groupBy("cell", "child").agg(F.count("*").alias("rows"), F.first("k").alias("k"))
+        # centres by largest remainder over the different vectors of each part, of which there are at most BRANCHES
+        whole, order = Window.partitionBy("cell"), Window.partitionBy("cell").orderBy(F.desc("rest"), "child")
+        free = F.greatest(F.col("k") - F.count("*").over(whole), F.lit(0))
+        per = per.withColumn("share", free * F.col("rows") / F.sum("rows").over(whole)).withColumn("rest", F.col("share") - F.floor("share"))
+        left = free - F.sum(F.floor("share")).over(whole)
+        per = per.withColumn("own", F.floor("share") + 1 + F.when(F.row_number().over(order) <= left, 1).otherwise(0))
+        per = per.select("cell", "child", F.when(F.col("k") <= BRANCHES, 1).otherwise(F.least("own", "rows")).alias("own"), F.xxhash64("cell", "child").alias("next"))
+        open_ = materialize(child.join(per, ["cell", "child"]).select("id", "v", "f", F.col("next").alias("cell"), F.col("own").cast("long").alias("k")), "cluster-level")
+
+
+def _lloyd(level: DataFrame, seed: int) -> DataFrame:
+    """level (id, v, f, cell, k) with `child`, the nearest of min(k, BRANCHES) centres that each cell's vectors settle on."""
+    b = F.least(F.col("k"), F.lit(BRANCHES))
+    ranked = running_total(level.withColumns({"h": F.xxhash64("id", F.lit(seed)), "one": F.lit(1)}), ["cell", "h", "id"], {"rank": "one"}, "sampled", within=["cell"])
+    sampled = ranked.where(F.col("rank") < SAMPLED * b).groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("id", "v", "f"))).alias("m"), F.first(b).alias("b"))
+    blocks = materialize(neighbours._blocks(level.select("cell", "id", "v", "f")), "level-blocks")
+    vectors, centre = "array<double>", "array<array<double>>"
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                _, x, w = neighbours._rows(batch.column(1)[i])
+                rng, d = np.random.default_rng(seed), None
+                chosen = [int(rng.choice(len(x), p=w / w.sum()))]
+                while len(chosen) < batch.column(2)[i].as_py():  # the next centre by squared distance from those before
+                    new = ((x - x[chosen[-1]]) ** 2).sum(1)
+                    d = new if d is None else np.minimum(d, new)
+                    if not d.any():
+                        break
+                    chosen.append(int(rng.choice(len(x), p=d * w / (d * w).sum())))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([x[chosen].tolist()])], names=["cell", "c"])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (_, x, w), c = neighbours._rows(batch.column(1)[i]), np.array(batch.column(2)[i].as_py())
+                near = neighbours.euclidean(x, c).argmin(1)
+                to = np.zeros((len(c), len(x)))
+                to[near, np.arange(len(x))] = w
+                some = np.unique(near)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(some)), pa.array(some, pa.int32()), pa.array(to.sum(1)[some]), pa.array((to @ x)[some].tolist())], names=["cell", "no", "w", "s"])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                (ids, x, _), c = neighbours._rows(batch.column(1)[i]), np.array(batch.column(2)[i].as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(neighbours.euclidean(x, c).argmin(1), pa.int32())], names=["id", "child"])
+
+    centers = materialize(sampled.mapInArrow(first, f"cell long, c {centre}"), "centres")
+    met = lambda: blocks.join(centers, "cell").select("cell", "m", "c")
+    for _ in range(ROUNDS):
+        part = met().mapInArrow(sums, f"cell long, no int, w double, s {vectors}")
+        flat = part.select("cell", "no", "w", F.posexplode("s").alias("d", "x")).groupBy("cell", "no", "d").agg((F.sum("x") / F.sum("w")).alias("x"))
+        mean = flat.groupBy("cell", "no").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("x"))
+        moved = mean.groupBy("cell").agg(F.array_sort(F.collect_list(F.struct("no", F.transform("x", lambda e: e["x"]).alias("v")))).alias("c"))
+        centers = materialize(moved.select("cell", F.transform("c", lambda e: e["v"]).alias("c")), "centres")
+    return level.join(met().mapInArrow(settle, "id long, child int"), "id")
 
 
 def _linkage(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray, linkage: str) -> np.ndarray:
@@ -149,27 +199,51 @@ def _linkage(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray, linka
     if linkage == "average":
         return 1 - x @ y.T
     w = wx[:, None] * wy[None] / (wx[:, None] + wy[None])
-    return np.sqrt(2 * w) * _distances(x, y, "euclidean")
+    return np.sqrt(2 * w) * neighbours.euclidean(x, y)
+
+
+def _pair_hash(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """A number for each pair of ids, the same for (p, q) and (q, p), that decides between equal distances."""
+    low, high = np.minimum(p[:, None], q[None]).astype(np.uint64), np.maximum(p[:, None], q[None]).astype(np.uint64)
+    h = low * np.uint64(0x9E3779B97F4A7C15) + (high ^ (low >> np.uint64(7))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(32))) >> np.uint64(1)).astype(np.int64)
+
+
+def _first(d: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """The column of each row's smallest distance, of equal ones that with the smallest tie."""
+    return np.where(d == d.min(1, keepdims=True), tie, np.iinfo(np.int64).max).argmin(1)
+
+
+def _apart(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray, linkage: str) -> np.ndarray:
+    """Distances of clusters, rounded so that equal ones are equal."""
+    return np.round(_linkage(x, wx, y, wy, linkage), 12)
 
 
 def _nearest(clusters: DataFrame, linkage: str) -> DataFrame:
-    """(id, other, d): the nearest other cluster of every cluster (id, w, v), ties to the smaller id, found block by block."""
+    """(id, other, d): the nearest other cluster of every cluster (id, w, v), found block by block.
+
+    Every two clusters are compared once for both, and ties go by a hash of the pair, so the nearest pair of
+    all is each other's nearest, and of clusters at one distance a constant share is.
+    """
     own = clusters.select("id", F.array_append("v", F.col("w").cast("double")).alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 (p, x), (q, y) = _matrix(batch.column(2)[k]), _matrix(batch.column(3)[k])
-                order = np.argsort(q)
-                q, y = q[order], y[order]
-                d = _linkage(x[:, :-1], x[:, -1], y[:, :-1], y[:, -1], linkage)
-                d[p[:, None] == q[None]] = np.inf
-                best = d.argmin(1)
-                far = np.isinf(d[np.arange(len(p)), best])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (p[~far], q[best][~far], d[np.arange(len(p)), best][~far])], names=["id", "other", "d"])
+                d, tie = _apart(x[:, :-1], x[:, -1], y[:, :-1], y[:, -1], linkage), _pair_hash(p, q)
+                one = batch.column(0)[k] == batch.column(1)[k]
+                if one:
+                    d = np.minimum(d, d.T)
+                    np.fill_diagonal(d, np.inf)
+                for a, b, m, t in ((p, q, d, tie),) if one else ((p, q, d, tie), (q, p, d.T, tie.T)):
+                    at, rows = _first(m, t), np.arange(len(a))
+                    near = np.flatnonzero(np.isfinite(m[rows, at]))
+                    yield pa.RecordBatch.from_arrays([pa.array(v[near]) for v in (a, m[rows, at], t[rows, at], b[at])], names=["id", "d", "tie", "other"])
 
-    near = _block_pairs(own, False).mapInArrow(run, "id long, other long, d double")
-    return near.groupBy("id").agg(F.min(F.struct("d", "other")).alias("m")).select("id", "m.other", "m.d")
+    near = _block_pairs(own, True).mapInArrow(run, "id long, d double, tie long, other long")
+    return near.groupBy("id").agg(F.min(F.struct("d", "tie", "other")).alias("m")).select("id", "m.other", "m.d")
 
 
 def _last_merges(linkage: str):
@@ -182,10 +256,13 @@ def _last_merges(linkage: str):
         t = pd.concat(own).sort_values("id")
         ids, w, v, at = t["id"].to_numpy(), t["w"].to_numpy(float), np.stack(t["v"]), int(t["round"].iloc[0])
         while len(ids) > 1:
-            d = _linkage(v, w, v, w, linkage)
+            d = _apart(v, w, v, w, linkage)
+            d = np.minimum(d, d.T)
             np.fill_diagonal(d, np.inf)
-            other = d.argmin(1)
+            other = _first(d, _pair_hash(ids, ids))
             a = np.flatnonzero((other[other] == np.arange(len(ids))) & (np.arange(len(ids)) < other))
+            if not len(a):
+                raise RuntimeError("a round of merges found no pair of nearest clusters")
             b = other[a]
             yield pd.DataFrame({"a": ids[a], "b": ids[b], "d": d[a, b], "round": at})
             v[a] = (v[a] * w[a, None] + v[b] * w[b, None]) / (w[a] + w[b])[:, None]
@@ -196,31 +273,40 @@ def _last_merges(linkage: str):
     return run
 
 
-def hierarchical_faces(vectors: DataFrame, min_size: int, linkage: str = "average", most: int | None = None) -> DataFrame:
+def hierarchical_faces(vectors: DataFrame, min_size: int, linkage: str = "average", most: int | None = None, log: list[int] | None = None) -> DataFrame:
     """(id, label) by average linkage with cosine distance, or by Ward's linkage; as many clusters as clusters_wanted says.
 
-    Every round merges all pairs of clusters that are each other's nearest. Both linkages never bring a
-    merged cluster nearer than its parts, so these are the merges that one-by-one agglomeration makes, in
-    another order; the n - k lowest of them are kept. Labels count from 0 by the smallest id.
+    Equal vectors, those of zeros too, merge first, each with the smallest id. Then every round merges all
+    pairs of clusters that are each other's nearest. Both linkages never bring a merged cluster nearer than
+    its parts, so these are the merges that one-by-one agglomeration makes, in another order; the n - k
+    lowest of them are kept. Vectors that are null or hold no finite numbers are left out. Labels count from 0
+    by the smallest id. `log` takes the number of clusters at the start of each round over the cluster.
     """
+    vectors = vectors.where(usable())
+    classes = _classes(vectors)
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
     unit = F.transform("v", lambda c: c / F.greatest(F.col("size"), F.lit(1e-300)))
-    own = vectors.withColumn("size", size).select("id", F.lit(1).cast("long").alias("w"), (unit if linkage == "average" else F.col("v")).alias("v"))
+    own = classes.withColumn("size", size).select("id", F.col("f").alias("w"), (unit if linkage == "average" else F.col("v")).alias("v"))
     own = materialize(own, "clusters")
-    n = own.count()
-    wanted, merges, rounds, left = n - min(n, clusters_wanted(n, min_size, most)), None, 0, n
-    while left > 1 and wanted > 0:
+    counted = classes.agg(F.count("*").alias("rows"), F.coalesce(F.sum("f"), F.lit(0)).alias("n")).first()
+    n, left, rounds = counted.n, counted.rows, 0
+    wanted = n - min(n, clusters_wanted(n, min_size, most))
+    equal = vectors.select(F.col("id").alias("b"), "v").join(classes.select(F.col("id").alias("a"), "v"), "v").where("a <> b")
+    merges = materialize(equal.select("a", "b", F.lit(0.0).alias("d"), F.lit(-1).alias("round")), "merges")
+    while left > 1 and wanted > n - counted.rows:
         if left <= BLOCK:  # one block of clusters: the same merges by one task
             last = own.select(F.lit(rounds).alias("round"), "id", "w", "v").coalesce(1).mapInPandas(_last_merges(linkage), "a long, b long, d double, round int")
-            merges = materialize(last if merges is None else merges.unionByName(last), "merges")
+            merges = merges.unionByName(materialize(last, "merges"))
             break
+        if log is not None:
+            log.append(left)
         near = materialize(_nearest(own, linkage), "nearest")
-        if merges is not None and merges.where(F.col("d") <= near.agg(F.min("d")).first()[0]).count() >= wanted:
+        if merges.where(F.col("d") <= near.agg(F.min("d")).first()[0]).count() >= wanted:
             break
         other = near.select(F.col("id").alias("other"), F.col("other").alias("back"))
         new = near.join(other, "other").where("back = id and id < other").select(F.col("id").alias("a"), F.col("other").alias("b"), "d", F.lit(rounds).alias("round"))
         new = materialize(new, "merges")
-        merges = new if merges is None else merges.unionByName(new)
+        merges = merges.unionByName(new)
         part = own.join(new.select(F.col("b").alias("id"), "a"), "id", "left").select(F.coalesce("a", "id").alias("id"), "w", "v")
         apart = part.join(new.select(F.col("a").alias("id")), "id", "left_anti")
         joined = part.join(new.select(F.col("a").alias("id")), "id", "left_semi").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("w", "v"))).alias("p"))  # two of them
@@ -228,16 +314,13 @@ def hierarchical_faces(vectors: DataFrame, min_size: int, linkage: str = "averag
         total = first["w"] + second["w"]
         mean = F.zip_with(first["v"], second["v"], lambda x, y: (x * first["w"] + y * second["w"]) / total)
         own = materialize(apart.select("id", "w", "v").unionByName(joined.select("id", total.alias("w"), mean.alias("v"))), "clusters")
-        rounds, left = rounds + 1, own.count()
-    if merges is None:
-        of = vectors.select("id", F.col("id").alias("comp"))
-    else:
-        kept = merges.orderBy("d", "round", "a").limit(wanted).select("a", "b")
-        comp = connected_components(kept)
-        of = vectors.select("id").join(comp, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("comp"))
+        rounds, before, left = rounds + 1, left, own.count()
+        if left >= before:
+            raise RuntimeError("a round of merges found no pair of nearest clusters")
+    placed = running_total(merges.withColumn("one", F.lit(1)), ["d", "round", "a", "b"], {"place": "one"}, "merges-in-order")
+    comp = connected_components(placed.where(F.col("place") < wanted).select("a", "b"))
+    of = vectors.select("id").join(comp, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("comp"))
     of = materialize(of, "components")
-    from photoflow.operators.graph import running_total
-
     number = running_total(of.select("comp").distinct().withColumn("one", F.lit(1)), ["comp"], {"label": "one"}, "labels")
     return of.join(number, "comp").select("id", F.col("label").cast("int").alias("label"))
 
@@ -269,8 +352,6 @@ def cluster_members(vectors: DataFrame, labels: DataFrame) -> DataFrame:
 
 def sort_clusters(labels: DataFrame, first: int = 1) -> DataFrame:
     """(label, n, place): clusters by descending size, ties by label, numbered from `first`, over ranges of them."""
-    from photoflow.operators.graph import running_total
-
     sizes = labels.where("label >= 0").groupBy("label").agg(F.count("*").alias("n"))
     placed = running_total(sizes.withColumns({"down": -F.col("n"), "one": F.lit(1)}), ["down", "label"], {"place": "one"}, "sizes")
     return placed.select("label", "n", (F.col("place") + first).cast("int").alias("place"))
