@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photoflow.functions import geometry as G
+from photoflow.operators.graph import running_total
+from photoflow.scratch import materialize
 
 #: the preferred form of a sidecar comes first
 FORMATS = ["bin", "rkyv", "json"]
@@ -77,12 +79,26 @@ def match_colors(colors: DataFrame, teams: DataFrame, threshold: float = 0.15) -
     return c.join(t, "_cell").where(d < threshold).select("photo", "team").distinct()
 
 
+def number_frames(balls: DataFrame, by: str = "source") -> DataFrame:
+    """balls with `frame`: 1, 2, ... for the different times of each source, counted over ranges of them."""
+    times = running_total(balls.select(by, "ts").distinct().withColumn("_one", F.lit(1)), [by, "ts"], {"frame": "_one"}, "frames", within=[by])
+    same = F.col(f"b.{by}").eqNullSafe(F.col(f"t.{by}")) & F.col("b.ts").eqNullSafe(F.col("t.ts"))
+    return balls.alias("b").join(times.alias("t"), same).select("b.*", (F.col("t.frame") + 1).cast("int").alias("frame"))
+
+
 def track_nearest(balls: DataFrame, max_move: float = 50, by: str = "source") -> DataFrame:
-    """Each ball with the motion from the nearest ball of the frame before, if within max_move (the first on ties)."""
-    frame = balls.withColumn("frame", F.dense_rank().over(Window.partitionBy(by).orderBy("ts")))
-    prev = frame.select(by, (F.col("frame") + 1).alias("frame"), F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("ball_id").alias("prev_id"))
+    """Each ball with the motion from the nearest ball of the frame before, if within max_move (the first on ties).
+
+    Frames are numbered over ranges of times, and balls meet those of the frame before in their own and the
+    neighbouring cells of a grid as wide as max_move, so neither a source nor a crowded frame is one task's work.
+    """
+    frame = number_frames(balls, by)
+    cell = lambda c, step=0: (F.floor(F.col(c) / max_move) + step).alias(f"_{c}")
+    around = F.array(*[F.struct(cell("cx", i), cell("cy", j)) for i, j in product((-1, 0, 1), repeat=2)])
+    prev = frame.select(by, (F.col("frame") + 1).alias("frame"), F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("ball_id").alias("prev_id"), F.explode(around).alias("_c"))
+    prev = prev.select(by, "frame", "px", "py", "prev_id", "_c._cx", "_c._cy")
     d = F.hypot(F.col("cx") - F.col("px"), F.col("cy") - F.col("py"))
-    near = frame.join(prev, [by, "frame"]).withColumn("d", d).where(F.col("d") < max_move)
+    near = frame.select("*", cell("cx"), cell("cy")).join(prev, [by, "frame", "_cx", "_cy"]).withColumn("d", d).where(F.col("d") < max_move)
     best = near.groupBy("ball_id").agg(F.min_by(F.struct("prev_id", (F.col("cx") - F.col("px")).alias("dx"), (F.col("cy") - F.col("py")).alias("dy")), F.struct("d", "prev_id")).alias("m"))
     return frame.join(best, "ball_id", "left").select(*frame.columns, "m.prev_id", "m.dx", "m.dy")
 
@@ -93,8 +109,6 @@ def inherit_types(tracked: DataFrame, by: str = "source") -> DataFrame:
     Every round joins each ball with what its pointer knows and doubles the pointers' reach, so a track of
     n balls takes log2 n joins and no source is gathered in one place.
     """
-    from photoflow.scratch import materialize
-
     known = F.when(F.col("ball_type") != "unknown", F.col("ball_type"))
     t = materialize(tracked.select("ball_id", F.col("prev_id").alias("ptr"), known.alias("kind")), "tracks")
     while not t.where("ptr is not null").isEmpty():

@@ -90,11 +90,24 @@ def game_gaps(games: DataFrame, by: list[str]) -> DataFrame:
     })
 
 
+def _in_chunks(photos: DataFrame, by: list[str], after: int) -> tuple[DataFrame, Window]:
+    """Photos numbered from 0 in each source (idx) and dealt out to chunks, and the window over a chunk.
+
+    A chunk also holds the last photo before it and `after` photos behind it, so its own photos
+    (_own = chunk) see the neighbours that they have in the whole source, which may fill many tasks.
+    """
+    size = max(CHUNK, after)
+    p = running_total(photos.withColumn("_one", F.lit(1)), [*by, "ts", "photo_id"], {"idx": "_one"}, "chunks", within=by).drop("_one")
+    own, place = F.floor(F.col("idx") / size), F.col("idx") % size
+    seen = F.array_compact(F.array(own, F.when(place < after, own - 1), F.when(place == size - 1, own + 1)))
+    return p.select("*", own.alias("_own"), F.explode(seen).alias("chunk")), Window.partitionBy(*by, "chunk").orderBy("idx")
+
+
 def photo_gaps(marked: DataFrame, games: DataFrame, by: list[str]) -> DataFrame:
     """games with the seconds to the neighbouring photos (the older rule), from photos marked with their session."""
-    w = _ordered(by)
-    ends = marked.withColumns({"_prev": F.lag("ts").over(w), "_next": F.lead("ts").over(w)})
-    ends = ends.groupBy(*by, "session").agg(F.min_by("_prev", F.struct("ts", "photo_id")).alias("_prev"), F.max_by("_next", F.struct("ts", "photo_id")).alias("_next"))
+    p, w = _in_chunks(marked.select(*by, "session", "ts", "photo_id"), by, 1)
+    ends = p.withColumns({"_prev": F.lag("ts").over(w), "_next": F.lead("ts").over(w)}).where("_own = chunk")
+    ends = ends.groupBy(*by, "session").agg(F.min_by("_prev", "idx").alias("_prev"), F.max_by("_next", "idx").alias("_next"))
     seconds = lambda a, b: F.nullif((F.unix_micros(a) - F.unix_micros(b)) / F.lit(1e6), F.lit(0.0))
     out = games.join(ends, [*by, "session"])
     return out.withColumns({"gap_before_s": seconds(F.col("start_time"), F.col("_prev")), "gap_after_s": seconds(F.col("_next"), F.col("end_time"))}).drop("_prev", "_next")
@@ -102,9 +115,10 @@ def photo_gaps(marked: DataFrame, games: DataFrame, by: list[str]) -> DataFrame:
 
 def lookahead_gap(photos: DataFrame, by: list[str], rows: int = LOOK) -> DataFrame:
     """photos with their gap in minutes and the largest gap among the next `rows` photos (0 if none)."""
-    w = _ordered(by)
-    g = photos.withColumn("gap", minutes(F.col("ts"), F.lag("ts").over(w)))
-    return g.withColumn("lookahead", F.coalesce(F.max("gap").over(w.rowsBetween(1, rows)), F.lit(0.0)))
+    p, w = _in_chunks(photos, by, rows)
+    g = p.withColumn("gap", minutes(F.col("ts"), F.lag("ts").over(w)))
+    g = g.withColumn("lookahead", F.coalesce(F.max("gap").over(w.rowsBetween(1, rows)), F.lit(0.0)))
+    return g.where("_own = chunk").select(*photos.columns, "gap", "lookahead")
 
 
 def sessionize_adaptive(photos: DataFrame, by: list[str], min_gap: float = 10, min_duration: float = 30, min_photos: int = 50) -> DataFrame:
@@ -116,11 +130,7 @@ def sessionize_adaptive(photos: DataFrame, by: list[str], min_gap: float = 10, m
     ends, so one source may fill many tasks; a block too small or short for a game is not folded.
     """
     hard = max(2 * min_gap, 30)
-    p = running_total(photos.where("ts is not null").select(*by, "ts", "photo_id", F.lit(1).alias("_one")), [*by, "ts", "photo_id"], {"idx": "_one"}, "adaptive", within=by)
-    own, place = F.floor(F.col("idx") / CHUNK), F.col("idx") % CHUNK
-    seen = F.array_compact(F.array(own, F.when(place < LOOK, own - 1), F.when(place == CHUNK - 1, own + 1)))
-    p = p.select(*by, "ts", "idx", own.alias("_own"), F.explode(seen).alias("chunk"))
-    w = Window.partitionBy(*by, "chunk").orderBy("idx")
+    p, w = _in_chunks(photos.where("ts is not null").select(*by, "ts", "photo_id"), by, LOOK)
     p = p.withColumn("prev_ts", F.lag("ts").over(w)).withColumn("gap", minutes(F.col("ts"), F.col("prev_ts")))
     p = p.withColumn("lookahead", F.coalesce(F.max("gap").over(w.rowsBetween(1, LOOK)), F.lit(0.0))).where("_own = chunk").drop("_own")
     p = materialize(p.withColumn("_hard", F.when(F.col("gap") >= hard, 1).otherwise(0)), "gaps")

@@ -46,4 +46,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     from photoflow.plans import fixtures
 
     photos = fixtures.photos(spark, sf_dir).withColumn("source", F.lit("all"))
-    return sessions.game_summary(sessions.number_games(sessions.sessionize(photos, ["source"], 60, 30), ["source"]), ["source"])
+    marked = sessions.mark_sessions_by_range(photos.where("ts is not null"), ["source"], 60)
+    games = sessions.sessionize(photos, ["source"], 60, 30, marked)
+    return sessions.game_summary(sessions.number_games(games, ["source"]), ["source"])

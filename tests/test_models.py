@@ -268,3 +268,50 @@ def test_inherited_types(spark):
         known[i] = before if before != "unknown" else kind
     t = spark.createDataFrame(rows, "ball_id string, source string, frame int, prev_id string, ball_type string")
     assert {r.ball_id: r.tracked_type for r in joins.inherit_types(t).collect()} == known
+
+
+def test_neighbouring_photos_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(sessions, "CHUNK", 40)
+    rows, df = photos(spark, 31, n=400)
+    df = df.union(spark.createDataFrame([(10_000 + k, "s1", None) for k in range(3)], df.schema))
+    df = df.withColumn("source", F.when(F.col("source") != "s2", F.col("source")))  # an unknown source too
+    by = {}
+    for i, s, t in [*rows, *((10_000 + k, "s1", None) for k in range(3))]:
+        by.setdefault(None if s == "s2" else s, []).append((t is not None, t or BASE, i))
+    want, around = {}, {}
+    for s, own in by.items():
+        own.sort()
+        gap = [None if not k or not own[k - 1][0] else (own[k][1] - own[k - 1][1]).total_seconds() / 60 for k in range(len(own))]
+        for k, (_, _, i) in enumerate(own):
+            want[i] = (gap[k], max((g for g in gap[k + 1 : k + 1 + 25] if g is not None), default=0.0))
+            around[i] = tuple(own[j][1] if 0 <= j < len(own) and own[j][0] else None for j in (k - 1, k + 1))
+    got = {r.photo_id: (r.gap, r.lookahead) for r in sessions.lookahead_gap(df, ["source"], 25).collect()}
+    assert got.keys() == want.keys()
+    for i, (g, ahead) in want.items():
+        assert (got[i][0] is None) == (g is None) and abs((got[i][0] or 0) - (g or 0)) < 1e-9 and abs(got[i][1] - ahead) < 1e-9
+    known = df.where("source is not null and ts is not null")
+    marked = sessions.mark_sessions(known, ["source"], 10)
+    games = sessions.photo_gaps(marked, sessions.sessionize(known, ["source"], 10, 0, marked), ["source"]).collect()
+    members = {}
+    for r in marked.collect():
+        members.setdefault((r.source, r.session), []).append((r.ts, r.photo_id))
+    for g in games:
+        own = sorted(members[(g.source, g.session)])
+        before, after = around[own[0][1]][0], around[own[-1][1]][1]
+        seconds = lambda a, b: None if a is None or b is None or a == b else (a - b).total_seconds()
+        assert (g.gap_before_s, g.gap_after_s) == (seconds(g.start_time, before), seconds(after, g.end_time))
+
+
+def test_nearest_ball_by_cells(spark):
+    rng = random.Random(12)
+    rows = [(k, rng.choice("ab"), BASE + timedelta(seconds=rng.randrange(40) ** 2), rng.uniform(-200, 200), rng.uniform(-200, 200), "unknown") for k in range(600)]
+    rows += [(600, "a", BASE, None, 1.0, "unknown"), (601, "a", BASE, 50.0, 0.0, "unknown"), (602, "a", BASE + timedelta(seconds=1), 0.0, 0.0, "unknown")]
+    df = spark.createDataFrame(rows, "ball_id long, source string, ts timestamp, cx double, cy double, ball_type string")
+    frames = {s: sorted({t for _, o, t, *_ in rows if o == s}) for s in "ab"}
+    at = lambda r: frames[r[1]].index(r[2]) + 1
+    got = {r.ball_id: r for r in joins.track_nearest(df).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        near = [(np.hypot(r[3] - p[3], r[4] - p[4]), p[0]) for p in rows if p[1] == r[1] and at(p) == at(r) - 1 and None not in (p[3], r[3])]
+        best = min((n for n in near if n[0] < 50), default=(None, None))
+        assert got[r[0]].frame == at(r) and got[r[0]].prev_id == best[1]
