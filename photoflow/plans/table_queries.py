@@ -132,8 +132,11 @@ def d8(spark, sf_dir) -> DataFrame:
     return t.select("ball_id", F.coalesce("prev_id", F.lit(-1)).alias("prev_id"), F.round(F.coalesce("dx", F.lit(0.0)), 6).alias("dx"), F.round(F.coalesce("dy", F.lit(0.0)), 6).alias("dy"))
 
 
-@query("d8_inherited_types", f"""{TRACK_SQL}, r AS (SELECT ball_id, ball_type AS t, frame FROM f WHERE ball_id NOT IN (SELECT ball_id FROM m)
- UNION ALL SELECT m.ball_id, CASE WHEN r.t <> 'unknown' THEN r.t ELSE f.ball_type END, f.frame FROM r JOIN m ON m.prev_id = r.ball_id JOIN f ON f.ball_id = m.ball_id) SELECT ball_id, t AS tracked_type FROM r""")
+TYPES_SQL = """r AS (SELECT ball_id, ball_type AS t, frame FROM f WHERE ball_id NOT IN (SELECT ball_id FROM m)
+ UNION ALL SELECT m.ball_id, CASE WHEN r.t <> 'unknown' THEN r.t ELSE f.ball_type END, f.frame FROM r JOIN m ON m.prev_id = r.ball_id JOIN f ON f.ball_id = m.ball_id)"""
+
+
+@query("d8_inherited_types", f"{TRACK_SQL}, {TYPES_SQL} SELECT ball_id, t AS tracked_type FROM r")
 def d8b(spark, sf_dir) -> DataFrame:
     return J.inherit_types(J.track_nearest(balls(spark, sf_dir))).select("ball_id", "tracked_type")
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from photoflow.operators.joins import merge_operations
 from photoflow.sources.sidecars import explode_operations
@@ -51,29 +54,87 @@ def sessionize_stream(photos: DataFrame, by: list[str], min_gap: float = 10, min
     return games.where(long).drop("session_window")
 
 
-def track_stream(balls: DataFrame, max_move: float = 50, by: str = "source") -> DataFrame:
-    """Motion of each ball from the nearest of the frame before, on a stream; the state is one frame per source.
+#: what a tracked ball becomes
+TRACKED = "source string, ts timestamp, ball_id long, prev_id long, dx double, dy double, tracked_type string"
+_BALL = "array<struct<us:bigint,id:bigint,cx:double,cy:double,kind:string>>"
 
-    Frames are values of `frame`; within a batch they are taken in order. A ball whose predecessor's type
-    is known takes it.
-    """
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        prev = [tuple(r) for r in state.get[0]] if state.exists else []
-        out = []
-        for frame, pdf in pd.concat(batches).sort_values(["frame", "ball_id"]).groupby("frame", sort=True):
+class _Tracks(StatefulProcessor):
+    """Frames of a source are kept until the watermark has passed their time, then closed in order of time."""
+
+    def __init__(self, max_move: float):
+        self.max_move = max_move
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getValueState("waiting", f"balls {_BALL}")
+        self.last = handle.getValueState("last", f"us bigint, balls {_BALL}")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        closed = self.last.get()[0] if self.last.exists() else None
+        waiting = [tuple(b) for b in self.waiting.get()[0]] if self.waiting.exists() else []
+        for pdf in rows:
+            us = pdf["ts"].astype("datetime64[us]").astype("int64")
+            for t, i, x, y, kind in zip(us, pdf["ball_id"], pdf["cx"], pdf["cy"], pdf["ball_type"], strict=True):
+                if not pd.isna(i) and (closed is None or t > closed):
+                    waiting.append((int(t), int(i), float(x), float(y), kind))
+        yield from self._advance(key, waiting, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        waiting = [tuple(b) for b in self.waiting.get()[0]] if self.waiting.exists() else []
+        yield from self._advance(key, waiting, timerValues)
+
+    def _advance(self, key, waiting: list[tuple], timerValues) -> Iterator[pd.DataFrame]:
+        """Close every frame before the watermark, in order; the rest wait, with a timer for the first of them."""
+        mark, out = timerValues.getCurrentWatermarkInMs() * 1000, []
+        ready = sorted(b for b in waiting if b[0] < mark)
+        prev = [tuple(b) for b in self.last.get()[1]] if ready and self.last.exists() else []
+        for us, frame in groupby(ready, key=lambda b: b[0]):
             now = []
-            for r in pdf.itertuples():
-                near = min(((((r.cx - p[1]) ** 2 + (r.cy - p[2]) ** 2) ** 0.5, p) for p in prev), default=None, key=lambda x: (x[0], x[1][0]))
-                hit = near[1] if near and near[0] < max_move else None
-                kind = hit[3] if hit and hit[3] != "unknown" else r.ball_type
-                now.append((int(r.ball_id), float(r.cx), float(r.cy), kind))
-                out.append((key[0], int(frame), int(r.ball_id), hit[0] if hit else None, r.cx - hit[1] if hit else None, r.cy - hit[2] if hit else None, kind))
+            for _, i, x, y, kind in frame:
+                near = ((d, p[1], p) for p in prev if (d := math.hypot(x - p[2], y - p[3])) < self.max_move)
+                hit = min(near, default=(None, None, None))[2]
+                kind = hit[4] if hit and hit[4] != "unknown" else kind
+                now.append((us, i, x, y, kind))
+                out.append((key[0], pd.Timestamp(us, unit="us"), i, hit[1] if hit else None, x - hit[2] if hit else None, y - hit[3] if hit else None, kind))
             prev = now
-        state.update(([list(p) for p in prev],))
-        yield pd.DataFrame(out, columns=[by, "frame", "ball_id", "prev_id", "dx", "dy", "tracked_type"]).astype({"prev_id": "Int64"})
-
-    return balls.groupBy(by).applyInPandasWithState(
-        follow, f"{by} string, frame long, ball_id long, prev_id long, dx double, dy double, tracked_type string",
-        "balls array<struct<id:bigint,cx:double,cy:double,kind:string>>", "append", GroupStateTimeout.NoTimeout,
-    )
+        if ready:
+            self.last.update((ready[-1][0], prev))
+        left = sorted(b for b in waiting if b[0] >= mark)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if left:
+            self.waiting.update((left,))
+            self.handle.registerTimer(left[0][0] // 1000 + 1)
+        elif self.waiting.exists():
+            self.waiting.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["source", "ts", "ball_id", "prev_id", "dx", "dy", "tracked_type"]).astype({"prev_id": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def track_stream(balls: DataFrame, max_move: float = 50, watermark: str = "0 seconds") -> DataFrame:
+    """Motion of each ball (source, ts, ball_id, cx, cy, ball_type) from the nearest of the frame before, on a stream.
+
+    Balls of one source and time are a frame. An event-time timer closes a frame once the watermark has
+    passed it, so it may come in any number of micro-batches and in any order within the watermark; what
+    comes later is dropped. The state of a source is its open frames and the last closed one. A ball
+    whose predecessor's type is known takes it. A row without ball_id only moves time on. The state store must
+    be RocksDB (rocksdb_state).
+    """
+    timed = balls.withWatermark("ts", watermark)
+    return timed.groupBy("source").transformWithStateInPandas(_Tracks(max_move), TRACKED, "append", "eventTime")
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep their state in RocksDB, which timers need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

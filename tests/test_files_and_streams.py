@@ -51,16 +51,50 @@ def test_ingest_is_incremental(spark, tmp_path):
     assert streams.ingested(spark, str(tmp_path / "out")).count() == 2
 
 
-def test_tracks_on_a_stream(spark, tmp_path):
-    rows = [("a", 1, 1, 0.0, 0.0, "soccer"), ("a", 2, 2, 10.0, 0.0, "unknown"), ("a", 3, 3, 100.0, 0.0, "unknown"), ("b", 1, 4, 0.0, 0.0, "unknown")]
-    df = spark.createDataFrame(rows, "source string, frame long, ball_id long, cx double, cy double, ball_type string")
-    for part in ("frame <= 1", "frame > 1"):
-        df.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "balls"))
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "balls"))
+def followed(spark, df, path, parts, watermark) -> dict:
+    """Tracks of df's rows that come in the given parts, a batch each, and then a row that closes all frames."""
+    from datetime import timedelta
+
+    end = df.agg(F.max("ts")).first()[0] + timedelta(days=30)
+    closing = spark.createDataFrame([("end", end, None, None, None, None)], df.schema)
+    for part in [*(df.where(p) for p in parts), closing]:
+        part.coalesce(1).write.mode("append").parquet(f"{path}/balls")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/balls")
     seen = []
-    streams.run_available(streams.track_stream(stream), str(tmp_path / "cp"), lambda b, _: seen.extend(b.collect()))
-    got = {r.ball_id: (r.prev_id, r.dx, r.tracked_type) for r in seen}
-    assert got == {1: (None, None, "soccer"), 2: (1, 10.0, "soccer"), 3: (None, None, "unknown"), 4: (None, None, "unknown")}
+    with streams.rocksdb_state(spark):
+        streams.run_available(streams.track_stream(stream, watermark=watermark), f"{path}/cp", lambda b, _: seen.extend(b.collect()))
+    assert len(seen) == len({r.ball_id for r in seen})
+    return {r.ball_id: (r.prev_id, r.dx, r.dy, r.tracked_type) for r in seen}
+
+
+def test_tracks_are_the_same_whatever_the_batches(spark, tmp_path):
+    import random
+    from datetime import datetime, timedelta
+
+    from photoflow.operators import joins
+
+    rng, base = random.Random(3), datetime(2025, 9, 20)
+    rows = [(rng.choice("ab"), base + timedelta(seconds=rng.randrange(12)), k, rng.uniform(0, 120), rng.uniform(0, 120), rng.choice(["unknown", "unknown", "soccer", "tennis"])) for k in range(80)]
+    df = spark.createDataFrame(rows, "source string, ts timestamp, ball_id long, cx double, cy double, ball_type string")
+    motion = joins.track_nearest(df)
+    want = {r.ball_id: (r.prev_id, r.dx, r.dy, r.tracked_type) for r in joins.inherit_types(motion).collect()}
+    assert followed(spark, df, tmp_path / "whole", ["true"], "1 minute") == want
+    assert followed(spark, df, tmp_path / "cut", ["ball_id % 3 = 2", "ball_id % 3 = 0", "ball_id % 3 = 1"], "1 minute") == want
+    in_time = [f"ts < '{base + timedelta(seconds=5)}'", f"ts >= '{base + timedelta(seconds=5)}'"]
+    assert followed(spark, df, tmp_path / "in-time", in_time, "0 seconds") == want
+
+
+def test_late_balls_are_dropped(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    base = datetime(2025, 9, 20)
+    at = lambda s: base + timedelta(seconds=s)
+    rows = [("a", at(0), 1, 0.0, 0.0, "soccer"), ("a", at(50), 2, 10.0, 0.0, "unknown"), ("a", at(60), 3, 30.0, 0.0, "unknown"), ("a", at(55), 4, 15.0, 0.0, "tennis"), ("a", at(1), 5, 1.0, 0.0, "tennis"), ("a", at(56), 6, None, 0.0, "tennis")]
+    df = spark.createDataFrame(rows, "source string, ts timestamp, ball_id long, cx double, cy double, ball_type string")
+    got = followed(spark, df, tmp_path, ["ball_id <= 2", "ball_id = 3", "ball_id >= 4"], "8 seconds")
+    assert got.keys() == {1, 2, 3, 4, 6}  # of two that come out of order, the one within the watermark is kept
+    assert got[2] == (1, 10.0, 0.0, "soccer") and got[4] == (2, 5.0, 0.0, "soccer")
+    assert got[6][0] is None and got[3][0] is None  # a ball without a place is near nothing
 
 
 def test_a_cluster_needs_a_shared_folder():
