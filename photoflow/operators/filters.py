@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,33 +167,3 @@ def class_name(class_id: Column, names: list[str] | dict[int, str]) -> Column:
         return fallback
     table = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     return F.coalesce(F.try_element_at(table, class_id.cast("int")), fallback)
-
-
-def run_two_detectors(images: DataFrame, first: tuple[str, Callable, str], second: tuple[str, Callable, str], key: str = "image", config: dict | None = None) -> DataFrame:
-    """Both detectors on one read of every image: (image, success, error, and a struct of each detector's columns).
-
-    A detector is (name, fn(batch, config), schema without the key). One that fails on a row leaves its
-    struct null there and its error in `error`; success says that both worked.
-    """
-    parts = [(name, fn, [c.strip().split() for c in schema.split(",")]) for name, fn, schema in (first, second)]
-    key_type = images.schema[key].dataType.simpleString()
-    out = f"{key} {key_type}, success boolean, error string, " + ", ".join(f"{name} struct<{','.join(f'{c}:{t}' for c, t in cols)}>" for name, _, cols in parts)
-
-    def attempt(b: pd.DataFrame, fn: Callable, cols: list) -> list:
-        try:
-            got = fn(b, dict(config or {})).set_index(key)[[c for c, _ in cols]]
-            return [(r, None) for r in got.loc[b[key]].to_dict("records")]
-        except Exception as e:  # noqa: BLE001
-            if len(b) == 1:
-                return [(None, str(e))]
-            half = len(b) // 2
-            return attempt(b.iloc[:half], fn, cols) + attempt(b.iloc[half:], fn, cols)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                done = {name: attempt(b, fn, cols) for name, fn, cols in parts}
-                errors = ["; ".join(f"{n}: {done[n][k][1]}" for n in done if done[n][k][1] is not None) or None for k in range(len(b))]
-                yield pd.DataFrame({key: b[key].to_numpy(), "success": [e is None for e in errors], "error": errors} | {n: [r for r, _ in rows] for n, rows in done.items()})
-
-    return images.mapInPandas(run, out)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import product
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from photoflow.functions import geometry as G
+from photoflow.operators.detectors import Detectors, run_detector  # noqa: F401
 from photoflow.operators.graph import running_total
 from photoflow.scratch import materialize
 
@@ -138,45 +137,3 @@ def merge_operations(existing: DataFrame, updates: DataFrame, keys: list[str]) -
         .withColumn("created_at", F.min("version").over(w)).withColumn("last_updated", F.max("version").over(w))
         .where("_n = 1").drop("_n")
     )
-
-
-def run_detector(images: DataFrame, fn, schema: str, key: str = "image", **config) -> DataFrame:
-    """Run a caller's detector batch by batch: fn(batch, config) -> frame with the schema's columns, one row per image.
-
-    A batch that fails is halved until the failing rows are alone; a row that fails is a row with success false and its error.
-    """
-
-    def attempt(b: pd.DataFrame) -> list[pd.DataFrame]:
-        try:
-            return [fn(b, config).assign(success=True, error=None)]
-        except Exception as e:  # noqa: BLE001
-            if len(b) == 1:
-                return [pd.DataFrame({key: b[key].to_numpy(), "success": False, "error": str(e)})]
-            return attempt(b.iloc[: len(b) // 2]) + attempt(b.iloc[len(b) // 2 :])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield pd.concat([x.reindex(columns=columns) for x in attempt(b)], ignore_index=True)
-
-    full = f"{schema}, success boolean, error string"
-    columns = [c.strip().split()[0] for c in full.split(",")]
-    return images.mapInPandas(run, full)
-
-
-class Detectors:
-    """Named detectors with their default configuration."""
-
-    def __init__(self) -> None:
-        self._known: dict[str, tuple] = {}
-
-    def register(self, name: str, fn, schema: str, **config) -> None:
-        self._known[name] = (fn, schema, config)
-
-    def run(self, name: str, images: DataFrame, key: str = "image", **override) -> DataFrame:
-        """Unknown settings are gathered in tool_params; an unknown detector gives an error row per image."""
-        if name not in self._known:
-            return images.select(key, F.lit(False).alias("success"), F.lit(f"unknown detector {name}").alias("error"))
-        fn, schema, config = self._known[name]
-        merged = config | {k: v for k, v in override.items() if k in config} | {"tool_params": {k: v for k, v in override.items() if k not in config}}
-        return run_detector(images, fn, schema, key, **merged)

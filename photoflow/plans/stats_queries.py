@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from photoflow.functions import color as C
+from photoflow.operators import detectors as E
 from photoflow.operators import filters as R
 from photoflow.operators import joins as J
 from photoflow.operators import stats as T
@@ -255,6 +256,25 @@ def j1(spark, sf_dir) -> DataFrame:
     return out.select("image", "success", F.coalesce(F.col("faces").cast("long"), F.lit(0)).alias("faces"))
 
 
+@query("j1_detector_accounts", """WITH p AS (SELECT event_id AS image FROM events UNION ALL SELECT event_id FROM events WHERE event_id % 10 = 1)
+SELECT image, image % 7 <> 3 AND image % 50 <> 7 AS success, CASE WHEN image % 7 <> 3 AND image % 50 <> 7 THEN image % 4 ELSE -1 END AS faces,
+  CASE WHEN image % 50 = 7 THEN 'cannot read' WHEN image % 7 = 3 THEN 'no result' ELSE 'none' END AS error FROM p""")
+def j1_accounts(spark, sf_dir) -> DataFrame:
+    """A detector with a model and small batches that fails on some images and leaves others out; some images come twice."""
+
+    def detect(batch, config, model):
+        assert len(batch) <= 64
+        if (batch["image"] % 50 == 7).any():
+            raise ValueError("cannot read")
+        return batch[batch["image"] % 7 != 3].assign(faces=lambda b: b["image"] % model)[["image", "faces"]].sort_values("image", ascending=False)
+
+    photos = X.photos(spark, sf_dir).select(F.col("photo_id").alias("image"))
+    d = E.Detectors()
+    d.register("faces", detect, "image long, faces long", batch_size=64, model=lambda config: config["kinds"], kinds=4)
+    out = d.run("faces", photos.unionByName(photos.where("image % 10 = 1")))
+    return out.select("image", "success", F.coalesce("faces", F.lit(-1)).alias("faces"), F.coalesce("error", F.lit("none")).alias("error"))
+
+
 @query("a9_report_json", f"WITH {X.DETECTIONS} SELECT image, CAST(count(*) AS BIGINT) AS n, round(max(confidence), 6) AS best FROM detections GROUP BY image")
 def a9(spark, sf_dir) -> DataFrame:
     """The report is written as JSON and read again."""
@@ -300,7 +320,7 @@ def j5(spark, sf_dir) -> DataFrame:
         return batch.assign(n=batch["image"] % 3)[["image", "n"]]
 
     photos = X.photos(spark, sf_dir).select(F.col("photo_id").alias("image"))
-    out = R.run_two_detectors(photos, ("face", face, "n long"), ("object", thing, "n long"), config={"kinds": 4})
+    out = E.run_two_detectors(photos, ("face", face, "n long"), ("object", thing, "n long"), config={"kinds": 4})
     return out.select("image", "success", F.col("face.n").alias("faces"), F.col("object.n").alias("objects"), "error")
 
 
