@@ -10,7 +10,7 @@ OPERATION_TYPES = ["face_detection", "object_detection", "ball_detection", "qual
 LEGACY_KEYS = {"Face_detector": "face_detection", "Object_detector": "object_detection", "Ball_detector": "ball_detection", "Quality_assessor": "quality_assessment", "Game_detector": "game_detection", "yolov8": "yolov8"}
 COUNT_LISTS = ["faces", "objects", "detections"]
 TOOL_KEYS = ["tool_name", "detector", "model", "algorithm"]
-#: nested objects are searched to this depth
+#: nested objects are searched to this depth by column expressions; detection_counts, tool_names and with_operation in sources/sidecars.py know no depth
 DEPTH = 3
 
 
@@ -42,16 +42,20 @@ def _paths(keys: list[str], depth: int = DEPTH) -> list[str]:
     return out
 
 
-def detection_count(doc: Column) -> Column:
-    """Count or list length of the document, else of the objects nested under data, result or detection; 0 if none."""
-    v = parsed(doc)
+def counted(v: Column, path: str = "$") -> Column:
+    """The count, or the length of the first list of detections, of the object at a path of a variant; null without one."""
+    lists = [F.size(_get(v, f"{path}.{k}", "array<variant>")) for k in COUNT_LISTS]
+    return F.coalesce(_get(v, f"{path}.count", "bigint"), *[n.cast("bigint") for n in lists])
 
-    def own(p: str) -> Column:
-        lists = [F.size(_get(v, f"{p}.{k}", "array<variant>")) for k in COUNT_LISTS]
-        return F.coalesce(_get(v, f"{p}.count", "bigint"), *[n.cast("bigint") for n in lists])
 
+def detection_count(doc: Column) -> Column:
+    """Count or list length of the document, else of the objects nested under data, result or detection to DEPTH; 0 if none.
+
+    sidecars.detection_counts searches to any depth.
+    """
+    v = parsed(doc)
     here, *nested = _paths(["data", "result", "detection"])
-    return F.coalesce(own(here), *[F.when(own(p) > 0, own(p)) for p in nested], F.lit(0))
+    return F.coalesce(counted(v, here), *[F.when(counted(v, p) > 0, counted(v, p)) for p in nested], F.lit(0))
 
 
 def tool_name(doc: Column) -> Column:

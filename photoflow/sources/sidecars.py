@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from photoflow.functions.documents import parsed
+from photoflow.functions.documents import TOOL_KEYS, counted, parsed
+from photoflow.scratch import materialize
 
 IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "tiff", "bmp", "webp"]
 SKIPPED = ["venv", "__pycache__", ".git", "node_modules"]
@@ -39,6 +40,104 @@ def explode_operations(sidecars: DataFrame) -> DataFrame:
     return both.withColumn("success", F.get_json_object("payload", "$.success") == "true")
 
 
+def merge_documents(documents: DataFrame, updates: DataFrame, key: str = "image") -> DataFrame:
+    """(key, doc): every document with its new results put in, and a new document where there was none.
+
+    updates is (key, op, backend, payload, at): JSON results in the order of `at`; at equal times a result for
+    the whole operation comes before those of backends, then the smaller payload and operation. A result without backend
+    replaces the operation with all that was under it, one with a backend only that backend's; everything
+    else of the document stays. sidecar_info keeps what it has and gets last_updated and last_operation; where
+    there is none it also gets created_at and operation_type from the first new result. A document that
+    is no JSON object counts as missing, repeated ones as one of them (the largest text). Names are sorted.
+    """
+    k = F.col(key)
+    order = F.struct("at", F.col("backend").isNotNull().alias("nested"), F.coalesce("backend", F.lit("")).alias("name"), "payload")
+    new = updates.select(k, "op", "backend", "payload", "at", order.alias("o"))
+    # of each operation the last whole result, and of each backend the last result after it
+    whole = new.where("backend is null").groupBy(key, "op").agg(F.max("o").alias("w"))
+    after = new.where("backend is not null").join(whole, [key, "op"], "left").where("w is null or o > w")
+    nested = after.groupBy(key, "op", "backend").agg(F.max("o")["payload"].alias("payload"))
+    nested = nested.groupBy(key, "op").agg(F.map_from_entries(F.collect_list(F.struct("backend", F.try_parse_json("payload")))).alias("nested"))
+    old = documents.groupBy(key).agg(F.max(F.when(F.from_json("doc", "map<string,variant>").isNotNull(), F.col("doc"))).alias("doc"))
+    old = old.select(k, F.explode(F.from_json("doc", "map<string,variant>")).alias("op", "v"))
+    info = old.where("op = 'sidecar_info'").select(k, F.from_json(F.to_json("v"), "map<string,variant>").alias("info"))
+    parts = old.where("op <> 'sidecar_info'").select(k, "op", F.to_json("v").alias("old"))
+    parts = parts.join(whole.select(k, "op", F.col("w.payload").alias("whole")), [key, "op"], "full").join(nested, [key, "op"], "full")
+    base = F.coalesce(F.from_json(F.coalesce("whole", "old"), "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    value = F.when(F.col("nested").isNull(), F.coalesce("whole", "old")).otherwise(F.to_json(_sorted(_over(base, F.col("nested")))))
+    parts = parts.select(k, "op", value.alias("json")).groupBy(key).agg(F.collect_list(F.struct("op", "json")).alias("parts"))
+    said = new.groupBy(key).agg(F.min(F.struct("o", "op")).alias("first"), F.max(F.struct("o", "op")).alias("last"))
+    both = parts.join(said, key, "left").join(info, key, "full")
+    one = lambda name, c: F.struct(F.lit(name).alias("k"), _text(c).alias("v"))
+    lasts = F.map_from_entries(F.array(one("last_updated", F.col("last.o.at")), one("last_operation", F.col("last.op"))))
+    firsts = F.map_from_entries(F.array(one("created_at", F.col("first.o.at")), one("operation_type", F.col("first.op"))))
+    none = F.create_map().cast("map<string,variant>")
+    stamped = _over(F.when(F.col("info").isNull(), firsts).otherwise(F.col("info")), lasts)
+    stamped = F.when(F.col("last").isNull(), F.coalesce("info", none)).otherwise(stamped)
+    entries = F.transform(F.coalesce("parts", F.array().cast("array<struct<op:string,json:string>>")), lambda p: F.struct(p["op"].alias("k"), p["json"].alias("v")))
+    entries = F.when(F.size(stamped) > 0, F.array_append(entries, F.struct(F.lit("sidecar_info").alias("k"), F.to_json(_sorted(stamped)).alias("v")))).otherwise(entries)
+    doc = F.map_from_entries(F.transform(F.array_sort(entries), lambda e: F.struct(e["k"], F.try_parse_json(e["v"]))))
+    return both.select(k, F.to_json(doc).alias("doc"))
+
+
+def _text(c: Column) -> Column:
+    """A string as a variant."""
+    return F.try_variant_get(F.try_parse_json(F.to_json(F.struct(c.cast("string").alias("v")))), "$.v", "variant")
+
+
+def _over(base: Column, more: Column) -> Column:
+    """The map `base` with the entries of `more` put over its own."""
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(more, k)), more)
+
+
+def _sorted(m: Column) -> Column:
+    """A map in the order of its keys."""
+    keys = F.array_sort(F.map_keys(m))
+    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.element_at(m, k))))
+
+
+def _nodes(documents: DataFrame, keys: list[str], stop: Column | None = None, key: str = "image") -> DataFrame:
+    """(key, at, v): the objects of every document that are reached through `keys`, to any depth, the document's own first.
+
+    `at` orders them as a search that goes down before it goes on. Below an object for which `stop` holds
+    nothing is searched. Each round takes all objects of one depth a step down, until none is left.
+    """
+    is_object = F.schema_of_variant("v").startswith("OBJECT")
+    level = documents.select(key, F.lit("").alias("at"), F.try_parse_json("doc").alias("v")).where(F.col("v").isNotNull()).where(is_object)
+    found = None
+    while True:
+        level = materialize(level.select(key, "at", F.to_json("v").alias("doc")), "nested-objects")
+        if found is not None and level.isEmpty():
+            return found.select(key, "at", F.try_parse_json("doc").alias("v"))
+        found = level if found is None else found.unionByName(level)
+        down = level.select(key, "at", F.try_parse_json("doc").alias("v"))
+        down = down.where(~stop) if stop is not None else down
+        below = F.array(*[F.struct(F.lit(f"{n:02d}").alias("n"), F.try_variant_get("v", f"$.{k}", "variant").alias("v")) for n, k in enumerate(keys)])
+        level = down.select(key, "at", F.explode(below).alias("b")).select(key, F.concat("at", "b.n").alias("at"), "b.v").where(F.col("v").isNotNull()).where(is_object)
+
+
+def detection_counts(documents: DataFrame, key: str = "image") -> DataFrame:
+    """(key, n): count or list length of each document (key, doc), else of the first object nested under data, result or detection that has one above 0, at any depth; 0 if none."""
+    own = counted(F.col("v"))
+    nodes = _nodes(documents, ["data", "result", "detection"], own.isNotNull(), key).select(key, "at", own.alias("n"))
+    best = nodes.groupBy(key).agg(F.min(F.when((F.col("n") > 0) | ((F.col("at") == "") & F.col("n").isNotNull()), F.struct("at", "n")))["n"].alias("n"))
+    return documents.select(key).distinct().join(best, key, "left").select(key, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+def tool_names(documents: DataFrame, key: str = "image") -> DataFrame:
+    """(key, tool): the first tool name in a document, else in the objects nested under data, result or metadata, at any depth."""
+    own = F.coalesce(*[F.try_variant_get("v", f"$.{k}", "string") for k in TOOL_KEYS])
+    nodes = _nodes(documents, ["data", "result", "metadata"], own.isNotNull(), key).select(key, F.when(own.isNotNull(), F.struct("at", own.alias("t"))).alias("t"))
+    return documents.select(key).distinct().join(nodes.groupBy(key).agg(F.min("t")["t"].alias("tool")), key, "left")
+
+
+def with_operation(documents: DataFrame, op: str, key: str = "image") -> DataFrame:
+    """(key, has): whether the operation is a key or the type of a document or of an object nested under data or result, at any depth."""
+    own = F.try_variant_get("v", f"$.{op}", "variant").isNotNull() | F.coalesce(F.try_variant_get("v", "$.sidecar_info.operation_type", "string") == op, F.lit(False))
+    nodes = _nodes(documents, ["data", "result"], own, key).groupBy(key).agg(F.bool_or(own).alias("has"))
+    return documents.select(key).distinct().join(nodes, key, "left").select(key, F.coalesce("has", F.lit(False)).alias("has"))
+
+
 def export_sidecars(sidecars: DataFrame, op: str | None = None, doc: str = "doc") -> DataFrame:
     """(image, path, op, created, size): a row per operation of every sound document, of one kind with `op`."""
     rows = sidecars.withColumns({"created": F.get_json_object(doc, "$.sidecar_info.created_at"), "size": F.octet_length(doc)})
