@@ -88,7 +88,7 @@ def repeated(docs: DataFrame, seed: int = 11, id_col: str = "doc_id", text_col:
     own = cut.groupBy("row", "pass").agg(F.min("slot").alias("slot"), F.sum(F.col("end") - F.col("first")).alias("got"))
     own = own.join(out.select("row", F.col(id_col).alias("id"), "text_hash", "size"), "row").where(F.col("got") * 2 >= F.col("size"))
     own = own.groupBy("row", "id", "text_hash").agg(F.collect_list("slot").alias("slots"))
-    own = own.groupBy("id", "text_hash").agg(F.max_by("slots", F.struct(F.size("slots"), "row")).alias("slots"))
+    own = materialize(own.groupBy("id", "text_hash").agg(F.max_by("slots", F.struct(F.size("slots"), "row")).alias("slots")), "slots-of-documents")
     all_docs = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("doc"), F.col(id_col).alias("own_id"), F.xxhash64(F.lit(seed), id_col, text_col).alias("own_hash"))
     joined = all_docs.join(own, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash"))).select(F.explode("slots").alias("slot"), "doc")
     # slots fill their range evenly (but for the few at its end), so ranges of them need no sample
@@ -131,6 +131,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3,
     cut = pieces.join(slots, ["sid", "block"]).select(
         "slot", "row", "pass", F.greatest(at - F.col("pos"), F.lit(0)).alias("first"), F.least(at + F.col("upto") - F.col("pos"), F.col("size")).alias("end"),
     ).where("end > first")
+    cut = materialize(cut, "slices")
     taken = cut.groupBy("row").agg(F.sum(F.col("end") - F.col("first")).alias("taken"))
     out = named.join(taken, "row", "left").select("row", F.col("_h").alias("text_hash"), F.col("id").alias(id_col), "size", "source", "source_size", "weight", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     return out, cut
