@@ -32,7 +32,7 @@ def e2(spark, sf_dir):
 def main() -> None:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").config("spark.sql.shuffle.partitions", CPUS).config("spark.driver.memory", "16g")
-        .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.sql.codegen.hugeMethodLimit", "8000").config("spark.sql.session.timeZone", "UTC").config("spark.local.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     run = {"e1_sessions_50_sources": e1, "e2_adaptive_50_sources": e2} | {n: registry.queries()[n] for n in NAMES}

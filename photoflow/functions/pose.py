@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from photoflow.functions.ladder import first_true, ladder
@@ -29,31 +29,33 @@ def pose_confidence(points: Column) -> Column:
     return F.when(F.size(arms) > 0, _mean(arms)).when(F.size(points) > 0, _mean(every)).otherwise(F.lit(0.0))
 
 
-def upper_body(points: Column, w: Column, h: Column, threshold: float = 0.7) -> Column:
-    """Padded pixel box (struct x, y, w, h) of the confident upper-body points (ratios), the whole image without any."""
-    sure = [(_at(points, k), _at(points, k)["confidence"] > threshold) for k in UPPER_BODY]
-    # nulls are passed over by least and greatest; the ends are computed once, as one value
-    ends = {f"{e}{part}": f(*[F.when(ok, p[part]) for p, ok in sure]) for e, f in (("low", F.least), ("high", F.greatest)) for part in "xy"}
-    some = F.coalesce(*[F.when(ok, True) for _, ok in sure]).isNotNull()
-    spans = F.struct(*[c.alias(name) for name, c in ends.items()], some.alias("some"))
+def sure_points(points: Column, places: list[int] = UPPER_BODY, threshold: float = 0.7) -> Column:
+    """The landmarks at `places` that are surer than the threshold."""
+    return F.filter(F.array(*[_at(points, k) for k in places]), lambda p: p["confidence"] > threshold)
 
-    def box(s: Column) -> Column:
-        def span(part: str, n: Column, pad: float) -> tuple[Column, Column]:
-            low, high = s[f"low{part}"], s[f"high{part}"]
-            p = (high - low) * pad
-            return F.greatest(F.lit(0), ((low - p) * n).cast("bigint")), F.least(n, ((high + p) * n).cast("bigint"))
 
-        (x1, x2), (y1, y2) = span("x", w, 0.2), span("y", h, 0.3)
-        pick = lambda a, b, name: F.when(s["some"], a).otherwise(b).alias(name)
-        return F.struct(pick(x1, F.lit(0), "x"), pick(y1, F.lit(0), "y"), pick(x2 - x1, w, "w"), pick(y2 - y1, h, "h"))
+def padded_box(points: Column, w: Column, h: Column) -> Column:
+    """Padded pixel box (struct x, y, w, h) around points (ratios), the whole image where there are none."""
 
-    return F.transform(F.array(spans), box)[0]
+    def side(part: str, n: Column, pad: float) -> tuple[Column, Column]:
+        low, high = F.array_min(points[part]), F.array_max(points[part])
+        p = (high - low) * pad
+        return F.greatest(F.lit(0), ((low - p) * n).cast("bigint")), F.least(n, ((high + p) * n).cast("bigint"))
 
+    (x1, x2), (y1, y2) = side("x", w, 0.2), side("y", h, 0.3)
+    some = F.size(points) > 0
+    pick = lambda a, b, name: F.when(some, a).otherwise(b).alias(name)
+    return F.struct(pick(x1, F.lit(0), "x"), pick(y1, F.lit(0), "y"), pick(x2 - x1, w, "w"), pick(y2 - y1, h, "h"))
 
-def upper_body_box(points: Column, w: Column, h: Column, threshold: float = 0.7) -> tuple[Column, Column, Column, Column]:
-    """The four sides of upper_body; a column of the struct itself is computed once for all four."""
-    found = upper_body(points, w, h, threshold)
-    return found["x"], found["y"], found["w"], found["h"]
+
+def with_upper_body(poses: DataFrame, points: str, w: Column, h: Column, name: str = "box", threshold: float = 0.7) -> DataFrame:
+    """poses with `name`, the padded_box of the sure upper-body points of the column `points`.
+
+    The points are chosen in one step and measured in the next, so they are looked at once, and the code made
+    for a row stays small enough to be compiled.
+    """
+    sure = poses.withColumn("_sure", sure_points(F.col(points), UPPER_BODY, threshold))
+    return sure.withColumn(name, padded_box(F.col("_sure"), w, h)).drop("_sure")
 
 
 def landmarks_to_image(points: Column, x: Column, y: Column, w: Column, h: Column, visible: float = 0.5) -> Column:

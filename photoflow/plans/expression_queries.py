@@ -259,7 +259,7 @@ def _edge(part: str, n: int, pad: float, low: bool) -> str:
 
 
 def _upper(spark, sf_dir) -> DataFrame:
-    return _poses(spark, sf_dir).withColumn("box", P.upper_body(F.col("points"), F.lit(640), F.lit(480)))
+    return P.with_upper_body(_poses(spark, sf_dir), "points", F.lit(640), F.lit(480))
 
 
 _expressions("b24_upper_body_box", _MEAS, _upper, _MK, {
