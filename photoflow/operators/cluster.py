@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from photoflow.functions.color import color_name
+from photoflow.functions.color import color_name, hsv_to_rgb, lab_to_rgb, rgb_to_hsv, rgb_to_lab
 from photoflow.operators import neighbours
 from photoflow.operators.graph import connected_components, running_total
 from photoflow.operators.joins import cells_around, color_cell, match_colors
@@ -483,13 +483,38 @@ def team_members_confidence(colors: DataFrame, teams: DataFrame, threshold: floa
     return per.select("name", team_confidence(F.col("n"), F.col("dist")).alias("confidence"))
 
 
-def dominant_colors(pixels: DataFrame, k: int = 8, seed: int = 42) -> DataFrame:
-    """(image, cluster, r, g, b, share): weighted k-means over each image's distinct colours, largest share first."""
+#: what pixels are clustered in: the three values of a colour, and the way back to red, green and blue
+COLOR_SPACES = ["rgb", "hsv", "lab"]
+
+
+def _in_space(c: tuple[Column, Column, Column], space: str) -> tuple[Column, Column, Column]:
+    """A colour in the space's byte scale: hue as half degrees, saturation and value to 255; L, a and b times 255."""
+    if space == "hsv":
+        h, s, v = rgb_to_hsv(c, 1.0)
+        return h / 2, s * 255, v * 255
+    return rgb_to_lab(c) if space == "lab" else c
+
+
+def _from_space(c: tuple[Column, Column, Column], space: str) -> tuple[Column, Column, Column]:
+    if space == "hsv":
+        return tuple(x * 255 for x in hsv_to_rgb((c[0] * 2, c[1] / 255, c[2] / 255)))
+    return lab_to_rgb(c) if space == "lab" else c
+
+
+def dominant_colors(pixels: DataFrame, k: int = 8, seed: int = 42, color_space: str = "rgb") -> DataFrame:
+    """(image, cluster, r, g, b, share): weighted k-means over each image's distinct colours, largest share first.
+
+    Colours are clustered in the colour space, and the centres are turned back into red, green and blue.
+    """
+    if color_space not in COLOR_SPACES:
+        raise ValueError(f"{color_space} is none of {', '.join(COLOR_SPACES)}")
     shades = pixels.groupBy("image", "r", "g", "b").agg(F.count("*").alias("n"))
+    placed = _in_space((F.col("r"), F.col("g"), F.col("b")), color_space)
+    shades = shades.select("image", "r", "g", "b", "n", *[c.cast("double").alias(f"c{i}") for i, c in enumerate(placed)])
 
     def lloyd(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["r", "g", "b"])
-        x, w = pdf[["r", "g", "b"]].to_numpy(float), pdf["n"].to_numpy(float)
+        x, w = pdf[["c0", "c1", "c2"]].to_numpy(float), pdf["n"].to_numpy(float)
         c = x[np.random.default_rng(seed).choice(len(x), min(k, len(x)), replace=False, p=w / w.sum())]
         for _ in range(20):
             near = ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
@@ -501,6 +526,8 @@ def dominant_colors(pixels: DataFrame, k: int = 8, seed: int = 42) -> DataFrame:
             c = moved
         keep = np.argsort(-mass, kind="stable")
         keep = keep[mass[keep] > 0]
-        return pd.DataFrame({"image": pdf["image"].iloc[0], "cluster": range(len(keep)), "r": c[keep, 0], "g": c[keep, 1], "b": c[keep, 2], "share": mass[keep] / w.sum()})
+        return pd.DataFrame({"image": pdf["image"].iloc[0], "cluster": range(len(keep)), "c0": c[keep, 0], "c1": c[keep, 1], "c2": c[keep, 2], "share": mass[keep] / w.sum()})
 
-    return shades.groupBy("image").applyInPandas(lloyd, "image long, cluster int, r double, g double, b double, share double")
+    found = shades.groupBy("image").applyInPandas(lloyd, "image long, cluster int, c0 double, c1 double, c2 double, share double")
+    rgb = _from_space((F.col("c0"), F.col("c1"), F.col("c2")), color_space)
+    return found.select("image", "cluster", *[c.alias(name) for c, name in zip(rgb, "rgb", strict=True)], "share")

@@ -156,6 +156,51 @@ def extraction_report(extractions: DataFrame, found: str = "found", cut: str = "
     )
 
 
+def link_counts(files: DataFrame) -> DataFrame:
+    """One row: files, links among them, and links that lead nowhere, of a list of files."""
+    return files.agg(F.count("*").alias("images"), F.count_if("is_link").alias("symlinks"), F.count_if("broken").alias("broken_symlinks"))
+
+
+def operation_links(operations: DataFrame, files: DataFrame, key: str = "path") -> DataFrame:
+    """(op, images, symlinks, broken_symlinks): over the images (key) with a result of each operation; images not in the list are no links."""
+    of = operations.select("op", key).distinct().join(files.select(key, "is_link", "broken"), key, "left")
+    return of.groupBy("op").agg(F.count("*").alias("images"), F.count_if("is_link").alias("symlinks"), F.count_if("broken").alias("broken_symlinks"))
+
+
+def multires_totals(detections: DataFrame, reconciled: DataFrame, image: str = "image") -> DataFrame:
+    """One row: images, detections, reconciled faces and their share of the detections in per cent (0 without detections)."""
+    d = detections.agg(F.countDistinct(image).alias("images"), F.count("*").alias("detections"))
+    r = reconciled.agg(F.count("*").alias("reconciled"))
+    rate = F.when(F.col("detections") > 0, F.col("reconciled") * 100.0 / F.col("detections")).otherwise(0.0)
+    return d.join(F.broadcast(r)).withColumn("reconciliation_pct", rate)  # a row each
+
+
+def multires_by_resolution(detections: DataFrame, image: str = "image", resolution: str = "resolution") -> DataFrame:
+    """Per resolution its detections, the images with any of them, and detections per such image."""
+    per = detections.groupBy(resolution).agg(F.count("*").alias("detections"), F.countDistinct(image).alias("images"))
+    return per.withColumn("per_image", F.col("detections") / F.col("images"))
+
+
+def multires_methods(reconciled: DataFrame, methods: str = "methods") -> DataFrame:
+    """Per method the reconciled faces that it took part in."""
+    return reconciled.select(F.explode(methods).alias("method")).groupBy("method").agg(F.count("*").alias("faces"))
+
+
+def face_extraction_report(results: DataFrame) -> DataFrame:
+    """One row over results (image, found, extracted, seconds): totals, share extracted, and means per image; 0 where there is nothing to divide by."""
+    share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    total = results.agg(F.count("*").alias("images"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("found", "extracted", "seconds")])
+    return total.withColumns({
+        "extracted_share": share(F.col("extracted"), F.col("found")), "found_per_image": share(F.col("found"), F.col("images")), "seconds_per_image": share(F.col("seconds"), F.col("images")),
+    })
+
+
+def feature_counts(faces: DataFrame, features: str = "features") -> DataFrame:
+    """(feature, label, n): facial features by type over an array of types for each face; the label is the type in words."""
+    per = faces.select(F.explode(features).alias("feature")).groupBy("feature").agg(F.count("*").alias("n"))
+    return per.select("feature", F.initcap(F.replace("feature", F.lit("_"), F.lit(" "))).alias("label"), "n")
+
+
 def detection_rates(detections: DataFrame, by: str = "method", image: str = "image") -> DataFrame:
     """Per kind: detections per image of the whole table."""
     images = detections.agg(F.countDistinct(image).alias("_i"))  # one row

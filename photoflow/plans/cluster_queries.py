@@ -150,6 +150,21 @@ def f15(spark, sf_dir) -> DataFrame:
     return _reconciled(spark, sf_dir).groupBy("detections").agg(F.count("*").alias("faces"), F.round(F.count("*") / F.lit(n), 6).alias("share"))
 
 
+@query("f15_multires_totals", f"{_RECON} SELECT (SELECT count(DISTINCT image) FROM detections) AS images, (SELECT count(*) FROM detections) AS detections, count(*) AS reconciled, round(count(*) * 100.0 / (SELECT count(*) FROM detections), 6) AS reconciliation_pct FROM rec")
+def f15_totals(spark, sf_dir) -> DataFrame:
+    return T.multires_totals(X.detections(spark, sf_dir), _reconciled(spark, sf_dir)).withColumn("reconciliation_pct", F.round("reconciliation_pct", 6))
+
+
+@query("f15_multires_by_resolution", f"WITH {X.DETECTIONS} SELECT resolution, count(*) AS detections, count(DISTINCT image) AS images, round(count(*) * 1.0 / count(DISTINCT image), 6) AS per_image FROM detections GROUP BY resolution")
+def f15_by_resolution(spark, sf_dir) -> DataFrame:
+    return T.multires_by_resolution(X.detections(spark, sf_dir)).withColumn("per_image", F.round("per_image", 6))
+
+
+@query("f15_multires_methods", f"{_RECON} SELECT unnest(string_split(methods, ',')) AS method, count(*) AS faces FROM rec GROUP BY 1")
+def f15_methods(spark, sf_dir) -> DataFrame:
+    return T.multires_methods(_reconciled(spark, sf_dir))
+
+
 @query("g11_nms", f"WITH RECURSIVE {X.DETECTIONS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY confidence DESC, ord) AS rk FROM detections), {_IOU_PAIRS.format(o='rk', t='ranked', test='> 0.5')} SELECT ranked.image, ranked.ord FROM asg JOIN ranked ON ranked.image = asg.image AND ranked.rk = asg.ord WHERE asg.leader = asg.ord")
 def g11(spark, sf_dir) -> DataFrame:
     d = X.detections(spark, sf_dir).withColumn("rk", F.row_number().over(Window.partitionBy("image").orderBy(F.desc("confidence"), "ord")).cast("long"))
@@ -248,6 +263,11 @@ def g12(spark, sf_dir) -> DataFrame:
     return K.dominant_colors(X.colors(spark, sf_dir).selectExpr("photo % 200 as image", "r", "g", "b"), k=5)
 
 
+@query("g12_dominant_colors_lab")
+def g12_lab(spark, sf_dir) -> DataFrame:
+    return K.dominant_colors(X.colors(spark, sf_dir).selectExpr("photo % 200 as image", "r", "g", "b"), k=5, color_space="lab")
+
+
 @query("b11_lab_distance", f"WITH {X.COLORS}, lab AS (SELECT photo, ord, (r / 255.0 * 0.299 + g / 255.0 * 0.587 + b / 255.0 * 0.114) * 255 AS l, (r / 255.0 - g / 255.0) * 0.5 * 255 AS a, (r / 255.0 + g / 255.0 - b / 255.0 * 2) * 0.25 * 255 AS bb FROM colors) SELECT x.photo, x.ord, round(sqrt((x.l - y.l) * (x.l - y.l) + (x.a - y.a) * (x.a - y.a) + (x.bb - y.bb) * (x.bb - y.bb)) / 100, 6) AS d FROM lab x JOIN lab y ON x.photo = y.photo AND y.ord = x.ord + 1")
 def b11(spark, sf_dir) -> DataFrame:
     l, a, b = C.rgb_to_lab((F.col("r"), F.col("g"), F.col("b")))  # noqa: E741

@@ -150,6 +150,21 @@ def f21_classes(spark, sf_dir) -> DataFrame:
     return X.detections(spark, sf_dir).groupBy("class").agg(F.count("*").alias("found"), F.count_if(F.col("w") >= 32).alias("extracted"))
 
 
+@query("f21_face_report", f"""WITH {X.DETECTIONS}, i AS (SELECT image, count(*) AS found, count(*) FILTER (w >= 32) AS extracted, count(*) * 0.5 AS seconds FROM detections GROUP BY image)
+SELECT count(*) AS images, CAST(sum(found) AS BIGINT) AS found, CAST(sum(extracted) AS BIGINT) AS extracted, sum(seconds) AS seconds, round(sum(extracted) / sum(found), 6) AS extracted_share,
+  round(sum(found) / count(*), 6) AS found_per_image, round(sum(seconds) / count(*), 6) AS seconds_per_image FROM i""")
+def f21_faces(spark, sf_dir) -> DataFrame:
+    per = X.detections(spark, sf_dir).groupBy("image").agg(F.count("*").alias("found"), F.count_if(F.col("w") >= 32).alias("extracted"), (F.count("*") * 0.5).alias("seconds"))
+    return _round(T.face_extraction_report(per), "extracted_share", "found_per_image", "seconds_per_image")
+
+
+@query("f21_feature_counts", f"""WITH {X.DETECTIONS}, f AS (SELECT unnest(['left_eye_' || method, 'mouth_' || resolution]) AS feature FROM detections UNION ALL SELECT 'nose_tip' FROM detections WHERE ord % 2 = 0)
+SELECT feature, CASE WHEN feature LIKE 'left%' THEN 'Left Eye ' || feature[10:] WHEN feature LIKE 'mouth%' THEN 'Mouth ' || feature[7:] ELSE 'Nose Tip' END AS label, count(*) AS n FROM f GROUP BY feature""")
+def f21_features(spark, sf_dir) -> DataFrame:
+    types = F.array(F.concat(F.lit("left_eye_"), "method"), F.concat(F.lit("mouth_"), "resolution"), F.when(F.col("ord") % 2 == 0, "nose_tip"))
+    return T.feature_counts(X.detections(spark, sf_dir).select(F.array_compact(types).alias("features")))
+
+
 @query("f24_detection_rates", f"WITH {X.DETECTIONS} SELECT method, count(*) AS n, round(count(*) * 1.0 / (SELECT count(DISTINCT image) FROM detections), 6) AS per_image FROM detections GROUP BY method")
 def f24(spark, sf_dir) -> DataFrame:
     return _round(T.detection_rates(X.detections(spark, sf_dir)), "per_image")

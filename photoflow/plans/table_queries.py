@@ -184,6 +184,49 @@ def d12(spark, sf_dir) -> DataFrame:
     return m.select("image", "op", "created_at", "last_updated", "payload")
 
 
+@query("d12_merge_documents", """WITH e AS (SELECT user_id AS image, event_type AS op, event_id AS id, CASE WHEN event_id % 5 <> 1 THEN 'b' || event_id % 3 END AS backend FROM events),
+old AS (SELECT image, op, max(id) AS v FROM e WHERE id % 2 = 0 AND image % 3 > 0 GROUP BY 1, 2), new AS (SELECT * FROM e WHERE id % 2 = 1),
+w AS (SELECT image, op, max(id) AS w FROM new WHERE backend IS NULL GROUP BY 1, 2),
+n AS (SELECT image, op, backend, max(id) AS v FROM new LEFT JOIN w USING (image, op) WHERE backend IS NOT NULL AND (w IS NULL OR id > w) GROUP BY 1, 2, 3),
+k AS (SELECT image, op FROM old UNION SELECT image, op FROM new),
+p AS (SELECT image, op, backend AS k, '{"v":' || v || '}' AS j FROM n UNION ALL SELECT image, op, 'v', CAST(coalesce(w, v) AS VARCHAR) FROM k LEFT JOIN old USING (image, op) LEFT JOIN w USING (image, op) WHERE coalesce(w, v) IS NOT NULL),
+d AS (SELECT image, op, '{' || string_agg('"' || k || '":' || j, ',' ORDER BY k) || '}' AS j FROM p GROUP BY 1, 2
+  UNION ALL SELECT image, 'sidecar_info', CASE WHEN o.f IS NULL THEN '{"created_at":"' || n.f || '","last_operation":"' || n.op || '","last_updated":"' || n.l || '","operation_type":"' || n.fop || '"}'
+    WHEN n.l IS NULL THEN '{"created_at":"t' || o.f || '","image_path":"p' || image || '"}' ELSE '{"created_at":"t' || o.f || '","image_path":"p' || image || '","last_operation":"' || n.op || '","last_updated":"' || n.l || '"}' END
+  FROM (SELECT image, min(id) AS f FROM e WHERE id % 2 = 0 AND image % 3 > 0 GROUP BY 1) o FULL JOIN (SELECT image, min(id) AS f, max(id) AS l, arg_max(op, id) AS op, arg_min(op, id) AS fop FROM new GROUP BY 1) n USING (image))
+SELECT image, '{' || string_agg('"' || op || '":' || j, ',' ORDER BY op) || '}' AS doc FROM d GROUP BY image""")
+def d12_documents(spark, sf_dir) -> DataFrame:
+    """Results put into documents of two thirds of the users; some results belong to a backend of their operation."""
+    e = X.table(spark, sf_dir, "events").selectExpr("user_id as image", "event_type as op", "event_id as at", "if(event_id % 5 <> 1, concat('b', event_id % 3), null) as backend", "concat('{\"v\":', event_id, '}') as payload")
+    old = e.where("at % 2 = 0 and image % 3 > 0")
+    part = F.concat(F.lit('"'), "op", F.lit('":{"v":'), F.max("at").cast("string"), F.lit("}"))
+    parts = old.groupBy("image", "op").agg(part.alias("p"), F.min("at").alias("first")).groupBy("image").agg(F.concat_ws(",", F.collect_list("p")).alias("p"), F.min("first").alias("first"))
+    info = F.concat(F.lit(',"sidecar_info":{"created_at":"t'), F.col("first").cast("string"), F.lit('","image_path":"p'), F.col("image").cast("string"), F.lit('"}}'))
+    return S.merge_documents(parts.select("image", F.concat(F.lit("{"), "p", info).alias("doc")), e.where("at % 2 = 1"))
+
+
+@query("b33_any_depth", "SELECT event_id AS image, CASE WHEN event_id % 9 = 0 OR event_id % 5 > 0 THEN event_id % 5 ELSE 2 END AS n, CASE WHEN event_id % 7 > 0 THEN 'deep' ELSE 'none' END AS tool FROM events")
+def b33_any_depth(spark, sf_dir) -> DataFrame:
+    """Counts up to 8 objects down, beside a list one down; names of tools up to 6 down."""
+    e = X.table(spark, sf_dir, "events").select(F.col("event_id").alias("image"))
+    wrap = lambda key, n, inner: F.concat(F.repeat(F.lit(f'{{"{key}":'), n.cast("int")), inner, F.repeat(F.lit("}"), n.cast("int")))
+    count = wrap("data", F.col("image") % 9, F.concat(F.lit('{"count":'), (F.col("image") % 5).cast("string"), F.lit("}")))
+    named = wrap("metadata", F.col("image") % 7, F.lit('{"model":"deep"}'))
+    inside = F.regexp_extract(count, r"^\{(.*)\}$", 1)
+    docs = e.select("image", F.concat(F.lit("{"), inside, F.lit(',"result":{"objects":[1,2]}'), F.when(F.col("image") % 7 > 0, F.concat(F.lit(',"metadata":'), named)).otherwise(""), F.lit("}")).alias("doc"))
+    return S.detection_counts(docs).join(S.tool_names(docs), "image").select("image", "n", F.coalesce("tool", F.lit("none")).alias("tool"))
+
+
+@query("b34_any_depth", "SELECT event_id AS image, event_type = 'click' AS has FROM events")
+def b34_any_depth(spark, sf_dir) -> DataFrame:
+    """Operations up to 8 objects down, as a key or as the type."""
+    e = X.table(spark, sf_dir, "events")
+    n = (F.col("event_id") % 9).cast("int")
+    inner = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('{"'), "event_type", F.lit('":1}'))).otherwise(F.concat(F.lit('{"sidecar_info":{"operation_type":"'), "event_type", F.lit('"}}')))
+    doc = F.concat(F.repeat(F.when(F.col("event_id") % 4 > 1, F.lit('{"data":')).otherwise('{"result":'), n), inner, F.repeat(F.lit("}"), n))
+    return S.with_operation(e.select(F.col("event_id").alias("image"), doc.alias("doc")), "click")
+
+
 @query("d13_image_for_legacy_json", "SELECT c_custkey AS json, CASE WHEN c_nationkey % 2 = 0 THEN lower(n_name) || CASE WHEN c_nationkey % 4 = 0 THEN '.jpeg' ELSE '.jpg' END ELSE 'none' END AS image FROM customer JOIN nation ON n_nationkey = c_nationkey")
 def d13(spark, sf_dir) -> DataFrame:
     n = X.table(spark, sf_dir, "nation")
@@ -274,6 +317,22 @@ def a7(spark, sf_dir) -> DataFrame:
     return one.unionByName(other)
 
 
+@query("a7_legacy_documents", f"""WITH {X.DETECTIONS} SELECT image, CAST(ord - 1 AS INTEGER) AS pos, CASE WHEN image % 3 = 1 THEN 'extractor' ELSE 'detector' END AS origin, CAST(ord AS VARCHAR) AS face_id, CAST(trunc(x) AS BIGINT) AS x, CAST(trunc(w) AS BIGINT) AS width,
+  CASE WHEN image % 3 = 1 THEN -1 ELSE ord END AS code, CASE WHEN image % 3 = 1 THEN CAST(greatest(0, trunc(x) - trunc(trunc(w) * p)) AS BIGINT) ELSE 7 END AS crop_x, CASE WHEN image % 3 = 1 THEN CAST(trunc(h) + 2 * trunc(trunc(h) * p) AS BIGINT) ELSE 9 END AS crop_height
+FROM (SELECT *, CASE WHEN ord % 2 = 0 THEN 0.5 ELSE 0.25 END AS p FROM detections) WHERE image % 3 = 1 OR ord % 4 > 0""")
+def a7_documents(spark, sf_dir) -> DataFrame:
+    """Documents of either older form, or of both."""
+    box = lambda *c: F.struct(*[F.expr(e).cast("long").alias(n) for e, n in zip(c, ("x", "y", "width", "height"), strict=True)])
+    face = F.struct(
+        F.col("ord").alias("face_id"), "confidence", box("x", "y", "w", "h").alias("coordinates"), F.when(F.col("ord") % 4 > 0, F.array(F.col("ord").cast("double"))).alias("face_encoding"),
+        box("7", "7", "9", "9").alias("crop_area"), F.when(F.col("ord") % 2 == 0, 0.5).alias("border_padding"), F.lit(2.0).alias("detection_scale_factor"),
+    )
+    d = X.detections(spark, sf_dir).groupBy("image").agg(F.struct(F.sort_array(F.collect_list(face)).alias("faces")).alias("form"))
+    doc = F.to_json(F.struct(F.when(F.col("image") % 3 != 1, F.col("form")).alias("Face_detector"), F.when(F.col("image") % 3 > 0, F.col("form")).alias("Face_extractor")))
+    f = S.legacy_faces(d.select("image", doc.alias("doc")))
+    return f.select("image", "pos", "origin", "face_id", "x", "width", F.coalesce(F.col("encoding")[0].cast("long"), F.lit(-1)).alias("code"), "crop_x", "crop_height")
+
+
 @query("c8_missing_encodings", f"WITH {X.DETECTIONS} SELECT image, count(*) AS missing FROM detections WHERE ord % 3 = 0 GROUP BY image")
 def c8(spark, sf_dir) -> DataFrame:
     return R.missing_encodings(S.explode_detections(_payloads(spark, sf_dir), "faces"))

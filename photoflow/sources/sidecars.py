@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from photoflow.functions.documents import TOOL_KEYS, counted, parsed
-from photoflow.scratch import materialize
+from photoflow.scratch import materialize, partitions
 
 IMAGE_EXTENSIONS = ["jpg", "jpeg", "png", "tiff", "bmp", "webp"]
 SKIPPED = ["venv", "__pycache__", ".git", "node_modules"]
@@ -21,6 +25,74 @@ def image_catalog(spark: SparkSession, root: str, recursive: bool = True) -> Dat
     return found.dropDuplicates(["path"]).orderBy("path")
 
 
+def list_files(spark: SparkSession, root: str, extensions: list[str] | None = IMAGE_EXTENSIONS, skipped: list[str] = SKIPPED) -> DataFrame:
+    """(path, length, modified, is_link, target, broken) of the files under root, links among them.
+
+    Folders are dealt out over tasks, each of which lists its own; the folders found are listed in the next
+    round, until there are none. Links to folders are not followed; a link's length and time are those
+    of its target, null where it leads nowhere. root is a folder of a file system that every machine has
+    mounted; stores without links are listed by image_catalog. Without extensions all files count.
+    """
+    top = root.removeprefix("file://") if root.startswith("file://") else root.removeprefix("file:")
+    if "://" in top:
+        raise ValueError(f"{root} is in no mounted file system; use image_catalog")
+    ends = tuple(f".{e.lower()}" for e in extensions) if extensions else None
+    schema = "path string, folder boolean, length long, modified timestamp, is_link boolean, target string, broken boolean"
+    columns = [c.split()[0] for c in schema.split(", ")]
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for folder in b["path"]:
+                rows = []
+                for e in os.scandir(folder):
+                    link, down = e.is_symlink(), e.is_dir(follow_symlinks=False)
+                    if (down and e.name not in skipped) or (not down and not e.is_dir() and (ends is None or e.name.lower().endswith(ends))):
+                        broken = link and not os.path.exists(e.path)
+                        st = None if broken or down else e.stat()
+                        at = st and pd.Timestamp(st.st_mtime_ns // 1000, unit="us", tz="UTC")
+                        rows.append((e.path, down, st and st.st_size, at, link, os.path.realpath(e.path) if link else None, broken))
+                    if len(rows) == 10_000:
+                        yield pd.DataFrame(rows, columns=columns).astype({"length": "Int64"})
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=columns).astype({"length": "Int64"})
+
+    level, found = spark.createDataFrame([(top,)], "path string"), None
+    while True:
+        listed = materialize(level.repartition(partitions(spark), "path").mapInPandas(scan, schema), "listed-folders")
+        found = listed if found is None else found.unionByName(listed)
+        level = listed.where("folder").select("path")
+        if level.isEmpty():
+            return found.where("not folder").drop("folder")
+
+
+def legacy_faces(documents: DataFrame, key: str = "image", padding: float = 0.25) -> DataFrame:
+    """Faces of documents of the two older forms, one row each, with the area to cut out.
+
+    The detector's faces count where the document has its list, and only those with an encoding; their crop
+    area is as it was stored. Else the extractor's faces count, without encodings; their area is the box with
+    its border_padding (`padding` where unset), whole pixels, on every side, from 0 on at the upper left.
+    """
+    box = "struct<x:double,y:double,width:double,height:double>"
+    item = f"array<struct<face_id:string,confidence:double,face_encoding:array<double>,coordinates:{box},crop_area:{box},detection_scale_factor:double,border_padding:double>>"
+    read = lambda form: F.from_json(F.get_json_object("doc", f"$.{form}.faces"), item)
+    both = documents.select(key, read("Face_detector").alias("d"), read("Face_extractor").alias("e"))
+    rows = both.select(key, F.col("d").isNotNull().alias("own"), F.posexplode(F.coalesce("d", "e")).alias("pos", "f"))
+    at = {c: F.col(f"f.coordinates.{c}") for c in ("x", "y", "width", "height")}
+    pad = {c: (at[c] * F.coalesce("f.border_padding", F.lit(padding))).cast("long") for c in ("width", "height")}
+    cut = {
+        "x": F.greatest(F.lit(0.0), at["x"] - pad["width"]), "y": F.greatest(F.lit(0.0), at["y"] - pad["height"]),
+        "width": at["width"] + 2 * pad["width"], "height": at["height"] + 2 * pad["height"],
+    }
+    crop = [F.when(F.col("own"), F.col(f"f.crop_area.{c}")).otherwise(v).cast("long").alias(f"crop_{c}") for c, v in cut.items()]
+    kept = rows.where(~F.col("own") | F.col("f.face_encoding").isNotNull())
+    return kept.select(
+        key, "pos", F.when(F.col("own"), "detector").otherwise("extractor").alias("origin"), F.col("f.face_id").alias("face_id"), *[v.cast("long").alias(c) for c, v in at.items()],
+        F.col("f.confidence").alias("confidence"), F.when(F.col("own"), F.col("f.face_encoding")).alias("encoding"), *crop,
+        F.when(F.col("own"), F.col("f.detection_scale_factor")).otherwise(1.0).alias("scale"),
+    )
+
+
 def read_sidecars(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
     """(path, doc, valid): one row per file; a file that is no JSON stays as a row that is not valid."""
     text = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(root)

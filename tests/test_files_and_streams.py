@@ -102,3 +102,26 @@ def test_a_cluster_needs_a_shared_folder():
     unset = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: default))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch.shared_dir(unset)
+
+
+def test_links_are_listed_and_counted(spark, tmp_path):
+    from photoflow.operators import stats
+
+    for folder in ("a/b/c", "a/.git", "d"):
+        (tmp_path / folder).mkdir(parents=True)
+    for name in ("a/1.jpg", "a/b/2.PNG", "a/b/c/3.jpg", "d/4.jpg", "a/.git/5.jpg", "a/notes.txt"):
+        (tmp_path / name).write_bytes(b"12345")
+    (tmp_path / "d/to1.jpg").symlink_to(tmp_path / "a/1.jpg")
+    (tmp_path / "d/gone.jpg").symlink_to(tmp_path / "nowhere.jpg")
+    (tmp_path / "a/b/up.jpg").symlink_to(tmp_path)  # a folder: not followed
+    files = sidecars.list_files(spark, f"file://{tmp_path}")
+    got = {r.path.removeprefix(f"{tmp_path}/"): r for r in files.collect()}
+    assert set(got) == {"a/1.jpg", "a/b/2.PNG", "a/b/c/3.jpg", "d/4.jpg", "d/to1.jpg", "d/gone.jpg"}
+    assert got["d/to1.jpg"].target == str(tmp_path / "a/1.jpg") and got["d/to1.jpg"].length == 5 and not got["d/to1.jpg"].broken
+    assert got["d/gone.jpg"].broken and got["d/gone.jpg"].length is None and not got["a/1.jpg"].is_link
+    assert tuple(stats.link_counts(files).first()) == (6, 2, 1)
+    ops = spark.createDataFrame([(op, f"{tmp_path}/{p}") for op, p in (("face", "a/1.jpg"), ("face", "d/to1.jpg"), ("face", "d/to1.jpg"), ("ball", "d/gone.jpg"), ("ball", "lost.jpg"))], "op string, path string")
+    assert {tuple(r) for r in stats.operation_links(ops, files).collect()} == {("face", 2, 1, 0), ("ball", 2, 1, 1)}
+    assert sidecars.list_files(spark, str(tmp_path), None).count() == 7
+    with pytest.raises(ValueError, match="mounted"):
+        sidecars.list_files(spark, "s3://bucket/x")

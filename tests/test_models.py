@@ -315,3 +315,17 @@ def test_nearest_ball_by_cells(spark):
         near = [(np.hypot(r[3] - p[3], r[4] - p[4]), p[0]) for p in rows if p[1] == r[1] and at(p) == at(r) - 1 and None not in (p[3], r[3])]
         best = min((n for n in near if n[0] < 50), default=(None, None))
         assert got[r[0]].frame == at(r) and got[r[0]].prev_id == best[1]
+
+
+@pytest.mark.parametrize("space", ["hsv", "lab"])
+def test_dominant_colors_in_other_spaces(spark, space):
+    rng = np.random.default_rng(8)
+    rows = [(1, *np.clip(np.array(c) + rng.integers(-4, 5, 3), 0, 255).tolist()) for c, n in (((200, 30, 30), 60), ((30, 190, 40), 30), ((40, 40, 210), 10)) for _ in range(n)]
+    pixels = spark.createDataFrame(rows, "image long, r int, g int, b int")
+    own = sorted(cluster.dominant_colors(pixels, k=3, color_space=space).collect(), key=lambda r: r.cluster)
+    assert [round(r.share, 2) for r in own] == sorted((round(r.share, 2) for r in own), reverse=True) and abs(sum(r.share for r in own) - 1) < 1e-9
+    if space == "hsv":  # the way back is exact, but for hues around red
+        near = [min(np.abs(np.array([r.r, r.g, r.b]) - c).max() for c in ((200, 30, 30), (30, 190, 40), (40, 40, 210))) for r in own]
+        assert sum(n < 15 for n in near) >= 2
+    with pytest.raises(ValueError):
+        cluster.dominant_colors(pixels, color_space="cmyk")
