@@ -142,11 +142,16 @@ def _between(ci: np.ndarray, cj: np.ndarray, good: np.ndarray) -> tuple[np.ndarr
         ci, cj = low, other
 
 
-def _compared(members: DataFrame, limit: float) -> DataFrame:
-    """(cid, n_links, with) as from _search, of clusters compared whole: every member at home with every member."""
+def _compared(members: DataFrame, placed: DataFrame, limit: float) -> tuple[DataFrame, DataFrame]:
+    """(cid, n_links, with) as from _search, of clusters compared whole, every member at home with every member; and (cid, n_links) to add for guests.
+
+    A guest gets its links to those at home here that are no members of its own cluster (placed: cid, the
+    cluster `at` that it is at home in and all clusters `ins` that it is in), where they are not met.
+    """
+    members = members.join(placed, "cid")
     sizes = members.groupBy("sid").agg(F.count("*").alias("size"))
     blocks = members.join(sizes, "sid").withColumn("blk", F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / BLOCK)))
-    blocks = materialize(blocks.groupBy("sid", "home", "blk").agg(F.collect_list(F.struct("cid", "mult", "v")).alias("m")), "whole-blocks")
+    blocks = materialize(blocks.groupBy("sid", "home", "blk").agg(F.collect_list(F.struct("cid", "mult", "v", "at", "ins")).alias("m")), "whole-blocks")
     side = lambda x, *more: blocks.select("sid", *[F.col(c).alias(f"{c}_{x}") for c in ("home", "blk", *more)])
     plan = side("i").join(side("j"), "sid").where("home_i and (not home_j or blk_i <= blk_j)")
     pairs = plan.join(side("i", "m"), ["sid", "home_i", "blk_i"]).join(side("j", "m"), ["sid", "home_j", "blk_j"])
@@ -162,16 +167,28 @@ def _compared(members: DataFrame, limit: float) -> DataFrame:
                     good &= ci[:, None] != cj[None]
                 n = (good @ mj.astype(float)).astype(np.int64) + (mi - 1 if same else 0)
                 low, other = _between(ci, cj, good)
-                yield pa.RecordBatch.from_arrays([pa.array(ci), pa.array(n), pa.array(low)], names=["cid", "n", "with"])
+                yield pa.RecordBatch.from_arrays([pa.array(ci), pa.array(n), pa.array(low), pa.array(np.zeros(len(ci), bool))], names=["cid", "n", "with", "guest"])
                 if not same:
-                    back = (good.T @ mi.astype(float)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(cj), pa.array(back, mask=np.full(len(cj), not home)), pa.array(other)], names=["cid", "n", "with"])
+                    apart = good if home else good & ~_known(b.column("m_i")[row].values.field("ins"), b.column("m_j")[row].values.field("at").to_numpy())
+                    back = (apart.T @ mi.astype(float)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(cj), pa.array(back), pa.array(other), pa.array(np.full(len(cj), not home))], names=["cid", "n", "with", "guest"])
 
     same = F.col("home_j") & (F.col("blk_i") == F.col("blk_j"))
-    out = pairs.select("m_i", "m_j", "home_j", same.alias("same")).mapInArrow(run, "cid long, n long, with long")
-    out = materialize(out.where("n is not null or cid <> with"), "compared")
-    counts = out.where("n is not null").groupBy("cid").agg(F.sum("n").alias("n_links")).withColumn("with", F.col("cid"))
-    return counts.unionByName(out.where("cid <> with").select("cid", F.lit(-1).cast("long").alias("n_links"), "with").distinct())
+    out = pairs.select("m_i", "m_j", "home_j", same.alias("same")).mapInArrow(run, "cid long, n long, with long, guest boolean")
+    out = materialize(out.where("not guest or n > 0 or cid <> with"), "compared")
+    counts = out.where("not guest").groupBy("cid").agg(F.sum("n").alias("n_links")).withColumn("with", F.col("cid"))
+    rows = counts.unionByName(out.where("cid <> with").select("cid", F.lit(-1).cast("long").alias("n_links"), "with").distinct())
+    return rows, out.where("guest").groupBy("cid").agg(F.sum("n").alias("n_links"))
+
+
+def _known(ins: pa.ListArray, at: np.ndarray) -> np.ndarray:
+    """For lists of clusters and clusters `at` whether the list holds the cluster."""
+    row = np.repeat(np.arange(len(ins)), ins.value_lengths().to_numpy(zero_copy_only=False))
+    flat = ins.flatten().to_numpy(zero_copy_only=False)
+    out = np.zeros((len(ins), len(at)), bool)
+    for c in np.unique(at):
+        out[np.ix_(row[flat == c], np.flatnonzero(at == c))] = True
+    return out
 
 
 def pruned_neighbours(x: np.ndarray) -> list[np.ndarray]:
@@ -324,12 +341,31 @@ def _beyond(asked: DataFrame, nodes: DataFrame, graph: DataFrame, members: DataF
     if hits is None:
         return asked.select(F.col("q").alias("cid"), F.lit(0).cast("long").alias("n_links"), F.col("y").alias("with"))
     links = hits.where(F.col("cos") >= limit).select("q", "y")
+    # in a cluster that is compared whole both sides of a link between one at home and any member are counted there
+    whole = members.where("whole").select("sid", F.col("cid").alias("q"))
+    links = links.join(members.where("home and whole").select(F.col("cid").alias("y"), "sid"), "y", "left").join(whole.withColumn("_met", F.lit(True)), ["sid", "q"], "left")
+    links = materialize(links.where("_met is null").select("q", "y"), "links-beyond")
     # a link that only one of the two has found counts for the other too, unless it was met at home
     back = links.select(F.col("y").alias("q"), F.col("q").alias("y")).join(at_home, "q").join(inside, ["sid", "y"], "left_anti").select("q", "y")
     weight = nodes.select(F.col("cid").alias("y"), F.col("mult").alias("n_links"))
     return links.unionByName(back).distinct().join(weight, "y").select(F.col("q").alias("cid"), "n_links", F.col("y").alias("with"))
 
 
+def _shards(whole: DataFrame) -> DataFrame:
+    """Members of clusters that stay large in shards of about CLUSTER by two hashes, so that every shard overlaps those of the other hash."""
+    sizes = whole.groupBy("sid").agg(F.ceil(F.count("*") / CLUSTER).alias("shards"))
+    dealt = [F.concat(F.lit(f"{k}:"), F.pmod(F.xxhash64(F.lit(k), "key"), F.col("shards")).cast("string")) for k in (1, 2)]
+    return whole.join(sizes, "sid").withColumn("shard", F.explode(F.array(*dealt))).withColumn("sid", F.concat_ws("#", "sid", "shard")).drop("shards", "shard")
+
+
+def _rim(whole: DataFrame, graph: DataFrame, members: DataFrame, limit: float) -> DataFrame:
+    """(q, y): vectors at home in a cluster that is compared whole, and those outside it that their own edges may reach within twice the range."""
+    edges = whole.where("home").select("sid", F.col("cid").alias("q")).join(graph.withColumnRenamed("cid", "q"), "q").select("sid", "q", F.explode("near").alias("e"))
+    far = float(np.cos(min(np.pi, 2 * np.arccos(limit - MARGIN))))
+    edges = edges.where(F.col("e.cos") >= far).select("sid", "q", F.col("e.to").alias("y"))
+    return edges.join(members.select("sid", F.col("cid").alias("y")), ["sid", "y"], "left_anti").select("q", "y").distinct()
+
+
 def components(vectors: DataFrame, limit: float = 0.93, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per input row: id, n_links, component_id, kept (the id is its component's smallest).
 
@@ -342,18 +378,23 @@ def components(vectors: DataFrame, limit: float = 0.93, id_col: str = "vec_id",
     nodes = materialize(nodes, "nodes")
     every = clusters(nodes)
     members = every.where("not whole").drop("whole")
-    near = members.groupBy("sid").applyInArrow(_edges, "cid long, near array<struct<to:bigint,cos:double>>")
+    whole = every.where("whole").drop("whole")
+    near = members.unionByName(_shards(whole)).groupBy("sid").applyInArrow(_edges, "cid long, near array<struct<to:bigint,cos:double>>")
     united = materialize(near.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
     searched = members.join(united, "cid", "left").groupBy("sid").applyInArrow(lambda t: _search(t, limit), "cid long, n_links long, with long, beyond long")
     searched = materialize(searched, "searched")
-    found = searched.where("beyond is null").drop("beyond")
-    asked = materialize(searched.where("beyond is not null").select(F.col("cid").alias("q"), F.col("beyond").alias("y")).distinct(), "asked")
-    further = materialize(_beyond(asked, nodes, united, members, limit), "found-beyond")
-    whole = every.where("whole").drop("whole")
+    found, credits = searched.where("beyond is null").drop("beyond"), None
+    asked = searched.where("beyond is not null").select(F.col("cid").alias("q"), F.col("beyond").alias("y"))
+    asked = materialize(asked.unionByName(_rim(whole, united, every, limit)).distinct(), "asked")
+    further = materialize(_beyond(asked, nodes, united, every, limit), "found-beyond")
     if not whole.isEmpty():
-        found = found.unionByName(_compared(whole, limit))
+        of = F.xxhash64("sid")
+        placed = every.groupBy("cid").agg(F.max(F.when(F.col("home"), of)).alias("at"), F.collect_set(of).alias("ins"))
+        compared, credits = _compared(whole, placed, limit)
+        found = found.unionByName(compared)
     # links found beyond count for those that asked, and connect
-    more = further.groupBy("cid").agg(F.sum("n_links").alias("more"))
+    more = further.select("cid", "n_links") if credits is None else further.select("cid", "n_links").unionByName(credits)
+    more = more.groupBy("cid").agg(F.sum("n_links").alias("more"))
     found = found.join(more, "cid", "left").withColumn("n_links", F.when(F.col("n_links") >= 0, F.col("n_links") + F.coalesce("more", F.lit(0))).otherwise(F.col("n_links"))).drop("more")
     found = found.unionByName(further.select("cid", F.lit(-1).cast("long").alias("n_links"), "with"))
     found = materialize(found, "found")
@@ -374,5 +415,5 @@ def audit(vectors: DataFrame, result: DataFrame, limit: float = 0.93, every: int
     q = v.where(F.col("id") % every == 0).select(F.col("id").alias("q"), "label", F.col("v").alias("w"))
     hits = q.join(v, "label").where("q <> id").where(dot("v", "w") >= limit * F.sqrt(dot("v", "v")) * F.sqrt(dot("w", "w")))
     true = hits.agg(F.lit(1).alias("_k"), F.count("*").alias("true"))
-    found = result.where(F.col(id_col) % every == 0).agg(F.lit(1).alias("_k"), F.sum("n_links").alias("found"))
+    found = result.where(F.col(id_col) % every == 0).agg(F.lit(1).alias("_k"), F.coalesce(F.sum("n_links"), F.lit(0)).alias("found"))
     return true.join(found, "_k").select("found", "true")

@@ -121,3 +121,28 @@ def test_a_tight_group_is_compared_whole(spark):
     print(f"links {want.sum()}, recall {recall:.4f}")
     assert recall == 1
     assert {got[i].component_id for i in range(4000) if want[i]} == {min(i for i in range(4000) if want[i])}
+
+
+def test_links_at_the_rim_of_whole_clusters(spark, monkeypatch):
+    """A tight group larger than a cluster among others, and two such groups side by side: links across the rim count for both."""
+    monkeypatch.setattr(near_vectors, "CLUSTER", 300)
+    monkeypatch.setattr(near_vectors, "BLOCK", 100)
+    rng = np.random.default_rng(21)
+    one, two = np.array([1.0, 0, 0, 0, 0]), np.array([np.cos(0.45), np.sin(0.45), 0, 0, 0])
+    x = np.concatenate([one + rng.standard_normal((500, 5)) * 0.06, two + rng.standard_normal((400, 5)) * 0.06, rng.standard_normal((500, 5))])
+    every = []
+    kept = near_vectors.clusters
+    monkeypatch.setattr(near_vectors, "clusters", lambda nodes: every.append(kept(nodes)) or every[-1])
+    got = {r.vec_id: r for r in near_vectors.components(frame(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)])).collect()}
+    assert every[0].where("whole and home").count() > 300
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.93).sum(1) - 1
+    short = {i: (got[i].n_links, n) for i, n in enumerate(want) if got[i].n_links != n}
+    print("links", want.sum(), "vectors short", len(short), short)
+    assert all(n <= w for n, w in short.values())
+    assert not short
+
+
+def test_audit_of_nothing(spark):
+    none = frame(spark, [(1, [1.0, 0.0], 1)]).limit(0)
+    assert tuple(near_vectors.audit(none, near_vectors.components(none)).first()) == (0, 0)
