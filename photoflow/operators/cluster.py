@@ -426,7 +426,8 @@ def _greedy_shades(colors: DataFrame, threshold: float) -> tuple[DataFrame, Data
     d = F.sqrt((F.col("l1") - F.col("l2")) ** 2 + (F.col("a1") - F.col("a2")) ** 2 + (F.col("b1") - F.col("b2")) ** 2) / 100
     near = one.join(two, "_c").where("o1 < o2").where(d < threshold).select(F.lit(0).alias("g"), F.col("o1").alias("a"), F.col("o2").alias("b"))
     led = greedy_leaders(shades.select(F.lit(0).alias("g"), "ord"), near, ["g"])
-    number = led.select("leader").distinct().withColumn("no", F.row_number().over(Window.orderBy("leader")))
+    leaders = running_total(led.select("leader").distinct().withColumn("one", F.lit(1)), ["leader"], {"before": "one"}, "colour-leaders")
+    number = leaders.select("leader", (F.col("before") + 1).cast("int").alias("no"))
     member = shades.join(led.select("ord", "leader"), "ord").join(number, "leader").select("l", "a", "bb", "no")
     grouped = colors.join(member, ["l", "a", "bb"])
     return grouped, led
