@@ -23,6 +23,8 @@ from photoflow.scratch import materialize, partitions
 
 #: vectors of a candidate block and of a query block; rows of the sample that the rotation is fitted on
 BLOCK, QUERIES, SAMPLE = 1024, 512, 4096
+#: length of the longest vector: no inner product of two such, nor any part of its sum, passes 2^63
+LONGEST = 3.03e9
 #: candidate blocks from one wave's start to the next one's, as a factor
 WAVE = 8
 #: share of the axes that is summed before a pair may be given up
@@ -30,12 +32,15 @@ FIRST_AXES = 0.5
 
 
 def integers(docs: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(id, x, dim, norm): x is floor(scale * component); rows with a null or non-finite component are left out."""
+    """(id, x, dim, norm): x is floor(scale * component); rows with a null or non-finite component are left out, vectors beyond LONGEST refused."""
     v = F.transform(F.col(vec_col), lambda c: c.cast("double"))
     good = F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     t = docs.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & good)
     t = t.select("id", F.transform("v", lambda c: F.floor(c * scale).cast("long")).alias("x"))
-    return t.select("id", "x", F.size("x").alias("dim"), F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, c: a + c.cast("double") * c)).alias("norm"))
+    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, c: a + c.cast("double") * c))
+    t = t.select("id", "x", F.size("x").alias("dim"), norm.alias("norm"))
+    refused = F.raise_error(F.lit(f"a vector is longer than {LONGEST:.0f} in integers; its inner products would not fit 64 bits")).cast("double")
+    return t.withColumn("norm", F.when(F.col("norm") <= LONGEST, F.col("norm")).otherwise(refused))
 
 
 def _rotations(t: DataFrame) -> dict[int, np.ndarray]:

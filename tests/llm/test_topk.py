@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from photoflow.llm import topk
@@ -32,3 +33,15 @@ def test_blocks_lengths_and_edges(spark, monkeypatch):
     got = topk.search(t, F.col("vec_id") % 100 == 0)
     assert set(map(tuple, got.collect())) == brute(rows)
     assert topk.search(t.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_long_vectors_and_large_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.standard_normal(5_000) * 900).tolist()) for i in range(0, 220, 20)]
+    rows += [(1, [2_000_000.0, 1.0]), (100, [-1_999_999.0, 2.0]), (200, [2.0, 2_000_000.0])]
+    rows = [(i if len(v) > 2 else i + 1000, v) for i, v in rows]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert set(map(tuple, topk.search(t, F.col("vec_id") % 100 == 0).collect())) == brute(rows)
+    far = spark.createDataFrame([(0, [1.0, 1e7]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="would not fit"):
+        topk.search(far, F.col("vec_id") % 100 == 0).collect()
