@@ -6,6 +6,7 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from photoflow.functions import geometry as G
 from photoflow.operators.detectors import Detectors, run_detector  # noqa: F401
@@ -129,11 +130,15 @@ def unified_results(faces: DataFrame, objects: DataFrame, key: str = "image") ->
 
 
 def merge_operations(existing: DataFrame, updates: DataFrame, keys: list[str]) -> DataFrame:
-    """Upsert by keys: the row of the highest version stays, created_at of the first, last_updated of the last."""
-    both = existing.unionByName(updates)
+    """Upsert by keys: the row of the highest version stays, created_at of the first, last_updated of the last.
+
+    Of rows of the same version an update stays rather than an existing row, and of several the one with the smallest hash.
+    """
+    both = existing.withColumn("_new", F.lit(0)).unionByName(updates.withColumn("_new", F.lit(1)))
     w = Window.partitionBy(*keys)
+    hashed = F.xxhash64(*[F.to_json(F.col(c)) if isinstance(existing.schema[c].dataType, MapType) else F.col(c) for c in existing.columns])
     return (
-        both.withColumn("_n", F.row_number().over(w.orderBy(F.desc("version"))))
+        both.withColumn("_n", F.row_number().over(w.orderBy(F.desc("version"), F.desc("_new"), hashed)))
         .withColumn("created_at", F.min("version").over(w)).withColumn("last_updated", F.max("version").over(w))
-        .where("_n = 1").drop("_n")
+        .where("_n = 1").drop("_n", "_new")
     )

@@ -67,3 +67,15 @@ def test_search_to_any_depth(spark):
     through = json.dumps(nested({"click": 1, "detector": "d"}, ["data", "result"] * 4))
     t = spark.createDataFrame([(0, through)], "image long, doc string")
     assert sidecars.with_operation(t, "click").first().has and sidecars.tool_names(t).first().tool == "d"
+
+
+def test_equal_versions_are_decided(spark):
+    from photoflow.operators import joins
+
+    row = "image long, op string, version long, payload string"
+    old = spark.createDataFrame([(1, "a", 5, "old"), (2, "a", 9, "old"), (3, "a", 1, "old")], row)
+    new = spark.createDataFrame([(1, "a", 5, "new"), (2, "a", 5, "new"), (4, "a", 2, "x"), (4, "a", 2, "y")], row)
+    got = {r.image: r for parts in (1, 4) for r in joins.merge_operations(old.repartition(parts), new.repartition(parts), ["image", "op"]).collect()}
+    assert [got[k].payload for k in (1, 2, 3)] == ["new", "old", "old"] and (got[2].created_at, got[2].last_updated) == (5, 9)
+    both = [joins.merge_operations(old, new.orderBy(c), ["image", "op"]).where("image = 4").first().payload for c in ("payload", new["payload"].desc())]
+    assert both[0] == both[1]
