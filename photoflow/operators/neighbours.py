@@ -22,6 +22,8 @@ from photoflow.scratch import materialize, partitions
 
 #: vectors of a block, and the most pivots: what the driver and every task hold of them is at most MOST_PIVOTS vectors
 BLOCK, MOST_PIVOTS = 1000, 4096
+#: vectors of a cell on average, while there are fewer than MOST_PIVOTS
+PER_CELL = 100
 
 
 def _rows(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -61,9 +63,9 @@ class Cells:
 
 
 def cells(vectors: DataFrame, metric: str, most_pivots: int = MOST_PIVOTS) -> Cells:
-    """Deal vectors (id, v, f) out to the cells of 2 * sqrt(n) of them, which are those of the smallest hashes of ids."""
+    """Deal vectors (id, v, f) out to the cells of one in PER_CELL of them, those of the smallest hashes of ids."""
     n = vectors.count()
-    take = min(most_pivots, max(1, math.ceil(2 * math.sqrt(n))))
+    take = min(most_pivots, max(1, math.ceil(n / PER_CELL)))
     chosen = vectors.orderBy(F.xxhash64("id"), "id").select("v").limit(take).collect()
     pivots = np.array([r.v for r in chosen], float) if chosen else np.zeros((0, 1))
     pivots = unit(pivots) if metric == "cosine" else pivots
@@ -118,18 +120,20 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return dealt.groupBy("cell", "blk").agg(F.collect_list(F.struct("id", "v", "f")).alias("m"))
 
 
-def meetings(queries: DataFrame, homes: DataFrame, below: bool = False) -> DataFrame:
+def meetings(homes: DataFrame, guests: DataFrame | None = None, below: bool = False, own: bool = True) -> DataFrame:
     """(cell, q, h, m): every query block of a cell, h = -1, followed by the cell's home blocks, all in one partition.
 
-    With `below`, queries are the homes themselves and meet only blocks of no larger number.
+    Query blocks are those of the homes themselves (q from 0 on; not without `own`) and of the guests (below 0).
+    With `below` home blocks meet only those of no larger number.
     """
     homes = materialize(_blocks(homes), "home-blocks")
-    asked = homes if below else materialize(_blocks(queries), "query-blocks")
-    names = asked.select("cell", F.col("blk").alias("q"))
-    met = names.join(homes.select("cell", F.col("blk").alias("h"), "m"), "cell")
-    met = met.where("h <= q") if below else met
-    first = asked.select("cell", F.col("blk").alias("q"), F.lit(-1).cast("long").alias("h"), "m")
-    both = first.unionByName(met.select("cell", "q", "h", "m"))
+    asked = homes.select("cell", F.col("blk").alias("q"), "m") if own else None
+    if guests is not None:
+        more = materialize(_blocks(guests), "guest-blocks").select("cell", (-F.col("blk") - 1).alias("q"), "m")
+        asked = more if asked is None else asked.unionByName(more)
+    met = asked.select("cell", "q").join(homes.select("cell", F.col("blk").alias("h"), "m"), "cell")
+    met = met.where("q < 0 or h <= q") if below else met
+    both = asked.select("cell", "q", F.lit(-1).cast("long").alias("h"), "m").unionByName(met.select("cell", "q", "h", "m"))
     return both.repartition(partitions(both.sparkSession), "cell", "q").sortWithinPartitions("cell", "q", "h")
 
 
@@ -181,7 +185,7 @@ def degrees(c: Cells, placed: DataFrame, eps: float, least: int) -> DataFrame:
         return _batch(id=s["id"], n=s["n"] - s["w"])
 
     homes = c.homes.select("cell", "id", "v", "f")
-    visits = fold(meetings(homes, homes), begin, meet, end, "id long, n long").unionByName(fold(meetings(placed, homes), begin, meet, end, "id long, n long"))
+    visits = fold(meetings(homes, placed.select("cell", "id", "v", "f")), begin, meet, end, "id long, n long")
     return visits.unionByName(c.homes.select("id", F.col("f").alias("n"))).groupBy("id").agg(F.sum("n").alias("n"))
 
 
@@ -212,9 +216,8 @@ def links(c: Cells, placed: DataFrame, core: DataFrame, eps: float) -> DataFrame
         return _batch(a=a[kept], b=b[kept]) if kept.any() else None
 
     of = lambda rows: rows.join(core.select("id"), "id", "left_semi").select("cell", "id", "v", "f")
-    homes = of(c.homes)
-    inner = fold(meetings(homes, homes, below=True), begin, meet, lambda s: None, "a long, b long")
-    return inner.unionByName(fold(meetings(of(placed.where("home < cell")), homes), begin, meet, lambda s: None, "a long, b long"))
+    met = meetings(of(c.homes), of(placed.where("home < cell")), below=True)
+    return fold(met, begin, meet, lambda s: None, "a long, b long")
 
 
 def smallest_label(c: Cells, placed: DataFrame, core: DataFrame, eps: float) -> DataFrame:
@@ -234,7 +237,7 @@ def smallest_label(c: Cells, placed: DataFrame, core: DataFrame, eps: float) ->
 
     homes = c.homes.drop("f").join(core.select("id", F.col("label").cast("long").alias("f")), "id").select("cell", "id", "v", "f")
     asked = c.homes.select("cell", "id", "v", "f").unionByName(placed.select("cell", "id", "v", "f")).join(core.select("id"), "id", "left_anti")
-    return fold(meetings(asked, homes), begin, meet, end, "id long, low long").groupBy("id").agg(F.min("low").alias("low"))
+    return fold(meetings(homes, asked, own=False), begin, meet, end, "id long, low long").groupBy("id").agg(F.min("low").alias("low"))
 
 
 def kth_distance(vectors: DataFrame, k: int) -> DataFrame:
@@ -261,7 +264,7 @@ def kth_distance(vectors: DataFrame, k: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(s["id"]), pa.ListArray.from_arrays(pa.array(np.arange(len(s["id"]) + 1, dtype=np.int32) * k), flat)], names=["id", "best"])
 
     homes = c.homes.select("cell", "id", "v", "f")
-    near = materialize(fold(meetings(homes, homes), begin, meet, end, "id long, best array<double>"), "nearest-at-home")
+    near = materialize(fold(meetings(homes), begin, meet, end, "id long, best array<double>"), "nearest-at-home")
     pivots, most = c.pivots, np.where(c.size >= k, c.radius, np.inf)
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +277,7 @@ def kth_distance(vectors: DataFrame, k: int) -> DataFrame:
     c_slack = c.slack
     known = c.homes.join(near, "id").select("id", "v", "f", "cell", F.element_at("best", k).alias("r"))
     c.homes = materialize(known.mapInArrow(bound, "id long, v array<double>, f long, cell int, r double"), "radii")
-    seen = fold(meetings(guests(c), homes), begin, meet, end, "id long, best array<double>")
+    seen = fold(meetings(homes, guests(c).select("cell", "id", "v", "f"), own=False), begin, meet, end, "id long, best array<double>")
     finite = F.filter("x", lambda d: d < F.lit(float("inf")))
     best = near.unionByName(seen).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("x"))  # as many lists as visits
     return best.select("id", F.array_max(finite).alias("d")).join(c.homes.select("id", "f"), "id")

@@ -63,7 +63,7 @@ def test_one_dense_cell_writes_no_pairs(spark, monkeypatch):
 
 
 def test_pivots_leave_out_most_pairs(spark):
-    x = blobs(np.random.default_rng(3), 30, 60, 16, 0.05)
+    x = blobs(np.random.default_rng(3), 30, 200, 16, 0.05)
     met, every = neighbours.compared(neighbours.cells(frame(spark, x), "cosine"), 0.01)
     assert met < every / 10
 
