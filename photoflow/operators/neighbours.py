@@ -2,28 +2,32 @@
 
 Every vector is at home in the cell of its nearest pivot. By the triangle inequality a neighbour within r of x
 is in a cell only if x is no farther from its pivot than the cell's radius plus r, and no more than 2 r
-farther than from its own pivot; to those cells x goes as a guest. Blocks of a cell are compared by matrix
-products, a query block with one home block after the other, and what leaves a task is one row for each
-vector of the query block, whatever the number of its neighbours.
+farther than from its own pivot. Cells are gathered to at most PARTS parts, and x goes once to every part with
+such a cell, so that what is shuffled grows with the vectors also where the pivots save nothing. Within a part x
+is compared by matrix products with those cells only, and what leaves a task is one row for each
+vector that asks there, whatever the number of its neighbours.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from photoflow.scratch import materialize, partitions
+from photoflow.operators.graph import connected_components
+from photoflow.scratch import materialize
 
 #: vectors of a block, and the most pivots: what the driver and every task hold of them is at most MOST_PIVOTS vectors
 BLOCK, MOST_PIVOTS = 1000, 4096
 #: vectors of a cell on average, while there are fewer than MOST_PIVOTS
 PER_CELL = 100
+#: most parts, and slices in which the vectors that ask in a part are dealt out to tasks
+PARTS, SLICES = 32, 4
 
 
 def _rows(cell: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,6 +60,10 @@ class Cells:
     size: np.ndarray
     slack: float
     metric: str
+    #: number of parts, the part of every share of a cell, and the first share of each cell and one behind the last
+    parts: int
+    part: np.ndarray
+    first: np.ndarray
 
     def reach(self, eps: float) -> float:
         """The Euclidean distance that a distance of the metric is at most."""
@@ -86,31 +94,69 @@ def cells(vectors: DataFrame, metric: str, most_pivots: int = MOST_PIVOTS) -> Ce
     for r in homes.groupBy("cell").agg(F.max("at").alias("r"), F.count("*").alias("n")).collect():  # a row for each pivot
         radius[r.cell], size[r.cell] = r.r, r.n
     slack = 1e-6 * (1 + float(np.linalg.norm(pivots, axis=1).max(initial=0) + radius.max(initial=0)))
-    return Cells(homes, pivots, radius, size, slack, metric)
+    parts = min(PARTS, max(1, math.ceil(n / (4 * BLOCK))))
+    shares = np.maximum(1, np.ceil(size * parts / max(n, 1))).astype(np.int64)  # of a cell that would be more than a part
+    of = np.repeat(np.arange(len(pivots)), shares)
+    return Cells(homes, pivots, radius, size, slack, metric, parts, _gather(pivots[of], (size / shares)[of], parts), np.concatenate([[0], np.cumsum(shares)]))
+
+
+def _gather(x: np.ndarray, size: np.ndarray, parts: int) -> np.ndarray:
+    """The part of every weighted point: halves along the direction in which points differ most, until there are `parts`."""
+    out = np.zeros(len(x), np.int64)
+
+    def cut(rows: np.ndarray, first: int, parts: int) -> None:
+        out[rows] = first
+        if parts == 1 or len(rows) < 2:
+            return
+        y = x[rows] - x[rows].mean(0)
+        rows = rows[np.argsort(y @ np.linalg.svd(y, full_matrices=False)[2][0], kind="stable")]
+        done = np.cumsum(size[rows])
+        at = min(max(int(np.searchsorted(done, done[-1] * (parts // 2) / parts)) + 1, 1), len(rows) - 1)
+        cut(rows[:at], first, parts // 2)
+        cut(rows[at:], first + parts // 2, parts - parts // 2)
+
+    cut(np.arange(len(x)), 0, parts)
+    return out
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _near_cells(c: Cells, x: np.ndarray, home: np.ndarray, r: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Whether a cell of `among` can hold a vector within r of each x, whose home is given."""
+    d = euclidean(x, c.pivots[among])
+    own = np.linalg.norm(x - c.pivots[home], axis=1)
+    to = (c.size[among] > 0)[None] & (d <= c.radius[among][None] + r[:, None]) & (d <= own[:, None] + 2 * r[:, None] + c.slack)
+    return to | (among[None] == home[:, None])
 
 
 def guests(c: Cells, radius: float | None = None) -> DataFrame:
-    """(id, v, f, home, cell): vectors of c.homes in every other cell that can hold one within radius (or within their column `r`)."""
-    pivots, far, filled = c.pivots, c.radius, c.size > 0
-    columns = ["id", "v", "f", "cell"] + ([] if radius is not None else ["r"])
+    """(id, v, f, cell, r, own, parts): every vector of c.homes with its part and the parts that can hold one within radius (or within their column `r`)."""
+    rows = c.homes.select("id", "v", "f", "cell", "r" if radius is None else F.lit(float(radius)).alias("r"))
+    light = _bare(c)
+    every, at = np.arange(len(c.pivots)), np.repeat(np.arange(len(c.pivots)), np.diff(c.first))
+    holds = np.zeros((len(c.pivots), c.parts), np.float32)
+    holds[at, c.part] = 1
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            home = batch.column(3).to_numpy()
-            r = np.full(len(x), radius) if radius is not None else batch.column(4).to_numpy()
-            d = euclidean(x, pivots)
-            own = d[np.arange(len(x)), home]
-            to = filled[None] & (d <= far[None] + r[:, None]) & (d <= own[:, None] + 2 * r[:, None])
-            to[np.arange(len(x)), home] = False
-            who, cell = np.nonzero(to)
-            for s in range(0, len(who), 4 * BLOCK):  # a vector may be the guest of many cells
-                part = batch.select([0, 1, 2, 3]).take(pa.array(who[s : s + 4 * BLOCK]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell[s : s + 4 * BLOCK], pa.int32())], names=["id", "v", "f", "home", "cell"])
+        for whole in batches:
+            for s in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(s, BLOCK)
+                ids, x, home, r = batch.column(0).to_numpy(), _vectors(batch.column(1)), batch.column(3).to_numpy(), batch.column(4).to_numpy()
+                share = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % np.diff(light.first)[home]
+                to = _near_cells(light, x, home, r, every).astype(np.float32) @ holds > 0
+                who, part = np.nonzero(to)
+                ends = np.searchsorted(who, np.arange(len(ids) + 1)).astype(np.int32)
+                columns = [*batch.columns, pa.array(light.part[light.first[home] + share], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(part, pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "v", "f", "cell", "r", "own", "parts"])
+
+    return rows.mapInArrow(place, "id long, v array<double>, f long, cell int, r double, own int, parts array<int>")
 
-    return c.homes.select(*columns).mapInArrow(place, "id long, v array<double>, f long, home int, cell int")
+
+def _bare(c: Cells) -> Cells:
+    """What tasks need of the cells."""
+    return replace(c, homes=None)
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -120,41 +166,58 @@ def _blocks(rows: DataFrame) -> DataFrame:
     return dealt.groupBy("cell", "blk").agg(F.collect_list(F.struct("id", "v", "f")).alias("m"))
 
 
-def meetings(homes: DataFrame, guests: DataFrame | None = None, below: bool = False, own: bool = True) -> DataFrame:
-    """(cell, q, h, m): every query block of a cell, h = -1, followed by the cell's home blocks, all in one partition.
+def meet_parts(c: Cells, homes: DataFrame, asked: DataFrame, where: str, begin: Callable, meet: Callable, end: Callable, schema: str) -> DataFrame:
+    """Rows of end(state) for blocks of `asked`; state = begin(ids, vectors, f), and meet(state, ids, vectors, f) for blocks of the homes near them.
 
-    Query blocks are those of the homes themselves (q from 0 on; not without `own`) and of the guests (below 0).
-    With `below` home blocks meet only those of no larger number.
+    Both are rows of guests. Each asks in its own part, in all its parts, or in those other than or above its own
+    (`where`). A task holds the homes of one part; those that ask there pass by, sorted by cells.
     """
-    homes = materialize(_blocks(homes), "home-blocks")
-    asked = homes.select("cell", F.col("blk").alias("q"), "m") if own else None
-    if guests is not None:
-        more = materialize(_blocks(guests), "guest-blocks").select("cell", (-F.col("blk") - 1).alias("q"), "m")
-        asked = more if asked is None else asked.unionByName(more)
-    met = asked.select("cell", "q").join(homes.select("cell", F.col("blk").alias("h"), "m"), "cell")
-    met = met.where("q < 0 or h <= q") if below else met
-    both = asked.select("cell", "q", F.lit(-1).cast("long").alias("h"), "m").unionByName(met.select("cell", "q", "h", "m"))
-    return both.repartition(partitions(both.sparkSession), "cell", "q").sortWithinPartitions("cell", "q", "h")
-
-
-def fold(met: DataFrame, begin: Callable, meet: Callable, end: Callable, schema: str) -> DataFrame:
-    """Over each query block: state = begin(block), meet(state, home block, same) for each, and the rows of meet and end."""
+    light, slices = _bare(c), 1 if where == "own" or c.parts == 1 else SLICES
+    at = {"own": F.array("own"), "all": F.col("parts"), "others": F.filter("parts", lambda p: p != F.col("own")), "above": F.filter("parts", lambda p: p > F.col("own"))}[where]
+    columns = ["cell", "id", "v", F.col("f").cast("long").alias("f"), "r"]
+    there = homes.select(F.col("own").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(0).alias("kind"), *columns)
+    asks = asked.select(F.explode(at).alias("part"), F.pmod(F.col("cell") + F.col("own"), F.lit(slices)).alias("slice"), F.lit(1).alias("kind"), *columns)
+    both = there.unionByName(asks).repartition(c.parts * slices, "part", "slice").sortWithinPartitions("part", "slice", "kind", "cell")
+
+    def ask(home: tuple, rows: tuple) -> Iterator[pa.RecordBatch]:
+        hcell, hids, hx, hf = home
+        among, no = np.unique(hcell, return_inverse=True)
+        for s in range(0, len(rows[0]), BLOCK):
+            cell, ids, x, f, r = (c[s : s + BLOCK] for c in rows)
+            to = _near_cells(light, x, cell, r, among)
+            if to[:, to.any(0)].mean() > 0.5 if to.any() else True:
+                groups = [np.ones(len(ids), bool)]
+            else:
+                groups = [cell == k for k in np.unique(cell)]
+            for own in groups:
+                near = np.flatnonzero(to[own].any(0)[no])
+                state = begin(ids[own], x[own], f[own])
+                for t in range(0, len(near), 2 * BLOCK):
+                    some = near[t : t + 2 * BLOCK]
+                    meet(state, hids[some], hx[some], hf[some])
+                if (out := end(state)) is not None:
+                    yield out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = None
+        key, held, home = None, [], None
         for batch in batches:
-            for k in range(batch.num_rows):
-                q, h, rows = batch.column(1)[k].as_py(), batch.column(2)[k].as_py(), _rows(batch.column(3)[k])
-                if h < 0:
-                    if state is not None and (out := end(state)) is not None:
-                        yield out
-                    state = begin(*rows)
-                elif (out := meet(state, *rows, q == h)) is not None:
-                    yield out
-        if state is not None and (out := end(state)) is not None:
-            yield out
-
-    return met.mapInArrow(run, schema)
+            code = batch.column(0).to_numpy().astype(np.int64) * slices + batch.column(1).to_numpy()
+            kind = batch.column(2).to_numpy()
+            edges = np.flatnonzero(np.diff(code * 2 + kind)) + 1
+            for a, b in zip([0, *edges], [*edges, len(code)], strict=True):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                rows = tuple(_vectors(part.column(k)) if k == 5 else part.column(k).to_numpy() for k in range(3, 8))
+                if code[a] != key:
+                    key, held, home = code[a], [], None
+                if kind[a] == 0:
+                    held.append(rows[:4])
+                elif held:
+                    home = home or tuple(np.concatenate(c) for c in zip(*held, strict=True))
+                    yield from ask(home, rows)
+
+    return both.mapInArrow(run, schema)
 
 
 def _batch(**columns: np.ndarray) -> pa.RecordBatch:
@@ -162,31 +225,49 @@ def _batch(**columns: np.ndarray) -> pa.RecordBatch:
 
 
 def compared(c: Cells, eps: float) -> tuple[int, int]:
-    """(pairs of vectors that meet, all pairs), for a look at what the pivots save."""
-    met = guests(c, c.reach(eps)).groupBy("cell").count().collect()
-    return int((c.size**2).sum()) + sum(r["count"] * int(c.size[r["cell"]]) for r in met), int(c.size.sum()) ** 2
+    """(pairs of vectors whose cells meet, all pairs), for a look at what the pivots save."""
+    light, r, every = _bare(c), c.reach(eps), np.arange(len(c.pivots))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                to = _near_cells(light, _vectors(batch.column(0)), batch.column(1).to_numpy(), np.full(batch.num_rows, r), every)
+                yield _batch(n=np.array([int((to @ light.size).sum())]))
+
+    met = c.homes.select("v", "cell").mapInArrow(count, "n long").agg(F.sum("n")).first()[0]
+    return int(met or 0), int(c.size.sum()) ** 2
 
 
 def degrees(c: Cells, placed: DataFrame, eps: float, least: int) -> DataFrame:
-    """(id, n): weight f of all vectors within eps of each, itself included; counting stops beyond `least`."""
+    """(id, n): weight f of all vectors within eps of each, itself included; counting stops beyond `least`.
+
+    Only vectors that their own part does not make core ask in others.
+    """
     metric = c.metric
 
     def begin(ids, x, w):
-        return {"id": ids, "x": x, "n": w.astype(np.int64), "w": w}
+        return {"id": ids, "x": x, "n": w.copy(), "w": w}
 
-    def meet(s, ids, y, w, _):
+    def meet(s, ids, y, w):
         if (s["n"] >= least).all():
             return
         near = distances(s["x"], y, metric) <= eps
         near[s["id"][:, None] == ids[None]] = False
-        s["n"] += near @ w.astype(np.int64)
+        s["n"] += (near @ w.astype(float)).astype(np.int64)
 
     def end(s):
+        return _batch(id=s["id"], n=s["n"])
+
+    def more(s):
         return _batch(id=s["id"], n=s["n"] - s["w"])
 
-    homes = c.homes.select("cell", "id", "v", "f")
-    visits = fold(meetings(homes, placed.select("cell", "id", "v", "f")), begin, meet, end, "id long, n long")
-    return visits.unionByName(c.homes.select("id", F.col("f").alias("n"))).groupBy("id").agg(F.sum("n").alias("n"))
+    own = meet_parts(c, placed, placed, "own", begin, meet, end, "id long, n long")
+    if c.parts == 1:
+        return own
+    own = materialize(own, "degrees")
+    asked = placed.join(own.where(F.col("n") < least).select("id"), "id", "left_semi")
+    seen = meet_parts(c, placed, asked, "others", begin, meet, more, "id long, n long")
+    return own.unionByName(seen).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _bipartite(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,22 +283,63 @@ def _bipartite(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(c: Cells, placed: DataFrame, core: DataFrame, eps: float) -> DataFrame:
-    """(a, b): links between cores (id) within eps, as many as connect what each two blocks hold together, not all pairs."""
+    """(a, b): links between cores (id) within eps, as many as connect what blocks hold together, not all pairs.
+
+    Cores of one part are linked first. Those of different parts are compared only where the links so far leave
+    them in different components.
+    """
     metric = c.metric
+    rows = materialize(placed.join(core.select("id"), "id", "left_semi"), "placed-cores")
 
-    def begin(ids, x, _):
-        return ids, x
+    def begin(ids, x, f):
+        return {"id": ids, "x": x, "f": f, "a": [], "b": []}
 
-    def meet(s, ids, y, _, same):
-        low, col = _bipartite(distances(s[1], y, metric) <= eps)
-        own = np.append(s[0], 0)
-        a, b = np.concatenate([s[0], ids]), own[np.concatenate([low, col])]
-        kept = (np.concatenate([low, col]) < len(s[0])) & (a != b)
-        return _batch(a=a[kept], b=b[kept]) if kept.any() else None
+    def meet(s, ids, y, _):
+        low, col = _bipartite(distances(s["x"], y, metric) <= eps)
+        own = np.append(s["id"], 0)
+        a, b = np.concatenate([s["id"], ids]), own[np.concatenate([low, col])]
+        kept = (np.concatenate([low, col]) < len(s["id"])) & (a != b)
+        s["a"].append(a[kept])
+        s["b"].append(b[kept])
 
-    of = lambda rows: rows.join(core.select("id"), "id", "left_semi").select("cell", "id", "v", "f")
-    met = meetings(of(c.homes), of(placed.where("home < cell")), below=True)
-    return fold(met, begin, meet, lambda s: None, "a long, b long")
+    def end(s):
+        return _batch(a=np.concatenate(s["a"]), b=np.concatenate(s["b"])) if sum(map(len, s["a"])) else None
+
+    own = meet_parts(c, rows, rows, "own", begin, meet, end, "a long, b long")
+    if c.parts == 1:
+        return own
+    own = materialize(own, "links")
+    comp = connected_components(own)
+    rows = rows.join(comp, F.col("id") == F.col("node"), "left").withColumn("f", F.coalesce("component", "id")).drop("node", "component")
+    rows = materialize(rows, "part-components")
+    over: dict[int, int] = {}  # of a task: the component that another one was found to belong to
+
+    def root(k: int) -> int:
+        while k in over:
+            k = over[k]
+        return k
+
+    def roots(f: np.ndarray) -> np.ndarray:
+        some, no = np.unique(f, return_inverse=True)
+        return np.array([root(int(k)) for k in some])[no]
+
+    def across(s, ids, y, f):
+        ra, rb = roots(s["f"]), roots(f)
+        most, number = np.unique(np.concatenate([ra, rb]), return_counts=True)
+        great = most[number.argmax()]  # two of the greatest component need no comparison
+        for rows, cols in ((np.flatnonzero(ra != great), np.arange(len(rb))), (np.flatnonzero(ra == great), np.flatnonzero(rb != great))):
+            if not len(rows) or not len(cols):
+                continue
+            i, j = np.nonzero((distances(s["x"][rows], y[cols], metric) <= eps) & (ra[rows][:, None] != rb[cols][None]))
+            _, one = np.unique(np.stack([ra[rows][i], rb[cols][j]]), axis=1, return_index=True)
+            for p, q in zip(rows[i[one]], cols[j[one]], strict=True):
+                u, v = root(int(ra[p])), root(int(rb[q]))
+                if u != v:
+                    over[max(u, v)] = min(u, v)
+                    s["a"].append(s["id"][p : p + 1])
+                    s["b"].append(ids[q : q + 1])
+
+    return own.unionByName(meet_parts(c, rows, rows, "above", begin, across, end, "a long, b long"))
 
 
 def smallest_label(c: Cells, placed: DataFrame, core: DataFrame, eps: float) -> DataFrame:
@@ -227,7 +349,7 @@ def smallest_label(c: Cells, placed: DataFrame, core: DataFrame, eps: float) ->
     def begin(ids, x, _):
         return ids, x, np.full(len(ids), none)
 
-    def meet(s, ids, y, label, _):
+    def meet(s, ids, y, label):
         near = distances(s[1], y, metric) <= eps
         np.minimum(s[2], np.where(near, label[None], none).min(1), out=s[2])
 
@@ -235,49 +357,50 @@ def smallest_label(c: Cells, placed: DataFrame, core: DataFrame, eps: float) ->
         found = s[2] < none
         return _batch(id=s[0][found], low=s[2][found]) if found.any() else None
 
-    homes = c.homes.drop("f").join(core.select("id", F.col("label").cast("long").alias("f")), "id").select("cell", "id", "v", "f")
-    asked = c.homes.select("cell", "id", "v", "f").unionByName(placed.select("cell", "id", "v", "f")).join(core.select("id"), "id", "left_anti")
-    return fold(meetings(homes, asked, own=False), begin, meet, end, "id long, low long").groupBy("id").agg(F.min("low").alias("low"))
+    homes = placed.drop("f").join(core.select("id", F.col("label").cast("long").alias("f")), "id")
+    asked = placed.join(core.select("id"), "id", "left_anti")
+    return meet_parts(c, homes, asked, "all", begin, meet, end, "id long, low long").groupBy("id").agg(F.min("low").alias("low"))
 
 
 def kth_distance(vectors: DataFrame, k: int) -> DataFrame:
     """(id, f, d): Euclidean distance of each vector (id, v, f), which stands for f equal ones, to its k-th nearest, itself first.
 
-    The k nearest of the home cell bound the search; where the cell holds fewer, the farthest vector of the
-    nearest cell that holds k does. Only cells within that radius are visited, and a visit returns one row.
+    The k nearest of its own part bound the search, or the farthest vector of the nearest cell that holds k.
+    Only parts with cells within that radius are visited, and a visit returns one row.
     Where there are fewer than k vectors the distance is that to the farthest.
     """
     c = cells(vectors, "euclidean")
-    weigh = lambda y, w: np.repeat(y, np.minimum(w, k), axis=0)
 
     def begin(ids, x, _):
         return {"id": ids, "x": x, "best": np.full((len(ids), k), np.inf)}
 
-    def meet(s, ids, y, w, _):
+    def meet(s, ids, y, w):
         d = distances(s["x"], y, "euclidean")
         d[s["id"][:, None] == ids[None]] = 0
-        d = np.concatenate([s["best"], weigh(d.T, w).T], axis=1)
+        if (w > 1).any():
+            d = np.repeat(d, np.minimum(w, k), axis=1)
+        d = np.concatenate([s["best"], d], axis=1)
         s["best"] = np.partition(d, k - 1, axis=1)[:, :k]
 
     def end(s):
         flat = pa.array(np.sort(s["best"], axis=1).ravel())
         return pa.RecordBatch.from_arrays([pa.array(s["id"]), pa.ListArray.from_arrays(pa.array(np.arange(len(s["id"]) + 1, dtype=np.int32) * k), flat)], names=["id", "best"])
 
-    homes = c.homes.select("cell", "id", "v", "f")
-    near = materialize(fold(meetings(homes), begin, meet, end, "id long, best array<double>"), "nearest-at-home")
-    pivots, most = c.pivots, np.where(c.size >= k, c.radius, np.inf)
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                r = np.minimum((euclidean(x, pivots) + most[None]).min(1), batch.column(4).to_numpy()) + c_slack
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(r)], names=["id", "v", "f", "cell", "r"])
-
-    c_slack = c.slack
-    known = c.homes.join(near, "id").select("id", "v", "f", "cell", F.element_at("best", k).alias("r"))
-    c.homes = materialize(known.mapInArrow(bound, "id long, v array<double>, f long, cell int, r double"), "radii")
-    seen = fold(meetings(homes, guests(c).select("cell", "id", "v", "f"), own=False), begin, meet, end, "id long, best array<double>")
+    here = guests(c, math.inf)  # all of its own part
+    near = materialize(meet_parts(c, here, here, "own", begin, meet, end, "id long, best array<double>"), "nearest-at-home")
     finite = F.filter("x", lambda d: d < F.lit(float("inf")))
-    best = near.unionByName(seen).groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("x"))  # as many lists as visits
+    if c.parts > 1:
+        pivots, most, slack = c.pivots, np.where(c.size >= k, c.radius, np.inf), c.slack
+
+        def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    r = np.minimum((euclidean(_vectors(batch.column(1)), pivots) + most[None]).min(1), batch.column(4).to_numpy()) + slack
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(r)], names=["id", "v", "f", "cell", "r"])
+
+        known = c.homes.join(near, "id").select("id", "v", "f", "cell", F.element_at("best", k).alias("r"))
+        c.homes = known.mapInArrow(bound, "id long, v array<double>, f long, cell int, r double")
+        placed = materialize(guests(c), "radii")
+        near = near.unionByName(meet_parts(c, placed, placed, "others", begin, meet, end, "id long, best array<double>"))
+    best = near.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("x"))  # as many lists as visits
     return best.select("id", F.array_max(finite).alias("d")).join(c.homes.select("id", "f"), "id")

@@ -131,3 +131,24 @@ def test_means_level_by_level(spark, monkeypatch):
     plain = KMeans(k=k, seed=1, maxIter=20).fit(data).transform(data).select("id", F.col("prediction").alias("label")).collect()
     assert inertia(rows) < 1.05 * inertia(plain)
     assert len({r.label for r in rows if r.id >= 720}) == 1  # equal vectors stay together
+
+
+def test_a_vector_goes_once_to_a_part_where_pivots_save_nothing(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 25)
+    monkeypatch.setattr(neighbours, "PER_CELL", 5)
+    x = np.random.default_rng(5).normal(0, 1, (800, 24))  # no groups: every vector can reach every cell
+    c = neighbours.cells(frame(spark, x), "cosine")
+    placed = neighbours.guests(c, c.reach(0.68))
+    assert len(c.pivots) == 160 and placed.agg(F.sum(F.size("parts"))).first()[0] <= 8 * len(x)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for eps in (0.5, 0.68):
+        got = {r.id: r.label for r in cluster.dbscan(frame(spark, x).drop("f"), eps, 4).collect()}
+        assert got == labels(1 - unit @ unit.T <= eps, 4)
+
+
+def test_kth_distance_over_the_cells_of_one_part(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PER_CELL", 10)
+    x = np.random.default_rng(6).normal(0, 1, (300, 8))
+    d = np.sort(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), axis=1)[:, 3]
+    got = {r.id: r.d for r in neighbours.kth_distance(frame(spark, x), 4).collect()}
+    assert max(abs(got[i] - d[i]) for i in range(300)) < 1e-6
