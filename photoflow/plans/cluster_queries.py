@@ -180,14 +180,22 @@ lab AS (SELECT *, (r / 255.0 * 0.299 + g / 255.0 * 0.587 + b / 255.0 * 0.114) *
 
 
 def _shades(spark, sf_dir) -> DataFrame:
+    """Colours of every photo, one row for n equal ones of a percentage; seq is the place of the first such one in all photos."""
     from photoflow.operators.graph import running_total
+    from photoflow.scratch import materialize
 
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
-    t = X.table(spark, sf_dir, "lineitem").select(*order, F.lit(1).alias("one"))
-    t = running_total(t, order, {"seq": "one"}, "colors")
-    c = t.selectExpr("l_orderkey % 3000 as photo", "seq + 1 as seq", "cast(l_partkey % 8 * 12 as int) as r", "cast(l_suppkey % 8 * 14 as int) as g", "cast(l_linenumber * 12 as int) as b", "l_discount * 10 as percentage")
+    kind = ["r", "g", "b", "percentage"]
+    t = X.table(spark, sf_dir, "lineitem").selectExpr(*order, "l_orderkey % 3000 as photo", "cast(l_partkey % 8 * 12 as int) as r", "cast(l_suppkey % 8 * 14 as int) as g", "cast(l_linenumber * 12 as int) as b", "l_discount * 10 as percentage")
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in kind]
+    # the first of each kind: by the leading column of the order, then among the few that share it
+    low = materialize(t.groupBy(*kind).agg(F.min("l_orderkey").alias("k")), "colour-kinds")
+    few = t.alias("t").join(low.alias("k"), same("t", "k")).where(F.col("t.l_orderkey").eqNullSafe(F.col("k.k"))).select("t.*")
+    first = few.groupBy(*kind).agg(F.min(F.struct(*order)).alias("o")).select(*kind, "o.*", F.lit(1).alias("one"))
+    placed = materialize(running_total(first, order, {"seq": "one"}, "colors").select(*kind, (F.col("seq") + 1).alias("seq")), "placed-colours")
+    c = t.groupBy("photo", *kind).agg(F.count("*").alias("n")).alias("c").join(placed.alias("p"), same("c", "p")).select("c.*", "p.seq")
     l, a, b = C.rgb_to_lab((F.col("r"), F.col("g"), F.col("b")))  # noqa: E741
-    return c.withColumns({"l": l, "a": a, "bb": b, "ord": F.col("seq")})
+    return materialize(c.withColumns({"l": l, "a": a, "bb": b, "ord": F.col("seq")}), "colours-of-photos")
 
 
 _TEAMS = f"""WITH RECURSIVE {_SHADES}, u AS (SELECT l, a, bb, min(seq) AS ord0 FROM lab GROUP BY l, a, bb), v AS (SELECT *, CAST(row_number() OVER (ORDER BY ord0) AS BIGINT) AS ord FROM u),
@@ -234,7 +242,7 @@ dec AS (SELECT p.photo, coalesce(nm.teams, '') AS teams, coalesce(n, 0) AS n_tea
 def _decisions(spark, sf_dir) -> DataFrame:
     colors = _shades(spark, sf_dir)
     teams, met = K.team_groups(colors)
-    photos = colors.groupBy("photo").agg(F.count("*").alias("colors"))
+    photos = colors.groupBy("photo").agg(F.sum("n").alias("colors"))
     return K.split_decisions(photos, K.color_separation(colors), met, teams)
 
 

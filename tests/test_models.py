@@ -329,3 +329,19 @@ def test_dominant_colors_in_other_spaces(spark, space):
         assert sum(n < 15 for n in near) >= 2
     with pytest.raises(ValueError):
         cluster.dominant_colors(pixels, color_space="cmyk")
+
+
+def test_equal_colours_of_a_photo_are_compared_once(spark):
+    rng = np.random.default_rng(2)
+    photo, l, a, bb = ([int(x) for x in rng.integers(0, 3, 60)] for _ in range(4))  # noqa: E741
+    rows = [(p, i, i, *(float(9 * x) for x in c), 1.0) for i, (p, *c) in enumerate(zip(photo, l, a, bb, strict=True))] + [(7, 60, 60, 1.0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "photo long, ord long, seq long, l double, a double, bb double, percentage double")
+    few = df.groupBy("photo", "l", "a", "bb").agg(F.count("*").alias("n"), F.min("ord").alias("ord"))
+    plain = {}
+    for p in set(photo):
+        c = [np.array(r[3:6]) for r in rows if r[0] == p]
+        d = [np.sqrt(((x - y) ** 2).sum()) / 100 for i, x in enumerate(c) for y in c[i + 1 :]]
+        plain[p] = min(sum(d) / len(d) / 0.15, 1)
+    for given in (df, few):
+        got = {r.photo: r.separation for r in cluster.color_separation(given).collect()}
+        assert set(got) == set(plain) and all(abs(got[p] - plain[p]) < 1e-9 for p in plain)
