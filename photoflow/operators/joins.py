@@ -97,7 +97,8 @@ def track_nearest(balls: DataFrame, max_move: float = 50, by: str = "source") ->
     around = F.array(*[F.struct(cell("cx", i), cell("cy", j)) for i, j in product((-1, 0, 1), repeat=2)])
     prev = frame.select(by, (F.col("frame") + 1).alias("frame"), F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("ball_id").alias("prev_id"), F.explode(around).alias("_c"))
     prev = prev.select(by, "frame", "px", "py", "prev_id", "_c._cx", "_c._cy")
-    d = F.hypot(F.col("cx") - F.col("px"), F.col("cy") - F.col("py"))
+    dx, dy = F.col("cx") - F.col("px"), F.col("cy") - F.col("py")
+    d = F.sqrt(dx * dx + dy * dy)  # hypot rounds otherwise, so equally near balls would not tie
     near = frame.select("*", cell("cx"), cell("cy")).join(prev, [by, "frame", "_cx", "_cy"]).withColumn("d", d).where(F.col("d") < max_move)
     best = near.groupBy("ball_id").agg(F.min_by(F.struct("prev_id", (F.col("cx") - F.col("px")).alias("dx"), (F.col("cy") - F.col("py")).alias("dy")), F.struct("d", "prev_id")).alias("m"))
     return frame.join(best, "ball_id", "left").select(*frame.columns, "m.prev_id", "m.dx", "m.dy")

@@ -345,3 +345,27 @@ def test_equal_colours_of_a_photo_are_compared_once(spark):
     for given in (df, few):
         got = {r.photo: r.separation for r in cluster.color_separation(given).collect()}
         assert set(got) == set(plain) and all(abs(got[p] - plain[p]) < 1e-9 for p in plain)
+
+
+def test_equally_near_balls_tie(spark):
+    from photoflow.streaming.streams import _nearest
+
+    first, second = (6.0, 11.65), (13.0, 1.65)  # equal by the square root of the sum, but not by hypot
+    assert np.sqrt(6.0 * 6.0 + 11.65 * 11.65) == np.sqrt(13.0 * 13.0 + 1.65 * 1.65)
+    first, second = (first, second) if np.hypot(*first) > np.hypot(*second) else (second, first)
+    t = datetime(2024, 1, 1)
+    prev, now = [(1, *first), (2, *second)], (9, 0.0, 0.0)
+    rows = [("s", t, *p, "unknown") for p in prev] + [("s", t + timedelta(hours=1), *now, "unknown")]
+    df = spark.createDataFrame(rows, "source string, ts timestamp, ball_id long, cx double, cy double, ball_type string")
+    assert {r.ball_id: r.prev_id for r in joins.track_nearest(df).collect()} == {1: None, 2: None, 9: 1}
+    assert _nearest([(1, *now, "unknown")], [(0, *p, "unknown") for p in prev], 50)[0][1] == 1
+
+
+def test_nearest_of_a_frame_before(spark):
+    from photoflow.streaming.streams import _nearest
+
+    rng = random.Random(3)
+    ball = lambda i: (0, i, float(rng.randrange(400)), float(rng.randrange(90)), "x")
+    prev, frame = [ball(i) for i in range(300)], [ball(i) for i in range(500, 900)]
+    want = [min(((d, p[1]) for p in prev if (d := np.sqrt((b[2] - p[2]) ** 2 + (b[3] - p[3]) ** 2)) < 9), default=(0, None))[1] for b in frame]
+    assert [h and h[1] for h in _nearest(frame, prev, 9)] == want and None in want
