@@ -350,9 +350,8 @@ def test_equal_colours_of_a_photo_are_compared_once(spark):
 def test_equally_near_balls_tie(spark):
     from photoflow.streaming.streams import _nearest
 
-    first, second = (6.0, 11.65), (13.0, 1.65)  # equal by the square root of the sum, but not by hypot
-    assert np.sqrt(6.0 * 6.0 + 11.65 * 11.65) == np.sqrt(13.0 * 13.0 + 1.65 * 1.65)
-    first, second = (first, second) if np.hypot(*first) > np.hypot(*second) else (second, first)
+    first, second = (1.0, 3.95), (2.0, 3.55)  # equal by the square root of the sum; by the JVM's hypot the second is nearer
+    assert np.sqrt(1.0 + 3.95 * 3.95) == np.sqrt(4.0 + 3.55 * 3.55)
     t = datetime(2024, 1, 1)
     prev, now = [(1, *first), (2, *second)], (9, 0.0, 0.0)
     rows = [("s", t, *p, "unknown") for p in prev] + [("s", t + timedelta(hours=1), *now, "unknown")]
