@@ -12,7 +12,7 @@ from photoflow.plans.registry import query
 from photoflow.plans.session_queries import _games_sql
 from photoflow.plans.table_queries import TRACK_SQL, TYPES_SQL, balls, customer_documents
 from photoflow.scratch import new_path
-from photoflow.sources.sidecars import write_files
+from photoflow.sources.sidecars import spread, write_files
 from photoflow.streaming import streams
 
 
@@ -31,7 +31,7 @@ def k2(spark, sf_dir) -> DataFrame:
 def k1(spark, sf_dir) -> DataFrame:
     """A document per customer as a file; two runs take all of them once, broken ones give no row."""
     out = new_path(spark, "ingest")
-    write_files(customer_documents(spark, sf_dir), f"{out}/in", "name", F.col("doc"))
+    write_files(customer_documents(spark, sf_dir).withColumn("name", spread(F.col("name"))), f"{out}/in", "name", F.col("doc"))
     for _ in range(2):
         streams.ingest_sidecars(spark, f"{out}/in", f"{out}/operations", f"{out}/checkpoint")
     return streams.ingested(spark, f"{out}/operations").select(F.regexp_extract("path", r"([0-9]+)\.json$", 1).cast("long").alias("image"), "op", "success")

@@ -366,7 +366,8 @@ def a1(spark, sf_dir) -> DataFrame:
     from photoflow.scratch import new_path
 
     c = X.table(spark, sf_dir, "customer").select(F.concat(F.lit("IMG_"), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 2 == 0, ".jpg").otherwise(".PNG")).alias("name"), "c_name")
-    places = F.explode(F.array(F.concat(F.lit("day/"), "name"), F.concat(F.lit("venv/"), "name"), F.concat(F.lit("notes/"), "name", F.lit(".txt"))))
+    spread = S.spread(F.col("name"))
+    places = F.explode(F.array(F.concat(F.lit("day/"), spread), F.concat(F.lit("venv/"), spread), F.concat(F.lit("notes/"), spread, F.lit(".txt"))))
     root = new_path(spark, "images")
     S.write_files(c.select(places.alias("place"), "c_name"), root, "place", F.col("c_name"))
     return S.image_catalog(spark, root).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
@@ -387,7 +388,7 @@ def a3(spark, sf_dir) -> DataFrame:
     from photoflow.scratch import new_path
 
     root = new_path(spark, "documents")
-    S.write_files(customer_documents(spark, sf_dir), root, "name", F.col("doc"))
+    S.write_files(customer_documents(spark, sf_dir).withColumn("name", S.spread(F.col("name"))), root, "name", F.col("doc"))
     return S.read_sidecars(spark, root).select(F.regexp_extract("path", r"([0-9]+)\.json$", 1).cast("long").alias("image"), "doc", "valid")
 
 

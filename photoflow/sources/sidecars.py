@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import fnmatch
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +23,84 @@ SKIPPED = ["venv", "__pycache__", ".git", "node_modules"]
 
 def image_catalog(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """(path, modified, length) of the image files under root, without reading their bytes, ordered by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
-    found = files.select("path", F.col("modificationTime").alias("modified"), "length").where(F.lower("path").rlike(rf"\.({'|'.join(IMAGE_EXTENSIONS)})$"))
-    if recursive:
-        found = found.where(~F.col("path").rlike(rf"/({'|'.join(s.replace('.', chr(92) + '.') for s in SKIPPED)})/"))
-    return found.dropDuplicates(["path"]).orderBy("path")
+    return stored_files(spark, root, rf"(?i).*\.({'|'.join(IMAGE_EXTENSIONS)})$", SKIPPED if recursive else (), recursive).orderBy("path")
+
+
+def _store(path: str) -> tuple[pafs.FileSystem, str, str]:
+    """The file system of a path, the path in it, and what comes before that to make the names that Spark gives."""
+    scheme, mark, rest = path.partition("://")
+    if not mark:
+        scheme, mark, rest = "file", "://", path.removeprefix("file:")
+    fs, top = pafs.FileSystem.from_uri(f"{scheme}{mark}{quote(rest, safe="/:@")}")
+    top = "/" + top.strip("/") if top.startswith("/") else top.rstrip("/")
+    return fs, top, "file:" if scheme == "file" else path.rstrip("/").removesuffix(top)
+
+
+def stored_files(spark: SparkSession, root: str, wanted: str, skipped: Sequence[str] = (), recursive: bool = True) -> DataFrame:
+    """(path, modified, length) of the files under root whose names match `wanted`, a regular expression.
+
+    Folders are dealt out over tasks, which list them; those found are listed in the next round, so no list of
+    files passes the driver. Names that begin with a dot or an underscore are left out, as Spark's readers do. A
+    store that Arrow doesn't know is listed by Spark's own reader, on the driver.
+    """
+    try:
+        top = _store(root)[1]
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
+        found = files.select("path", F.col("modificationTime").alias("modified"), "length").where(F.element_at(F.split("path", "/"), -1).rlike(f"^{wanted}"))
+        for s in skipped:
+            found = found.where(~F.contains("path", F.lit(f"/{s}/")))
+        return found.dropDuplicates(["path"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _, before = _store(root)
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                found = [f for f in fs.get_file_info(pafs.FileSelector(folder)) if not f.base_name.startswith(".") and (f.base_name[0] != "_" or "=" in f.base_name)]
+                downs = [f.path for f in found if recursive and f.type == pafs.FileType.Directory and f.base_name not in skipped]
+                files = [f for f in found if f.type == pafs.FileType.File and re.match(wanted, f.base_name)]
+                for k in range(0, len(downs), 10_000):
+                    part = downs[k : k + 10_000]
+                    yield pa.record_batch({"path": part, "folder": [True] * len(part), "modified": pa.nulls(len(part), pa.timestamp("us", "UTC")), "length": pa.nulls(len(part), pa.int64())})
+                for k in range(0, len(files), 10_000):
+                    part = files[k : k + 10_000]
+                    at = pa.array([f.mtime_ns // 1_000_000 * 1000 for f in part], pa.int64()).cast(pa.timestamp("us", "UTC"))
+                    yield pa.record_batch({"path": [before + f.path for f in part], "folder": [False] * len(part), "modified": at, "length": pa.array([f.size for f in part], pa.int64())})
+
+    level, found = spark.createDataFrame([(top,)], "path string"), None
+    while True:
+        listed = materialize(level.repartition(partitions(spark), "path").mapInArrow(scan, "path string, folder boolean, modified timestamp, length long"), "listed-folders")
+        found = listed if found is None else found.unionByName(listed)
+        level = listed.where("folder").select("path")
+        if level.isEmpty():
+            return found.where("not folder").select("path", "modified", "length")
+
+
+def with_text(files: DataFrame) -> DataFrame:
+    """files (path, ...) with `doc`, the whole text of each, read by the tasks; of a store that Arrow doesn't know by Spark's reader."""
+    some = files.select("path").first()
+    try:
+        if some:
+            _store(some[0])
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        paths = [r[0] for r in files.select("path").collect()]
+        text = files.sparkSession.read.option("wholetext", "true").text(paths)
+        return files.join(text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("doc")), "path")
+    at = files.columns.index("path")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                part, docs = b.slice(k, 256), []
+                for path in part.column(at).to_pylist():
+                    if before is None or not path.startswith(before):
+                        fs, _, before = _store(path)
+                    with fs.open_input_stream(path.removeprefix(before)) as f:
+                        docs.append(f.read().decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(docs, pa.string())], names=[*b.schema.names, "doc"])
+
+    return files.repartition(partitions(files.sparkSession)).mapInArrow(read, files.select("*", F.lit("").alias("doc")).schema)
 
 
 def list_files(spark: SparkSession, root: str, extensions: list[str] | None = IMAGE_EXTENSIONS, skipped: list[str] = SKIPPED) -> DataFrame:
@@ -95,8 +173,13 @@ def legacy_faces(documents: DataFrame, key: str = "image", padding: float = 0.25
 
 def read_sidecars(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
     """(path, doc, valid): one row per file; a file that is no JSON stays as a row that is not valid."""
-    text = spark.read.option("wholetext", "true").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").text(root)
-    return text.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("doc")).withColumn("valid", parsed(F.col("doc")).isNotNull())
+    text = with_text(stored_files(spark, root, fnmatch.translate(glob)))
+    return text.select(named("path"), "doc").withColumn("valid", parsed(F.col("doc")).isNotNull())
+
+
+def named(path: str) -> Column:
+    """A path of stored_files as Spark's text reader names it."""
+    return F.regexp_replace(path, "^file:/+", "file:///").alias("path")
 
 
 def explode_operations(sidecars: DataFrame) -> DataFrame:
@@ -271,21 +354,31 @@ def write_files(rows: DataFrame, root: str, name: str, content: Column) -> None:
     """
     import uuid
 
-    import pyarrow.fs as pafs
-
     def write(batches):
         uri = root if "://" in root or root.startswith("file:") else f"file://{root}"
         fs, top = pafs.FileSystem.from_uri(uri)
+        made = None
         for b in batches:
             for n, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 path = f"{top}/{n}"
-                fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                with fs.open_output_stream(own := f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}") as f:
+                folder = path.rsplit("/", 1)[0]
+                if folder != made:
+                    fs.create_dir(folder, recursive=True)
+                    made = folder
+                with fs.open_output_stream(own := f"{folder}/.{uuid.uuid4().hex}") as f:
                     f.write((text or "").encode())
                 fs.move(own, path)
         yield from ()
 
-    rows.select(F.col(name).alias("n"), content.alias("c")).mapInArrow(write, "n string").write.format("noop").mode("overwrite").save()
+    # rows by folder: a small table of one part fills many tasks, and no two tasks write many files into one folder
+    folder = F.regexp_replace("n", "[^/]*$", "")
+    dealt = rows.select(F.col(name).alias("n"), content.alias("c")).repartition(partitions(rows.sparkSession), folder).sortWithinPartitions(folder)
+    dealt.mapInArrow(write, "n string").write.format("noop").mode("overwrite").save()
+
+
+def spread(name: Column, folders: int = 256) -> Column:
+    """The name in one of so many folders by its hash, so that many tasks write and list them."""
+    return F.concat(F.lpad(F.pmod(F.xxhash64(name), F.lit(folders)).cast("string"), 3, "0"), F.lit("/"), name)
 
 
 def write_report_json(rows: DataFrame, path: str) -> None:

@@ -125,3 +125,26 @@ def test_links_are_listed_and_counted(spark, tmp_path):
     assert sidecars.list_files(spark, str(tmp_path), None).count() == 7
     with pytest.raises(ValueError, match="mounted"):
         sidecars.list_files(spark, "s3://bucket/x")
+
+
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """No list of files is made on the driver: Spark's readers, which make one, are not asked for documents or images."""
+    from pyspark.sql.readwriter import DataFrameReader
+    from pyspark.sql.streaming.readwriter import DataStreamReader
+
+    (tmp_path / "in/a b%20/venv").mkdir(parents=True)
+    for k, place in enumerate(("in/0.json", "in/a b%20/1.json", "in/.2.json", "in/3.JSON")):
+        (tmp_path / place).write_text(json.dumps({"yolov8": {"success": True, "n": k}}))
+    for place in ("in/a b%20/4.Png", "in/a b%20/venv/5.png", "in/_6.png"):
+        (tmp_path / place).write_bytes(b"12")
+    formats = []
+    for reader in (DataFrameReader, DataStreamReader):
+        monkeypatch.setattr(reader, "text", lambda *a, **k: formats.append("text"))
+        monkeypatch.setattr(reader, "format", lambda self, source, f=reader.format: (formats.append(source), f(self, source))[1])
+    assert {r.path.removeprefix(f"file://{tmp_path}/in/") for r in sidecars.read_sidecars(spark, f"{tmp_path}/in").collect()} == {"0.json", "a b%20/1.json"}
+    assert [(r.path, r.length) for r in sidecars.image_catalog(spark, f"{tmp_path}/in").collect()] == [(f"file:{tmp_path}/in/a b%20/4.Png", 2)]
+    assert sidecars.image_catalog(spark, f"{tmp_path}/in", recursive=False).count() == 0
+    for _ in range(2):
+        streams.ingest_sidecars(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/cp")
+    assert streams.ingested(spark, f"{tmp_path}/out").count() == 2
+    assert not {"text", "binaryFile"} & set(formats)
