@@ -232,7 +232,10 @@ def _landmark(k: int) -> Column:
 
 
 def _poses(spark, sf_dir):
-    return _measures(spark, sf_dir).withColumn("points", F.array(*[_landmark(k) for k in range(33)]))
+    """Measures with `points`; exists() keeps the 33 landmarks out of one method that is too large for the JVM to compile."""
+    known = F.exists(F.array("l_partkey", "l_suppkey"), lambda k: k.isNotNull())
+    none = F.array_repeat(F.when(F.lit(False), _landmark(0)), 33)
+    return _measures(spark, sf_dir).withColumn("points", F.when(known, F.array(*[_landmark(k) for k in range(33)])).otherwise(none))
 
 
 def _pt(k: int, part: str) -> str:
@@ -318,9 +321,13 @@ _expressions("b28_classify_action_simple", _MEAS, _poses, _MK, {
                 f"coalesce(nullif(concat_ws(',', CASE WHEN abs(abs({_pt(23, 'y')} - {_pt(25, 'y')}) - abs({_pt(24, 'y')} - {_pt(26, 'y')})) > 0.1 THEN 'running' END, CASE WHEN ({_pt(25, 'y')} + {_pt(26, 'y')}) / 2 < 0.3 THEN 'jumping' END, CASE WHEN {_KNEE} > 0.2 THEN 'kicking' END), ''), 'standing')"),
 })
 
-_expressions("b37_landmarks_to_image", _MEAS, _poses, _MK, {
-    "nose_x": (lambda: F.coalesce(F.get(P.landmarks_to_image(F.col("points"), F.lit(10), F.lit(20), F.lit(100), F.lit(200)), F.lit(0))["x"], F.lit(-1)), f"coalesce(CASE WHEN {_pt(0, 'c')} > 0.5 THEN CAST(trunc(10 + {_pt(0, 'x')} * 100) AS BIGINT) END, -1)"),
-    "wrist_y": (lambda: F.coalesce(F.get(P.landmarks_to_image(F.col("points"), F.lit(10), F.lit(20), F.lit(100), F.lit(200)), F.lit(15))["y"], F.lit(-1)), f"coalesce(CASE WHEN {_pt(15, 'c')} > 0.5 THEN CAST(trunc(20 + {_pt(15, 'y')} * 200) AS BIGINT) END, -1)"),
+def _placed(spark, sf_dir) -> DataFrame:
+    return _poses(spark, sf_dir).withColumn("placed", P.landmarks_to_image(F.col("points"), F.lit(10), F.lit(20), F.lit(100), F.lit(200)))
+
+
+_expressions("b37_landmarks_to_image", _MEAS, _placed, _MK, {
+    "nose_x": (lambda: F.coalesce(F.get("placed", F.lit(0))["x"], F.lit(-1)), f"coalesce(CASE WHEN {_pt(0, 'c')} > 0.5 THEN CAST(trunc(10 + {_pt(0, 'x')} * 100) AS BIGINT) END, -1)"),
+    "wrist_y": (lambda: F.coalesce(F.get("placed", F.lit(15))["y"], F.lit(-1)), f"coalesce(CASE WHEN {_pt(15, 'c')} > 0.5 THEN CAST(trunc(20 + {_pt(15, 'y')} * 200) AS BIGINT) END, -1)"),
 })
 
 
