@@ -35,20 +35,39 @@ def _model(run: str, make: Callable[[dict], Any] | None, config: dict) -> Any:
 def answers(batch: pd.DataFrame, detect: Callable[[pd.DataFrame], pd.DataFrame], key: str, columns: list[str]) -> list[tuple[dict | None, str | None]]:
     """(result, error) of each row of batch, in its order; one of the two is None.
 
-    A batch that fails is halved until the failing rows are alone. Results are matched by key: of an image
+    A batch that fails is halved until the failing rows are alone; where its first half works, the second is
+    halved without being tried whole. Results are matched by key: of an image
     that occurs several times the first result is for the first row and so on, one result alone is for all of
     them. A row without a result and an image with more results than rows are errors.
     """
-    try:
-        got = detect(batch)[[key, *columns]].astype(object)
-    except Exception as e:  # noqa: BLE001
-        if len(batch) == 1:
-            return [(None, str(e) or type(e).__name__)]
-        half = len(batch) // 2
-        return answers(batch.iloc[:half], detect, key, columns) + answers(batch.iloc[half:], detect, key, columns)
+    out: list[tuple[dict | None, str | None]] = []
+
+    def ask(part: pd.DataFrame, fails: bool) -> bool:
+        if not fails or len(part) == 1:
+            try:
+                got = detect(part)[[key, *columns]]
+            except Exception as e:  # noqa: BLE001
+                if len(part) == 1:
+                    out.append((None, str(e) or type(e).__name__))
+                    return False
+            else:
+                out.extend(_matched(part, got, key))
+                return True
+        half = len(part) // 2
+        ask(part.iloc[half:], ask(part.iloc[:half], False))
+        return False
+
+    ask(batch, False)
+    return out
+
+
+def _matched(batch: pd.DataFrame, got: pd.DataFrame, key: str) -> list[tuple[dict | None, str | None]]:
+    """(result, error) of each row of a batch that worked."""
     name = lambda k: None if pd.isna(k) else k
     found: dict[Any, list[dict]] = {}
-    for row in got.to_dict("records"):
+    names = list(got.columns)
+    for values in zip(*(got[c].astype(object).tolist() for c in names), strict=True):
+        row = dict(zip(names, values, strict=True))
         found.setdefault(name(row[key]), []).append(row)
     keys = [name(k) for k in batch[key]]
     asked: dict[Any, int] = {}

@@ -68,3 +68,17 @@ def test_two_detectors_on_repeated_images(spark):
 
     got = detectors.run_two_detectors(rows(spark, [1, 1, 2, 3]), ("a", a, "n long"), ("b", b, "kind string"), config={"k": 7}, batch_size=3).collect()
     assert [(r.image, r.success, r.a.n, r.b and r.b.kind, r.error) for r in got] == [(1, True, 7, "n0", None), (1, True, 7, "n1", None), (2, False, 14, None, "b: dark"), (3, False, 21, None, "b: no result")]
+
+
+def test_a_half_that_must_fail_is_not_tried_whole():
+    asked = []
+
+    def detect(b):
+        asked.append(len(b))
+        if (b["image"] == 7).any():
+            raise ValueError("broken")
+        return b.assign(n=b["image"])[["image", "n"]]
+
+    got = detectors.answers(pd.DataFrame({"image": range(8)}), detect, "image", ["n"])
+    assert [e for _, e in got] == [None] * 7 + ["broken"] and [r["n"] for r, _ in got[:7]] == list(range(7))
+    assert asked == [8, 4, 2, 1, 1]
