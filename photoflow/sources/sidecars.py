@@ -5,7 +5,7 @@ from __future__ import annotations
 import fnmatch
 import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import quote
 
 import pandas as pd
@@ -251,46 +251,50 @@ def _sorted(m: Column) -> Column:
     return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.element_at(m, k))))
 
 
-def _nodes(documents: DataFrame, keys: list[str], stop: Column | None = None, key: str = "image") -> DataFrame:
-    """(key, at, v): the objects of every document that are reached through `keys`, to any depth, the document's own first.
+def _found(documents: DataFrame, keys: list[str], own: Callable[[Column], Column], key: str = "image") -> DataFrame:
+    """(key, found): (at, o) of the objects of every document reached through `keys`, to any depth, for which `own` is not null, in order.
 
-    `at` orders them as a search that goes down before it goes on. Below an object for which `stop` holds
-    nothing is searched. Each round takes all objects of one depth a step down, until none is left.
+    `at` orders them as a search that goes down before it goes on. Below an object with an `own` nothing is
+    searched. A document is searched within its row, a depth at a time until no object is left.
     """
-    is_object = F.schema_of_variant("v").startswith("OBJECT")
-    level = documents.select(key, F.lit("").alias("at"), F.try_parse_json("doc").alias("v")).where(F.col("v").isNotNull()).where(is_object)
-    found = None
-    while True:
-        level = materialize(level.select(key, "at", F.to_json("v").alias("doc")), "nested-objects")
-        if found is not None and level.isEmpty():
-            return found.select(key, "at", F.try_parse_json("doc").alias("v"))
-        found = level if found is None else found.unionByName(level)
-        down = level.select(key, "at", F.try_parse_json("doc").alias("v"))
-        down = down.where(~stop) if stop is not None else down
-        below = F.array(*[F.struct(F.lit(f"{n:02d}").alias("n"), F.try_variant_get("v", f"$.{k}", "variant").alias("v")) for n, k in enumerate(keys)])
-        level = down.select(key, "at", F.explode(below).alias("b")).select(key, F.concat("at", "b.n").alias("at"), "b.v").where(F.col("v").isNotNull()).where(is_object)
+    node = lambda at, v: F.struct(at.alias("at"), v.alias("v"), own(v).alias("o"))
+    child = lambda e, n, k: F.struct(F.concat(e["at"], F.lit(f"{n:02d}")).alias("at"), F.try_variant_get(e["v"], f"$.{k}", "variant").alias("v"))
+
+    def below(e: Column) -> Column:
+        there = F.filter(F.array(*[child(e, n, k) for n, k in enumerate(keys)]), lambda c: c["v"].isNotNull())
+        return F.when(e["o"].isNotNull(), F.array(e)).otherwise(F.transform(there, lambda c: node(c["at"], c["v"])))
+
+    def step(s: Column, _: Column) -> Column:
+        down = F.struct(F.exists(s["e"], lambda e: e["o"].isNull()).alias("open"), F.flatten(F.transform(s["e"], below)).alias("e"))
+        return F.when(s["open"], down).otherwise(s)
+
+    # no object is deeper than there are braces; steps behind the last object do nothing
+    braces = F.length("doc") - F.length(F.replace("doc", F.lit("{"), F.lit("")))
+    docs = documents.select(key, F.coalesce(braces, F.lit(0)).alias("n"), F.try_parse_json("doc").alias("v"))
+    start = F.struct(F.lit(True).alias("open"), F.array(node(F.lit(""), F.col("v"))).alias("e"))
+    ends = F.aggregate(F.sequence(F.lit(0), "n"), start, step, lambda s: F.transform(F.filter(s["e"], lambda e: e["o"].isNotNull()), lambda e: F.struct(e["at"].alias("at"), e["o"].alias("o"))))
+    return docs.select(key, ends.alias("found"))
 
 
 def detection_counts(documents: DataFrame, key: str = "image") -> DataFrame:
     """(key, n): count or list length of each document (key, doc), else of the first object nested under data, result or detection that has one above 0, at any depth; 0 if none."""
-    own = counted(F.col("v"))
-    nodes = _nodes(documents, ["data", "result", "detection"], own.isNotNull(), key).select(key, "at", own.alias("n"))
-    best = nodes.groupBy(key).agg(F.min(F.when((F.col("n") > 0) | ((F.col("at") == "") & F.col("n").isNotNull()), F.struct("at", "n")))["n"].alias("n"))
-    return documents.select(key).distinct().join(best, key, "left").select(key, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    found = _found(documents, ["data", "result", "detection"], counted, key)
+    first = F.get(F.filter("found", lambda e: (e["o"] > 0) | (e["at"] == "")), F.lit(0))
+    return found.select(key, first.alias("f")).groupBy(key).agg(F.min("f")["o"].alias("n")).select(key, F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def tool_names(documents: DataFrame, key: str = "image") -> DataFrame:
     """(key, tool): the first tool name in a document, else in the objects nested under data, result or metadata, at any depth."""
-    own = F.coalesce(*[F.try_variant_get("v", f"$.{k}", "string") for k in TOOL_KEYS])
-    nodes = _nodes(documents, ["data", "result", "metadata"], own.isNotNull(), key).select(key, F.when(own.isNotNull(), F.struct("at", own.alias("t"))).alias("t"))
-    return documents.select(key).distinct().join(nodes.groupBy(key).agg(F.min("t")["t"].alias("tool")), key, "left")
+    own = lambda v: F.coalesce(*[F.try_variant_get(v, f"$.{k}", "string") for k in TOOL_KEYS])
+    found = _found(documents, ["data", "result", "metadata"], own, key).select(key, F.get("found", F.lit(0)).alias("f"))
+    return found.groupBy(key).agg(F.min("f")["o"].alias("tool"))
 
 
 def with_operation(documents: DataFrame, op: str, key: str = "image") -> DataFrame:
     """(key, has): whether the operation is a key or the type of a document or of an object nested under data or result, at any depth."""
-    own = F.try_variant_get("v", f"$.{op}", "variant").isNotNull() | F.coalesce(F.try_variant_get("v", "$.sidecar_info.operation_type", "string") == op, F.lit(False))
-    nodes = _nodes(documents, ["data", "result"], own, key).groupBy(key).agg(F.bool_or(own).alias("has"))
-    return documents.select(key).distinct().join(nodes, key, "left").select(key, F.coalesce("has", F.lit(False)).alias("has"))
+    has = lambda v: F.try_variant_get(v, f"$.{op}", "variant").isNotNull() | F.coalesce(F.try_variant_get(v, "$.sidecar_info.operation_type", "string") == op, F.lit(False))
+    found = _found(documents, ["data", "result"], lambda v: F.when(has(v), True), key)
+    return found.groupBy(key).agg(F.bool_or(F.size("found") > 0).alias("has"))
 
 
 def export_sidecars(sidecars: DataFrame, op: str | None = None, doc: str = "doc") -> DataFrame:

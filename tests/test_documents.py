@@ -69,6 +69,25 @@ def test_search_to_any_depth(spark):
     assert sidecars.with_operation(t, "click").first().has and sidecars.tool_names(t).first().tool == "d"
 
 
+def test_search_writes_no_table_for_a_depth(spark, monkeypatch):
+    """Documents are searched within their rows; equal keys together, the first object going down before on."""
+
+    def none(*_):
+        raise AssertionError("a depth of objects was written")
+
+    monkeypatch.setattr(sidecars, "materialize", none)
+    deep = json.dumps(nested({"count": 4, "model": "m", "click": 1}, ["data", "result"] * 40))
+    wide = {"count": 1}
+    for _ in range(6):
+        wide = {"data": {"x": [{}] * 5}, "result": wide, "detection": {"count": 7}}
+    twice = [json.dumps({"result": {"count": 2, "click": 1}}), json.dumps({"data": {"count": 0}, "result": {"count": 5}, "detection": {"count": 6}}), json.dumps({"data": {"count": 9}})]
+    rows = [(0, deep), (1, json.dumps(wide)), (2, '"text"'), (3, json.dumps({"data": None, "result": {"model": None, "tool_name": "t"}})), *[(4, d) for d in twice], (5, None)]
+    t = spark.createDataFrame(rows, "image long, doc string").repartition(3)
+    assert {r.image: r.n for r in sidecars.detection_counts(t).collect()} == {0: 4, 1: 1, 2: 0, 3: 0, 4: 9, 5: 0}
+    assert {r.image: r.tool for r in sidecars.tool_names(t).collect()} == {0: "m", 1: None, 2: None, 3: "t", 4: None, 5: None}
+    assert {r.image: r.has for r in sidecars.with_operation(t, "click").collect()} == {0: True, 1: False, 2: False, 3: False, 4: True, 5: False}
+
+
 def test_equal_versions_are_decided(spark):
     from photoflow.operators import joins
 
