@@ -146,3 +146,16 @@ def test_links_at_the_rim_of_whole_clusters(spark, monkeypatch):
 def test_audit_of_nothing(spark):
     none = frame(spark, [(1, [1.0, 0.0], 1)]).limit(0)
     assert tuple(near_vectors.audit(none, near_vectors.components(none)).first()) == (0, 0)
+
+
+def test_audit_by_blocks(spark, monkeypatch):
+    """Every block of the rows that ask meets every block of their label; what components leaves out has no links here either."""
+    monkeypatch.setattr(near_vectors, "BLOCK", 7)
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((3, 6))
+    rows = [(i, (base[i % 3] + rng.standard_normal(6) * 0.2).tolist(), i % 2) for i in range(130)]
+    rows += [(140, [0.0] * 6, 0), (160, [float("nan")] + [1.0] * 5, 0), (180, [float("inf")] * 6, 0), (200, None, 0), (220, [None] * 6, 0), (240, [1e200] * 6, 0), (260, [1e-200] * 6, 0), (280, [1.0] * 6, None), (300, [1.0] * 5, 0)]
+    t = frame(spark, rows)
+    want = [(i, n) for i, n, _ in brute(rows) if i % 20 == 0]
+    result = spark.createDataFrame([(i, 1) for i in range(0, 320, 10)], "vec_id long, n_links long")
+    assert tuple(near_vectors.audit(t, result).first()) == (16, sum(n for _, n in want)) and any(n for _, n in want)
