@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from photoflow.functions import color as C
 from photoflow.operators import cluster as K
-from photoflow.operators import joins as J
 from photoflow.operators import stats as T
 from photoflow.plans import fixtures as X
 from photoflow.plans.registry import query
@@ -122,21 +121,20 @@ fin AS (SELECT image, arg_max(leaders, k) AS leaders FROM r GROUP BY image), asg
 _GREEDY = f"WITH RECURSIVE {X.DETECTIONS}, {_IOU_PAIRS.format(o='ord', t='detections', test='>= 0.3')}"
 
 
-def _groups(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    d = X.detections(spark, sf_dir)
-    return d, K.greedy_leaders(d.select("image", "ord"), J.overlap_pairs(d, 0.3), ["image"])
+def _led(spark, sf_dir) -> DataFrame:
+    return K.overlap_leaders(X.detections(spark, sf_dir), 0.3)
 
 
 @query("g9_greedy_leaders", f"{_GREEDY} SELECT image, ord, leader FROM asg")
 def g9(spark, sf_dir) -> DataFrame:
-    return _groups(spark, sf_dir)[1]
+    return _led(spark, sf_dir).select("image", "ord", "leader")
 
 
 _RECON = f"{_GREEDY}, rec AS (SELECT image, leader, CASE WHEN count(*) = 1 THEN any_value(x) ELSE trunc(sum(x * confidence) / sum(confidence)) END AS x, CASE WHEN count(*) = 1 THEN any_value(w) ELSE trunc(sum(w * confidence) / sum(confidence)) END AS w, avg(confidence) AS c, count(*) AS detections, string_agg(DISTINCT method, ',' ORDER BY method) AS methods FROM asg JOIN detections USING (image, ord) GROUP BY image, leader HAVING round(avg(confidence), 9) >= 0.5)"
 
 
 def _reconciled(spark, sf_dir) -> DataFrame:
-    return K.reconcile(*_groups(spark, sf_dir), 0.5 - 5e-10)
+    return K.reconcile(_led(spark, sf_dir), None, 0.5 - 5e-10)
 
 
 @query("g10_reconcile_faces", f"{_RECON} SELECT image, leader, round(c, 6) AS confidence, detections, methods FROM rec")
@@ -169,8 +167,7 @@ def f15_methods(spark, sf_dir) -> DataFrame:
 def g11(spark, sf_dir) -> DataFrame:
     d = X.detections(spark, sf_dir).withColumn("rk", F.row_number().over(Window.partitionBy("image").orderBy(F.desc("confidence"), "ord")).cast("long"))
     ranked = d.withColumn("box", F.col("ord")).withColumn("ord", F.col("rk"))
-    led = K.greedy_leaders(ranked.select("image", "ord"), J.overlap_pairs(ranked, 0.5, strict=True), ["image"]).where("leader = ord")
-    return ranked.join(led, ["image", "ord"]).select("image", F.col("box").alias("ord"))
+    return K.overlap_leaders(ranked, 0.5, strict=True).where("leader = ord").select("image", F.col("box").alias("ord"))
 
 
 # teams: few distinct shades, so that groups form

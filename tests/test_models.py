@@ -237,6 +237,24 @@ def test_dominant_colors(spark):
             assert abs((near == k).mean() - r.share) < 1e-9 and np.allclose(p[near == k].mean(0), c[k])
 
 
+def test_leaders_of_boxes_by_one_shuffle(spark, monkeypatch):
+    rng = random.Random(8)
+    row = lambda g, i: (g, i, float(rng.randrange(40)), float(rng.randrange(40)), float(rng.randrange(0, 30)), float(rng.randrange(5, 30)), rng.random(), rng.choice("ab"), "r")
+    rows = [row(g, i) for g in range(6) for i in range(rng.randrange(1, 40))] + [(None, 1, 0.0, 0.0, 9.0, 9.0, 0.5, "a", "r"), (9, 1, None, 0.0, 9.0, 9.0, 0.9, "a", "r"), (9, 2, 0.0, 0.0, 9.0, 9.0, 0.9, "a", "r")]
+    d = spark.createDataFrame(rows, "image long, ord long, x double, y double, w double, h double, confidence double, method string, resolution string").repartition(3)
+    for strict, t in ((False, 0.3), (True, 0.0)):
+        old = cluster.greedy_leaders(d.select("image", "ord"), joins.overlap_pairs(d, t, strict=strict), ["image"]).where("image is not null")
+        want, whole = sorted(map(tuple, old.collect())), sorted(map(str, cluster.reconcile(d, old).collect()))
+        for small in (200, 20, 0):
+            monkeypatch.setattr(cluster, "SMALL", small)
+            led = cluster.overlap_leaders(d, t, strict=strict)
+            assert sorted(map(tuple, led.select("image", "ord", "leader").collect())) == want
+            assert len(cluster.reconcile(led, None).collect()) == len(whole)
+        monkeypatch.setattr(cluster, "SMALL", 200)
+    plan = cluster.reconcile(cluster.overlap_leaders(d, 0.3), None)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_leaders_by_fold_and_by_rounds(spark, monkeypatch):
     rng = random.Random(4)
     items = [(g, i) for g in range(4) for i in range(rng.randrange(1, 40))]
