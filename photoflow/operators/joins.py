@@ -86,36 +86,40 @@ def number_frames(balls: DataFrame, by: str = "source") -> DataFrame:
     return balls.alias("b").join(times.alias("t"), same).select("b.*", (F.col("t.frame") + 1).cast("int").alias("frame"))
 
 
-def track_nearest(balls: DataFrame, max_move: float = 50, by: str = "source") -> DataFrame:
+def track_nearest(balls: DataFrame, max_move: float = 50, by: str = "source", row: str = "ball_id") -> DataFrame:
     """Each ball with the motion from the nearest ball of the frame before, if within max_move (the first on ties).
 
     Frames are numbered over ranges of times, and balls meet those of the frame before in their own and the
     neighbouring cells of a grid as wide as max_move, so neither a source nor a crowded frame is one task's work.
+    Where ids repeat, `row` names a column that tells balls apart; prev_row is that of the ball before.
     """
     frame = number_frames(balls, by)
     cell = lambda c, step=0: (F.floor(F.col(c) / max_move) + step).alias(f"_{c}")
     around = F.array(*[F.struct(cell("cx", i), cell("cy", j)) for i, j in product((-1, 0, 1), repeat=2)])
-    prev = frame.select(by, (F.col("frame") + 1).alias("frame"), F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("ball_id").alias("prev_id"), F.explode(around).alias("_c"))
-    prev = prev.select(by, "frame", "px", "py", "prev_id", "_c._cx", "_c._cy")
+    prev = frame.select(by, (F.col("frame") + 1).alias("frame"), F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("ball_id").alias("prev_id"), F.col(row).alias("prev_row"), F.explode(around).alias("_c"))
+    prev = prev.select(by, "frame", "px", "py", "prev_id", "prev_row", "_c._cx", "_c._cy")
     dx, dy = F.col("cx") - F.col("px"), F.col("cy") - F.col("py")
     d = F.sqrt(dx * dx + dy * dy)  # hypot rounds otherwise, so equally near balls would not tie
     near = frame.select("*", cell("cx"), cell("cy")).join(prev, [by, "frame", "_cx", "_cy"]).withColumn("d", d).where(F.col("d") < max_move)
-    best = near.groupBy("ball_id").agg(F.min_by(F.struct("prev_id", (F.col("cx") - F.col("px")).alias("dx"), (F.col("cy") - F.col("py")).alias("dy")), F.struct("d", "prev_id")).alias("m"))
-    return frame.join(best, "ball_id", "left").select(*frame.columns, "m.prev_id", "m.dx", "m.dy")
+    other = [] if row == "ball_id" else ["prev_row"]
+    motion = F.struct("prev_id", *other, (F.col("cx") - F.col("px")).alias("dx"), (F.col("cy") - F.col("py")).alias("dy"))
+    best = near.groupBy(row).agg(F.min_by(motion, F.struct("d", "prev_id", *other)).alias("m"))
+    return frame.join(best, row, "left").select(*frame.columns, *[f"m.{c}" for c in ("prev_id", *other, "dx", "dy")])
 
 
-def inherit_types(tracked: DataFrame, by: str = "source") -> DataFrame:
+def inherit_types(tracked: DataFrame, by: str = "source", row: str = "ball_id") -> DataFrame:
     """Types handed down along tracks: tracked_type is the first known type on the way from a track's start to the ball.
 
     Every round joins each ball with what its pointer knows and doubles the pointers' reach, so a track of
-    n balls takes log2 n joins and no source is gathered in one place.
+    n balls takes log2 n joins and no source is gathered in one place. `row` is that of track_nearest.
     """
     known = F.when(F.col("ball_type") != "unknown", F.col("ball_type"))
-    t = materialize(tracked.select("ball_id", F.col("prev_id").alias("ptr"), known.alias("kind")), "tracks")
+    before = "prev_id" if row == "ball_id" else "prev_row"
+    t = materialize(tracked.select(row, F.col(before).alias("ptr"), known.alias("kind")), "tracks")
     while not t.where("ptr is not null").isEmpty():
-        back = t.select(F.col("ball_id").alias("ptr"), F.col("ptr").alias("far"), F.col("kind").alias("before"))
-        t = materialize(t.join(back, "ptr", "left").select("ball_id", F.col("far").alias("ptr"), F.coalesce("before", "kind").alias("kind")), "tracks")
-    return tracked.join(t.select("ball_id", F.coalesce("kind", F.lit("unknown")).alias("tracked_type")), "ball_id")
+        back = t.select(F.col(row).alias("ptr"), F.col("ptr").alias("far"), F.col("kind").alias("before"))
+        t = materialize(t.join(back, "ptr", "left").select(row, F.col("far").alias("ptr"), F.coalesce("before", "kind").alias("kind")), "tracks")
+    return tracked.join(t.select(row, "kind"), row).withColumn("kind", F.coalesce("kind", "ball_type")).withColumnRenamed("kind", "tracked_type")
 
 
 def speed(dx: Column, dy: Column) -> Column:

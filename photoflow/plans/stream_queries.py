@@ -63,15 +63,15 @@ def k2_late(spark, sf_dir) -> DataFrame:
 @query("k3_track_stream", f"""{TRACK_SQL}, {TYPES_SQL} SELECT ball_id, coalesce(prev_id, -1) AS prev_id, round(coalesce(dx, 0), 6) AS dx, round(coalesce(dy, 0), 6) AS dy, t AS tracked_type
 FROM f LEFT JOIN m USING (ball_id) JOIN r USING (ball_id)""")
 def k3(spark, sf_dir) -> DataFrame:
-    """The given events as balls on a stream, in three files that all frames span."""
+    """The given events as balls on a stream, in three batches that all frames span."""
     out = new_path(spark, "tracks")
     b = balls(spark, sf_dir)
     columns = ["source", "ts", "ball_id", "cx", "cy", "ball_type"]
     span = b.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
     for k in range(3):
-        b.where(F.col("ball_id") % 3 == k).select(*columns).coalesce(1).write.mode("append").parquet(f"{out}/balls")
+        b.where(F.col("ball_id") % 3 == k).select(*columns).write.mode("append").parquet(f"{out}/balls")
     b.limit(1).select(F.lit("end").alias("source"), F.lit(span.last + timedelta(days=2) + 2 * (span.last - span.first)).alias("ts"), *[F.lit(None).cast(t).alias(c) for c, t in b.select(*columns[2:]).dtypes]).write.mode("append").parquet(f"{out}/balls")
-    stream = spark.readStream.schema(b.select(*columns).schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/balls")
+    stream = spark.readStream.schema(b.select(*columns).schema).option("maxFilesPerTrigger", b.rdd.getNumPartitions()).parquet(f"{out}/balls")
     tracks = streams.track_stream(stream, watermark=f"{int((span.last - span.first).total_seconds()) + 1} seconds")
     with streams.rocksdb_state(spark):
         streams.run_available(tracks, f"{out}/checkpoint", lambda b, n: b.write.mode("overwrite").parquet(f"{out}/found/batch={n}"))

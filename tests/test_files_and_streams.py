@@ -97,6 +97,31 @@ def test_late_balls_are_dropped(spark, tmp_path):
     assert got[6][0] is None and got[3][0] is None  # a ball without a place is near nothing
 
 
+def test_balls_of_a_source_wait_in_many_partitions(spark, tmp_path):
+    """Balls of one source are no single group; ids that come again in each frame are other balls, and a run goes on where one stopped."""
+    from datetime import datetime, timedelta
+
+    base, schema = datetime(2025, 9, 20), "source string, ts timestamp, ball_id long, cx double, cy double, ball_type string"
+    at = lambda f: base + timedelta(minutes=f)
+    known = {(0, 1): "soccer", (0, 3): "soccer", (2, 2): "tennis", (2, 3): "tennis"}
+    rows = [("a", at(f), i, 100.0 * i + f, 0.0, known.get((f, i), "unknown")) for f in range(4) for i in range(10)]
+    kinds = {1: "soccer", 3: "soccer"}
+    want = [(f, i, i if f else None, 1.0 if f else None, kinds.get(i, "tennis" if i == 2 and f >= 2 else "unknown")) for f in range(4) for i in range(10)]
+    seen = []
+
+    def run(part) -> list:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/balls")
+        tracks = streams.track_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/balls"), watermark="70 seconds")
+        with streams.rocksdb_state(spark):
+            streams.run_available(tracks, f"{tmp_path}/cp", lambda b, _: seen.extend(b.collect()))
+        return sorted(((r.ts - base).seconds // 60, r.ball_id, r.prev_id, r.dx, r.tracked_type) for r in seen)
+
+    assert run(rows[:30]) == want[:10]
+    waiting = spark.read.format("statestore").load(f"{tmp_path}/cp").select("partition_id").collect()
+    assert len(waiting) == 20 and len({r.partition_id for r in waiting}) > 1
+    assert run([*rows[30:], ("end", at(60), None, None, None, None)]) == want
+
+
 def test_a_cluster_needs_a_shared_folder():
     context = SimpleNamespace(applicationId="app-none", master="spark://host:7077")
     unset = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default=None: default))
